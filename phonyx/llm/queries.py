@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding, simhash
+from . import chat, mixing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1,
+    "op4_chat_windows": chat.op4,
     "op7_mixing": mixing.op7,
     "op8_hilbert_sharding": sharding.op8,
 }
