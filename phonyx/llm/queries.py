@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, sharding, simhash
+from . import chat, mixing, repetition, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1,
     "op4_chat_windows": chat.op4,
+    "op6_repetition_rules": repetition.op6,
     "op7_mixing": mixing.op7,
     "op8_hilbert_sharding": sharding.op8,
 }
