@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, importance, mixing, repetition, sharding, simhash
+from . import chat, decontaminate, importance, mixing, repetition, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1,
     "op3_importance_resampling": importance.op3,
     "op4_chat_windows": chat.op4,
+    "op5_bm25_decontamination": decontaminate.op5,
     "op6_repetition_rules": repetition.op6,
     "op7_mixing": mixing.op7,
     "op8_hilbert_sharding": sharding.op8,
