@@ -22,12 +22,13 @@ empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -197,20 +198,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap
     return found
 
 
+def is_clean(shared: Broadcast, threshold: float, overlap: float) -> Callable[..., Column]:
+    """Column function: whether a text contains no item of the broadcast index."""
+
+    @arrow_udf("boolean")
+    def clean(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            out = np.ones(len(column), bool)
+            for row, *_ in matches(shared.value, column.to_pylist(), threshold, overlap):
+                out[row] = False
+            yield pa.array(out)
+
+    return clean
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, part_words: int = 2_000_000) -> DataFrame:
     """docs without the documents that contain an item; decided where the text stands, so no text moves."""
     for index in index_parts(benchmark, part_words):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        @arrow_udf("boolean")
-        def clean(columns: Iterator[pa.Array], shared=shared) -> Iterator[pa.Array]:
-            for column in columns:
-                out = np.ones(len(column), bool)
-                for row, *_ in matches(shared.value, column.to_pylist(), threshold, overlap):
-                    out[row] = False
-                yield pa.array(out)
-
-        docs = docs.where(clean("text"))
+        docs = docs.where(is_clean(docs.sparkSession.sparkContext.broadcast(index), threshold, overlap)("text"))
     return docs
 
 
