@@ -1,10 +1,60 @@
-"""The training-data pipeline: five stages, each written as Parquet and read again as the next one's input."""
+"""The training-data pipeline: five stages, each written as Parquet and read again as the next one's input.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that the one
+before it kept. All but the last return the columns of `docs`, so extra
+columns of the input travel along.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from phonyx.llm import decontaminate, importance, mixing, sharding, simhash
+from phonyx.llm.common import materialize, table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Importance resampling towards documents labelled good; what it leaves out goes."""
+    return importance.select_quality(docs, table(spark, sf_dir, "labels"))
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, the one with the least id."""
+    return simhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; one it takes zero times goes."""
+    return mixing.repeat_documents(docs)
+
+
+def hilbert_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row of the mix."""
+    return sharding.shard_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("SimHash near-dedup", simhash_dedup),
+    ("benchmark decontamination", decontamination),
+    ("mixing to target weights", mixing_sources),
+    ("sharding", hilbert_sharding),
+]
+
+#: SimHash components and trained models are not expressible in SQL; tests compare run() with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; each stage's result is a table in the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialize(docs, f"stage{k}")
+    return docs

@@ -29,6 +29,8 @@ from .common import WORD, discard, global_rank, materialize, table
 
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (3, 1, 2)
+#: Of the hashed order in which documents are repeated once more.
+SEED = 7
 
 
 def capped_targets(sources: DataFrame, share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -100,7 +102,7 @@ def running(df: DataFrame, group: list[str], amount: str, order: list[str], buck
     return based.withColumn(out, F.col("_base") + F.coalesce(F.sum(amount).over(inside), F.lit(0))).drop("_base")
 
 
-def copies(sized: DataFrame, seed: int = 7, buckets: int = 4096) -> DataFrame:
+def copies(sized: DataFrame, seed: int = SEED, buckets: int = 4096) -> DataFrame:
     """sized (doc_id, source_id, size, source_size, rate, target) with `copies`, the whole number of times it is taken."""
     whole = F.floor("rate")
     large = F.col("size") * F.col("source_rows") > F.col("source_size")
@@ -157,6 +159,34 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     return copies(rated)
 
 
+def repeat_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """docs with every row as often as the mix takes it; rows taken zero times go.
+
+    What `copies` repeats once more is a prefix of each source's hashed order,
+    so one cut per source and size class is enough to decide on a row where
+    its text stands, and no text is shuffled. Documents without words have no
+    part in the mix and go. Rows equal to the one at a cut count like it.
+    """
+    decided = mix(docs, weights, share, cap)
+    key = F.struct("_hash", F.coalesce("doc_id", F.lit(0)).alias("d"), "text_hash")
+    per_source = decided.groupBy("source").agg(
+        F.first("_whole").alias("_whole"), F.first("source_size").alias("_source_size"), F.first("source_rows").alias("_source_rows"),
+        F.max(F.when(F.col("_large") & (F.col("copies") > F.col("_whole")), key)).alias("_large_cut"),
+        F.max(F.when(~F.col("_large") & (F.col("copies") > F.col("_whole")), key)).alias("_small_cut"),
+    ).withColumnRenamed("source", "_source")
+    cuts = materialize(per_source, "cuts")
+    columns = [F.col(f"d.`{c}`") for c in docs.columns]
+    rows = docs.alias("d").join(cuts, F.col("d.source").eqNullSafe(F.col("_source")), "left")
+    size = F.coalesce(F.regexp_count("d.text", F.lit(WORD)), F.lit(0))
+    own = F.struct(
+        F.xxhash64(F.lit(SEED), "d.doc_id", F.xxhash64("d.text")).alias("_hash"),
+        F.coalesce("d.doc_id", F.lit(0)).alias("d"), F.xxhash64("d.text").alias("text_hash"),
+    )
+    cut = F.when(size * F.col("_source_rows") > F.col("_source_size"), F.col("_large_cut")).otherwise(F.col("_small_cut"))
+    times = F.when(size > 0, F.col("_whole") + F.coalesce((own <= cut).cast("int"), F.lit(0))).otherwise(0).cast("int")
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(columns)
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select(
