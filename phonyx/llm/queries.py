@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, importance, mixing, repetition, sharding, simhash
+from . import chat, decontaminate, extract, importance, mixing, repetition, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_repetition_rules": repetition.op6,
     "op7_mixing": mixing.op7,
     "op8_hilbert_sharding": sharding.op8,
+    "op10_block_labeller": extract.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {}
