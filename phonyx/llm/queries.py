@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, extract, importance, mixing, repetition, sharding, simhash
+from . import chat, decontaminate, extract, importance, mixing, repetition, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1,
+    "op2_toxicity": toxicity.op2,
     "op3_importance_resampling": importance.op3,
     "op4_chat_windows": chat.op4,
     "op5_bm25_decontamination": decontaminate.op5,
