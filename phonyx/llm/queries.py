@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, extract, importance, mixing, repetition, sharding, simhash, toxicity
+from . import chat, decontaminate, extract, importance, mixing, ngramlm, repetition, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_repetition_rules": repetition.op6,
     "op7_mixing": mixing.op7,
     "op8_hilbert_sharding": sharding.op8,
+    "op9_elias_fano_lm": ngramlm.op9,
     "op10_block_labeller": extract.op10,
 }
 
