@@ -15,11 +15,6 @@ import numpy as np
 
 U64 = np.uint64
 ONE, SIX, MASK6 = U64(1), U64(6), U64(63)
-#: SELECT[b, k]: place of the k-th one in byte b.
-SELECT = np.full((256, 8), 8, np.uint8)
-for _b in range(256):
-    _ones = [i for i in range(8) if _b >> i & 1]
-    SELECT[_b, : len(_ones)] = _ones
 
 
 class Store:
@@ -40,7 +35,7 @@ class Store:
                 places.append((f.tell(), a.dtype, len(a)))
                 f.write(a.tobytes())
             f.write(b"\0" * 8)
-        whole = np.memmap(f.name, np.uint8, "r")
+        whole = np.asarray(np.memmap(f.name, np.uint8, "r"))
         os.unlink(f.name)
         self.parts = []
         return [whole[at : at + n * d.itemsize].view(d) for at, d, n in places]
@@ -86,16 +81,18 @@ class EliasFano:
         else:
             total = self.before
         at = np.searchsorted(total, k, "right") - 1
-        word = self.words[at]
-        if zeros:
-            word = ~word
-        left = (k - total[at]).astype(np.int64)
-        octets = word.astype("<u8").view(np.uint8).reshape(-1, 8)
-        counts = np.cumsum(np.bitwise_count(octets), 1, dtype=np.int64)
-        byte = (counts <= left[:, None]).sum(1)
-        rows = np.arange(len(at))
-        left -= np.where(byte > 0, counts[rows, np.maximum(byte - 1, 0)], 0)
-        return at * 64 + byte * 8 + SELECT[octets[rows, byte], left]
+        word = ~self.words[at] if zeros else self.words[at]
+        left = (k - total[at]).astype(U64)
+        place = at.astype(U64) << SIX
+        # Halve the word down to the bit: into the upper half if the lower one has too few ones.
+        for half in (32, 16, 8, 4, 2, 1):
+            lower = np.bitwise_count(word & U64((1 << half) - 1)).astype(U64)
+            up = lower <= left
+            left -= lower * up
+            step = up * U64(half)
+            word >>= step
+            place += step
+        return place.astype(np.int64)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:

@@ -36,9 +36,12 @@ SLAB = 1 << 22
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the offsets of its texts; null is empty."""
-    flat = column.cast(pa.large_binary()).fill_null(b"")
+    flat = column.fill_null("") if column.null_count else column
+    wide = pa.types.is_large_string(flat.type) or pa.types.is_large_binary(flat.type)
     _, offsets, data = flat.buffers()
-    at = np.frombuffer(offsets, np.int64)[flat.offset : flat.offset + len(flat) + 1]
+    if offsets is None or not len(flat):
+        return np.zeros(0, np.uint8), np.zeros(len(flat) + 1, np.int64)
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[flat.offset : flat.offset + len(flat) + 1].astype(np.int64)
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), at
 
 

@@ -66,7 +66,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray, powers: dict, chunk: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, at: np.ndarray, powers: dict, chunk: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text number of every word of texts (bytes `data`, offsets `at`), chunk by chunk of whole words."""
     hashes, rows = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
     a, n = int(at[0]), int(at[-1])
@@ -229,24 +229,30 @@ def pack(w: np.ndarray, a: np.ndarray, b: np.ndarray, row: np.ndarray, merge: bo
     opens = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (a[1:] != a[:-1])))) if len(a) else np.zeros(0, np.int64)
     per_context = np.diff(np.concatenate((opens, [len(a)]))).astype(np.uint32)
     per_word = np.bincount(place[opens], minlength=len(words)).astype(np.uint32)
-    sizes = np.array([len(words), len(opens), len(a), int(merge)], np.int64)
+    per_word, per_context, n = narrow(per_word), narrow(per_context), narrow(n)
+    sizes = np.array([len(words), len(opens), len(a), per_word.itemsize, per_context.itemsize, n.itemsize if merge else 0], np.int64)
     return b"".join(x.tobytes() for x in (sizes, words, per_word, a[opens], per_context, b, row.astype(np.uint16), n if merge else n[:0]))
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in the fewest bytes that hold them."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+
+
 def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     """(word, before, after, row, count) of packed records."""
-    n_words, n_contexts, n, merged = np.frombuffer(blob, np.int64, 4).tolist()
-    at = 32
+    n_words, n_contexts, n, word_bytes, context_bytes, count_bytes = np.frombuffer(blob, np.int64, 6).tolist()
+    at = 48
 
-    def take(kind: type, k: int) -> np.ndarray:
+    def take(kind: type | str, k: int) -> np.ndarray:
         nonlocal at
         out = np.frombuffer(blob, kind, k, at)
         at += out.nbytes
         return out
 
-    words, per_word, contexts, per_context = take(U64, n_words), take(np.uint32, n_words), take(np.uint32, n_contexts), take(np.uint32, n_contexts)
+    words, per_word, contexts, per_context = take(U64, n_words), take(f"u{word_bytes}", n_words), take(np.uint32, n_contexts), take(f"u{context_bytes}", n_contexts)
     b, row = take(np.uint32, n), take(np.uint16, n)
-    count = take(np.uint32, n) if merged else np.ones(n, np.uint32)
+    count = take(f"u{count_bytes}", n) if count_bytes else np.ones(n, np.uint8)
     return np.repeat(np.repeat(words, per_word), per_context), np.repeat(contexts, per_context), b, row, count
 
 
@@ -291,8 +297,9 @@ class Trie:
     def __init__(self, w: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, hot: SimpleNamespace, discount: float):
         self.hot = hot
         n = n.astype(float)
-        words, wi = np.unique(w, return_inverse=True)
-        wi = wi.astype(U64)
+        # Records come sorted by word and context.
+        new_word = np.concatenate((np.ones(min(1, len(w)), bool), w[1:] != w[:-1]))
+        words, wi = w[new_word], (np.cumsum(new_word) - 1).astype(U64)
         goes_on = w != END
         count = np.bincount(wi.astype(np.int64), n, minlength=len(words))
         succ, si = np.unique((wi << U64(32) | b)[goes_on], return_inverse=True)
@@ -302,7 +309,9 @@ class Trie:
         at, there = member(hot.words, words)
         if there.any():
             count[there], kinds[there] = hot.count[at[there]], hot.kinds[at[there]]
-        ctx, ci = np.unique(wi << U64(32) | a, return_inverse=True)
+        ctx = wi << U64(32) | a
+        new_ctx = np.concatenate((np.ones(min(1, len(w)), bool), ctx[1:] != ctx[:-1]))
+        ctx, ci = ctx[new_ctx], np.cumsum(new_ctx) - 1
         ctx_word = (ctx >> U64(32)).astype(np.int64)
         ctx_count = np.bincount(ci, n, minlength=len(ctx))
         # Context-relative numbers: a trigram's last word is its place among the successors of the middle word.
@@ -399,8 +408,9 @@ class Trie:
 def answers(blobs: list[tuple[int, int, bytes]], kind: int, hot: SimpleNamespace, discount: float) -> tuple[dict[str, np.ndarray], int, int]:
     """Sums by document row of the records of one shard, and the shard's training tokens and kinds of words."""
     parts = [unpack(x) for _, _, x in blobs]
-    w, a, b, row, n = (np.concatenate([p[i] for p in parts]) for i in range(5))
     batch = np.repeat(np.array([k for k, _, _ in blobs], np.int64), [len(p[0]) for p in parts])
+    blobs.clear()
+    w, a, b, row, n = (np.concatenate([p[i] for p in parts]) for i in range(5))
     del parts
     order = np.argsort(w)
     w, a, b, row, n, batch = w[order], a[order], b[order], row[order], n[order], batch[order]
@@ -429,7 +439,7 @@ SUMS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, n_
 NAMES = [x.split()[0] for x in SUMS.split(", ")]
 
 
-def score(docs: DataFrame, shard_tokens: int = 1_000_000, discount: float = DISCOUNT, parts: int = 7, held: int = 2) -> DataFrame:
+def score(docs: DataFrame, shard_tokens: int = 400_000, discount: float = DISCOUNT, parts: int = 7, held: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     spark = docs.sparkSession
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
@@ -483,7 +493,6 @@ def score(docs: DataFrame, shard_tokens: int = 1_000_000, discount: float = DISC
             yield emit(len(sums["row"]), **sums)
             if tokens:
                 yield emit(1, row=[-1], train_tokens=[tokens], train_kinds=[kinds])
-            blobs.clear()
 
     sent = rows.mapInArrow(send, "shard int, kind int, first long, records binary")
     back = sent.repartition(shards, "shard").mapInArrow(gather, SUMS)
