@@ -405,7 +405,7 @@ class Trie:
         return count[of_w], total, ~c_there[of_a]
 
 
-def answers(blobs: list[tuple[int, int, bytes]], kind: int, hot: SimpleNamespace, discount: float) -> tuple[dict[str, np.ndarray], int, int]:
+def answers(blobs: list[tuple[int, int, bytes]], kind: int, hot: SimpleNamespace, discount: float) -> tuple[tuple[np.ndarray, ...], int, int]:
     """Sums by document row of the records of one shard, and the shard's training tokens and kinds of words."""
     parts = [unpack(x) for _, _, x in blobs]
     batch = np.repeat(np.array([k for k, _, _ in blobs], np.int64), [len(p[0]) for p in parts])
@@ -425,27 +425,94 @@ def answers(blobs: list[tuple[int, int, bytes]], kind: int, hot: SimpleNamespace
     own = (w != BEGIN) & (kind != SECOND)
     sums = lambda x: np.bincount(inverse, x * n, minlength=len(key))
     log_count = np.where(own, LOG(count + 1), 0.0)
-    out = {
-        "row": key, "n_known": sums(own & (count > 0)).astype(np.int64), "base": sums(log_count),
-        "terms": sums(total + np.where(back, log_count, 0.0)), "n_back": sums(own & back).astype(np.int64),
-    }
+    out = key, sums(own & (count > 0)), sums(own & back), sums(log_count), -sums(total + np.where(back, log_count, 0.0))
     if kind != ALL:
         return out, 0, 0
-    token = trained & own
-    return out, int(n[token].sum()), int((np.diff(np.flatnonzero(np.concatenate(([True], w[token][1:] != w[token][:-1], [True])))) > 0).sum()) if token.any() else 0
-
-
-SUMS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, n_back long, base double, terms double, train_tokens long, train_kinds long"
-NAMES = [x.split()[0] for x in SUMS.split(", ")]
-
-
-def score(docs: DataFrame, shard_tokens: int = 400_000, discount: float = DISCOUNT, parts: int = 7, held: int = 2) -> DataFrame:
+    mine = trained & own
+    kinds = int((w[mine][1:] != w[mine][:-1]).sum()) + 1 if mine.any() else 0
+    return out, int(n[mine].sum()), kinds
+
+
+# -- sums on their way back --------------------------------------------------------------------------------------
+
+#: Sums travel as whole multiples of these: of the base score, and of the model's terms.
+BASE_STEP, TERM_STEP = 2.0**-32, 2.0**-16
+
+
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Whole numbers, not negative, in as many bytes each as the largest needs."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack_numbers(blob: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    width = blob[at]
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(blob, np.uint8, n * width, at + 1).reshape(n, width)
+    return wide.view("<u8").reshape(-1).astype(np.int64), at + 1 + n * width
+
+
+def pack_sums(first: int, sums: tuple[np.ndarray, ...]) -> bytes:
+    rows, known, back, base, terms = sums
+    # Terms are at or below zero but for a rounding of the quantised masses; their sign has a bit of its own.
+    minus = np.rint(terms / TERM_STEP).astype(np.int64)
+    columns = (np.diff(rows - first, prepend=0), known.astype(np.int64), back.astype(np.int64), np.rint(base / BASE_STEP).astype(np.int64), np.abs(minus) * 2 + (minus < 0))
+    return len(rows).to_bytes(4, "little") + b"".join(map(pack_numbers, columns))
+
+
+def unpack_sums(blob: bytes) -> list[np.ndarray]:
+    """Rows within the group, known words, words backed off to, base sums and terms."""
+    n, at, out = int.from_bytes(blob[:4], "little"), 4, []
+    for _ in range(5):
+        x, at = unpack_numbers(blob, at, n)
+        out.append(x)
+    out[0] = np.cumsum(out[0])
+    out[3] = out[3] * BASE_STEP
+    out[4] = (out[4] >> 1) * np.where(out[4] & 1, 1.0, -1.0) * TERM_STEP
+    return out
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, n_back long, base double, terms double, train_tokens long, train_kinds long"
+KINDS = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+SCHEMA = pa.schema([(x.split()[0], KINDS[x.split()[1]]) for x in SCORED.split(", ")])
+
+
+def whole(table_: pa.Table, parts: int, held: int) -> pa.Table:
+    """The documents of one group with the sums that all shards sent back, or the totals of all shards."""
+    first, kinds, blobs = (table_.column(c).to_pylist() for c in ("first", "kind", "records"))
+    if first[0] < 0:
+        totals = sum(np.frombuffer(x, np.int64, 2) for x in blobs)
+        columns = {"train_tokens": [int(totals[0])], "train_kinds": [int(totals[1])]}
+    else:
+        head = blobs[kinds.index(-1)]
+        n = len(head) // 18
+        ids, null = np.frombuffer(head, np.int64, n), np.frombuffer(head, bool, n, 8 * n)
+        sums = [np.zeros(n) for _ in range(4)]
+        # In an order of its own, so that reruns agree to the last bit.
+        for blob in sorted(b for k, b in zip(kinds, blobs) if k >= 0):
+            rows, *found = unpack_sums(blob)
+            for total, x in zip(sums, found):
+                total[rows] += x
+        columns = {
+            "doc_id": pa.array(ids, mask=null), "held_out": crc_held(ids, null, parts, held), "n_tokens": np.frombuffer(head[10 * n :], np.int64, n),
+            "n_known": sums[0].astype(np.int64), "n_back": sums[1].astype(np.int64), "base": sums[2], "terms": sums[3],
+        }
+    n = len(next(iter(columns.values())))
+    return pa.Table.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in SCHEMA], schema=SCHEMA)
+
+
+def score(docs: DataFrame, shard_tokens: int = 1_000_000, discount: float = DISCOUNT, parts: int = 7, held: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     spark = docs.sparkSession
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder != held, F.lit(False)).alias("training"), "text")
     shards, hot = frequent(rows, int(spark.conf.get("spark.sql.shuffle.partitions")), shard_tokens)
     shared = spark.sparkContext.broadcast(hot)
+    schema = "shard int, kind int, first long, records binary"
+
+    def batch_of(out: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        s, k, f, x = zip(*out)
+        return pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(k, pa.int32()), pa.array(f, pa.int64()), pa.array(x, pa.binary())], ["shard", "kind", "first", "records"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
@@ -455,7 +522,9 @@ def score(docs: DataFrame, shard_tokens: int = 400_000, discount: float = DISCOU
             w, before, after, row = sequences(hashes, rows, len(ids))
             n_tokens = np.bincount(rows, minlength=len(ids)) + 1
             flagged = row + np.where(training[row], TRAINED, 0)
-            out: list[tuple[int, int, int, bytes]] = []
+            # The documents themselves: spread over the shards like the rest.
+            head = ids.cast(pa.int64()).fill_null(0).to_numpy().tobytes() + np.array(ids.is_null()).tobytes() + training.tobytes() + n_tokens.astype(np.int64).tobytes()
+            out = [(number % shards, -1, first, head)]
             for kind, at, shard in routed(shared.value, w, before, after, shards):
                 order = np.argsort(shard, kind="stable")
                 at, shard = at[order], shard[order]
@@ -465,52 +534,42 @@ def score(docs: DataFrame, shard_tokens: int = 400_000, discount: float = DISCOU
                     k = at[begin:end]
                     out.append((int(shard[begin]), kind, first, pack(w[k], short(before[k]), short(after[k]), flagged[k], kind != ALL)))
                     begin = end
-            # The documents themselves: spread over the shards like the rest.
-            out.append((first % shards, -1, first, ids.cast(pa.int64()).fill_null(0).to_numpy().tobytes() + np.array(ids.is_null()).tobytes() + training.tobytes() + n_tokens.astype(np.int64).tobytes()))
-            for i in range(0, len(out), 64):
-                s, k, f, x = zip(*out[i : i + 64])
-                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(k, pa.int32()), pa.array(f, pa.int64()), pa.array(x, pa.binary())], ["shard", "kind", "first", "records"])
+                    if len(out) >= 64:
+                        yield batch_of(out)
+                        out = []
+            if out:
+                yield batch_of(out)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_: dict[tuple[int, int], list] = defaultdict(list)
-
-        def emit(n: int, **columns) -> pa.RecordBatch:
-            schema = {"held_out": pa.bool_(), "base": pa.float64(), "terms": pa.float64()}
-            return pa.RecordBatch.from_arrays([pa.array(columns[c], schema.get(c, pa.int64())) if c in columns else pa.nulls(n, schema.get(c, pa.int64())) for c in NAMES], NAMES)
-
+        kept: dict[tuple[int, int], list] = defaultdict(list)
         for batch in batches:
             for shard, kind, first, blob in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind < 0:
-                    n = len(blob) // 18
-                    ids, null = np.frombuffer(blob, np.int64, n), np.frombuffer(blob, bool, n, 8 * n)
-                    training, sizes = np.frombuffer(blob, bool, n, 9 * n), np.frombuffer(blob[10 * n :], np.int64, n)
-                    out = crc_held(ids, null, parts, held)
-                    yield emit(n, row=first + np.arange(n), doc_id=pa.array(ids, mask=null), held_out=out, n_tokens=sizes)
+                    yield batch_of([(shard, kind, first, blob)])
                 else:
-                    held_[shard, kind].append((first, shard, blob))
-        for (_, kind), blobs in sorted(held_.items()):
-            sums, tokens, kinds = answers(blobs, kind, shared.value, discount)
-            yield emit(len(sums["row"]), **sums)
-            if tokens:
-                yield emit(1, row=[-1], train_tokens=[tokens], train_kinds=[kinds])
-
-    sent = rows.mapInArrow(send, "shard int, kind int, first long, records binary")
-    back = sent.repartition(shards, "shard").mapInArrow(gather, SUMS)
-    summed = materialize(
-        back.groupBy("row").agg(
-            F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"),
-            *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "n_back", "base", "terms", "train_tokens", "train_kinds")],
-        ),
-        "scores",
-    )
-    # Totals of the frequent words are not in any one shard: they come from their exact counts.
-    whole = summed.where("row = -1").agg(F.sum("train_tokens"), F.sum("train_kinds")).first()
-    tokens_of_hot = [(c, k) for c, k in zip(hot.count.tolist(), hot.words.tolist()) if k != int(BEGIN) and c > 0]
-    n = int((whole[0] or 0) + sum(c for c, _ in tokens_of_hot))
-    v = int((whole[1] or 0) + len(tokens_of_hot))
+                    kept[shard, kind].append((first, shard, blob))
+        for shard, kind in sorted(kept):
+            groups = np.unique([first for first, _, _ in kept[shard, kind]])
+            sums, tokens, kinds = answers(kept[shard, kind], kind, shared.value, discount)
+            ends = np.searchsorted(sums[0], np.append(groups[1:], np.iinfo(np.int64).max))
+            out = [(shard, -2, -1, np.array([tokens, kinds], np.int64).tobytes())]
+            begin = 0
+            for first, end in zip(groups.tolist(), ends.tolist()):
+                out.append((shard, kind, first, pack_sums(first, tuple(x[begin:end] for x in sums))))
+                begin = end
+            for i in range(0, len(out), 64):
+                yield batch_of(out[i : i + 64])
+
+    sent = rows.mapInArrow(send, schema)
+    back = sent.repartition(shards, "shard").mapInArrow(gather, schema)
+    summed = materialize(back.groupBy("first").applyInArrow(lambda t: whole(t, parts, held), SCORED), "scores")
+    # Frequent words are not counted in any one shard: they come from their exact counts.
+    n, v = summed.where("doc_id IS NULL AND train_tokens IS NOT NULL").agg(F.coalesce(F.sum("train_tokens"), F.lit(0)), F.coalesce(F.sum("train_kinds"), F.lit(0))).first()
+    frequent_counts = [c for c, k in zip(hot.count.tolist(), hot.words.tolist()) if k != int(BEGIN) and c > 0]
+    n, v = int(n + sum(frequent_counts)), int(v + len(frequent_counts))
     log_all = float(LOG(n + v + 1.0))
-    return summed.where("row >= 0").select(
-        "doc_id", "held_out", "n_tokens", F.coalesce("n_known", F.lit(0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+    return summed.where("train_tokens IS NULL").select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * log_all).alias("base_score"), (F.col("terms") - F.col("n_back") * log_all).alias("score"),
     )
 
