@@ -2,6 +2,575 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
-FLAGSHIP = None
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import ratio
+from ..functions import text as T
+from ..operators import frames, intervals, metrics, resampling, runs
+from ..sources import files
+from . import tables as src
+from .tables import seconds, table
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in columns})
+
+
+#: SQL of the spans that `tables.spans` makes, and of a pair of neighbouring conversation turns.
+SPANS = "SELECT event_id, user_id, event_type, epoch_us(ts) / 1e6 AS s, epoch_us(ts) / 1e6 + 60.0 * value AS e FROM events"
+PAIRS = """SELECT a.conv_id * 1000 + a.turn AS id, a.conv_id, a.turn, coalesce(a.text, '') AS reference, coalesce(b.text, '') AS prediction
+  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"""
+#: SQL of the tokens of the canonical lens, for texts whose accents are folded first.
+LENS = rf"""list_filter(string_split_regex(lower(regexp_replace(regexp_replace(regexp_replace(translate(translate(replace(replace(replace({{0}}, 'ß', 'ss'), ',,', ''), '"', ''), '{T.QUOTES}', '{T.PLAIN_QUOTES.replace("'", "''")}'), '{T.ACCENTED}', '{T.FOLDED}'), '\[.*?\]', '', 'g'), '[''"]', '', 'g'), '[^\pL\pN\pM_\s]', '', 'g')), '\s+'), lambda x: x <> '')"""
+
+
+# -- intervals -------------------------------------------------------------------------------------------------
+
+
+@query("turn_fold", f"""
+WITH sp AS ({SPANS}), m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sp),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s - reach > 600.0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT user_id, round(min(s), 6) AS start, round(max(e), 6) AS "end" FROM i GROUP BY user_id, island""")
+def turn_fold(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(intervals.fold_turns(src.spans(spark, d), ["user_id"], 600.0), "start", "end")
+
+
+@query("interval_union", f"""
+WITH sp AS ({SPANS}), m AS (SELECT *, max(e) OVER (PARTITION BY event_type ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sp),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s - reach > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT event_type, count(*) AS islands, round(sum(len), 3) AS covered_s FROM (SELECT event_type, max(e) - min(s) AS len FROM i GROUP BY event_type, island) GROUP BY event_type""")
+def interval_union(spark: SparkSession, d: str) -> DataFrame:
+    merged = intervals.fold_turns(src.spans(spark, d), ["event_type"], 0.0)
+    return merged.groupBy("event_type").agg(F.count("*").alias("islands"), F.round(F.sum(F.col("end") - F.col("start")), 3).alias("covered_s"))
+
+
+@query("overlap_stats", f"""
+WITH sp AS ({SPANS}), ed AS (SELECT event_type, s AS t, 1 AS d FROM sp UNION ALL SELECT event_type, e, -1 FROM sp),
+g AS (SELECT event_type, t, sum(d) AS d FROM ed GROUP BY event_type, t),
+h AS (SELECT event_type, t, sum(d) OVER w AS n, lead(t) OVER w - t AS len FROM g WINDOW w AS (PARTITION BY event_type ORDER BY t))
+SELECT event_type, round(coalesce(sum(CASE WHEN n >= 1 THEN len END), 0), 3) AS speech_s, round(coalesce(sum(CASE WHEN n >= 2 THEN len END), 0), 3) AS overlap_s,
+  round(sum(n * len), 3) AS speaker_time_s, round(max(t) - min(t), 3) AS span_s FROM h GROUP BY event_type""")
+def overlap_stats(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(intervals.overlap_stats(src.spans(spark, d), ["event_type"]), "speech_s", "overlap_s", "speaker_time_s", "span_s", places=3)
+
+
+DER_SQL = """
+WITH ev AS (SELECT strftime(ts, '%Y-%m-%d') AS file, event_id AS ord, epoch_us(ts) / 1e6 AS t, value, user_id % 3 AS s FROM events),
+raw AS (SELECT file, ord, 'ref' AS side, t AS a, t + 60 * value AS b, CAST(s AS VARCHAR) AS sp FROM ev
+  UNION ALL SELECT file, ord, 'hyp', t + 1, t + 60 * value + CASE WHEN ord % 5 = 0 THEN 900 ELSE 0 END, CAST((s + CASE WHEN ord % 11 = 0 THEN 2 ELSE 1 END) % 3 AS VARCHAR) FROM ev WHERE ord % 7 <> 0),
+seg AS (SELECT file, side, a, b, arg_max(sp, ord) AS sp FROM raw WHERE b > a GROUP BY file, side, a, b),
+edges AS (SELECT DISTINCT file, t FROM (SELECT file, a AS t FROM seg UNION ALL SELECT file, b FROM seg)),
+cut AS (SELECT file, t AS a, lead(t) OVER (PARTITION BY file ORDER BY t) AS b FROM edges),
+act AS (SELECT cut.file, cut.a, cut.b - cut.a AS len, side, sp, count(*) AS n FROM cut JOIN seg ON seg.file = cut.file AND seg.a <= cut.a AND seg.b >= cut.b GROUP BY ALL),
+hts AS (SELECT file, a, any_value(len) AS len, sum(CASE WHEN side = 'ref' THEN n ELSE 0 END) AS nr, sum(CASE WHEN side = 'hyp' THEN n ELSE 0 END) AS nh FROM act GROUP BY file, a),
+tog AS (SELECT r.file, r.a, r.len, r.sp AS rs, h.sp AS hs, least(r.n, h.n) AS n FROM act r JOIN act h ON r.file = h.file AND r.a = h.a AND r.side = 'ref' AND h.side = 'hyp'),
+co AS (SELECT file, rs, hs, sum(len * n) AS w FROM tog GROUP BY file, rs, hs),
+perm AS (SELECT * FROM (VALUES (1,'0','1','2'),(2,'0','2','1'),(3,'1','0','2'),(4,'1','2','0'),(5,'2','0','1'),(6,'2','1','0')) p(p, x, y, z)),
+val AS (SELECT co.file, p, x, y, z, sum(CASE WHEN hs = CASE rs WHEN '0' THEN x WHEN '1' THEN y ELSE z END THEN w ELSE 0 END) AS w FROM co, perm GROUP BY ALL),
+best AS (SELECT file, arg_max(x, w) AS x, arg_max(y, w) AS y, arg_max(z, w) AS z FROM val GROUP BY file),
+ok AS (SELECT tog.file, tog.a, sum(n) AS c FROM tog JOIN best USING (file) WHERE hs = CASE rs WHEN '0' THEN x WHEN '1' THEN y ELSE z END GROUP BY tog.file, tog.a),
+sec AS (SELECT h.file, sum(len * nr) AS total_s, sum(len * greatest(nr - nh, 0)) AS miss_s, sum(len * greatest(nh - nr, 0)) AS false_alarm_s, sum(len * (least(nr, nh) - coalesce(c, 0))) AS confusion_s
+  FROM hts h LEFT JOIN ok USING (file, a) GROUP BY h.file)
+"""
+
+
+@query("der_events", DER_SQL + """SELECT file, round(total_s, 3) AS total_s, round(miss_s, 3) AS miss_s, round(false_alarm_s, 3) AS false_alarm_s, round(confusion_s, 3) AS confusion_s,
+  round((miss_s + false_alarm_s + confusion_s) / total_s, 6) AS der FROM sec""")
+def der_events(spark: SparkSession, d: str) -> DataFrame:
+    out = intervals.file_der(intervals.diarization_seconds(src.turns_of_days(spark, d)))
+    return rounded(rounded(out, "total_s", "miss_s", "false_alarm_s", "confusion_s", places=3), "der")
+
+
+FLAGSHIP = der_events
+
+
+@query("der_corpus", DER_SQL + """SELECT round(sum(miss_s + false_alarm_s + confusion_s) / sum(total_s), 6) AS der, round(sum(miss_s) / sum(total_s), 6) AS miss, round(sum(false_alarm_s) / sum(total_s), 6) AS false_alarm,
+  round(sum(confusion_s) / sum(total_s), 6) AS confusion, round(avg((miss_s + false_alarm_s + confusion_s) / total_s), 6) AS file_mean_der, count(*) AS files, round(sum(total_s), 3) AS total_s FROM sec""")
+def der_corpus(spark: SparkSession, d: str) -> DataFrame:
+    out = intervals.corpus_der(intervals.diarization_seconds(src.turns_of_days(spark, d)))
+    return rounded(rounded(out, "der", "miss", "false_alarm", "confusion", "file_mean_der"), "total_s", places=3)
+
+
+@query("der_collar")
+def der_collar(spark: SparkSession, d: str) -> DataFrame:
+    """Both collars and the overlap-free variant side by side."""
+    segments = src.turns_of_days(spark, d)
+    parts = [intervals.corpus_der(intervals.diarization_seconds(segments, c, s)).withColumn("collar", F.lit(c)).withColumn("skip_overlap", F.lit(s)) for c, s in ((0.0, False), (0.25, False), (0.0, True))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("folding_sensitivity")
+def folding_sensitivity(spark: SparkSession, d: str) -> DataFrame:
+    """Error with folded hypothesis turns minus error with raw ones."""
+    s = src.turns_of_days(spark, d)
+    folded = intervals.fold_turns(s.where("side = 'hyp'"), ["file", "speaker"], intervals.GAP_S).select("file", F.lit("hyp").alias("side"), F.monotonically_increasing_id().alias("ord"), "start", "end", "speaker")
+    raw = intervals.corpus_der(intervals.diarization_seconds(s)).select(F.col("der").alias("raw_der"))
+    new = intervals.corpus_der(intervals.diarization_seconds(s.where("side = 'ref'").select("file", "side", "ord", "start", "end", "speaker").unionByName(folded))).select(F.col("der").alias("folded_der"))
+    return raw.join(F.broadcast(new)).withColumn("delta_pp", 100 * (F.col("folded_der") - F.col("raw_der")))  # one row each
+
+
+@query("speaker_bucket", """
+SELECT CASE WHEN n BETWEEN 1 AND 4 THEN CAST(n AS VARCHAR) ELSE '5+' END AS bucket, count(*) AS files, round(sum(total), 2) AS total
+FROM (SELECT c_custkey, count(o_orderkey) AS n, coalesce(sum(o_totalprice), 0) AS total FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey) GROUP BY 1""")
+def speaker_bucket(spark: SparkSession, d: str) -> DataFrame:
+    per = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"), F.coalesce(F.sum("o_totalprice"), F.lit(0.0)).alias("total"))
+    return per.groupBy(intervals.speaker_bucket(F.col("n")).alias("bucket")).agg(F.count("*").alias("files"), F.round(F.sum("total"), 2).alias("total"))
+
+
+WORD_SQL = """
+WITH w AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS file, epoch_us(ts) / 1e6 AS s, epoch_us(ts) / 1e6 + value AS e FROM events WHERE event_type = 'view'),
+t AS (SELECT event_id AS ord, strftime(ts, '%Y-%m-%d') AS file, epoch_us(ts) / 1e6 AS s, epoch_us(ts) / 1e6 + 10 * value AS e, CAST(user_id AS VARCHAR) AS speaker FROM events WHERE event_type = 'purchase'),
+o AS (SELECT w.event_id, arg_max(speaker, (least(w.e, t.e) - greatest(w.s, t.s), -t.ord)) AS speaker FROM w JOIN t ON w.file = t.file AND w.s < t.e AND w.e > t.s GROUP BY w.event_id),
+n AS (SELECT w.event_id, arg_min(speaker, (abs((w.s + w.e) / 2 - (t.s + t.e) / 2), t.ord)) AS speaker FROM w JOIN t ON w.file = t.file WHERE w.event_id NOT IN (SELECT event_id FROM o) GROUP BY w.event_id)
+SELECT event_id, speaker FROM o UNION ALL SELECT event_id, speaker FROM n UNION ALL SELECT event_id, NULL FROM w WHERE file NOT IN (SELECT file FROM t)"""
+
+
+@query("word_assign", WORD_SQL)
+def word_assign(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_type", F.col("event_id").alias("ord"), F.date_format("ts", "yyyy-MM-dd").alias("file"), seconds().alias("start"), "value", F.col("user_id").cast("string").alias("speaker"))
+    words = e.where("event_type = 'view'").select("file", "ord", "start", (F.col("start") + F.col("value")).alias("end"))
+    turns = e.where("event_type = 'purchase'").select("file", "ord", "start", (F.col("start") + 10 * F.col("value")).alias("end"), "speaker")
+    return intervals.assign_speakers(words, turns, "file").select(F.col("ord").alias("event_id"), "speaker")
+
+
+# -- ratios and resampling -------------------------------------------------------------------------------------
+
+
+@query("file_mean_vs_corpus", """
+WITH s AS (SELECT l_suppkey, sum(l_discount * l_extendedprice) AS num, sum(l_extendedprice) AS den FROM lineitem GROUP BY l_suppkey)
+SELECT round(100 * sum(num) / sum(den), 6) AS corpus_pct, round(avg(100 * num / den), 6) AS mean_pct, round(avg(100 * num / den) - 100 * sum(num) / sum(den), 6) AS gap_pp FROM s WHERE den > 0""")
+def file_mean_vs_corpus(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum(F.col("l_discount") * F.col("l_extendedprice")).alias("num"), F.sum("l_extendedprice").alias("den")).where("den > 0")
+    out = s.agg(ratio.ratio_pct("num", "den").alias("corpus_pct"), F.avg(100 * F.col("num") / F.col("den")).alias("mean_pct"))
+    return rounded(out.withColumn("gap_pp", F.col("mean_pct") - F.col("corpus_pct")), "corpus_pct", "mean_pct", "gap_pp")
+
+
+@query("ratio_by_group", """
+SELECT l_returnflag, l_linestatus, round(100 * sum(l_discount * l_extendedprice) / sum(l_extendedprice), 6) AS pct, count(*) AS n FROM lineitem GROUP BY ALL""")
+def ratio_by_group(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(ratio.ratio_pct(F.col("l_discount") * F.col("l_extendedprice"), "l_extendedprice"), 6).alias("pct"), F.count("*").alias("n"))
+
+
+def _supplier_units(spark: SparkSession, d: str, flag: str | None = None) -> DataFrame:
+    rows = table(spark, d, "lineitem")
+    rows = rows if flag is None else rows.where(F.col("l_linestatus") == flag)
+    return rows.groupBy("l_suppkey").agg(F.sum(F.col("l_discount") * F.col("l_extendedprice")).alias("num"), F.sum("l_extendedprice").alias("den"))
+
+
+@query("bootstrap_ci")
+def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
+    """Interval of each return flag's ratio; sampling units are suppliers."""
+    units = table(spark, d, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.sum(F.col("l_discount") * F.col("l_extendedprice")).alias("num"), F.sum("l_extendedprice").alias("den"))
+    return resampling.ratio_interval(units, ["l_returnflag"], "l_suppkey", 1000)
+
+
+@query("paired_delta_point", """
+WITH a AS (SELECT l_suppkey, sum(l_discount * l_extendedprice) AS num, sum(l_extendedprice) AS den FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1),
+b AS (SELECT l_suppkey, sum(l_discount * l_extendedprice) AS num, sum(l_extendedprice) AS den FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1)
+SELECT round(100 * sum(a.num) / sum(a.den) - 100 * sum(b.num) / sum(b.den), 6) AS point, count(*) AS n FROM a JOIN b USING (l_suppkey)""")
+def paired_delta_point(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _supplier_units(spark, d, "O"), _supplier_units(spark, d, "F")
+    shared = a.join(b, "l_suppkey", "left_semi"), b.join(a, "l_suppkey", "left_semi")
+    pairs = resampling.pair_units(*shared, "l_suppkey")
+    return pairs.agg(F.round(ratio.ratio_pct("num_a", "den_a") - ratio.ratio_pct("num_b", "den_b"), 6).alias("point"), F.count("*").alias("n"))
+
+
+@query("paired_interval")
+def paired_interval(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _supplier_units(spark, d, "O"), _supplier_units(spark, d, "F")
+    pairs = resampling.pair_units(a.join(b, "l_suppkey", "left_semi"), b.join(a, "l_suppkey", "left_semi"), "l_suppkey")
+    return resampling.paired_interval(pairs, "l_suppkey", 1000).withColumn("verdict", ratio.verdict("lo", "hi"))
+
+
+@query("region_breakdown", """
+SELECT region, n, CASE WHEN n >= 30 THEN pct END AS pct, row_number() OVER (ORDER BY n DESC, region) AS place FROM (
+  SELECT c_mktsegment || '/' || CAST(c_nationkey AS VARCHAR) AS region, count(*) AS n, round(coalesce(100.0 * sum(o_totalprice) / nullif(sum(c_acctbal), 0), 0), 6) AS pct FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1)""")
+def region_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"))
+    units = rows.select(F.concat_ws("/", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("region"), F.col("o_totalprice").alias("num"), F.col("c_acctbal").alias("den"))
+    return rounded(metrics.by_region(units, "region", 30), "pct")
+
+
+@query("grouping_levels", """
+SELECT l_returnflag, l_linestatus, sum(l_quantity)::BIGINT AS words, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())""")
+def grouping_levels(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem")
+    sets = [[F.col("l_returnflag"), F.col("l_linestatus")], [F.col("l_returnflag")], []]
+    return rows.groupingSets(sets, "l_returnflag", "l_linestatus").agg(F.sum("l_quantity").cast("long").alias("words"), F.count("*").alias("n"))
+
+
+# -- text ------------------------------------------------------------------------------------------------------
+
+
+@query("normalize_text", f"""
+SELECT doc_id, array_to_string(tok, ' ') AS lens, len(tok) AS n_tokens FROM (SELECT doc_id, {LENS.format("coalesce(text, '')")} AS tok FROM documents)""")
+def normalize_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").withColumn("tok", T.tokens(F.col("text"))).select("doc_id", F.array_join("tok", " ").alias("lens"), F.size("tok").cast("long").alias("n_tokens"))
+
+
+@query("strip_fillers", f"""
+SELECT doc_id, array_to_string(list_filter({LENS.format("coalesce(text, '')")}, lambda x: x NOT IN ('th', 'of', 'der', 'que', 'le')), ' ') AS kept FROM documents""")
+def strip_fillers(spark: SparkSession, d: str) -> DataFrame:
+    kept = T.fillers_out(T.tokens(F.col("text")), ("th", "of", "der", "que", "le"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(kept, " ").alias("kept"))
+
+
+@query("wer_pairs", f"""
+WITH p AS ({PAIRS}), t AS (SELECT id, conv_id, {LENS.format("reference")} AS r, {LENS.format("prediction")} AS h FROM p),
+v AS (SELECT *, list_distinct(list_concat(r, h)) AS voc FROM t),
+c AS (SELECT *, array_to_string(list_transform(r, lambda w: chr(33 + list_position(voc, w)::INT)), '') AS rc, array_to_string(list_transform(h, lambda w: chr(33 + list_position(voc, w)::INT)), '') AS hc FROM v WHERE len(voc) <= 90)
+SELECT id, levenshtein(rc, hc) AS edits, len(r) AS ref_words, len(h) AS hyp_words FROM c""")
+def wer_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Word edits of neighbouring turns with up to 90 different words between them, the most that the SQL side can code."""
+    few = F.size(F.array_union(T.tokens(F.col("reference")), T.tokens(F.col("prediction")))) <= 90
+    return metrics.word_units(src.turn_pairs(spark, d).where(few)).select("id", "edits", "ref_words", "hyp_words")
+
+
+@query("corpus_wer")
+def corpus_wer(spark: SparkSession, d: str) -> DataFrame:
+    """Word error rate of all neighbouring turns, canonical and length-weighted."""
+    units = metrics.word_units(src.turn_pairs(spark, d))
+    return metrics.corpus_wer(units).join(F.broadcast(metrics.strict_wer(units).withColumnRenamed("wer_pct", "strict_wer_pct")))  # one row each
+
+
+@query("runaway", f"""
+WITH t AS (SELECT id, len({LENS.format("reference")}) AS r, len({LENS.format("prediction")}) AS h FROM ({PAIRS}))
+SELECT count(*) FILTER (h > 3 * r) AS n_runaway, count(*) AS utterances, round(100.0 * count(*) FILTER (h > 3 * r) / count(*), 6) AS runaway_pct FROM t""")
+def runaway(spark: SparkSession, d: str) -> DataFrame:
+    t = src.turn_pairs(spark, d).select(F.size(T.tokens(F.col("reference"))).alias("ref_words"), F.size(T.tokens(F.col("prediction"))).alias("hyp_words"), F.lit(1).alias("edits"))
+    return rounded(metrics.runaways(t).select("n_runaway", "utterances", "runaway_pct"), "runaway_pct")
+
+
+@query("cer_pairs", f"""
+SELECT conv_id, round(100.0 * sum(levenshtein(reference, prediction)) / nullif(sum(length(reference)), 0), 6) AS cer_pct FROM ({PAIRS})
+WHERE regexp_full_match(reference || prediction, '[\\x00-\\x7F]*') GROUP BY conv_id""")
+def cer_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Character error rates of ASCII turns, where bytes and characters are the same for the SQL side."""
+    ascii_ = src.turn_pairs(spark, d).where(F.octet_length("reference") + F.octet_length("prediction") == F.length("reference") + F.length("prediction"))
+    return rounded(metrics.corpus_cer(ascii_, ["conv_id"]), "cer_pct")
+
+
+def _bleu_sql() -> str:
+    grams = lambda x, n: f"list_transform(range(1, greatest(len({x}) - {n - 2}, 1)), lambda i: array_to_string({x}[i:i+{n - 1}], ' '))"
+    overlap = lambda n: f"coalesce((SELECT sum(least(a.c, b.c)) FROM (SELECT g, count(*) AS c FROM unnest({grams('h', n)}) u(g) GROUP BY g) a JOIN (SELECT g, count(*) AS c FROM unnest({grams('r', n)}) u(g) GROUP BY g) b USING (g)), 0)"
+    cols = ", ".join(f"{overlap(n)}::BIGINT AS match_{n}, greatest(len(h) - {n - 1}, 0)::BIGINT AS total_{n}" for n in range(1, 5))
+    split = "list_filter(string_split_regex({0}, '\\s+'), lambda x: x <> '')"
+    return f"WITH t AS (SELECT id, {split.format('reference')} AS r, {split.format('prediction')} AS h FROM ({PAIRS})) SELECT id, len(r)::BIGINT AS ref_len, len(h)::BIGINT AS hyp_len, {cols} FROM t"
+
+
+@query("bleu_pairs", _bleu_sql())
+def bleu_pairs(spark: SparkSession, d: str) -> DataFrame:
+    counts = metrics.bleu_counts(src.turn_pairs(spark, d), T.words(F.col("reference")), T.words(F.col("prediction")))
+    return counts.drop("conv_id", "turn", "reference", "prediction")
+
+
+@query("corpus_bleu")
+def corpus_bleu(spark: SparkSession, d: str) -> DataFrame:
+    """BLEU over 13a tokens of neighbouring turns."""
+    counts = metrics.bleu_counts(src.turn_pairs(spark, d), metrics.tokens_13a(F.col("reference")), metrics.tokens_13a(F.col("prediction")))
+    return metrics.corpus_bleu(counts)
+
+
+@query("entity_hits", f"""
+WITH p AS (SELECT doc_id AS id, lag(text) OVER (PARTITION BY lang, source ORDER BY doc_id) AS reference, text AS prediction FROM documents),
+e AS (SELECT id, list_transform(regexp_extract_all(reference, '{T.NUMBER}'), lambda x: CASE WHEN regexp_matches(x, '{T.THOUSANDS}') THEN replace(x, '.', '') ELSE x END) AS r,
+  list_transform(regexp_extract_all(prediction, '{T.NUMBER}'), lambda x: CASE WHEN regexp_matches(x, '{T.THOUSANDS}') THEN replace(x, '.', '') ELSE x END) AS h
+  FROM (SELECT id, regexp_replace(reference, '\\[.*?\\]', '', 'g') AS reference, regexp_replace(prediction, '\\[.*?\\]', '', 'g') AS prediction FROM p WHERE reference IS NOT NULL AND prediction IS NOT NULL))
+SELECT id, len(r)::BIGINT AS den, coalesce((SELECT sum(least(a.c, b.c)) FROM (SELECT g, count(*) AS c FROM unnest(r) u(g) GROUP BY g) a JOIN (SELECT g, count(*) AS c FROM unnest(h) u(g) GROUP BY g) b USING (g)), 0)::BIGINT AS num FROM e WHERE len(r) > 0""")
+def entity_hits(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.entity_units(src.copies(spark, d)).select("id", "den", "num")
+
+
+@query("leak_ngrams", f"""
+WITH b AS (SELECT item_id AS id, {LENS.format("text")} AS r FROM benchmark), d AS (SELECT doc_id, {LENS.format("coalesce(text, '')")} AS h FROM documents),
+bg AS (SELECT DISTINCT id, array_to_string(r[i:i+5], ' ') AS g FROM (SELECT id, r, unnest(range(1, len(r) - 4)) AS i FROM b)),
+dg AS (SELECT doc_id, i AS pos, array_to_string(h[i:i+5], ' ') AS g FROM (SELECT doc_id, h, unnest(range(1, len(h) - 4)) AS i FROM d))
+SELECT doc_id AS id, arg_min(bg.id, (pos, bg.id)) AS source, count(DISTINCT bg.id) AS sources FROM dg JOIN bg USING (g) GROUP BY doc_id""")
+def leak_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    tokened = table(spark, d, "benchmark").select(F.col("item_id").alias("source"), T.tokens(F.col("text")).alias("t"))
+    items = tokened.select("source", F.explode(F.array_distinct(T.ngrams(F.col("t"), 6))).alias("gram"))
+    # Tokens are a column of their own, so that they are made once and not for each n-gram.
+    tokened = table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("t"))
+    docs = tokened.select("id", F.posexplode(T.ngrams(F.col("t"), 6)).alias("pos", "gram"))
+    return docs.join(items, "gram").groupBy("id").agg(F.min_by("source", F.struct("pos", "source")).alias("source"), F.count_distinct("source").alias("sources"))
+
+
+@query("cross_leaks", f"""
+WITH p AS ({PAIRS}), t AS (SELECT id, {LENS.format("reference")} AS r, {LENS.format("prediction")} AS h FROM p),
+rg AS (SELECT DISTINCT id, array_to_string(r[i:i+5], ' ') AS g FROM (SELECT id, r, unnest(range(1, len(r) - 4)) AS i FROM t)),
+hg AS (SELECT id, i AS pos, array_to_string(h[i:i+5], ' ') AS g FROM (SELECT id, h, unnest(range(1, len(h) - 4)) AS i FROM t)),
+fo AS (SELECT * FROM hg ANTI JOIN rg ON hg.id = rg.id AND hg.g = rg.g)
+SELECT fo.id, arg_min(rg.id, (pos, rg.id)) AS source FROM fo JOIN rg ON fo.g = rg.g AND fo.id <> rg.id GROUP BY fo.id""")
+def cross_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.cross_leaks(src.turn_pairs(spark, d))
+
+
+@query("drop_tally", """
+SELECT CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty_reference' WHEN n_chars > 5000 THEN 'too_long' WHEN lang <> 'en' THEN 'other_language' ELSE 'yielded' END AS reason, count(*) AS n FROM documents GROUP BY 1""")
+def drop_tally(spark: SparkSession, d: str) -> DataFrame:
+    return runs.drop_tally(table(spark, d, "documents"), [("empty_reference", F.col("text").isNull() | (F.trim("text") == "")), ("too_long", F.col("n_chars") > 5000), ("other_language", F.col("lang") != "en")])
+
+
+@query("json_spans", """
+SELECT event_id, CAST(json_extract_string(props, '$.' || k) AS VARCHAR) AS value, k AS key FROM events, (SELECT unnest(json_keys(ANY_VALUE(props))) AS k FROM events) ks WHERE json_extract_string(props, '$.' || k) IS NOT NULL""")
+def json_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of the nested answers, one row each."""
+    e = table(spark, d, "events")
+    return e.select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value")).where("value IS NOT NULL")
+
+
+@query("loop_spans")
+def loop_spans(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", F.explode(runs.loop_spans(T.tokens(F.col("text")))).alias("s"))
+    return rows.select("doc_id", "s.start", "s.n", "s.reps")
+
+
+@query("reference_windows")
+def reference_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Edits of neighbouring turns in windows of 50 reference words."""
+    r = src.turn_pairs(spark, d).select(F.col("id").alias("rid"), T.tokens(F.col("reference")).alias("reference"), T.tokens(F.col("prediction")).alias("hypothesis"))
+    return runs.reference_windows(r, 50)
+
+
+# -- frames and detectors --------------------------------------------------------------------------------------
+
+
+@query("hysteresis", """
+SELECT event_id, coalesce(last_value(CASE WHEN value >= 60 THEN true WHEN value < 20 THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING), false) AS active FROM events""")
+def hysteresis(spark: SparkSession, d: str) -> DataFrame:
+    return frames.hysteresis(table(spark, d, "events"), "user_id", "ts", "value", 60.0, 20.0).select("event_id", "active")
+
+
+@query("active_islands", """
+WITH h AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS frame, coalesce(last_value(CASE WHEN value >= 60 THEN true WHEN value < 20 THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING), false) AS active FROM events),
+r AS (SELECT *, frame - row_number() OVER (PARTITION BY user_id ORDER BY frame) AS run FROM h WHERE active)
+SELECT user_id, min(frame) AS first, max(frame) AS last FROM r GROUP BY user_id, run""")
+def active_islands(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").withColumn("frame", F.row_number().over(Window.partitionBy("user_id").orderBy("ts")).cast("long"))
+    return frames.islands(frames.hysteresis(rows, "user_id", "frame", "value", 60.0, 20.0), "user_id", "frame", "active")
+
+
+@query("moving_avg", """
+SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts ROWS 4 PRECEDING), 6) AS trailing, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 6) AS centred FROM events""")
+def moving_avg(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", F.round(frames.trailing_average("value", "user_id", "ts", 5), 6).alias("trailing"), F.round(frames.centred_sum_over("value", "user_id", "ts", 5), 6).alias("centred"))
+
+
+@query("rolling_corr", """
+WITH x AS (SELECT event_id, user_id, ts, value AS a, coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY ts), 0) AS b FROM events),
+m AS (SELECT event_id, avg(a*b) OVER w - avg(a) OVER w * avg(b) OVER w AS cov, greatest(avg(a*a) OVER w - avg(a) OVER w * avg(a) OVER w, 0) AS va, greatest(avg(b*b) OVER w - avg(b) OVER w * avg(b) OVER w, 0) AS vb FROM x WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING))
+SELECT event_id, round(CASE WHEN sqrt(va * vb) > 1e-9 THEN cov / sqrt(va * vb) ELSE 0 END, 5) AS corr FROM m""")
+def rolling_corr(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "events").select("event_id", "user_id", "ts", F.col("value").alias("a"), F.coalesce(F.lag("value").over(Window.partitionBy("user_id").orderBy("ts")), F.lit(0.0)).alias("b"))
+    return x.select("event_id", F.round(frames.rolling_correlation("a", "b", "user_id", "ts", 11), 5).alias("corr"))
+
+
+GRID_SQL = """iv AS (SELECT user_id, greatest(0, CAST(ceil(s / 0.01 - 0.5) AS BIGINT)) AS f, least(3000, CAST(ceil(e / 0.01 - 0.5) AS BIGINT)) AS l, kind FROM (
+  SELECT user_id, (event_id % 29) * 1.0 AS s, (event_id % 29) * 1.0 + value / 100.0 AS e, event_type AS kind FROM events)),
+g AS (SELECT DISTINCT user_id, kind, unnest(range(f, l)) AS frame FROM iv WHERE l > f)"""
+
+
+def _grid(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    start = (F.col("event_id") % 29) * 1.0
+    iv = table(spark, d, "events").where(F.col("event_type") == kind).select("user_id", start.alias("start"), (start + F.col("value") / 100.0).alias("end"), F.lit(3000).cast("long").alias("n"))
+    return frames.to_grid(iv, "user_id")
+
+
+@query("frame_grid", f"WITH {GRID_SQL} SELECT user_id, frame FROM g WHERE kind = 'purchase'")
+def frame_grid(spark: SparkSession, d: str) -> DataFrame:
+    return _grid(spark, d, "purchase")
+
+
+@query("frame_counts", f"""
+WITH {GRID_SQL}, u AS (SELECT DISTINCT user_id FROM events), a AS (SELECT user_id, unnest(range(3000)) AS frame FROM u),
+x AS (SELECT a.user_id, s.frame IS NOT NULL AS sent, t.frame IS NOT NULL AS target, c.frame IS NOT NULL AS xt FROM a LEFT JOIN g s ON s.user_id = a.user_id AND s.frame = a.frame AND s.kind = 'click'
+  LEFT JOIN g t ON t.user_id = a.user_id AND t.frame = a.frame AND t.kind = 'view' LEFT JOIN g c ON c.user_id = a.user_id AND c.frame = a.frame AND c.kind = 'purchase')
+SELECT user_id, round(100.0 * count(*) FILTER (target AND NOT sent) / nullif(count(*) FILTER (target), 0), 3) AS missed_pct, round(100.0 * count(*) FILTER (NOT target AND sent) / nullif(count(*) FILTER (NOT target), 0), 3) AS false_alarm_rate_pct,
+  round(100.0 * count(*) FILTER (sent) / count(*), 3) AS sent_share_pct, count(*) FILTER (xt AND NOT target) AS crosstalk_frames FROM x GROUP BY user_id""")
+def frame_counts(spark: SparkSession, d: str) -> DataFrame:
+    all_ = table(spark, d, "events").select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2999).cast("long"))).alias("frame"))
+    mask = all_
+    for kind, name in (("click", "sent"), ("view", "target"), ("purchase", "crosstalk")):
+        mask = mask.join(_grid(spark, d, kind).withColumn(name, F.lit(True)), ["user_id", "frame"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    out = frames.frame_counts(mask, ["user_id"])
+    return out.select("user_id", "missed_pct", "false_alarm_rate_pct", "sent_share_pct", F.round(F.col("crosstalk_s") / frames.HOP).cast("long").alias("crosstalk_frames"))
+
+
+@query("roc_auc", """
+WITH x AS (SELECT n_chars AS s, toxic = 1 AS y FROM labels JOIN documents USING (doc_id)), r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk FROM x)
+SELECT round((sum(rk) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2.0) / (count(*) FILTER (y) * count(*) FILTER (NOT y)), 9) AS auc FROM r""")
+def roc_auc(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select("n_chars", (F.col("toxic") == 1).alias("y"))
+    return rounded(frames.roc_auc(x, "n_chars", "y"), "auc", places=9)
+
+
+@query("miss_at_fpr", """
+WITH x AS (SELECT embedding[1] AS s, label < 3 AS y FROM embeddings), n AS (SELECT s, row_number() OVER (ORDER BY s) AS r, count(*) OVER () AS c FROM x WHERE NOT y),
+t AS (SELECT min(s) AS cut FROM n WHERE r >= CAST(ceil(0.9 * (c - 1) - 1e-9) AS BIGINT) + 1)
+SELECT round(100.0 * count(*) FILTER (s <= cut) / count(*), 3) AS miss_pct FROM x, t WHERE y""")
+def miss_at_fpr(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "embeddings").select(F.col("embedding")[0].alias("s"), (F.col("label") < 3).alias("y"))
+    return frames.miss_at_frame_fpr(x, "s", "y", 10.0)
+
+
+CURVE_SQL = """x AS (SELECT n_chars AS s, quality = 0 AS y FROM labels JOIN documents USING (doc_id)), th AS (SELECT unnest(range(100, 5100, 250)) AS threshold),
+c AS (SELECT threshold, round(100.0 * count(*) FILTER (y AND s < threshold) / nullif(count(*) FILTER (y), 0), 3) AS missed_pct, round(100.0 * count(*) FILTER (NOT y AND s >= threshold) / nullif(count(*) FILTER (NOT y), 0), 3) AS false_alarm_rate_pct FROM x, th GROUP BY threshold)"""
+
+
+def _curve(spark: SparkSession, d: str) -> DataFrame:
+    """Miss and false alarm of a sweep of 20 thresholds: counted once by step, then summed along the steps."""
+    x = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select("n_chars", (F.col("quality") == 0).alias("y"))
+    step = F.least(F.greatest(F.floor((F.col("n_chars") - 100) / 250), F.lit(-1)), F.lit(19))
+    counted = x.groupBy(step.alias("k")).agg(F.count_if("y").alias("p"), F.count_if(~F.col("y")).alias("q"))
+    grid = spark.range(-1, 20).select(F.col("id").alias("k")).join(counted, "k", "left").fillna(0)
+    below, all_ = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    pct = lambda a, b: F.round(100.0 * a / F.nullif(b, F.lit(0)), 3)
+    out = grid.select("k", pct(F.coalesce(F.sum("p").over(below), F.lit(0)), F.sum("p").over(all_)).alias("missed_pct"), pct(F.sum("q").over(all_) - F.coalesce(F.sum("q").over(below), F.lit(0)), F.sum("q").over(all_)).alias("false_alarm_rate_pct"))
+    return out.where("k >= 0").select((F.col("k") * 250 + 100).alias("threshold"), "missed_pct", "false_alarm_rate_pct")
+
+
+@query("detector_curve", f"WITH {CURVE_SQL} SELECT * FROM c")
+def detector_curve(spark: SparkSession, d: str) -> DataFrame:
+    return _curve(spark, d)
+
+
+@query("best_at_fa", f"WITH {CURVE_SQL} SELECT threshold, missed_pct, false_alarm_rate_pct FROM c WHERE false_alarm_rate_pct <= 30 + 1e-9 ORDER BY missed_pct, false_alarm_rate_pct LIMIT 1")
+def best_at_fa(spark: SparkSession, d: str) -> DataFrame:
+    return frames.best_at_false_alarm(_curve(spark, d), [], 30.0).select("threshold", "missed_pct", "false_alarm_rate_pct")
+
+
+@query("pipeline_auc", f"""
+WITH {CURVE_SQL}, p AS (SELECT false_alarm_rate_pct / 100.0 AS fa, 1 - missed_pct / 100.0 AS hit FROM c UNION ALL VALUES (0.0, 0.0), (1.0, 1.0)),
+e AS (SELECT fa, max(hit) OVER (ORDER BY fa, hit ROWS UNBOUNDED PRECEDING) AS y, row_number() OVER (ORDER BY fa, hit) AS k FROM p)
+SELECT round(sum((b.fa - a.fa) * (b.y + a.y) / 2), 6) AS auc FROM e a JOIN e b ON b.k = a.k + 1""")
+def pipeline_auc(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(frames.pipeline_auc(_curve(spark, d)), "auc")
+
+
+# -- runs ------------------------------------------------------------------------------------------------------
+
+
+@query("percentiles", """
+SELECT event_type, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99 FROM events GROUP BY event_type""")
+def percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("event_type").agg(*runs.percentile_columns("value", ""))
+
+
+STEP_SQL = "SELECT event_type, CAST(floor(log2(1 + event_id % 128)) AS BIGINT) AS ord, quantile_cont(value, 0.9) <= 150 AS within FROM events GROUP BY 1, 2"
+
+
+@query("capacity_curve", f"""
+WITH s AS ({STEP_SQL}), f AS (SELECT event_type, min(ord) FILTER (NOT within) AS bad, max(ord) AS last FROM s GROUP BY 1)
+SELECT f.event_type, (SELECT max(CAST(pow(2, ord) AS BIGINT)) FROM s WHERE s.event_type = f.event_type AND (bad IS NULL OR ord < bad)) AS max_n, CASE WHEN bad IS NULL THEN 'continue' WHEN bad = last THEN 'one_more' ELSE 'stop' END AS next_action FROM f""")
+def capacity_curve(spark: SparkSession, d: str) -> DataFrame:
+    step = F.floor(F.log2(1 + F.col("event_id") % 128)).cast("long")
+    steps = table(spark, d, "events").groupBy("event_type", step.alias("ord")).agg((F.percentile("value", 0.9) <= 150).alias("within")).withColumn("n", F.pow(F.lit(2), "ord").cast("long"))
+    return runs.capacity(steps, ["event_type"])
+
+
+@query("failure_streaks", """
+WITH r AS (SELECT user_id, value > 100 AS failed, sum(CASE WHEN value > 100 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM events)
+SELECT user_id, max(n) AS longest_streak FROM (SELECT user_id, run, count(*) FILTER (failed) AS n FROM r GROUP BY 1, 2) GROUP BY 1""")
+def failure_streaks(spark: SparkSession, d: str) -> DataFrame:
+    return runs.failure_streaks(table(spark, d, "events").withColumn("failed", F.col("value") > 100), ["user_id"], "ts")
+
+
+@query("throughput_block", """
+WITH p AS (SELECT o_orderpriority AS run, o_totalprice / 100.0 AS wall_s, o_totalprice / 7.0 AS audio_s, o_orderkey % 10 AS n_ok, CASE WHEN o_orderpriority < '3' THEN 8 ELSE o_custkey % 2 END AS concurrency, o_orderstatus AS hardware FROM orders),
+g AS (SELECT run, round(sum(wall_s), 3) AS total_wall_s, round(sum(audio_s), 3) AS total_audio_s, sum(n_ok)::BIGINT AS n_ok, count(*) AS passes, list_sort(list_distinct(list(concurrency))) AS c, list_sort(list_distinct(list(hardware))) AS h FROM p GROUP BY run),
+w AS (SELECT *, concat_ws('; ', CASE WHEN len(c) > 1 THEN 'passes ran at different concurrency [' || array_to_string(c, ', ') || ']' END, CASE WHEN len(h) > 1 THEN 'passes ran on different hardware [''' || array_to_string(h, ''', ''') || ''']' END) AS why FROM g)
+SELECT run, n_ok, passes, round(total_wall_s, 2) AS total_wall_s, round(round(total_audio_s / total_wall_s, 4), 3) AS rtfx, nullif(why, '') AS comparable_reason, why = '' AS comparable FROM w""")
+def throughput_block(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("run"), (F.col("o_totalprice") / 100.0).alias("wall_s"), (F.col("o_totalprice") / 7.0).alias("audio_s"), (F.col("o_orderkey") % 10).alias("n_ok"),
+        F.when(F.col("o_orderpriority") < "3", 8).otherwise(F.col("o_custkey") % 2).alias("concurrency"), F.col("o_orderstatus").alias("hardware"),
+    )
+    return runs.throughput(p, ["run"]).select("run", "n_ok", "passes", F.round("total_wall_s", 2).alias("total_wall_s"), F.round("rtfx", 3).alias("rtfx"), "comparable_reason", "comparable")
+
+
+@query("manifest_drift", """
+WITH a AS (SELECT p_partkey AS k, p_name AS v FROM part WHERE p_partkey % 10 <> 3), b AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 13 = 0 THEN p_name || '!' ELSE p_name END AS v FROM part WHERE p_partkey % 7 <> 2)
+SELECT coalesce(a.k, b.k) AS path, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'unlisted' ELSE 'modified' END AS state FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.v <> b.v""")
+def manifest_drift(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("path"), F.col("p_name").alias("digest"))
+    found = p.where("path % 7 <> 2").withColumn("digest", F.when(F.col("path") % 13 == 0, F.concat("digest", F.lit("!"))).otherwise(F.col("digest")))
+    return runs.drift(p.where("path % 10 <> 3"), found, "path", "digest")
+
+
+@query("backfill", """
+WITH r AS (SELECT o_orderpriority AS dataset, o_orderstatus AS field, round(avg(o_totalprice), 3) AS v FROM orders GROUP BY 1, 2),
+c AS (SELECT dataset, field, CASE WHEN field = 'O' THEN v + 0.02 WHEN field = 'P' THEN v + 1 ELSE v END AS v FROM r WHERE dataset < '4')
+SELECT coalesce(c.dataset, r.dataset) AS dataset, coalesce(c.field, r.field) AS field, CASE WHEN c.v IS NULL THEN 'add' WHEN r.v IS NULL OR abs(c.v - r.v) <= 0.05 THEN 'keep' ELSE 'conflict' END AS action,
+  (SELECT count(*) FROM c JOIN r USING (dataset, field) WHERE abs(c.v - r.v) > 0.05) > 0 AS blocked FROM c FULL JOIN r ON c.dataset = r.dataset AND c.field = r.field""")
+def backfill(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("dataset"), F.col("o_orderstatus").alias("field")).agg(F.round(F.avg("o_totalprice"), 3).alias("value"))
+    c = r.where("dataset < '4'").withColumn("value", F.when(F.col("field") == "O", F.col("value") + 0.02).when(F.col("field") == "P", F.col("value") + 1).otherwise(F.col("value")))
+    return runs.backfill(c, r, ["dataset", "field"]).select("dataset", "field", "action", "blocked")
+
+
+@query("micro_batches", """
+WITH x AS (SELECT event_id, event_type, epoch_us(ts) / 1e6 AS t FROM events), o AS (SELECT *, CASE WHEN t - lag(t) OVER w <= 600 THEN 0 ELSE 1 END AS opens FROM x WINDOW w AS (PARTITION BY event_type ORDER BY t, event_id)),
+b AS (SELECT *, sum(opens) OVER (PARTITION BY event_type ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM o)
+SELECT event_id, CAST(burst AS BIGINT)::VARCHAR || '/' || CAST((row_number() OVER (PARTITION BY event_type, burst ORDER BY t, event_id) - 1) // 4 AS VARCHAR) AS batch FROM b""")
+def micro_batches(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "events").select("event_id", "event_type", seconds().alias("t"))
+    return runs.micro_batches(items, ["event_type"], "t", ["t", "event_id"], 4, 600.0).select("event_id", "batch")
+
+
+@query("set_contract", """
+SELECT 'only_a' AS side, k FROM (SELECT n_nationkey AS k FROM nation EXCEPT SELECT r_regionkey FROM region) UNION ALL SELECT 'only_b', k FROM (SELECT r_regionkey * 7 AS k FROM region EXCEPT SELECT n_nationkey FROM nation)""")
+def set_contract(spark: SparkSession, d: str) -> DataFrame:
+    n, r = table(spark, d, "nation").select(F.col("n_nationkey").alias("k")), table(spark, d, "region").select(F.col("r_regionkey").alias("k"))
+    return n.exceptAll(r).distinct().select(F.lit("only_a").alias("side"), "k").unionByName(r.select((F.col("k") * 7).alias("k")).distinct().join(n, "k", "left_anti").select(F.lit("only_b").alias("side"), "k"))
+
+
+@query("origin_fit", """
+SELECT l_returnflag, round(sum(l_quantity * l_extendedprice) / sum(l_quantity * l_quantity), 6) AS k, count(*) AS n FROM lineitem GROUP BY l_returnflag""")
+def origin_fit(spark: SparkSession, d: str) -> DataFrame:
+    points = table(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    return rounded(runs.fit_through_origin(points, ["l_returnflag"]).select("l_returnflag", "k", "n"), "k")
+
+
+@query("last_prediction", """
+SELECT user_id AS sample_id, arg_max(event_type, (event_id % 7, event_id)) AS prediction FROM events WHERE event_type <> 'view' GROUP BY user_id""")
+def last_prediction(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "events").select(F.col("user_id").alias("sample_id"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("prediction"), (F.col("event_id") % 7).alias("file"), F.col("event_id").alias("line"))
+    return runs.last_prediction(lines)
+
+
+@query("answer_budgets", """
+SELECT event_id, least(300.0, 60.0 + value) AS budget_s, value > least(300.0, 60.0 + value) - 50 AS late FROM events""")
+def answer_budgets(spark: SparkSession, d: str) -> DataFrame:
+    budget = runs.answer_budget_s(F.col("value"))
+    return table(spark, d, "events").select("event_id", budget.alias("budget_s"), (F.col("value") > budget - 50).alias("late"))
+
+
+@query("foreign_insertions", """
+WITH a AS (SELECT user_id, event_type AS w, count(*) AS c FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2), b AS (SELECT user_id, event_type AS w, count(*) AS c FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2)
+SELECT a.user_id, sum(least(a.c, b.c))::BIGINT AS "foreign" FROM a JOIN b USING (user_id, w) GROUP BY a.user_id""")
+def foreign_insertions(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_id", "user_id", F.col("event_type").alias("word"))
+    return runs.foreign_insertions(e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0"), "user_id")
+
+
+@query("rttm_round_trip", """
+SELECT strftime(ts, '%Y-%m-%d') AS file, count(*) AS turns, round(sum(round(60 * value, 3)), 3) AS speech_s FROM events WHERE round(60 * value, 3) > 0 GROUP BY 1""")
+def rttm_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Turns written as RTTM lines and read back."""
+    raw = src.turns_of_days(spark, d).where("side = 'ref'").select("file", "ord", F.lit(0.0).alias("start"), F.round(F.col("end") - F.col("start"), 3).alias("end"), "speaker")
+    lines = files.rttm_text(raw).select("file", F.posexplode(F.split("value", "\n")).alias("ord", "line"))
+    return files.rttm_lines(lines).where("end > start").groupBy("file").agg(F.count("*").alias("turns"), F.round(F.sum(F.col("end") - F.col("start")), 3).alias("speech_s"))
