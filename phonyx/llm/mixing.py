@@ -31,6 +31,8 @@ from .common import WORD, discard, global_rank, materialize, table
 WEIGHTS = (3, 1, 2)
 #: Of the hashed order in which documents are repeated once more.
 SEED = 7
+#: Coarse cells of that order.
+BUCKETS = 4096
 
 
 def capped_targets(sources: DataFrame, share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -102,7 +104,7 @@ def running(df: DataFrame, group: list[str], amount: str, order: list[str], buck
     return based.withColumn(out, F.col("_base") + F.coalesce(F.sum(amount).over(inside), F.lit(0))).drop("_base")
 
 
-def copies(sized: DataFrame, seed: int = SEED, buckets: int = 4096) -> DataFrame:
+def copies(sized: DataFrame, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
     """sized (doc_id, source_id, size, source_size, rate, target) with `copies`, the whole number of times it is taken."""
     whole = F.floor("rate")
     large = F.col("size") * F.col("source_rows") > F.col("source_size")
@@ -120,13 +122,14 @@ def copies(sized: DataFrame, seed: int = SEED, buckets: int = 4096) -> DataFrame
     large_goal = extra * F.col("large_size") / F.col("source_size")
     goals = upto.groupBy("source_id").agg(
         F.sum(F.when(F.col("_large"), F.col("size")).otherwise(0)).alias("large_size"),
-        F.first("target").alias("_target"), F.first("source_size").alias("_size"), F.first("_whole").alias("_w"),
     ).select("source_id", "large_size")
+    # A row for each source: written out, so that Spark sees their size and need not deal the documents by source.
+    goals = materialize(goals, "goals")
     with_goal = upto.join(goals, "source_id").withColumn("_large_goal", large_goal)
     took = with_goal.where("_large").groupBy("source_id").agg(
         F.sum(F.when(F.col("_upto") + half <= F.col("_large_goal"), F.col("size")).otherwise(0)).alias("large_taken")
     )
-    settled = with_goal.join(took, "source_id", "left").withColumn("_small_goal", extra - F.coalesce("large_taken", F.lit(0)))
+    settled = with_goal.join(materialize(took, "large-taken"), "source_id", "left").withColumn("_small_goal", extra - F.coalesce("large_taken", F.lit(0)))
     goal = F.when(F.col("_large"), F.col("_large_goal")).otherwise(F.col("_small_goal"))
     once_more = F.when((F.col("size") > 0) & (F.col("_upto") + half <= goal), 1).otherwise(0)
     return settled.withColumn("copies", (F.col("_whole") + once_more).cast("long"))
@@ -168,7 +171,7 @@ def repeat_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     part in the mix and go. Rows equal to the one at a cut count like it.
     """
     decided = mix(docs, weights, share, cap)
-    key = F.struct("_hash", F.coalesce("doc_id", F.lit(0)).alias("d"), "text_hash")
+    key = F.struct("_bucket", "_hash", F.coalesce("doc_id", F.lit(0)).alias("d"), "text_hash")
     per_source = decided.groupBy("source").agg(
         F.first("_whole").alias("_whole"), F.first("source_size").alias("_source_size"), F.first("source_rows").alias("_source_rows"),
         F.max(F.when(F.col("_large") & (F.col("copies") > F.col("_whole")), key)).alias("_large_cut"),
@@ -178,8 +181,9 @@ def repeat_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     columns = [F.col(f"d.`{c}`") for c in docs.columns]
     rows = docs.alias("d").join(cuts, F.col("d.source").eqNullSafe(F.col("_source")), "left")
     size = F.coalesce(F.regexp_count("d.text", F.lit(WORD)), F.lit(0))
+    place = F.xxhash64(F.lit(SEED), "d.doc_id", F.xxhash64("d.text"))
     own = F.struct(
-        F.xxhash64(F.lit(SEED), "d.doc_id", F.xxhash64("d.text")).alias("_hash"),
+        F.pmod(place, F.lit(BUCKETS)).cast("int").alias("_bucket"), place.alias("_hash"),
         F.coalesce("d.doc_id", F.lit(0)).alias("d"), F.xxhash64("d.text").alias("text_hash"),
     )
     cut = F.when(size * F.col("_source_rows") > F.col("_source_size"), F.col("_large_cut")).otherwise(F.col("_small_cut"))
