@@ -20,12 +20,13 @@ def cut_frames(chunks: DataFrame, frame: int) -> DataFrame:
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rest, number, over = state.get if state.exists else ([], 0, False)
-        rest = list(rest)
+        rest = [int(x) for x in rest]
         rows = []
         for _, chunk in pd.concat(list(parts)).sort_values("seq").iterrows():
             if over:
                 break
-            rest += list(chunk["samples"] if chunk["samples"] is not None else [])
+            # State takes plain numbers only, not numpy's.
+            rest += [int(x) for x in chunk["samples"]] if chunk["samples"] is not None else []
             while len(rest) >= frame:
                 rows.append((key[0], number, rest[:frame], number == 0, False, frame))
                 rest, number = rest[frame:], number + 1
