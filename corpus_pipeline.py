@@ -19,7 +19,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the least id."""
+    """One document of each group of five-word similarity 0.8 or more stays, the one with the least id."""
     return simhash.keep_one(docs)
 
 

@@ -23,6 +23,7 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -41,19 +42,26 @@ ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
-def fingerprint_of(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """Signed 64-bit fingerprint of a text."""
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every word shingle of a text; a text of fewer words is one shingle."""
     # bytes.split() cuts at exactly space, tab, \n, \v, \f and \r.
     words = (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     k = min(shingle, len(words))
     spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts = np.concatenate(([0], spaces + 1))
     ends = np.concatenate((spaces, [len(joined)]))
     of = xxhash.xxh64_intdigest
-    hashes = np.array([of(joined[a:b], seed) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64)
+    return np.array([of(joined[a:b], seed) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64)
+
+
+def fingerprint_of(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """Signed 64-bit fingerprint of a text."""
+    hashes = shingle_hashes(text, shingle, seed)
+    if not len(hashes):
+        return 0
     octets = hashes.view(np.uint8).reshape(-1, 8)
     out = 0
     for i in range(8):
@@ -74,8 +82,16 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def close_pairs(prints: np.ndarray, sizes: np.ndarray, radius: int, slab: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+def close_pairs(prints: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs (later, earlier) within the radius inside consecutive groups of the given sizes, bit-sliced."""
+    found = list(close_slabs(prints[:, None], sizes, radius))
+    none = np.zeros(0, np.int64)
+    return (np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])) if found else (none, none)
+
+
+def close_slabs(prints: np.ndarray, sizes: np.ndarray, radius: int, slab: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of close_pairs slab by slab, for fingerprints of any number of 64-bit words (one row each)."""
+    bits = 64 * prints.shape[1]
     width = (radius + 1).bit_length() - 1
     first = np.cumsum(sizes) - sizes
     at = np.arange(len(prints)) - np.repeat(first, sizes)
@@ -84,9 +100,8 @@ def close_pairs(prints: np.ndarray, sizes: np.ndarray, radius: int, slab: int =
     word_base = np.repeat(np.cumsum(words_in) - words_in, sizes)
     opens = np.flatnonzero(lane == 0)
     one = np.uint64(1)
-    planes = np.stack([np.add.reduceat(((prints >> np.uint64(b)) & one) << lane, opens) for b in range(64)])
+    planes = np.stack([np.add.reduceat(((prints[:, b >> 6] >> np.uint64(b & 63)) & one) << lane, opens) for b in range(bits)])
     word_row = opens  # the row of lane 0 of each word
-    found_a, found_b = [], []
     todo = np.cumsum(word + 1)
     row = 0
     while row < len(prints):
@@ -100,8 +115,8 @@ def close_pairs(prints: np.ndarray, sizes: np.ndarray, radius: int, slab: int =
         q = prints[query]
         counters = [np.zeros(len(query), np.uint64) for _ in range(width)]
         beyond = ~mask
-        for b in range(64):
-            carry = planes[b][target] ^ (np.uint64(0) - ((q >> np.uint64(b)) & one))
+        for b in range(bits):
+            carry = planes[b][target] ^ (np.uint64(0) - ((q[:, b >> 6] >> np.uint64(b & 63)) & one))
             for c in range(width):
                 counters[c], carry = counters[c] ^ carry, counters[c] & carry
             beyond |= carry
@@ -113,14 +128,15 @@ def close_pairs(prints: np.ndarray, sizes: np.ndarray, radius: int, slab: int =
                 if not len(live):
                     break
         near = ~beyond
+        found_a, found_b = [], []
         for b in range(64):
             hit = np.flatnonzero((near >> np.uint64(b)) & one)
             if len(hit):
                 found_a.append(query[hit])
                 found_b.append(word_row[target[hit]] + b)
         row = stop
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (none, none)
+        if found_a:
+            yield np.concatenate(found_a), np.concatenate(found_b)
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -222,12 +238,171 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks:
     return prints.join(rooted, F.col("fp") == F.col("_fp"), "left").drop("_fp")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks: int = 5) -> DataFrame:
-    """docs with one document of each near-duplicate group, the one with the least id; documents without an id stay.
+#: keep_one: words of a shingle, least Jaccard similarity, share of pairs at just that similarity that the bands may miss,
+#: documents that a band's key holds on average, and differing bits of the first 128 that a candidate may have.
+STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_MISS, STAGE_GROUP, STAGE_RADIUS = 5, 0.8, 0.001, 1024, 31
+
+
+def bands_for(documents: int) -> tuple[int, int]:
+    """(bands, bits of each): keys long enough for the corpus, and as many of them as the recall needs."""
+    width = max(10, math.ceil(math.log2(max(1, documents) / STAGE_GROUP)))
+    differ = math.acos(2 * STAGE_SIMILARITY / (1 + STAGE_SIMILARITY)) / math.pi
+    return math.ceil(math.log(STAGE_MISS) / math.log(1 - (1 - differ) ** width)), width
+
+
+def wide_bits(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The majority bits of a set of shingle hashes, each spread over as many 64-bit words as are needed."""
+    out = np.zeros(bits, np.uint8)
+    if len(hashes):
+        x = hashes[:, None] + np.uint64(0x9E3779B97F4A7C15) * np.arange(1, bits // 64 + 1, dtype=np.uint64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        octets = (x ^ (x >> np.uint64(31))).view(np.uint8)
+        ones = np.zeros(bits, np.int64)
+        for i in range(0, len(octets), 4096):
+            ones += np.unpackbits(octets[i : i + 4096], axis=1, bitorder="little").sum(0, dtype=np.uint16)
+        out[:] = 2 * ones > len(hashes)
+    return out
+
+
+def shingle_set(text: str | None) -> tuple[np.ndarray, int]:
+    """The different shingle hashes of a text, and a signed digest of them, which names the set."""
+    own = np.unique(shingle_hashes(text, STAGE_SHINGLE))
+    digest = xxhash.xxh64_intdigest(own.tobytes(), 7)
+    return own, digest - (1 << 64) if digest >> 63 else digest
+
+
+def stage_prints(docs: DataFrame, bands: int, width: int) -> DataFrame:
+    """(doc_id, node, f0, f1, keys): the set's digest, 128 bits of its wide fingerprint and the keys of its bands."""
+    bits = 64 * max(2, -(-bands * width // 64))
+    powers = 1 << np.arange(width, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                sets = [shingle_set(t.as_py()) for t in part.column(1)]
+                wide = np.stack([wide_bits(s, bits) for s, _ in sets])
+                prints = np.packbits(wide[:, :128], axis=1, bitorder="little").view(np.int64)
+                keys = wide[:, : bands * width].reshape(-1, bands, width).astype(np.int64) @ powers + (np.arange(bands, dtype=np.int64) << width)
+                offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([d for _, d in sets], pa.int64()), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
+                    ["doc_id", "node", "f0", "f1", "keys"],
+                )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, f0 long, f1 long, keys array<long>")
+
+
+def candidates(nodes: DataFrame, turn: int | None) -> DataFrame:
+    """Pairs (u, v) of nodes (node, f0, f1, keys, root) of different roots that share a key and are within the radius.
+
+    With a turn, each node of a key with just one of its neighbours, the first
+    in that turn's order; without, all pairs.
+    """
+
+    def pairs(f: np.ndarray, node: np.ndarray, root: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        several = np.repeat(sizes > 1, sizes)
+        f, node, root, sizes = f[several], node[several], root[several], sizes[sizes > 1]
+        if not len(sizes):
+            return
+        if turn is not None:
+            rank = np.empty(len(node), np.int64)
+            rank[order := np.argsort(node.view(np.uint64) * np.uint64(2 * turn + 1) ^ np.uint64(turn))] = np.arange(len(node))
+            best = np.full(len(node), len(node))
+        for a, b in close_slabs(f, sizes, STAGE_RADIUS, 1 << 15):
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+            if turn is not None:
+                np.minimum.at(best, a, rank[b])
+                np.minimum.at(best, b, rank[a])
+            elif len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[a], node[b])), pa.array(np.minimum(node[a], node[b]))], ["u", "v"])
+        if turn is not None and len(a := np.flatnonzero(best < len(node))):
+            b = order[best[a]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[a], node[b])), pa.array(np.minimum(node[a], node[b]))], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush(upto_last_key: bool) -> Iterator[pa.RecordBatch]:
+            rows = np.concatenate(held)
+            held.clear()
+            key = rows[:, 0]
+            cut = int(np.searchsorted(key, key[-1])) if upto_last_key else len(key)
+            if cut < len(key):
+                held.append(rows[cut:])
+            if cut:
+                edges = np.concatenate(([0], np.flatnonzero(np.diff(key[:cut])) + 1, [cut]))
+                yield from pairs(rows[:cut, 1:3].view(np.uint64), rows[:cut, 3].copy(), rows[:cut, 4], np.diff(edges))
+
+        for b in batches:
+            if b.num_rows:
+                held.append(np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(5)], 1))
+                if sum(map(len, held)) >= 100_000:
+                    yield from flush(True)
+        if held:
+            yield from flush(False)
+
+    keyed = nodes.select(F.explode("keys").alias("key"), "f0", "f1", "node", "root")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct()
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(node, shingles) of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                sets = [shingle_set(t.as_py()) for t in b.slice(at, 1000).column(0)]
+                yield pa.RecordBatch.from_arrays([pa.array([d for _, d in sets], pa.int64()), pa.array([s.view(np.int64) for s, _ in sets], pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return docs.select("text").mapInArrow(run, "node long, shingles array<long>")
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets have the Jaccard similarity, exactly."""
+    a, b = (sets.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("u", "a"), ("v", "b")))
+    both = pairs.join(a, "u").join(b, "v").withColumn("n", F.size(F.array_intersect("a", "b")))
+    return both.where(F.col("n") / (F.size("a") + F.size("b") - F.col("n")) >= STAGE_SIMILARITY).select("u", "v")
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of every document with an id, by links of Jaccard similarity 0.8 of five-word shingles.
+
+    Equal shingle sets are one node. Bands of a wide SimHash make the
+    candidates, 128 of its bits choose among them bit-sliced, and every link is
+    checked on the shingle sets. Two turns link each node with one neighbour of
+    a key; what they leave in different groups is compared pair by pair, so a
+    large group costs few checks.
+    """
+    docs = docs.where("doc_id IS NOT NULL")
+    prints = materialize(stage_prints(docs, *bands_for(docs.count())), "stage-prints")
+    classes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("head"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("keys").alias("keys")), "stage-classes")
+    edges = materialize(candidates(classes.withColumn("root", F.col("node")), 0), "stage-candidates")
+    # Whatever has a candidate at all has one in the first turn.
+    near = classes.join(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi")
+    near = materialize(near, "stage-near")
+    heads = near.select(F.col("head").alias("doc_id")).distinct()
+    sets = shingle_sets(docs.join(heads, "doc_id", "left_semi")).join(near.select("node"), "node", "left_semi")
+    sets = materialize(sets.dropDuplicates(["node"]), "stage-sets")
+    linked = materialize(similar(edges, sets), "stage-links")
+    for turn in (1, None):
+        roots = connected_components(linked)
+        rooted = near.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        linked = materialize(linked.unionByName(similar(candidates(rooted, turn), sets)), "stage-links")
+    roots = connected_components(linked)
+    rooted = materialize(classes.select("node", "head").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "head"), "stage-roots")
+    least = rooted.groupBy("root").agg(F.min("head").alias("component_id"))
+    return prints.select("doc_id", "node").join(rooted.select("node", "root"), "node").join(least, "root").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one document of each group of similar_groups, the one with the least id; documents without an id stay.
 
     Rows that repeat a kept id are copies of each other and leave one.
     """
-    grouped = materialize(near_duplicates(docs, shingle, radius, blocks), "groups")
+    grouped = materialize(similar_groups(docs), "groups")
     heads = grouped.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
     kept = docs.join(heads, F.col("doc_id") == F.col("_kept"))
     single = kept.where("_rows = 1").select(docs.columns)

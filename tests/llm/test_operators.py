@@ -79,6 +79,46 @@ def test_keep_one_leaves_one_of_each_group(spark):
     assert sorted(kept) == [0, 2, 4]
 
 
+def near_copies(r, n=40):
+    """Texts of 150 words and, after each, a copy with words replaced so that the five-word similarity is about 0.7 to 0.95."""
+    texts = []
+    for i in range(n):
+        words = [f"w{x}" for x in r.integers(0, 5000, 150)]
+        texts.append(" ".join(words))
+        for at in r.choice(30, 1 + i % 5, replace=False):
+            words[5 * at] = f"new{at}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def jaccard_components(texts):
+    sets = []
+    for t in texts:
+        w = (t or "").split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    return components(len(texts), near), near
+
+
+def test_stage_links_five_word_similarity(spark):
+    r = np.random.default_rng(11)
+    base = [f"b{x}" for x in r.integers(0, 5000, 200)]
+    large = []
+    for _ in range(30):  # one group of many near copies, of which some pairs are below the similarity
+        words = list(base)
+        for at in r.choice(40, 2, replace=False):
+            words[5 * at] = f"z{at}"
+        large.append(" ".join(words))
+    texts = [*near_copies(r), *large, "one two", "one two", "one three", None, ""]
+    want, near = jaccard_components(texts)
+    far = sum((simhash.fingerprint_of(texts[i]) ^ simhash.fingerprint_of(texts[j])).bit_count() > 3 for i, j in near)
+    assert far > len(near) / 2
+    rows = docs(spark, texts)
+    assert {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(rows).collect()} == dict(enumerate(want))
+    assert sorted(x["doc_id"] for x in simhash.keep_one(rows).collect()) == sorted(set(want))
+    assert simhash.keep_one(rows.limit(0)).count() == 0
+
+
 def test_deobfuscation_restores_words():
     counts = deobfuscate.character_counts([("idiot", 50), ("stupid", 40), ("trash", 30), ("hello", 60), ("world", 60), ("the", 200)])
     model = deobfuscate.CharacterModel(counts)
@@ -277,3 +317,18 @@ def test_pipeline_keeps_columns_and_clean_documents(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     ids = {x["doc_id"] for x in out.select("doc_id").collect()}
     assert 7 not in ids and 5 not in ids and len(ids) >= 40
+
+
+def test_pipeline_run_drops_near_copies(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = near_copies(np.random.default_rng(12))
+    d = docs(spark, texts)
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, " ".join(f"w{x}" for x in np.random.default_rng(13).integers(0, 5000, 40)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    entered = {x["doc_id"] for x in corpus_pipeline.quality_classifier(spark, d, str(tmp_path)).select("doc_id").collect()}
+    own = sorted(entered)
+    want, near = jaccard_components([texts[i] for i in own])
+    left = {x["doc_id"] for x in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()}
+    assert near and left <= {own[i] for i in want}
