@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType
 
 # Accents that fold to plain letters (umlauts stay), quotes, fillers, and patterns of the lenses.
 ACCENTED = "àáâãåçèéêëìíîïñòóôõøùúûýÿÀÁÂÃÅÇÈÉÊËÌÍÎÏÑÒÓÔÕØÙÚÛÝ"
@@ -73,15 +76,41 @@ def fillers_out(tokens_: Column, stoplist: Sequence[str] = FILLER_STOPLIST) -> C
     return F.filter(tokens_, lambda w: ~F.lower(w).isin(*stoplist))
 
 
+#: Different words that `coded` has characters for: from U+4E00 up to the surrogates.
+CODES = 0xD800 - 0x4E00
+
+
 def coded(tokens_: Column, vocabulary: Column) -> Column:
-    """Tokens as one character each: the place in the vocabulary from U+4E00 on (up to 20,000 words)."""
+    """Tokens as one character each: the place in the vocabulary from U+4E00 on (up to CODES words)."""
     return F.array_join(F.transform(tokens_, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + 19967), 4, "0")), "UTF-16BE")), "")
 
 
+@pandas_udf(LongType())
+def long_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+    """Edit distance of two token arrays of any vocabulary, row by row in numpy; null for null."""
+    import numpy as np
+
+    def distance(ref, hyp):
+        if ref is None or hyp is None:
+            return None
+        numbers: dict = {}
+        r, h = (np.array([numbers.setdefault(w, len(numbers)) for w in x], np.int64) for x in (ref, hyp))
+        offset = np.arange(len(h) + 1)
+        row = offset
+        for i, word in enumerate(r, 1):
+            best = np.concatenate(([i], np.minimum(row[:-1] + (h != word), row[1:] + 1)))
+            row = np.minimum.accumulate(best - offset) + offset
+        return int(row[-1])
+
+    return pd.Series([distance(r, h) for r, h in zip(reference, hypothesis)], dtype="Int64")
+
+
 def word_edits(reference: Column, hypothesis: Column) -> Column:
-    """Word edit distance of two token arrays, as the character distance of their codes."""
+    """Word edit distance of two token arrays: the character distance of their codes, or by `long_edits` where the codes do not suffice."""
     vocabulary = F.array_distinct(F.concat(reference, hypothesis))
-    return F.levenshtein(coded(reference, vocabulary), coded(hypothesis, vocabulary)).cast("long")
+    fits = F.size(vocabulary) <= CODES
+    short = F.when(fits, F.levenshtein(coded(reference, vocabulary), coded(hypothesis, vocabulary)).cast("long"))
+    return F.coalesce(short, long_edits(F.when(~fits, reference), F.when(~fits, hypothesis)))
 
 
 def ngrams(tokens_: Column, n: int) -> Column:

@@ -159,3 +159,36 @@ def test_drift(spark):
     a = spark.createDataFrame([("x", "1"), ("y", "2")], "path string, digest string")
     b = spark.createDataFrame([("x", "9"), ("z", "3")], "path string, digest string")
     assert sorted(map(tuple, runs.drift(a, b, "path", "digest").collect())) == [("x", "modified"), ("y", "missing"), ("z", "unlisted")]
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def conversations(spark, path, texts):
+    """Turns of conversations, written as the table of that name."""
+    rows = [(c, t, "user", x) for c, own in enumerate(texts) for t, x in enumerate(own)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+
+
+def test_wer_pairs_scores_pairs_of_many_words(spark, tmp_path):
+    from phonyx.plans import queries
+
+    texts = [[" ".join(f"w{(i * k) % 211}" for i in range(120)) for k in (1, 2, 3)], ["a b c", "a c", None]]
+    conversations(spark, tmp_path, texts)
+    got = {x["id"]: (x["edits"], x["ref_words"], x["hyp_words"]) for x in queries.QUERIES["wer_pairs"](spark, str(tmp_path)).collect()}
+    words = [[(x or "").split() for x in own] for own in texts]
+    assert got == {c * 1000 + t: (edit_distance(a, b), len(a), len(b)) for c, own in enumerate(words) for t, (a, b) in enumerate(zip(own, own[1:]))}
+
+
+def test_word_edits_beyond_the_codes(spark):
+    many = [f"w{i}" for i in range(T.CODES + 40)]
+    cases = [(many, many[-3:]), (["a", "b"], ["b"]), ([], [])]
+    rows = spark.createDataFrame([(i, r, h) for i, (r, h) in enumerate(cases)], "i int, r array<string>, h array<string>")
+    got = {x["i"]: x["e"] for x in rows.select("i", T.word_edits(F.col("r"), F.col("h")).alias("e")).collect()}
+    assert got == {0: len(many) - 3, 1: 1, 2: 0}
