@@ -192,3 +192,14 @@ def test_word_edits_beyond_the_codes(spark):
     rows = spark.createDataFrame([(i, r, h) for i, (r, h) in enumerate(cases)], "i int, r array<string>, h array<string>")
     got = {x["i"]: x["e"] for x in rows.select("i", T.word_edits(F.col("r"), F.col("h")).alias("e")).collect()}
     assert got == {0: len(many) - 3, 1: 1, 2: 0}
+
+
+def test_cer_pairs_counts_characters_of_all_turns(spark, tmp_path):
+    from phonyx.plans import queries
+
+    texts = [["schön – ja", "schon ja", "ça va", "plain"], ["ä", "ö𝄞"], ["abc", "abd"], ["x", None]]
+    conversations(spark, tmp_path, texts)
+    got = {x["conv_id"]: x["cer_pct"] for x in queries.QUERIES["cer_pairs"](spark, str(tmp_path)).collect()}
+    for c, own in enumerate(texts):
+        pairs = [(a or "", b or "") for a, b in zip(own, own[1:])]
+        assert got[c] == pytest.approx(100 * sum(edit_distance(a, b) for a, b in pairs) / sum(len(a) for a, _ in pairs), abs=1e-6)
