@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,26 +13,34 @@ from pyspark.sql import functions as F
 RESAMPLES, SEED, CONFIDENCE = 10_000, 20260903, 0.95
 
 
-def index_draws(n: int, count: int, seed: int) -> np.ndarray:
-    """`count` uniform draws below n: 32-bit words of a Mersenne Twister, their top bits, drawn again where too large."""
+def draw_slabs(n: int, sizes: Iterable[int], seed: int) -> Iterator[np.ndarray]:
+    """Uniform draws below n, as many at a time as `sizes` says: 32-bit words of a Mersenne Twister, their top bits, drawn again where too large."""
     state = random.Random(seed).getstate()[1]
     source = np.random.RandomState()
     source.set_state(("MT19937", np.array(state[:-1], np.uint32), state[-1]))
-    shift, found, have = 32 - n.bit_length(), [], 0
-    while have < count:
-        words = source.randint(0, 1 << 32, size=count - have + 1024, dtype=np.uint32) >> np.uint32(shift) if n > 1 or shift else np.zeros(count, np.uint32)
-        words = words[words < n]
-        found.append(words[: count - have])
-        have += len(found[-1])
-    return np.concatenate(found).astype(np.int64)
+    shift, left = 32 - n.bit_length(), np.zeros(0, np.uint32)
+    for count in sizes:
+        found, have = [left], len(left)
+        while have < count:
+            words = source.randint(0, 1 << 32, size=count - have + 1024, dtype=np.uint32) >> np.uint32(shift)
+            found.append(words[words < n])
+            have += len(found[-1])
+        every = np.concatenate(found)
+        left = every[count:]
+        yield every[:count].astype(np.int64)
+
+
+def index_draws(n: int, count: int, seed: int) -> np.ndarray:
+    """The first `count` draws of draw_slabs."""
+    return next(draw_slabs(n, [count], seed))
 
 
-def resampled_sums(values: np.ndarray, resamples: int, seed: int, slab: int = 1 << 22) -> np.ndarray:
-    """Sums of `resamples` samples, as large as the data, of the rows of `values`."""
+def resampled_sums(values: np.ndarray, resamples: int, seed: int, slab: int = 1 << 20) -> np.ndarray:
+    """Sums of `resamples` samples, as large as the data, of the rows of `values`; about `slab` draws are held at a time."""
     n = len(values)
-    draws = index_draws(n, n * resamples, seed).reshape(resamples, n)
     step = max(1, slab // n)
-    return np.concatenate([values[draws[i : i + step]].sum(1) for i in range(0, resamples, step)])
+    sizes = (min(step, resamples - i) * n for i in range(0, resamples, step))
+    return np.concatenate([values[draws.reshape(-1, n)].sum(1) for draws in draw_slabs(n, sizes, seed)])
 
 
 def percentiles(draws: np.ndarray, confidence: float) -> tuple[float, float]:

@@ -175,7 +175,7 @@ def _supplier_units(spark: SparkSession, d: str, flag: str | None = None) -> Dat
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     """Interval of each return flag's ratio; sampling units are suppliers."""
     units = table(spark, d, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.sum(F.col("l_discount") * F.col("l_extendedprice")).alias("num"), F.sum("l_extendedprice").alias("den"))
-    return resampling.ratio_interval(units, ["l_returnflag"], "l_suppkey", 1000)
+    return resampling.ratio_interval(units, ["l_returnflag"], "l_suppkey")
 
 
 @query("paired_delta_point", """
@@ -193,7 +193,7 @@ def paired_delta_point(spark: SparkSession, d: str) -> DataFrame:
 def paired_interval(spark: SparkSession, d: str) -> DataFrame:
     a, b = _supplier_units(spark, d, "O"), _supplier_units(spark, d, "F")
     pairs = resampling.pair_units(a.join(b, "l_suppkey", "left_semi"), b.join(a, "l_suppkey", "left_semi"), "l_suppkey")
-    return resampling.paired_interval(pairs, "l_suppkey", 1000).withColumn("verdict", ratio.verdict("lo", "hi"))
+    return resampling.paired_interval(pairs, "l_suppkey").withColumn("verdict", ratio.verdict("lo", "hi"))
 
 
 @query("region_breakdown", """

@@ -203,3 +203,35 @@ def test_cer_pairs_counts_characters_of_all_turns(spark, tmp_path):
     for c, own in enumerate(texts):
         pairs = [(a or "", b or "") for a, b in zip(own, own[1:])]
         assert got[c] == pytest.approx(100 * sum(edit_distance(a, b) for a, b in pairs) / sum(len(a) for a, _ in pairs), abs=1e-6)
+
+
+def test_interval_queries_take_ten_thousand_samples(spark, tmp_path):
+    import random
+
+    from phonyx.plans import queries
+
+    r = np.random.default_rng(3)
+    rows = [(k, "A", f, float(r.random()), float(r.integers(1, 99))) for k in range(6) for f in "OF" for _ in range(2)]
+    spark.createDataFrame(rows, "l_suppkey long, l_returnflag string, l_linestatus string, l_discount double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+
+    def units(flags):
+        own = [[x for x in rows if x[0] == k and x[2] in flags] for k in range(6)]
+        return [(sum(x[3] * x[4] for x in xs), sum(x[4] for x in xs)) for xs in own]
+
+    def ends(rate):
+        g = random.Random(20260903)
+        found = sorted(rate([g.randrange(6) for _ in range(6)]) for _ in range(10_000))
+        tail = (1 - 0.95) / 2
+        return found[int(tail * 9999)], found[int((1 - tail) * 9999)]
+
+    pct = lambda us, at: 100 * sum(us[i][0] for i in at) / sum(us[i][1] for i in at)
+    both, o, f = units("OF"), units("O"), units("F")
+    for name, rate in (("bootstrap_ci", lambda at: pct(both, at)), ("paired_interval", lambda at: pct(o, at) - pct(f, at))):
+        got, want = queries.QUERIES[name](spark, str(tmp_path)).first(), ends(rate)
+        assert (got["lo"], got["hi"]) == pytest.approx(want, abs=1e-9)
+
+
+def test_resamples_do_not_depend_on_slabs():
+    values = np.random.default_rng(1).random((7, 2))
+    assert (resampling.resampled_sums(values, 300, 5, 50) == resampling.resampled_sums(values, 300, 5)).all()
+    assert (resampling.resampled_sums(values, 300, 5) == values[resampling.index_draws(7, 2100, 5).reshape(300, 7)].sum(1)).all()
