@@ -1,21 +1,24 @@
 """Quality selection by importance resampling.
 
 Two bag-of-n-gram models over hashed byte n-grams are counted: one on all raw
-text, one on target text (labelled good). A text's log weight is its log
-likelihood ratio, target over raw, where a text of more than `evidence`
-n-grams counts as so many: the n-grams of one text are far from independent,
-and a plain sum would turn the chance differences between a small target
-sample and the raw text into hundreds of nats. Sampling without replacement in proportion
-to the weights is the Gumbel top-k rule: add a Gumbel variate, fixed by a hash
-of the row, to each log weight and take the k largest keys. k is the number of
-texts that are likelier target than not, given the share of the target among
-labelled rows, and no less than that share of all texts.
-
-The target model is fitted on at most `sample` labelled rows, those with the
-least hashes; the raw model and k cover every row. Null text is empty; empty
-text has weight one (log weight 0) and is kept like any text of its key. Rows
-equal in id and text have equal keys, and keys equal to the k-th all stay. An
-empty table, or one without target rows, keeps everything it has.
+text, one on target text (labelled good). A text's log weight is the log of
+the ratio of the two likelihoods, target over raw, for each n-gram of the text
+(for each order the mean over its n-grams), times one temperature that holds
+for texts of every length: n-grams of one text are far from independent, and a
+plain sum over a long text would be ruled by the chance differences between a
+small target sample and the raw text. Sampling without replacement in proportion to the weights is
+the Gumbel top-k rule: add a Gumbel variate, fixed by a hash of the row, to
+each log weight and take the k largest keys. k is the number of texts whose
+log weight reaches the level that tells the labelled good texts from the
+others with the fewest errors (the lowest such level), whatever their share.
+
+Models of target text and the level come from at most `sample` labelled rows,
+those with the least hashes; the raw model and k cover every row. An id that
+is labelled twice counts as good if one label says so. Null text is empty;
+a text without n-grams has weight one (log weight 0). Rows equal in id and
+text have equal keys, and keys equal to the k-th all stay. Without labelled
+good texts every weight is one, and without labelled bad ones k is the number
+of rows; either way everything is kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +34,10 @@ from pyspark.sql.functions import arrow_udf
 from .common import discard, materialize, table
 
 ORDERS = (2, 4)
-SLAB = 1 << 22
+#: Bytes scored or counted at a time; arrays of a task are a few times as large.
+SLAB = 1 << 18
+#: What the mean log ratio of a text's n-grams is multiplied by.
+TEMPERATURE = 100.0
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -57,10 +63,10 @@ def slabs(at: np.ndarray) -> Iterator[tuple[int, int]]:
 def hashed_ngrams(data: np.ndarray, order: int, buckets: int) -> np.ndarray:
     """Bucket of the n-gram that begins at each byte."""
     key = np.zeros(len(data), np.uint32)
-    for j in range(order):
+    for j in range(min(order, len(data))):
         key[: len(data) - j] |= data[j:].astype(np.uint32) << np.uint32(8 * j)
     mixed = ((key * np.uint32(2654435761)) ^ (key >> np.uint32(15))) * np.uint32(2246822519)
-    return (mixed >> np.uint32(33 - buckets.bit_length())).astype(np.int64)
+    return (mixed >> np.uint32(33 - buckets.bit_length())).astype(np.int32)
 
 
 def whole_ngrams(bounds: np.ndarray, order: int) -> np.ndarray:
@@ -83,8 +89,8 @@ def ngram_counts(docs: DataFrame, target: Column, buckets: int) -> DataFrame:
             for i, j in slabs(at):
                 part, bounds = data[at[i] : at[j]], at[i : j + 1] - at[i]
                 of_target = np.repeat(chosen[i:j], np.diff(bounds))
-                whole = whole_ngrams(bounds, max(ORDERS))
                 for k, order in enumerate(ORDERS):
+                    whole = whole_ngrams(bounds, order)
                     bucket = hashed_ngrams(part, order, buckets)
                     where = slice(k * buckets, (k + 1) * buckets)
                     raw[where] += np.bincount(bucket[whole], minlength=buckets)
@@ -97,31 +103,32 @@ def ngram_counts(docs: DataFrame, target: Column, buckets: int) -> DataFrame:
     return counted.groupBy("slot").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, buckets: int = 1 << 14, prior: float = 20.0) -> tuple[np.ndarray, float]:
-    """Log ratios by slot (a bounded array) and the share of the target among the labelled rows."""
-    labelled = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL")
-    n, good = labelled.agg(F.count("*"), F.count_if(F.col("quality") == 1)).first()
-    ids = labelled.where("quality = 1").select(F.col("doc_id").alias("_target_id")).distinct().orderBy(F.xxhash64("_target_id"), "_target_id").limit(sample)
-    # At most `sample` ids.
-    flagged = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_target_id"), "left")
-    counts = ngram_counts(flagged, F.col("_target_id").isNotNull(), buckets).toPandas()
+def labelled_sample(labels: DataFrame, sample: int) -> DataFrame:
+    """(_id, _quality) of at most `sample` labelled ids, those with the least hashes."""
+    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_quality"))
+    return known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+
+
+def fit(rows: DataFrame, buckets: int = 1 << 14, prior: float = 20.0) -> np.ndarray:
+    """Log ratios by order and bucket (a bounded array), from rows (text, _quality)."""
+    counts = ngram_counts(rows, F.coalesce(F.col("_quality") == 1, F.lit(False)), buckets).toPandas()
     raw, target = np.zeros(len(ORDERS) * buckets), np.zeros(len(ORDERS) * buckets)
     slots = counts["slot"].to_numpy()
     raw[slots], target[slots] = counts["raw"], counts["target"]
     raw, target = raw.reshape(len(ORDERS), buckets), target.reshape(len(ORDERS), buckets)
     if not target.any():
-        return np.zeros(raw.shape), 1.0
+        return np.zeros(raw.shape)
     # The raw model is the prior of the target model, worth `prior` n-grams in each bucket: an n-gram that a small
     # sample lacks by chance costs little, one that raw text is full of costs much.
     model_raw = (raw + 1) / (raw.sum(1, keepdims=True) + buckets)
     expected = target.sum(1, keepdims=True) * model_raw
     model_target = model_raw * (target + prior) / (expected + prior)
     model_target /= model_target.sum(1, keepdims=True)
-    return np.log(model_target / model_raw), good / n
+    return np.log(model_target / model_raw)
 
 
-def log_weight(ratios: np.ndarray, evidence: int = 100) -> Callable[..., Column]:
-    """Column function: a text's log likelihood ratio under the fitted models."""
+def log_weight(ratios: np.ndarray) -> Callable[..., Column]:
+    """Column function: the temperature times a text's mean log ratio under the fitted models, summed over the orders."""
     buckets = ratios.shape[1]
 
     @arrow_udf("double")
@@ -131,13 +138,11 @@ def log_weight(ratios: np.ndarray, evidence: int = 100) -> Callable[..., Column]
             out = np.zeros(len(at) - 1)
             for i, j in slabs(at):
                 part, bounds = data[at[i] : at[j]], at[i : j + 1] - at[i]
-                total = np.zeros(len(part) + 1)
                 for k, order in enumerate(ORDERS):
-                    total[1:] += ratios[k][hashed_ngrams(part, order, buckets)]
-                total[1:][~whole_ngrams(bounds, max(ORDERS))] = 0.0
-                sums = np.cumsum(total)
-                out[i:j] = (sums[bounds[1:]] - sums[bounds[:-1]]) * np.minimum(1.0, evidence / np.maximum(1, np.diff(bounds)))
-            yield pa.array(np.round(out, 6))
+                    sums = np.zeros(len(part) + 1)
+                    np.cumsum(np.where(whole_ngrams(bounds, order), ratios[k][hashed_ngrams(part, order, buckets)], 0.0), out=sums[1:])
+                    out[i:j] += (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(1, np.diff(bounds) - order + 1)
+            yield pa.array(np.round(TEMPERATURE * out, 6))
 
     return weight
 
@@ -175,35 +180,48 @@ def kth_largest(values: DataFrame, column: str, k: int, enough: int = 5000) -> f
     return top[0]
 
 
-def scored(docs: DataFrame, ratios: np.ndarray, seed: int) -> DataFrame:
-    """docs with `_log_weight` and `_key`."""
-    return docs.withColumn("_log_weight", log_weight(ratios)("text")).withColumn("_key", F.col("_log_weight") + gumbel(seed, F.col("doc_id"), F.col("text")))
+def level(labelled: list[tuple[float, int]]) -> float:
+    """The least log weight at which (log weight, quality) rows are told apart with the fewest errors; -inf without bad ones."""
+    if not labelled:
+        return -np.inf
+    weights, good = np.array([w for w, _ in labelled]), np.array([q == 1 for _, q in labelled])
+    order = np.argsort(weights, kind="stable")
+    weights, good = weights[order], good[order]
+    # Errors if the first i rows are rejected: good ones among them, and bad ones after them.
+    errors = np.concatenate(([0], np.cumsum(good))) + (~good).sum() - np.concatenate(([0], np.cumsum(~good)))
+    possible = np.concatenate(([True], weights[1:] != weights[:-1], [True]))
+    best = int(np.flatnonzero(possible & (errors == errors[possible].min()))[0])
+    return -np.inf if not best else np.inf if best == len(weights) else float(weights[best])
 
 
-def threshold(keys: DataFrame, share: float) -> float | None:
-    """Key of the last row of the top k: as many rows as are likelier target than not, or the labelled share if that is more."""
-    n, likelier = keys.agg(F.count("*"), F.count_if(F.exp(F.least("_log_weight", F.lit(0.0))) * share >= 0.5)).first()
-    return kth_largest(keys, "_key", max(likelier, round(n * share)))
+def select(docs: DataFrame, labels: DataFrame, sample: int, seed: int) -> tuple[DataFrame, Callable[..., Column], float | None]:
+    """Scored rows (doc_id, _log_weight, _key), the weight function, and the key of the last row of the top k."""
+    known = materialize(labelled_sample(labels, sample), "labelled")
+    # At most `sample` ids.
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id"), "left")
+    weight = log_weight(fit(rows))
+    scored = rows.withColumn("_log_weight", weight("text")).select("doc_id", "_log_weight", (F.col("_log_weight") + gumbel(seed, F.col("doc_id"), F.col("text"))).alias("_key"), "_quality")
+    keys = materialize(scored, "keys")
+    discard(known)
+    labelled = keys.where("_quality IS NOT NULL").groupBy("doc_id").agg(F.min("_log_weight"), F.max("_quality")).collect()
+    least = level([(w, q) for _, w, q in labelled])
+    k = keys.where(F.col("_log_weight") >= F.lit(least)).count()
+    return keys, weight, kth_largest(keys, "_key", k)
 
 
 def resample(docs: DataFrame, labels: DataFrame, sample: int = 20_000, seed: int = 11) -> DataFrame:
     """(doc_id, log_weight, key, selected) of every document."""
-    ratios, share = fit(docs, labels, sample)
-    keys = materialize(scored(docs.select("doc_id", "text"), ratios, seed).drop("text"), "keys")
-    least = threshold(keys, share)
+    keys, _, least = select(docs, labels, sample, seed)
     return keys.select("doc_id", F.col("_log_weight").alias("log_weight"), F.col("_key").alias("key"), (F.lit(least is not None) & (F.col("_key") >= F.lit(least or 0.0))).alias("selected"))
 
 
 def select_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, seed: int = 11) -> DataFrame:
     """docs without the ones the resampling leaves out; keys are scored again where the text stands, so no text moves."""
-    ratios, share = fit(docs, labels, sample)
-    keys = materialize(scored(docs.select("doc_id", "text"), ratios, seed).select("_log_weight", "_key"), "keys")
-    least = threshold(keys, share)
+    keys, weight, least = select(docs, labels, sample, seed)
     discard(keys)
     if least is None:
         return docs.limit(0)
-    key = log_weight(ratios)("text") + gumbel(seed, F.col("doc_id"), F.col("text"))
-    return docs.where(key >= F.lit(least))
+    return docs.where(weight("text") + gumbel(seed, F.col("doc_id"), F.col("text")) >= F.lit(least))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
