@@ -12,13 +12,16 @@ Within a group the fingerprints stand as bit planes, 64 to a machine word; a
 query runs down the planes, adds its differing bits into carry-save counters
 of all 64 lanes at once, and is dropped as soon as every lane has passed the
 radius. A key with more than `hot` different fingerprints is split again by
-the pigeonhole principle over its remaining bits, so no key needs a cap.
+the pigeonhole principle over its remaining bits; what is still larger is dealt
+into blocks whose pairs are compared in tasks of their own. So no key needs a
+cap and no task gets more than a few times `hot` fingerprints of a key.
 
 Exact copies share a fingerprint and are one node from the start. Null and
 empty texts have fingerprint zero and are linked like any other. Rows without
 an id take part under their fingerprint but have no component of their own
-unless another row of the group has an id. Repeated rows get equal results.
-An empty table gives an empty result.
+unless another row of the group has an id. Repeated rows get equal results,
+as do rows of one id and text; texts of any length are read whole, and other
+columns play no part. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,10 +33,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, materialize, table
 from .components import connected_components
 
 #: bytes.translate table that lower-cases A-Z only.
@@ -89,8 +92,11 @@ def close_pairs(prints: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.
     return (np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])) if found else (none, none)
 
 
-def close_slabs(prints: np.ndarray, sizes: np.ndarray, radius: int, slab: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs of close_pairs slab by slab, for fingerprints of any number of 64-bit words (one row each)."""
+def close_slabs(prints: np.ndarray, sizes: np.ndarray, radius: int, slab: int = 1 << 19, root: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of close_pairs slab by slab, for fingerprints of any number of 64-bit words (one row each).
+
+    With roots, a word of lanes that all have the query's root is passed over.
+    """
     bits = 64 * prints.shape[1]
     width = (radius + 1).bit_length() - 1
     first = np.cumsum(sizes) - sizes
@@ -102,6 +108,8 @@ def close_slabs(prints: np.ndarray, sizes: np.ndarray, radius: int, slab: int =
     one = np.uint64(1)
     planes = np.stack([np.add.reduceat(((prints[:, b >> 6] >> np.uint64(b & 63)) & one) << lane, opens) for b in range(bits)])
     word_row = opens  # the row of lane 0 of each word
+    if root is not None and len(root):
+        least, most = np.minimum.reduceat(root, opens), np.maximum.reduceat(root, opens)
     todo = np.cumsum(word + 1)
     row = 0
     while row < len(prints):
@@ -111,6 +119,12 @@ def close_slabs(prints: np.ndarray, sizes: np.ndarray, radius: int, slab: int =
         query = np.repeat(rows, n)
         step = np.arange(len(query)) - np.repeat(np.cumsum(n) - n, n)
         target = word_base[query] + step
+        if root is not None:
+            other = np.flatnonzero((least[target] != root[query]) | (most[target] != root[query]))
+            query, step, target = query[other], step[other], target[other]
+            if not len(query):
+                row = stop
+                continue
         mask = np.where(step == word[query], (one << lane[query]) - one, ~np.uint64(0))
         q = prints[query]
         counters = [np.zeros(len(query), np.uint64) for _ in range(width)]
@@ -202,6 +216,18 @@ def bits_of(shift: int, width: int):
     return F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
 
 
+def in_cells(keyed: DataFrame, keys: DataFrame, hot: int) -> DataFrame:
+    """The rows of crowded keys (key, n) in cells that are keys of their own: one cell for each pair of a key's blocks of about `hot` rows."""
+    blocks = F.ceil(F.col("n") / hot).cast("int")
+    placed = keyed.join(keys.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key")).withColumn("_b", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    other = placed.withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return other.withColumn("key", F.xxhash64("key", F.least("_b", "_o"), F.greatest("_b", "_o"))).select(keyed.columns)
+
+
+def crowded_keys(keyed: DataFrame, hot: int) -> DataFrame:
+    return materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot), "hot-keys")
+
+
 def links(nodes: DataFrame, radius: int = 3, blocks: int = 5, hot: int = 4096) -> DataFrame:
     """Spanning links (u, v) between nodes (fp, node) whose fingerprints differ in at most `radius` bits.
 
@@ -221,16 +247,22 @@ def links(nodes: DataFrame, radius: int = 3, blocks: int = 5, hot: int = 4096) -
     # Keys are hashed; a collision only adds comparisons, which are exact.
     both = F.arrays_zip(F.array(*keys).alias("k"), F.array(*rests).alias("r"))
     keyed = nodes.select("fp", "node", F.explode(both).alias("x")).select(F.col("x.k").alias("key"), "fp", "node", F.col("x.r").alias("rest"))
-    crowded = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"), "hot-keys")
+    crowded = crowded_keys(keyed, hot)
     plain = keyed.drop("rest")
     if not crowded.isEmpty():
-        split = keyed.join(crowded, "key", "left_semi").select(F.explode("rest").alias("part"), "key", "fp", "node")
-        plain = keyed.join(crowded, "key", "left_anti").drop("rest").unionByName(split.select(F.xxhash64("key", "part").alias("key"), "fp", "node"))
+        split = keyed.join(crowded, "key", "left_semi").select(F.explode("rest").alias("part"), "key", "fp", "node").select(F.xxhash64("key", "part").alias("key"), "fp", "node")
+        still = crowded_keys(split, hot)
+        plain = keyed.join(crowded, "key", "left_anti").drop("rest").unionByName(split.join(still, "key", "left_anti")).unionByName(in_cells(split, still, hot))
     return plain.repartition("key").sortWithinPartitions("key").mapInArrow(star_links(radius), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks: int = 5) -> DataFrame:
-    """(doc_id, fp, component_id) of every document; component_id is the least doc_id of its group."""
+    """(doc_id, fp, component_id) of every document; component_id is the least doc_id of its group.
+
+    The last join gives every document its fingerprint's component; a
+    fingerprint that very many documents share (that of the empty text) is
+    skew on the documents' side alone, which adaptive execution splits.
+    """
     prints = materialize(fingerprints(docs, shingle), "fingerprints")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
     roots = connected_components(links(classes.where("node IS NOT NULL"), radius, blocks))
@@ -241,6 +273,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks:
 #: keep_one: words of a shingle, least Jaccard similarity, share of pairs at just that similarity that the bands may miss,
 #: documents that a band's key holds on average, and differing bits of the first 128 that a candidate may have.
 STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_MISS, STAGE_GROUP, STAGE_RADIUS = 5, 0.8, 0.001, 1024, 31
+#: First bits of the fingerprint that cut a crowded key while only nearest neighbours are looked for.
+CELL_BITS = 16
 
 
 def bands_for(documents: int) -> tuple[int, int]:
@@ -252,17 +286,15 @@ def bands_for(documents: int) -> tuple[int, int]:
 
 def wide_bits(hashes: np.ndarray, bits: int) -> np.ndarray:
     """The majority bits of a set of shingle hashes, each spread over as many 64-bit words as are needed."""
-    out = np.zeros(bits, np.uint8)
-    if len(hashes):
-        x = hashes[:, None] + np.uint64(0x9E3779B97F4A7C15) * np.arange(1, bits // 64 + 1, dtype=np.uint64)
+    steps = np.uint64(0x9E3779B97F4A7C15) * np.arange(1, bits // 64 + 1, dtype=np.uint64)
+    ones = np.zeros(bits, np.int64)
+    for i in range(0, len(hashes), 4096):
+        x = hashes[i : i + 4096, None] + steps
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         octets = (x ^ (x >> np.uint64(31))).view(np.uint8)
-        ones = np.zeros(bits, np.int64)
-        for i in range(0, len(octets), 4096):
-            ones += np.unpackbits(octets[i : i + 4096], axis=1, bitorder="little").sum(0, dtype=np.uint16)
-        out[:] = 2 * ones > len(hashes)
-    return out
+        ones += np.unpackbits(octets, axis=1, bitorder="little").sum(0, dtype=np.uint16)
+    return (2 * ones > len(hashes)).astype(np.uint8)
 
 
 def shingle_set(text: str | None) -> tuple[np.ndarray, int]:
@@ -272,8 +304,13 @@ def shingle_set(text: str | None) -> tuple[np.ndarray, int]:
     return own, digest - (1 << 64) if digest >> 63 else digest
 
 
+def row_key(docs: DataFrame) -> list[Column]:
+    """What a row is known by: its id and a hash of its text."""
+    return [docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_key")]
+
+
 def stage_prints(docs: DataFrame, bands: int, width: int) -> DataFrame:
-    """(doc_id, node, f0, f1, keys): the set's digest, 128 bits of its wide fingerprint and the keys of its bands."""
+    """(doc_id, text_key, node, f0, f1, keys): the set's digest, 128 bits of its wide fingerprint and the keys of its bands."""
     bits = 64 * max(2, -(-bands * width // 64))
     powers = 1 << np.arange(width, dtype=np.int64)
 
@@ -281,46 +318,51 @@ def stage_prints(docs: DataFrame, bands: int, width: int) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                sets = [shingle_set(t.as_py()) for t in part.column(1)]
-                wide = np.stack([wide_bits(s, bits) for s, _ in sets])
-                prints = np.packbits(wide[:, :128], axis=1, bitorder="little").view(np.int64)
+                prints = [(d, wide_bits(s, bits)) for s, d in (shingle_set(t.as_py()) for t in part.column(2))]
+                wide = np.stack([w for _, w in prints])
+                short = np.packbits(wide[:, :128], axis=1, bitorder="little").view(np.int64)
                 keys = wide[:, : bands * width].reshape(-1, bands, width).astype(np.int64) @ powers + (np.arange(bands, dtype=np.int64) << width)
-                offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands)
+                offsets = pa.array(np.arange(len(prints) + 1, dtype=np.int32) * bands)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([d for _, d in sets], pa.int64()), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
-                    ["doc_id", "node", "f0", "f1", "keys"],
+                    [part.column(0), part.column(1), pa.array([d for d, _ in prints], pa.int64()), pa.array(short[:, 0].copy()), pa.array(short[:, 1].copy()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
+                    ["doc_id", "text_key", "node", "f0", "f1", "keys"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, f0 long, f1 long, keys array<long>")
+    return docs.select(*row_key(docs), docs["text"]).mapInArrow(run, "doc_id long, text_key long, node long, f0 long, f1 long, keys array<long>")
 
 
-def candidates(nodes: DataFrame, turn: int | None) -> DataFrame:
-    """Pairs (u, v) of nodes (node, f0, f1, keys, root) of different roots that share a key and are within the radius.
+def candidates(nodes: DataFrame, nearest: bool, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, v) of nodes (node, f0, f1, keys, root) of different roots that share a key and are within the radius; and the crowded keys.
 
-    With a turn, each node of a key with just one of its neighbours, the first
-    in that turn's order; without, all pairs.
+    All such pairs, or for each node just the nearest and the least one that it
+    meets; nodes of a large group meet in few of those, which joins it. Then
+    a key of more than `hot` nodes is cut into cells by its nodes' first bits,
+    and only nodes of one cell meet; else into cells for all pairs of blocks.
+    Keys whose nodes have one root are left out.
     """
 
     def pairs(f: np.ndarray, node: np.ndarray, root: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
         several = np.repeat(sizes > 1, sizes)
         f, node, root, sizes = f[several], node[several], root[several], sizes[sizes > 1]
-        if not len(sizes):
-            return
-        if turn is not None:
-            rank = np.empty(len(node), np.int64)
-            rank[order := np.argsort(node.view(np.uint64) * np.uint64(2 * turn + 1) ^ np.uint64(turn))] = np.arange(len(node))
-            best = np.full(len(node), len(node))
-        for a, b in close_slabs(f, sizes, STAGE_RADIUS, 1 << 15):
+        n = len(node)
+        none = np.iinfo(np.int64).max
+        best, least = np.full(n, none), np.full(n, none)
+        for a, b in close_slabs(f, sizes, STAGE_RADIUS, 1 << 15, root) if n else ():
             apart = root[a] != root[b]
             a, b = a[apart], b[apart]
-            if turn is not None:
-                np.minimum.at(best, a, rank[b])
-                np.minimum.at(best, b, rank[a])
-            elif len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[a], node[b])), pa.array(np.minimum(node[a], node[b]))], ["u", "v"])
-        if turn is not None and len(a := np.flatnonzero(best < len(node))):
-            b = order[best[a]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[a], node[b])), pa.array(np.minimum(node[a], node[b]))], ["u", "v"])
+            if not len(a):
+                continue
+            far = np.bitwise_count(f[a] ^ f[b]).sum(1).astype(np.int64)
+            if nearest:
+                np.minimum.at(best, a, far * n + b)
+                np.minimum.at(best, b, far * n + a)
+                np.minimum.at(least, a, node[b])
+                np.minimum.at(least, b, node[a])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(far)], ["u", "v", "far"])
+        if nearest and len(a := np.flatnonzero(best < none)):
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[best[a] % n]), pa.array(best[a] // n)], ["u", "v", "far"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(least[a]), pa.array(np.full(len(a), -1))], ["u", "v", "far"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -334,18 +376,32 @@ def candidates(nodes: DataFrame, turn: int | None) -> DataFrame:
                 held.append(rows[cut:])
             if cut:
                 edges = np.concatenate(([0], np.flatnonzero(np.diff(key[:cut])) + 1, [cut]))
-                yield from pairs(rows[:cut, 1:3].view(np.uint64), rows[:cut, 3].copy(), rows[:cut, 4], np.diff(edges))
+                yield from pairs(rows[:cut, 1:3].view(np.uint64), rows[:cut, 3].copy(), rows[:cut, 4].copy(), np.diff(edges))
 
         for b in batches:
             if b.num_rows:
                 held.append(np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(5)], 1))
-                if sum(map(len, held)) >= 100_000:
+                if sum(map(len, held)) >= 50_000:
                     yield from flush(True)
         if held:
             yield from flush(False)
 
     keyed = nodes.select(F.explode("keys").alias("key"), "f0", "f1", "node", "root")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct()
+    # Written: which keys are crowded, and which have nodes of different roots at all.
+    counted = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where((F.col("least") < F.col("most")) & (F.col("n") > hot)), "hot-keys")
+    crowded = counted.select("key", "n")
+    dealt = keyed
+    if not crowded.isEmpty():
+        many = keyed.join(crowded, "key", "left_semi")
+        if nearest:
+            cells = many.withColumn("key", F.xxhash64("key", F.shiftrightunsigned("f0", 64 - CELL_BITS)))
+        else:
+            cells = in_cells(many, crowded, hot)
+        dealt = keyed.join(crowded, "key", "left_anti").unionByName(cells)
+    found = dealt.repartition("key").sortWithinPartitions("key", "root").mapInArrow(run, "u long, v long, far long")
+    if nearest:
+        found = found.groupBy("u", (F.col("far") < 0).alias("least")).agg(F.min(F.struct("far", "v")).alias("m")).select("u", "m.v")
+    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), crowded
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -367,48 +423,65 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(F.col("n") / (F.size("a") + F.size("b") - F.col("n")) >= STAGE_SIMILARITY).select("u", "v")
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) of every document with an id, by links of Jaccard similarity 0.8 of five-word shingles.
+def with_key(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """docs joined with keys (doc_id, text_key) as given by row_key."""
+    return docs.join(keys, docs["doc_id"].cast("long").eqNullSafe(keys["doc_id"]) & (F.xxhash64(docs["text"]) == keys["text_key"]), how)
 
-    Equal shingle sets are one node. Bands of a wide SimHash make the
-    candidates, 128 of its bits choose among them bit-sliced, and every link is
-    checked on the shingle sets. Two turns link each node with one neighbour of
-    a key; what they leave in different groups is compared pair by pair, so a
-    large group costs few checks.
+
+def similar_groups(docs: DataFrame, hot: int = 8192) -> DataFrame:
+    """(doc_id, text_key, component_id, head) of every row, by links of Jaccard similarity 0.8 of five-word shingles.
+
+    head (none, doc_id, text_key) is the least row of the group, those without
+    an id last; component_id is its id, text_key the hash of the text. Equal shingle sets are one
+    node. Bands of a wide SimHash make the candidates, 128 of its bits choose
+    among them bit-sliced, and every link is checked on the shingle sets. Two
+    turns link each node with two neighbours of another group; what
+    they leave in different groups is compared pair by pair, so a large group
+    costs few checks. Keys of more than `hot` nodes are compared in parts.
     """
-    docs = docs.where("doc_id IS NOT NULL")
     prints = materialize(stage_prints(docs, *bands_for(docs.count())), "stage-prints")
-    classes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("head"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("keys").alias("keys")), "stage-classes")
-    edges = materialize(candidates(classes.withColumn("root", F.col("node")), 0), "stage-candidates")
-    # Whatever has a candidate at all has one in the first turn.
-    near = classes.join(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi")
-    near = materialize(near, "stage-near")
-    heads = near.select(F.col("head").alias("doc_id")).distinct()
-    sets = shingle_sets(docs.join(heads, "doc_id", "left_semi")).join(near.select("node"), "node", "left_semi")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    classes = materialize(prints.groupBy("node").agg(first.alias("head"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("keys").alias("keys")), "stage-classes")
+    found, crowded = candidates(classes.withColumn("root", F.col("node")), True, hot)
+    edges = materialize(found, "stage-candidates")
+    # Whatever has a candidate at all has one in the first turn, or is in a crowded key.
+    some = edges.select(F.explode(F.array("u", "v")).alias("node"))
+    if not crowded.isEmpty():
+        some = some.unionByName(classes.select(F.explode("keys").alias("key"), "node").join(crowded, "key", "left_semi").select("node"))
+    near = materialize(classes.join(some.distinct(), "node", "left_semi"), "stage-near")
+    heads = near.select("head.doc_id", "head.text_key").distinct()
+    sets = shingle_sets(with_key(docs, heads, "left_semi")).join(near.select("node"), "node", "left_semi")
     sets = materialize(sets.dropDuplicates(["node"]), "stage-sets")
     linked = materialize(similar(edges, sets), "stage-links")
-    for turn in (1, None):
-        roots = connected_components(linked)
-        rooted = near.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        linked = materialize(linked.unionByName(similar(candidates(rooted, turn), sets)), "stage-links")
+    for nearest in (True, False):
+        rooted = near.join(connected_components(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = materialize(rooted, "stage-rooted")
+        more = similar(candidates(rooted, nearest, hot)[0], sets)
+        old, linked = linked, materialize(linked.unionByName(more), "stage-links")
+        discard(old)
+        discard(rooted)
     roots = connected_components(linked)
     rooted = materialize(classes.select("node", "head").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "head"), "stage-roots")
-    least = rooted.groupBy("root").agg(F.min("head").alias("component_id"))
-    return prints.select("doc_id", "node").join(rooted.select("node", "root"), "node").join(least, "root").select("doc_id", "component_id")
+    for old in (edges, near, sets, linked, classes):
+        discard(old)
+    least = rooted.groupBy("root").agg(F.min("head").alias("head"))
+    return prints.select("doc_id", "text_key", "node").join(rooted.select("node", "root"), "node").join(least, "root").select("doc_id", "text_key", F.col("head.doc_id").alias("component_id"), "head")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of similar_groups, the one with the least id; documents without an id stay.
+    """docs with one row of each group of similar_groups: the least id, of rows with one id the least hash of the text.
 
-    Rows that repeat a kept id are copies of each other and leave one.
+    Rows without an id stay only if no row of their group has one. Rows equal
+    in id and text are copies of each other and leave one, any of them if they
+    differ in other columns. Extra columns travel along under any name.
     """
-    grouped = materialize(similar_groups(docs), "groups")
-    heads = grouped.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
-    kept = docs.join(heads, F.col("doc_id") == F.col("_kept"))
-    single = kept.where("_rows = 1").select(docs.columns)
-    if not heads.where("_rows > 1").isEmpty():
-        single = single.unionByName(kept.where("_rows > 1").dropDuplicates(["_kept"]).select(docs.columns))
-    return single.unionByName(docs.where("doc_id IS NULL"))
+    grouped = similar_groups(docs)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    heads = materialize(grouped.where(own == F.col("head")).groupBy("doc_id", "text_key").agg(F.count("*").alias("n")), "groups")
+    kept = with_key(docs, heads.where("n = 1"), "left_semi")
+    if not heads.where("n > 1").isEmpty():
+        kept = kept.unionByName(with_key(docs, heads.where("n > 1"), "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
