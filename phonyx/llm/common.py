@@ -18,10 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(columns: list[str], n: int) -> list[str]:
+    """n column names that are none of the given ones."""
+    taken, out, i = {c.lower() for c in columns}, [], 0
+    while len(out) < n:
+        if f"_own{i}" not in taken:
+            out.append(f"_own{i}")
+        i += 1
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset one of our own, on a local master only (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="phonyx-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -63,13 +75,12 @@ def global_rank(df: DataFrame, order: list[str], rank: str = "rank", name: str =
     rows equal in all its columns get ranks in any order among themselves.
     """
     keys = [F.col(c).asc_nulls_first() for c in order]
-    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
-    kept = materialize(ranged, name)
-    part = F.shiftright("_at", 33)
-    sizes = kept.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    at, of, size, before = unused([*df.columns, rank], 4)
+    kept = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id()), name)
+    part = F.shiftright(at, 33)
+    sizes = kept.groupBy(part.alias(of)).agg(F.count("*").alias(size))
+    earlier = Window.orderBy(of).rowsBetween(Window.unboundedPreceding, -1)
     # One row per partition of the range exchange.
-    offsets = sizes.select(F.col("_part"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    joined = kept.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-    return joined.withColumn(rank, F.col("_before") + within).drop("_part", "_before", "_at")
+    offsets = sizes.select(F.col(of), F.coalesce(F.sum(size).over(earlier), F.lit(0)).alias(before))
+    joined = kept.join(F.broadcast(offsets), part == F.col(of))
+    return joined.withColumn(rank, F.col(before) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).drop(at, of, before)

@@ -1,38 +1,48 @@
 """Mixing sources to token targets by entropy balancing.
 
 The mix keeps every document's rate as close (in relative entropy, weighted
-by tokens) to one as the token constraints allow. The dual of that problem is
-convex in one multiplier per constraint, and its solution gives a document the
-rate exp(sum of the multipliers of the constraints it falls under): an
-exponential tilt. Newton steps find the multipliers: each is one grouped
-aggregation over the constraint cells, and only the largest violation comes to
-the driver.
-
-Rates are then rounded into whole copies. Within a source every document gets
+by tokens) to one as the token constraints allow. A constraint gives a target
+for the tokens of one source, or of one value of another column; constraints
+of different columns overlap. The dual of that problem is convex in one
+multiplier for each constraint, and its solution gives a document the rate
+exp(sum of the multipliers of the constraints it falls under): an exponential
+tilt. Damped Newton steps find the multipliers: gradient and Hessian are sums
+over the distinct constraint patterns of the documents, aggregated by Spark.
+Sources exclude each other, so their part of the Hessian is diagonal and is
+eliminated row by row however many there are; what is left is a small dense
+system of the other columns' constraints, at most `MOST_SHARED` of them.
+
+Rates are then rounded into whole copies. Within a pattern every document gets
 the whole part of its rate; the fractional part decides how many words are
 repeated once more, and those go to the documents first in a hashed order,
 large documents first and small ones after them, so that the sum misses the
-target by about half a small document at most.
+pattern's words by about half a small document at most.
 
-Everything here is DataFrame expressions. Null text has size 0 and is taken
-zero words of; null sources form one source, last in order; repeated rows are
-documents of their own (rows equal in all columns are rounded in any order
-among themselves); an empty table gives an empty result.
+Everything here is DataFrame expressions; the driver sees one small system and
+two numbers a step. Null text has size 0 and is taken zero words of; null
+sources form one source, last in order; a constraint with target zero, or
+without words, takes nothing. Repeated rows are documents of their own (rows
+equal in id and text are rounded in any order among themselves). Texts count
+whole. Extra columns may have any names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, global_rank, materialize, table
+from .common import WORD, discard, global_rank, materialize, table, unused
 
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (3, 1, 2)
 #: Of the hashed order in which documents are repeated once more.
 SEED = 7
-#: Coarse cells of that order.
-BUCKETS = 4096
+#: First bits of the hash that cut that order into coarse cells.
+CELL_BITS = 16
+#: Constraints of other columns than the source, all together.
+MOST_SHARED = 128
 
 
 def capped_targets(sources: DataFrame, share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -59,30 +69,81 @@ def capped_targets(sources: DataFrame, share: float = 1.5, cap: float = 2.0) ->
     return sources.withColumn("target", F.least(s * cap, w * F.lit(level)))
 
 
-def solve_dual(cells: DataFrame, steps: int = 60, tolerance: float = 1e-12) -> DataFrame:
-    """cells (source, source_size, target) with the `multiplier` whose tilt meets each target.
+def solved(matrix: list[list[float]], right: list[float]) -> list[float]:
+    """Solution of a small symmetric system, by elimination; a direction in which the matrix is flat gets zero."""
+    n = len(right)
+    rows = [[*matrix[i], right[i]] for i in range(n)]
+    flat = 1e-10 * max([1e-300, *(abs(matrix[i][i]) for i in range(n))])
+    pivots: list[int] = []
+    for c in range(n):
+        pivot = max((i for i in range(n) if i not in pivots), key=lambda i: abs(rows[i][c]))
+        if abs(rows[pivot][c]) <= flat:
+            continue
+        pivots.append(pivot)
+        for i in range(n):
+            if i != pivot and rows[i][c]:
+                by = rows[i][c] / rows[pivot][c]
+                rows[i] = [x - by * y for x, y in zip(rows[i], rows[pivot])]
+        rows[pivot] = [*rows[pivot][:c], rows[pivot][c], *rows[pivot][c + 1 :]]
+    out = [0.0] * n
+    for i in pivots:
+        c = next(k for k in range(n) if abs(rows[i][k]) > flat)
+        out[c] = rows[i][n] / rows[i][c]
+    return out
+
+
+def balance(patterns: DataFrame, shared: list[float], steps: int = 200, tolerance: float = 1e-11) -> DataFrame:
+    """patterns with `rate`, the exponential tilt that meets all targets.
 
-    Gradient of the dual: size * exp(multiplier) - target; curvature:
-    size * exp(multiplier). The constraints of different sources share no
-    documents, so the Hessian is diagonal and each Newton step is a row-wise
-    update. Steps are kept within one unit, which makes them monotone from
-    either side. A target of zero has no finite multiplier and gets null.
+    patterns: (cell, mass, target, under), a row for each constraint pattern.
+    `mass` counts its words, `target` is that of all patterns of its cell (the
+    source), and `under` lists the numbers of the other constraints that it
+    falls under, whose targets are `shared`. A Newton step of the dual solves
+    H x = g with g = words under the tilt - targets. With D the diagonal
+    of the cells, the step of the shared constraints is that of the Schur
+    complement S = H22 - H21 D^-1 H12, and each cell's step follows from it.
+    Steps are shortened to one unit of any multiplier. Targets that no rates
+    meet together are met as far as `steps` go.
     """
-    state = cells.withColumn("multiplier", F.when((F.col("target") > 0) & (F.col("source_size") > 0), F.lit(0.0)))
-    tilted = F.col("source_size") * F.exp("multiplier")
-    kept = None
-    for step in range(1, steps + 1):
-        newton = (F.col("target") - tilted) / tilted
-        state = state.withColumn("multiplier", F.col("multiplier") + F.least(F.greatest(newton, F.lit(-1.0)), F.lit(1.0)))
-        if step % 4 == 0:
-            old, kept = kept, materialize(state, "dual")
-            state = kept
-            off = state.agg(F.max(F.abs(tilted - F.col("target")) / F.col("target"))).first()[0]
-            if old is not None:
-                discard(old)
-            if off is None or off < tolerance:
-                break
-    return state
+    zero = [j for j, t in enumerate(shared) if not t > 0]
+    none = F.exists("under", lambda j: j.isin(zero)) if zero else F.lit(False)
+    possible = (F.col("target") > 0) & (F.col("mass") > 0) & ~none
+    state = patterns.withColumn("mass", F.when(possible, F.col("mass")).otherwise(0).cast("double")).withColumn("own", F.lit(0.0)).withColumn("all", F.lit(0.0))
+    live = [j for j in range(len(shared)) if j not in zero]
+    multipliers = {j: 0.0 for j in live}
+    cell, kept = Window.partitionBy("cell"), None
+    tilted = F.col("mass") * F.exp("all")
+    in_cell = F.sum(tilted).over(cell)
+    for _ in range(steps):
+        move = {j: 0.0 for j in live}
+        if live:
+            g0 = F.sum("w").over(cell) - F.col("target")
+            seen = materialize(state.where("mass > 0").withColumn("w", tilted).withColumn("d", F.sum("w").over(cell)).withColumn("g0", g0).select("cell", "w", "d", "g0", "under"), "newton")
+            by = seen.select("cell", "d", "g0", "w", F.explode("under").alias("j")).groupBy("cell", "j").agg(F.sum("w").alias("h"), F.first("d").alias("d"), F.first("g0").alias("g0"))
+            right = {r["j"]: r["g"] - shared[r["j"]] - r["less"] for r in by.groupBy("j").agg(F.sum("h").alias("g"), F.sum(F.col("h") * F.col("g0") / F.col("d")).alias("less")).collect()}
+            other = by.select("cell", F.col("j").alias("k"), F.col("h").alias("h2"))
+            minus = by.join(other, "cell").groupBy("j", "k").agg(F.sum(-F.col("h") * F.col("h2") / F.col("d")).alias("x"))
+            plus = seen.select("w", "under", F.explode("under").alias("j")).select("w", "j", F.explode("under").alias("k")).groupBy("j", "k").agg(F.sum("w").alias("x"))
+            system = {(r["j"], r["k"]): r["x"] for r in plus.unionByName(minus).groupBy("j", "k").agg(F.sum("x").alias("x")).collect()}
+            use = sorted(right)
+            move.update(zip(use, solved([[system.get((j, k), 0.0) for k in use] for j in use], [right[j] for j in use])))
+            discard(seen)
+        # What the shared multipliers' step does to a pattern, and the cell's own step beside it.
+        lean = F.aggregate("under", F.lit(0.0), lambda acc, j: acc + F.coalesce(F.element_at(F.create_map(*[F.lit(x) for j_ in live for x in (j_, move[j_])]), j), F.lit(0.0))) if live else F.lit(0.0)
+        step = F.coalesce((in_cell - F.col("target") - F.sum(tilted * lean).over(cell)) / F.nullif(in_cell, F.lit(0.0)), F.lit(0.0))
+        moved = materialize(state.withColumn("lean", lean).withColumn("step", step).withColumn("off", F.when(in_cell > 0, F.abs(in_cell - F.col("target")) / F.col("target"))), "dual")
+        longest, off = moved.agg(F.max(F.abs("step")), F.max("off")).first()
+        longest = max([longest or 0.0, *map(abs, move.values())])
+        off = max([off or 0.0, *(abs(right.get(j, 0.0)) / shared[j] for j in live)])
+        short = min(1.0, 1.0 / longest) if longest else 1.0
+        multipliers = {j: multipliers[j] - short * move[j] for j in live}
+        old, kept = kept, moved
+        state = moved.withColumn("own", F.col("own") - short * F.col("step")).withColumn("all", F.col("all") - short * (F.col("step") + F.col("lean"))).drop("lean", "step", "off")
+        if old is not None:
+            discard(old)
+        if off < tolerance or short * longest < tolerance:
+            break
+    return state.withColumn("rate", F.when(F.col("mass") > 0, F.exp("all")).otherwise(0.0)).drop("own", "all")
 
 
 def running(df: DataFrame, group: list[str], amount: str, order: list[str], bucket: str, out: str) -> DataFrame:
@@ -104,62 +165,89 @@ def running(df: DataFrame, group: list[str], amount: str, order: list[str], buck
     return based.withColumn(out, F.col("_base") + F.coalesce(F.sum(amount).over(inside), F.lit(0))).drop("_base")
 
 
-def copies(sized: DataFrame, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
-    """sized (doc_id, source_id, size, source_size, rate, target) with `copies`, the whole number of times it is taken."""
-    whole = F.floor("rate")
-    large = F.col("size") * F.col("source_rows") > F.col("source_size")
-    placed = (
-        sized.withColumn("_whole", whole)
-        .withColumn("_large", large)
-        .withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id", "text_hash"))
-        .withColumn("_bucket", F.pmod("_hash", F.lit(buckets)).cast("int"))
-    )
-    upto = running(placed, ["source_id", "_large"], "size", ["_hash", "doc_id", "text_hash"], "_bucket", "_upto")
+def hashed_order(doc_id: Column, text_hash: Column, seed: int) -> list[Column]:
+    """Coarse cell and place of a row in the hashed order; cells are ranges of it."""
+    place = F.xxhash64(F.lit(seed), doc_id, text_hash)
+    return [F.shiftright(place, 64 - CELL_BITS).cast("int").alias("_bucket"), place.alias("_hash")]
+
+
+def copies(sized: DataFrame, seed: int = SEED) -> DataFrame:
+    """sized (doc_id, pattern, size, text_hash, pattern_size, pattern_rows, rate) with `copies`, the whole number of times it is taken."""
+    large = F.col("size") * F.col("pattern_rows") > F.col("pattern_size")
+    placed = sized.select("*", F.floor("rate").alias("_whole"), large.alias("_large"), *hashed_order(F.col("doc_id"), F.col("text_hash"), seed))
+    upto = running(placed, ["pattern", "_large"], "size", ["_hash", "doc_id", "text_hash"], "_bucket", "_upto")
     upto = materialize(upto, "rounding")
     # Words to repeat once more: first from the large documents, in proportion; the small ones make up what is left.
-    extra = F.col("target") - F.col("_whole") * F.col("source_size")
+    extra = (F.col("rate") - F.col("_whole")) * F.col("pattern_size")
     half = F.col("size") / F.lit(2.0)
-    large_goal = extra * F.col("large_size") / F.col("source_size")
-    goals = upto.groupBy("source_id").agg(
-        F.sum(F.when(F.col("_large"), F.col("size")).otherwise(0)).alias("large_size"),
-    ).select("source_id", "large_size")
-    # A row for each source: written out, so that Spark sees their size and need not deal the documents by source.
+    large_goal = extra * F.col("large_size") / F.col("pattern_size")
+    goals = upto.groupBy("pattern").agg(F.sum(F.when(F.col("_large"), F.col("size")).otherwise(0)).alias("large_size"))
+    # A row for each pattern: written out, so that Spark sees their size and need not deal the documents by pattern.
     goals = materialize(goals, "goals")
-    with_goal = upto.join(goals, "source_id").withColumn("_large_goal", large_goal)
-    took = with_goal.where("_large").groupBy("source_id").agg(
+    with_goal = upto.join(goals, "pattern").withColumn("_large_goal", large_goal)
+    took = with_goal.where("_large").groupBy("pattern").agg(
         F.sum(F.when(F.col("_upto") + half <= F.col("_large_goal"), F.col("size")).otherwise(0)).alias("large_taken")
     )
-    settled = with_goal.join(materialize(took, "large-taken"), "source_id", "left").withColumn("_small_goal", extra - F.coalesce("large_taken", F.lit(0)))
+    settled = with_goal.join(materialize(took, "large-taken"), "pattern", "left").withColumn("_small_goal", extra - F.coalesce("large_taken", F.lit(0)))
     goal = F.when(F.col("_large"), F.col("_large_goal")).otherwise(F.col("_small_goal"))
     once_more = F.when((F.col("size") > 0) & (F.col("_upto") + half <= goal), 1).otherwise(0)
     return settled.withColumn("copies", (F.col("_whole") + once_more).cast("long"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """Sizes, source targets, tilted rates and copies of every document (without its text)."""
+def same(keys: list[str], other: str = "_") -> Column:
+    """Null-safe equality of columns with their namesakes under a prefix."""
+    on = F.lit(True)
+    for c in keys:
+        on = on & F.col(c).eqNullSafe(F.col(other + c))
+    return on
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, also: Mapping[str, Mapping[object, float]] | None = None) -> DataFrame:
+    """Sizes, source targets, tilted rates and copies of every document (without its text).
+
+    `also` gives constraints beside the sources': for a column, which share of
+    the mix documents with a value shall have; values not named are free. A
+    rate above `cap` is cut to it.
+    """
+    also = also or {}
+    others = [c for c in also if c != "source"]
     sizes = materialize(
         docs.select(
-            "doc_id", "source",
+            "doc_id", "source", *[F.col(c).alias(f"also{i}") for i, c in enumerate(others)],
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             F.xxhash64("text").alias("text_hash"),
         ),
         "sizes",
     )
-    per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
+    keys = ["source", *(f"also{i}" for i in range(len(others)))]
+    per_pattern = materialize(sizes.groupBy(*keys).agg(F.sum("size").alias("pattern_size"), F.count("*").alias("pattern_rows")), "patterns")
+    per_source = per_pattern.groupBy("source").agg(F.sum("pattern_size").alias("source_size"))
     # Names by code point, null last.
     named = per_source.withColumn("_last", F.col("source").isNull().cast("int"))
     ranked = global_rank(named, ["_last", "source"], "_rank", "sources").drop("_last")
     table_of = F.array(*[F.lit(w) for w in weights])
     weighted = materialize(ranked.withColumn("weight", F.element_at(table_of, (F.col("_rank") % len(weights) + 1).cast("int"))), "weights")
-    cells = solve_dual(capped_targets(weighted, share, cap))
-    rates = cells.select(
-        F.col("source").alias("_source"), F.col("_rank").alias("source_id"), "source_size", "source_rows", "target",
-        F.coalesce(F.least(F.exp("multiplier"), F.lit(cap)), F.lit(0.0)).alias("rate"),
+    targets = capped_targets(weighted, share, cap).select(F.col("source").alias("_source"), F.col("_rank").alias("cell"), "source_size", "target")
+    under, shared = [], []
+    if others:
+        total = targets.agg(F.sum("target")).first()[0] or 0.0
+        for i, c in enumerate(others):
+            number = F.lit(None).cast("int")
+            for value, part in also[c].items():
+                number = F.when(F.col(f"also{i}").eqNullSafe(F.lit(value)), len(shared)).otherwise(number)
+                shared.append(part * total)
+            under.append(number)
+    if len(shared) > MOST_SHARED:
+        raise ValueError(f"at most {MOST_SHARED} constraints beside those of the sources")
+    placed = per_pattern.join(targets, same(["source"])).drop("_source").withColumn("mass", F.col("pattern_size"))
+    placed = placed.withColumn("under", F.filter(F.array(*under), lambda j: j.isNotNull()) if under else F.array().cast("array<int>"))
+    tilted = balance(placed.withColumn("pattern", F.xxhash64(*keys)), shared)
+    rates = tilted.select(
+        *[F.col(k).alias(f"_{k}") for k in keys], "pattern", "pattern_size", "pattern_rows", "source_size", "target", F.least("rate", F.lit(cap)).alias("rate"),
     )
-    # A multiplier is found to about 1e-12; a rate that close to a whole number is that number.
+    # Multipliers are found to about 1e-11; a rate that close to a whole number is that number.
     rates = materialize(rates.withColumn("rate", F.when(F.abs(F.col("rate") - F.round("rate")) < 1e-9, F.round("rate")).otherwise(F.col("rate"))), "rates")
-    rated = sizes.join(rates, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    return copies(rated)
+    return copies(sizes.join(rates, same(keys)).drop(*[f"_{k}" for k in keys]))
 
 
 def repeat_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -172,23 +260,18 @@ def repeat_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     """
     decided = mix(docs, weights, share, cap)
     key = F.struct("_bucket", "_hash", F.coalesce("doc_id", F.lit(0)).alias("d"), "text_hash")
-    per_source = decided.groupBy("source").agg(
-        F.first("_whole").alias("_whole"), F.first("source_size").alias("_source_size"), F.first("source_rows").alias("_source_rows"),
-        F.max(F.when(F.col("_large") & (F.col("copies") > F.col("_whole")), key)).alias("_large_cut"),
-        F.max(F.when(~F.col("_large") & (F.col("copies") > F.col("_whole")), key)).alias("_small_cut"),
-    ).withColumnRenamed("source", "_source")
-    cuts = materialize(per_source, "cuts")
-    columns = [F.col(f"d.`{c}`") for c in docs.columns]
-    rows = docs.alias("d").join(cuts, F.col("d.source").eqNullSafe(F.col("_source")), "left")
-    size = F.coalesce(F.regexp_count("d.text", F.lit(WORD)), F.lit(0))
-    place = F.xxhash64(F.lit(SEED), "d.doc_id", F.xxhash64("d.text"))
-    own = F.struct(
-        F.pmod(place, F.lit(BUCKETS)).cast("int").alias("_bucket"), place.alias("_hash"),
-        F.coalesce("d.doc_id", F.lit(0)).alias("d"), F.xxhash64("d.text").alias("text_hash"),
-    )
-    cut = F.when(size * F.col("_source_rows") > F.col("_source_size"), F.col("_large_cut")).otherwise(F.col("_small_cut"))
-    times = F.when(size > 0, F.col("_whole") + F.coalesce((own <= cut).cast("int"), F.lit(0))).otherwise(0).cast("int")
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(columns)
+    cut_of = lambda large: F.max(F.when((F.col("_large") == large) & (F.col("copies") > F.col("_whole")), key))
+    source, whole, size_of, rows_of, large_cut, small_cut, copy = unused(docs.columns, 7)
+    cuts = materialize(decided.groupBy("source").agg(
+        F.first("_whole").alias(whole), F.first("pattern_size").alias(size_of), F.first("pattern_rows").alias(rows_of), cut_of(True).alias(large_cut), cut_of(False).alias(small_cut),
+    ).withColumnRenamed("source", source), "cuts")
+    rows = docs.join(cuts, F.col("source").eqNullSafe(F.col(source)), "left")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
+    text_hash = F.xxhash64("text")
+    own = F.struct(*hashed_order(F.col("doc_id"), text_hash, SEED), F.coalesce("doc_id", F.lit(0)).alias("d"), text_hash.alias("text_hash"))
+    cut = F.when(size * F.col(rows_of) > F.col(size_of), F.col(large_cut)).otherwise(F.col(small_cut))
+    times = F.when(size > 0, F.col(whole) + F.coalesce((own <= cut).cast("int"), F.lit(0))).otherwise(0).cast("int")
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(1), times))).drop(source, whole, size_of, rows_of, large_cut, small_cut, copy)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
