@@ -34,8 +34,8 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def hilbert_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row of the mix."""
-    return sharding.shard_documents(docs)
+    """Every row of the mix with its shard and slot, in their order."""
+    return sharding.shard_rows(docs)
 
 
 STAGES = [
