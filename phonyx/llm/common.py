@@ -39,15 +39,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
+def materialize(df: DataFrame, name: str = "cut", rows: int | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back, which cuts its lineage.
 
-    The files survive the loss of executors. They stay until the folder is
+    With a bound of its rows, a file is written for each million of them. The files survive the loss of executors. They stay until the folder is
     cleared or `discard` is called with the returned frame.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/phonyx/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // 1_000_000)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._phonyx_path = path
     return out

@@ -32,7 +32,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # Each lower neighbour moves to the least one; the node itself, too.
         moved = star.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         moved = moved.unionByName(star.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        old, now = now, materialize(moved, "edges")
+        # Edges never multiply.
+        old, now = now, materialize(moved, "edges", seen[0])
         discard(old)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root"))

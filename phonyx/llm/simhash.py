@@ -331,77 +331,149 @@ def stage_prints(docs: DataFrame, bands: int, width: int) -> DataFrame:
     return docs.select(*row_key(docs), docs["text"]).mapInArrow(run, "doc_id long, text_key long, node long, f0 long, f1 long, keys array<long>")
 
 
-def candidates(nodes: DataFrame, nearest: bool, hot: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (u, v) of nodes (node, f0, f1, keys, root) of different roots that share a key and are within the radius; and the crowded keys.
-
-    All such pairs, or for each node just the nearest and the least one that it
-    meets; nodes of a large group meet in few of those, which joins it. Then
-    a key of more than `hot` nodes is cut into cells by its nodes' first bits,
-    and only nodes of one cell meet; else into cells for all pairs of blocks.
-    Keys whose nodes have one root are left out.
+def by_key(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches sorted by their first column in runs of whole keys, of about `most` rows where keys allow."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        if sum(x.num_rows for x in held) >= most:
+            key = b.column(0).to_numpy(zero_copy_only=False)
+            cut = int(np.searchsorted(key, key[-1]))
+            done = [*held[:-1], b.slice(0, cut)]
+            # A key that goes on through all that is held waits for its end.
+            if done[0].num_rows and done[0].column(0)[0].as_py() != key[-1]:
+                ends = [int(np.searchsorted(x.column(0).to_numpy(zero_copy_only=False), key[-1])) for x in held]
+                yield [x.slice(0, e) for x, e in zip(held, ends) if e]
+                held = [x.slice(e) for x, e in zip(held, ends) if e < x.num_rows]
+    if held:
+        yield held
+
+
+def columns_of(part: list[pa.RecordBatch], n: int) -> list[np.ndarray]:
+    return [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in part]) for i in range(n)]
+
+
+def apart(key: np.ndarray, band: np.ndarray, f: np.ndarray, root: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(later, earlier, differing bits) of rows with one key, within the radius and of different roots; rows are sorted by key.
+
+    Each pair under the first of its common bands, as far as f's bits show them.
     """
+    if not len(key):
+        return
+    sizes = np.diff(np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)])))
+    several = np.flatnonzero(np.repeat(sizes > 1, sizes))
+    f, root, band, sizes = f[several], root[several], band[several], sizes[sizes > 1]
+    for a, b in close_slabs(f, sizes, STAGE_RADIUS, 1 << 15, root) if len(f) else ():
+        keep = root[a] != root[b]
+        a, b = a[keep], b[keep]
+        differ = f[a] ^ f[b]
+        bits = np.unpackbits(differ.view(np.uint8).reshape(len(a), -1), axis=1, bitorder="little")
+        shown = bits.shape[1] // width
+        common = ~bits[:, : shown * width].reshape(len(a), shown, width).any(2)
+        first = np.where(common.any(1), common.argmax(1), shown)
+        keep = first >= np.minimum(band[a], shown)
+        yield several[a[keep]], several[b[keep]], bits[keep].sum(1, dtype=np.int64)
+
+
+def dealt(nodes: DataFrame, first_bits: bool, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(key, band, f0, f1, node, root): nodes (node, f0, f1, keys, root) under each of their keys, crowded keys in cells; and the crowded keys.
+
+    Keys whose nodes all have one root are left out where they are crowded. A
+    key of more than `hot` nodes is cut by its nodes' first bits, so that only
+    nodes of one cell meet, or into cells for all pairs of blocks.
+    """
+    keyed = nodes.select(F.posexplode("keys").alias("band", "key"), "f0", "f1", "node", "root").select("key", "band", "f0", "f1", "node", "root")
+    counted = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where(F.col("n") > hot), "hot-keys")
+    crowded = counted.select("key", "n")
+    if crowded.isEmpty():
+        return keyed, crowded
+    mixed = counted.where("least < most").select("key", "n")
+    many = keyed.join(mixed, "key", "left_semi")
+    cells = many.withColumn("key", F.xxhash64("key", F.shiftrightunsigned("f0", 64 - CELL_BITS))) if first_bits else in_cells(many, mixed, hot)
+    return keyed.join(crowded, "key", "left_anti").unionByName(cells.select(keyed.columns)), crowded
 
-    def pairs(f: np.ndarray, node: np.ndarray, root: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        several = np.repeat(sizes > 1, sizes)
-        f, node, root, sizes = f[several], node[several], root[several], sizes[sizes > 1]
-        n = len(node)
-        none = np.iinfo(np.int64).max
-        best, least = np.full(n, none), np.full(n, none)
-        for a, b in close_slabs(f, sizes, STAGE_RADIUS, 1 << 15, root) if n else ():
-            apart = root[a] != root[b]
-            a, b = a[apart], b[apart]
-            if not len(a):
-                continue
-            far = np.bitwise_count(f[a] ^ f[b]).sum(1).astype(np.int64)
-            if nearest:
+
+def neighbours(nodes: DataFrame, width: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, v): each node with the nearest and with the least node of another root that it meets; and the crowded keys.
+
+    Nodes of a large group meet in few least ones, which joins it.
+    """
+    none = np.iinfo(np.int64).max
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in by_key(batches, 50_000):
+            key, band, f0, f1, node, root = columns_of(part, 6)
+            n = len(node)
+            best, least = np.full(n, none), np.full(n, none)
+            for a, b, far in apart(key, np.zeros(n, np.int64), np.stack((f0, f1), 1).view(np.uint64), root, width):
                 np.minimum.at(best, a, far * n + b)
                 np.minimum.at(best, b, far * n + a)
                 np.minimum.at(least, a, node[b])
                 np.minimum.at(least, b, node[a])
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(far)], ["u", "v", "far"])
-        if nearest and len(a := np.flatnonzero(best < none)):
-            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[best[a] % n]), pa.array(best[a] // n)], ["u", "v", "far"])
-            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(least[a]), pa.array(np.full(len(a), -1))], ["u", "v", "far"])
+            a = np.flatnonzero(best < none)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[best[a] % n]), pa.array(best[a] // n)], ["u", "v", "far"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(least[a]), pa.array(np.full(len(a), -1))], ["u", "v", "far"])
+
+    rows, crowded = dealt(nodes, True, hot)
+    found = rows.repartition("key").sortWithinPartitions("key", "root").mapInArrow(run, "u long, v long, far long")
+    found = found.groupBy("u", (F.col("far") < 0).alias("least")).agg(F.min(F.struct("far", "v")).alias("m")).select("u", "m.v")
+    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), crowded
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
 
-        def flush(upto_last_key: bool) -> Iterator[pa.RecordBatch]:
-            rows = np.concatenate(held)
-            held.clear()
-            key = rows[:, 0]
-            cut = int(np.searchsorted(key, key[-1])) if upto_last_key else len(key)
-            if cut < len(key):
-                held.append(rows[cut:])
-            if cut:
-                edges = np.concatenate(([0], np.flatnonzero(np.diff(key[:cut])) + 1, [cut]))
-                yield from pairs(rows[:cut, 1:3].view(np.uint64), rows[:cut, 3].copy(), rows[:cut, 4].copy(), np.diff(edges))
+def remaining_links(nodes: DataFrame, sets: DataFrame, width: int, hot: int) -> DataFrame:
+    """Links (u, v) that join all nodes of different roots which share a key, are within the radius and have the similarity, exactly.
 
-        for b in batches:
-            if b.num_rows:
-                held.append(np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(5)], 1))
-                if sum(map(len, held)) >= 50_000:
-                    yield from flush(True)
-        if held:
-            yield from flush(False)
-
-    keyed = nodes.select(F.explode("keys").alias("key"), "f0", "f1", "node", "root")
-    # Written: which keys are crowded, and which have nodes of different roots at all.
-    counted = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where((F.col("least") < F.col("most")) & (F.col("n") > hot)), "hot-keys")
-    crowded = counted.select("key", "n")
-    dealt = keyed
-    if not crowded.isEmpty():
-        many = keyed.join(crowded, "key", "left_semi")
-        if nearest:
-            cells = many.withColumn("key", F.xxhash64("key", F.shiftrightunsigned("f0", 64 - CELL_BITS)))
-        else:
-            cells = in_cells(many, crowded, hot)
-        dealt = keyed.join(crowded, "key", "left_anti").unionByName(cells)
-    found = dealt.repartition("key").sortWithinPartitions("key", "root").mapInArrow(run, "u long, v long, far long")
-    if nearest:
-        found = found.groupBy("u", (F.col("far") < 0).alias("least")).agg(F.min(F.struct("far", "v")).alias("m")).select("u", "m.v")
-    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), crowded
+    First which nodes have such a candidate, under which key; those then meet
+    with their shingle sets, and each key's pairs are checked from the nearest
+    on, where they stand. Pairs that links found before join need no check, so
+    what leaves a task are fewer links than nodes.
+    """
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in by_key(batches, 50_000):
+            key, band, f0, f1, node, root = columns_of(part, 6)
+            met = np.zeros(len(node), bool)
+            for a, b, _ in apart(key, band, np.stack((f0, f1), 1).view(np.uint64), root, width):
+                met[a] = met[b] = True
+            k = np.flatnonzero(met)
+            if len(k):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k]) for x in (key, band, f0, f1, node, root)], ["key", "band", "f0", "f1", "node", "root"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in by_key(batches, 2_000):
+            key, band, f0, f1, node, root = columns_of(part, 6)
+            own = [x for b in part for x in b.column(6)]
+            found = list(apart(key, band, np.stack((f0, f1), 1).view(np.uint64), root, width))
+            if not found:
+                continue
+            a, b, far = (np.concatenate(x) for x in zip(*found))
+            up: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while x in up:
+                    x = up[x]
+                return x
+
+            out = []
+            for i, j in zip(a[order := np.argsort(far, kind="stable")].tolist(), b[order].tolist()):
+                ri, rj = top(int(root[i])), top(int(root[j]))
+                if ri != rj:
+                    x, y = (own[k].values.to_numpy() for k in (i, j))
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if both >= STAGE_SIMILARITY * (len(x) + len(y) - both):
+                        up[max(ri, rj)] = min(ri, rj)
+                        out.append((max(int(node[i]), int(node[j])), min(int(node[i]), int(node[j]))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["u", "v"])
+
+    rows, _ = dealt(nodes, False, hot)
+    schema = "key long, band int, f0 long, f1 long, node long, root long"
+    met = materialize(rows.repartition("key").sortWithinPartitions("key", "root").mapInArrow(needed, schema), "stage-met")
+    full = met.join(sets, "node").select("key", "band", "f0", "f1", "node", "root", "shingles")
+    return full.repartition("key").sortWithinPartitions("key", "root").mapInArrow(check, "u long, v long").distinct()
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -439,10 +511,11 @@ def similar_groups(docs: DataFrame, hot: int = 8192) -> DataFrame:
     they leave in different groups is compared pair by pair, so a large group
     costs few checks. Keys of more than `hot` nodes are compared in parts.
     """
-    prints = materialize(stage_prints(docs, *bands_for(docs.count())), "stage-prints")
+    bands, width = bands_for(docs.count())
+    prints = materialize(stage_prints(docs, bands, width), "stage-prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
     classes = materialize(prints.groupBy("node").agg(first.alias("head"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("keys").alias("keys")), "stage-classes")
-    found, crowded = candidates(classes.withColumn("root", F.col("node")), True, hot)
+    found, crowded = neighbours(classes.withColumn("root", F.col("node")), width, hot)
     edges = materialize(found, "stage-candidates")
     # Whatever has a candidate at all has one in the first turn, or is in a crowded key.
     some = edges.select(F.explode(F.array("u", "v")).alias("node"))
@@ -453,10 +526,10 @@ def similar_groups(docs: DataFrame, hot: int = 8192) -> DataFrame:
     sets = shingle_sets(with_key(docs, heads, "left_semi")).join(near.select("node"), "node", "left_semi")
     sets = materialize(sets.dropDuplicates(["node"]), "stage-sets")
     linked = materialize(similar(edges, sets), "stage-links")
-    for nearest in (True, False):
+    for last in (False, True):
         rooted = near.join(connected_components(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
         rooted = materialize(rooted, "stage-rooted")
-        more = similar(candidates(rooted, nearest, hot)[0], sets)
+        more = remaining_links(rooted, sets, width, hot) if last else similar(neighbours(rooted, width, hot)[0], sets)
         old, linked = linked, materialize(linked.unionByName(more), "stage-links")
         discard(old)
         discard(rooted)
