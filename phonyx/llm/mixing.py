@@ -40,7 +40,7 @@ WEIGHTS = (3, 1, 2)
 #: Of the hashed order in which documents are repeated once more.
 SEED = 7
 #: First bits of the hash that cut that order into coarse cells.
-CELL_BITS = 16
+CELL_BITS = 12
 #: Constraints of other columns than the source, all together.
 MOST_SHARED = 128
 
