@@ -1,26 +1,33 @@
 r"""Chat formatting in budgeted windows.
 
-A conversation's turns are packed into windows of at most `budget` tokens. In
-each block of turns, prefix sums of turn tokens place every turn in a half
-span; turns that start in the same half span make a window, so windows are
-aligned with turns and hold their share of the budget. A turn longer than
-half a span stands in a window of its own, whole; `over_budget` marks windows
-that it makes too long. Each later window repeats the conversation's first
-system turn and the last turns of the window before it, up to `history`
-tokens. The loss mask covers assistant texts where they are new, never where
-they are repeated, so every target counts once.
+A conversation's turns are numbered in order and get the prefix sums of their
+tokens. A window takes turns as long as their sum stays within what the budget
+leaves beside the turns that the window repeats, so windows are aligned with
+turns; a turn that is longer by itself stands in a window of its own, whole,
+and `over_budget` marks windows that are too long. Every window but the first
+repeats the conversation's first system turn, if that came before, and the
+last turns before the window, up to `history` tokens. The loss mask covers
+assistant texts where they are new, never where they are repeated, so every
+target counts once.
 
 Template: `[INST]role\ntext[/INST]`, `<s>role\ntext</s>` for the assistant and
 `<<SYS>>role\ntext<</SYS>>` for the system; the role is URL-encoded. A control
 string inside a text gets one backslash after its first character (one more
 if it has some already), which reading back removes.
 
-Everything is DataFrame expressions. Null text or role is empty; a null turn
-comes first; null conv_id is a conversation of its own; turns with equal
-numbers are ordered by role and text, and repeated rows are turns of their
-own. An empty table gives an empty result. A conversation of any length is
-spread over blocks of turn numbers, so one with a third of all rows is packed
-in many tasks.
+Everything is DataFrame expressions. Windows are laid out on light rows
+(order, tokens, a hash of the text), and texts join them once that is done.
+Order comes from one range sort with offsets between its partitions, and spans
+are folded in blocks of `block` turns (a window ends at the edge of a block),
+so a conversation with a third of all rows is dealt over many tasks, whatever
+its turn numbers are. Only the digest of a whole conversation, which `digests`
+makes, needs its text in one row.
+
+Null text or role is empty; a null turn comes first; null conv_id is a
+conversation of its own; turns with equal numbers are ordered by role, length
+and hash of the text, and repeated rows are turns of their own. Texts of any
+length are whole, and extra columns play no part. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -28,13 +35,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 #: First character, backslashes, rest: the template's control strings.
 CONTROL = r"([<\[])(\\*)(/?s>|/?INST\]|</?SYS>>)"
 ESCAPED = r"([<\[])\\(\\*)(/?s>|/?INST\]|</?SYS>>)"
 TURN = r"(?s)(?:\[INST\]|<s>|<<SYS>>)(.*?)(?:\[/INST\]|</s>|<</SYS>>)"
-EMPTY_PIECES = "array<struct<start:bigint,rendered:string,at:bigint,chars:bigint,target:boolean>>"
+#: What a turn is known by; rows equal in these are equal.
+IDENTITY = ["c", "t", "role", "chars", "digest"]
+STARTS = "array<struct<number:bigint,start:bigint>>"
 
 
 def escape(text: Column) -> Column:
@@ -50,87 +59,115 @@ def by_bytes(text: Column) -> Column:
     return F.ceil(F.octet_length(text) / 4).cast("long") + 8
 
 
-def render(turns: DataFrame, tokens: Column) -> DataFrame:
-    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    kind = F.when(role == "assistant", 0).when(role == "system", 1).otherwise(2)
-    opening = F.when(kind == 0, "<s>").when(kind == 1, "<<SYS>>").otherwise("[INST]")
-    closing = F.when(kind == 0, "</s>").when(kind == 1, "<</SYS>>").otherwise("[/INST]")
-    head = F.concat(opening, F.url_encode(role), F.lit("\n"))
+def identified(turns: DataFrame, tokens: Column) -> DataFrame:
+    """turns with IDENTITY, `conv_id`, `text` and `tokens` (one at least)."""
+    text = F.coalesce("text", F.lit(""))
     return turns.select(
-        "conv_id",
-        F.coalesce(F.col("conv_id").cast("string"), F.lit("none")).alias("c"),
-        F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("t"),
-        role.alias("role"), text.alias("text"), tokens.alias("tokens"),
-        F.concat(head, escape(text), closing).alias("rendered"),
-        F.length(head).cast("long").alias("at"),
-        F.length(escape(text)).cast("long").alias("chars"),
-        (kind == 0).alias("target"),
+        "conv_id", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("c"), F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("t"),
+        F.coalesce("role", F.lit("")).alias("role"), F.length(text).alias("chars"), F.xxhash64(text).alias("digest"), text.alias("text"), F.greatest(tokens, F.lit(1)).cast("long").alias("tokens"),
     )
 
 
-def format_windows(turns: DataFrame, budget: int = 2048, history: int = 256, system: int = 256, block: int = 256, carried: int = 16, tokens: Column | None = None) -> DataFrame:
-    """(conv_id, block, window, text, repeated, loss_spans, n_tokens, over_budget), a row for each window.
+def numbered(classes: DataFrame) -> DataFrame:
+    """A row for each turn, from classes (IDENTITY, conv_id, tokens, copies): its `number` and `start`, the tokens before it in its conversation.
 
-    `text` is the rendered window, its first `repeated` turns are context, and
-    `loss_spans` are (start, length) in code points. `system` tokens are set
-    aside for the system turn. Turns are packed in blocks of `block` turn
-    numbers; the last `carried` numbers of a block can be history in the next.
+    One range sort of light rows; numbers and sums within each piece of a
+    conversation that a partition holds, and offsets between the pieces.
     """
-    half = max(1, (budget - history - system) // 2)
-    rows = render(turns, by_bytes(F.coalesce("text", F.lit(""))) if tokens is None else tokens)
-    number = F.floor(F.col("t") / block).cast("long")
-    carry = F.pmod(F.col("t"), F.lit(block)) >= block - carried
-    both = F.when(carry, F.array(F.struct(number.alias("b"), F.lit(False).alias("old")), F.struct((number + 1).alias("b"), F.lit(True).alias("old")))).otherwise(
-        F.array(F.struct(number.alias("b"), F.lit(False).alias("old")))
-    )
-    placed = rows.withColumn("p", F.explode(both)).select("*", "p.b", "p.old").drop("p")
-
-    here = Window.partitionBy("c", "b")
-    order = here.orderBy("t", "role", "text")
-    past = order.rowsBetween(Window.unboundedPreceding, -1)
-    summed = placed.withColumn("start", F.coalesce(F.sum("tokens").over(past), F.lit(0))).withColumn("before", F.coalesce(F.sum(F.when(F.col("old"), F.col("tokens"))).over(here), F.lit(0)))
-    along = here.orderBy("start")
-    span = F.floor((F.col("start") - F.col("before")) / half)
-    alone = F.col("tokens") > half
-    turned = summed.withColumn("span", span).withColumn("alone", alone).withColumn("opens", F.when(F.col("old"), 0).when(
-        F.lag("old", 1, True).over(along) | F.col("alone") | F.lag("alone", 1, False).over(along) | (F.col("span") != F.lag("span").over(along)), 1
-    ).otherwise(0))
-    numbered = turned.withColumn("window", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    # Where the next window starts; a turn within `history` tokens of it is repeated there.
-    following = F.min("start").over(here.orderBy("window").rangeBetween(1, 1))
-    reach = numbered.withColumn("next", following)
-    own = F.struct(F.col("window").alias("w"), F.lit(False).alias("again"))
-    again = F.struct((F.col("window") + 1).alias("w"), F.lit(True).alias("again"))
-    repeat = F.coalesce(F.col("start") >= F.col("next") - history, F.lit(False))
-    places = F.when(F.col("old"), F.when(repeat, F.array(again)).otherwise(F.array().cast("array<struct<w:bigint,again:boolean>>"))).when(repeat, F.array(own, again)).otherwise(F.array(own))
-    copies = reach.withColumn("p", F.explode(places)).select("*", "p.w", "p.again").drop("p")
-
-    piece = F.struct("start", "rendered", "at", "chars", (F.col("target") & ~F.col("again")).alias("target"))
-    windows = copies.groupBy("c", "b", "w").agg(
-        F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(piece)).alias("pieces"),
-        F.count_if("again").alias("repeated"), F.sum("tokens").alias("n_tokens"), F.min("t").alias("first_turn"),
-    )
-    lead = rows.where("role = 'system'").groupBy("c").agg(F.min(F.struct("t", "text", "rendered", "tokens")).alias("sys"))
-    joined = windows.join(lead, "c", "left")
-    retained = F.coalesce(F.col("first_turn") > F.col("sys.t"), F.lit(False))
-    lead_piece = F.struct(F.lit(-1).cast("long").alias("start"), F.col("sys.rendered").alias("rendered"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("chars"), F.lit(False).alias("target"))
-    full = joined.withColumn("pieces", F.concat(F.when(retained, F.array(lead_piece)).otherwise(F.array()).cast(EMPTY_PIECES), F.col("pieces").cast(EMPTY_PIECES)))
-    n_tokens = F.col("n_tokens") + F.when(retained, F.col("sys.tokens")).otherwise(0)
+    copied = classes.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    order = [*IDENTITY, "copy"]
+    kept = materialize(copied.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "turns").withColumn("part", F.shiftright("at", 33))
+    inside = Window.partitionBy("c", "part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = kept.groupBy("c", "part").agg(F.count("*").alias("n"), F.sum("tokens").alias("s"))
+    # At most one row for each conversation and partition.
+    offsets = sums.select("c", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("s0"))
+    local = kept.withColumn("number", F.count("*").over(inside)).withColumn("start", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
+    placed = local.join(offsets, ["c", "part"]).withColumn("number", F.col("number") + F.col("n0")).withColumn("start", F.col("start") + F.col("s0"))
+    return placed.drop("at", "part", "n0", "s0", "copy")
+
+
+def spans(turns: DataFrame, leads: DataFrame, budget: int, history: int, block: int) -> DataFrame:
+    """(c, b, starts): number and start of each window's first turn, for every block b of a conversation."""
+    ordered = F.array_sort(F.collect_list(F.struct("number", "start", "tokens")))
+    blocks = turns.groupBy("c", F.floor(F.col("number") / block).alias("b")).agg(ordered.alias("turns")).join(leads.select("c", "sys_tokens"), "c", "left")
+    room = F.lit(budget - history) - F.coalesce("sys_tokens", F.lit(0))
+
+    def step(acc: Column, turn: Column) -> Column:
+        opens = (F.size(acc["starts"]) == 0) | (turn["start"] + turn["tokens"] > acc["limit"])
+        limit = turn["start"] + F.when(turn["number"] == 0, F.lit(budget).cast("long")).otherwise(room.cast("long"))
+        first = F.array(F.struct(turn["number"].alias("number"), turn["start"].alias("start")))
+        return F.struct(F.when(opens, limit).otherwise(acc["limit"]).alias("limit"), F.when(opens, F.concat(acc["starts"], first)).otherwise(acc["starts"]).alias("starts"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("limit"), F.array().cast(STARTS).alias("starts"))
+    return blocks.select("c", "b", F.aggregate("turns", zero, step, lambda acc: acc["starts"]).alias("starts"))
+
+
+def members(turns: DataFrame, leads: DataFrame, budget: int, history: int, block: int) -> DataFrame:
+    """(c, window, place, again, tokens, IDENTITY): every turn in its window, and the repeated ones; `window` is the number of its first new turn."""
+    cuts = materialize(spans(turns, leads, budget, history, block), "windows")
+    at = F.floor(F.col("number") / block)
+    own = turns.withColumn("b", at).join(cuts, ["c", "b"]).withColumn("window", F.array_max(F.transform(F.filter("starts", lambda s: s["number"] <= F.col("number")), lambda s: s["number"])))
+    kinds = [*IDENTITY, "tokens"]
+    out = own.select("window", F.col("number").alias("place"), F.lit(False).alias("again"), *kinds)
+    windows = cuts.select("c", F.explode("starts").alias("s")).where("s.number > 0").select("c", F.col("s.number").alias("window"), F.col("s.start").alias("first"))
+    if history > 0:
+        # A turn has a token at least, so a bucket of the prefix sums holds at most `history` turns.
+        reach = windows.withColumn("bucket", F.explode(F.array(F.floor(F.col("first") / history) - 1, F.floor(F.col("first") / history))))
+        met = turns.withColumn("bucket", F.floor(F.col("start") / history)).join(reach, ["c", "bucket"]).where((F.col("start") >= F.col("first") - history) & (F.col("start") < F.col("first")))
+        again = met.select("window", F.col("number").alias("place"), F.lit(True).alias("again"), F.col("first"), F.col("start"), *kinds)
+        out = out.unionByName(again.drop("first", "start"))
+        reached = again.groupBy("c", "window").agg(F.min("place").alias("oldest"))
+        windows = windows.join(reached, ["c", "window"], "left")
+    else:
+        windows = windows.withColumn("oldest", F.lit(None).cast("long"))
+    # The system turn, unless it is among the repeated turns or comes later.
+    lead = windows.join(leads, "c").where(F.col("sys_number") < F.coalesce("oldest", "window"))
+    said = [F.col(f"sys_{k}").alias(k) for k in kinds if k != "c"]
+    return out.unionByName(lead.select("window", F.lit(-1).cast("long").alias("place"), F.lit(True).alias("again"), "c", *said))
+
+
+def format_windows(turns: DataFrame, budget: int = 2048, history: int = 256, block: int = 1024, tokens: Column | None = None) -> DataFrame:
+    """(c, conv_id, window, text, repeated, loss_spans, n_tokens, over_budget), a row for each window.
+
+    `window` is the number of its first new turn, `text` the rendered window,
+    whose first `repeated` turns are context, and `loss_spans` are (start,
+    length) in code points. `tokens` is a column of turns' tokens.
+    """
+    rows = identified(turns, by_bytes(F.coalesce("text", F.lit(""))) if tokens is None else tokens)
+    classes = rows.groupBy(*IDENTITY).agg(F.first("conv_id").alias("conv_id"), F.first("tokens").alias("tokens"), F.count("*").alias("copies"))
+    placed = materialize(numbered(classes), "numbered")
+    system = placed.where("role = 'system'").groupBy("c").agg(F.min(F.struct("number", *IDENTITY[1:], "tokens")).alias("s"))
+    leads = system.select("c", *[F.col(f"s.{k}").alias(f"sys_{k}") for k in ("number", *IDENTITY[1:], "tokens")])
+    laid = members(placed, leads, budget, history, block)
+
+    known = F.col("role")
+    kind = F.when(known == "assistant", 0).when(known == "system", 1).otherwise(2)
+    opening = F.when(kind == 0, "<s>").when(kind == 1, "<<SYS>>").otherwise("[INST]")
+    closing = F.when(kind == 0, "</s>").when(kind == 1, "<</SYS>>").otherwise("[/INST]")
+    head = F.concat(opening, F.url_encode(known), F.lit("\n"))
+    texts = rows.drop("tokens")
+    repeated = placed.where("copies > 1").select(*IDENTITY).distinct()
+    if not repeated.isEmpty():
+        texts = texts.join(repeated, IDENTITY, "left_anti").unionByName(texts.join(repeated, IDENTITY, "left_semi").dropDuplicates(IDENTITY))
+    said = texts.select(*IDENTITY, "conv_id", F.concat(head, escape(F.col("text")), closing).alias("rendered"), F.length(head).cast("long").alias("at"), F.length(escape(F.col("text"))).cast("long").alias("shown"))
+    # A long text stands in its turn's window, and again where it is repeated.
+    joined = laid.join(said, IDENTITY)
+    piece = F.struct("place", "rendered", "at", "shown", ((F.col("role") == "assistant") & ~F.col("again")).alias("target"))
+    windows = joined.groupBy("c", "window").agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(piece)).alias("pieces"), F.count_if("again").alias("repeated"), F.sum("tokens").alias("n_tokens"))
     # Offsets of the pieces in the window: prefix sums of their lengths.
-    spans = F.aggregate(
+    masks = F.aggregate(
         "pieces",
         F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
         lambda acc, p: F.struct(
             (acc["pos"] + F.length(p["rendered"])).alias("pos"),
-            F.when(p["target"], F.concat(acc["spans"], F.array(F.struct((acc["pos"] + p["at"]).alias("start"), p["chars"].alias("length"))))).otherwise(acc["spans"]).alias("spans"),
+            F.when(p["target"], F.concat(acc["spans"], F.array(F.struct((acc["pos"] + p["at"]).alias("start"), p["shown"].alias("length"))))).otherwise(acc["spans"]).alias("spans"),
         ),
         lambda acc: acc["spans"],
     )
-    return full.select(
-        "c", "conv_id", F.col("b").alias("block"), F.col("w").alias("window"),
-        F.array_join(F.transform("pieces", lambda p: p["rendered"]), "").alias("text"),
-        (F.col("repeated") + retained.cast("long")).alias("repeated"),
-        spans.alias("loss_spans"), n_tokens.alias("n_tokens"), (n_tokens > budget).alias("over_budget"),
+    return windows.select(
+        "c", "conv_id", "window", F.array_join(F.transform("pieces", lambda p: p["rendered"]), "").alias("text"),
+        "repeated", masks.alias("loss_spans"), "n_tokens", (F.col("n_tokens") > budget).alias("over_budget"),
     )
 
 
@@ -153,12 +190,12 @@ def digests(windows: DataFrame) -> DataFrame:
     """
     read = read_back(windows)
     part = read.select(
-        "c", "conv_id", "block", "window", F.size("turns").cast("long").alias("n"), F.length("text").cast("long").alias("chars"), "loss",
+        "c", "conv_id", "window", F.size("turns").cast("long").alias("n"), F.length("text").cast("long").alias("chars"), "loss",
         F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("said"),
     )
     joined = part.groupBy("c").agg(
         F.first("conv_id").alias("conv_id"), F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"),
-        F.array_sort(F.collect_list(F.struct("block", "window", "said", "loss"))).alias("parts"),
+        F.array_sort(F.collect_list(F.struct("window", "said", "loss"))).alias("parts"),
     )
     said = F.array_join(F.transform("parts", lambda p: p["said"]), "")
     loss = F.array_join(F.transform("parts", lambda p: p["loss"]), "")
