@@ -1,7 +1,8 @@
 """Noisy-channel restoration of disguised words: Viterbi over character lattices under a character language model.
 
 A token is taken for the output of a channel that swaps letters for look-alike
-characters, doubles letters, puts symbols between them or spaces a word out.
+characters (digits, symbols, letters of other scripts, accented letters),
+doubles letters, puts symbols between them or spaces a word out.
 Each character becomes a column of alternatives (what it may stand for and the
 cost of that), and the cheapest path of channel and language model together is
 the restored token. A token whose columns have one alternative each has only
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable
 
@@ -20,6 +22,8 @@ LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "µ": "u",
 }
+#: Look-alikes among the letters of other scripts, a fixed table.
+FOREIGN = {"а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "α": "a", "ε": "e", "ι": "i", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x"}
 #: Masks: any vowel between two letters.
 MASKS, VOWELS = "*#", "aeiou"
 #: Costs in nats: of a look-alike, of a look-alike read as itself, of a dropped symbol, of a masked letter, of undoing a doubling, of joining two spaced-out characters.
@@ -30,6 +34,22 @@ SUSPECT = re.compile(r"[\W\d_]|(.)\1", re.S)
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S){2,}(?!\S)")
 LETTERS = re.compile(r"[^\W\d_]+\Z")
 LETTER = re.compile(r"[^\W\d_]")
+PLAIN, OTHER_SCRIPT = re.compile(r"[a-z]"), re.compile(f"[{''.join(FOREIGN)}]")
+
+
+def lookalike_of(letter: str) -> str:
+    """The plain letter that a letter of another script, or with an accent, may stand for; else nothing."""
+    base = FOREIGN.get(letter) or unicodedata.normalize("NFD", letter)[0]
+    return base if base != letter and base.isascii() else ""
+
+
+def suspect(token: str) -> bool:
+    """Whether a lower-cased token shows signs of the channel: a non-letter, a doubling, mixed scripts or several accents."""
+    if SUSPECT.search(token):
+        return True
+    if token.isascii():
+        return False
+    return bool(OTHER_SCRIPT.search(token) and PLAIN.search(token)) or sum(lookalike_of(c) != "" and c not in FOREIGN for c in token) > 1
 
 
 class CharacterModel:
@@ -92,12 +112,11 @@ def columns(token: str) -> list[list[tuple[str, float]]]:
         run = j - i
         edge = i == 0 or j == n
         if c.isalpha():
-            if run == 1:
-                out.append([(c, 0.0)])
-            elif run == 2:
-                out.append([(c + c, 0.0), (c, UNDOUBLE)])
-            else:
-                out.append([(c, 0.0), (c + c, 0.5)])
+            kinds = {1: [(1, 0.0)], 2: [(2, 0.0), (1, UNDOUBLE)]}.get(run, [(1, 0.0), (2, 0.5)])
+            found = [(c * k, price) for k, price in kinds]
+            if other := "" if c.isascii() else lookalike_of(c):
+                found += [(other * k, price + SWAP) for k, price in kinds]
+            out.append(found)
         elif c.isspace():
             out.append([("", JOIN), (" ", 0.0)])
         else:
@@ -153,7 +172,7 @@ def restore(token: str, model: CharacterModel) -> str:
     A token without any letter (a number, a rule of dashes) stands for itself.
     """
     token = token.lower()
-    if not SUSPECT.search(token) or not LETTER.search(token):
+    if not suspect(token) or not LETTER.search(token):
         return token
     lattice = columns(token)
     if all(len(c) == 1 for c in lattice):

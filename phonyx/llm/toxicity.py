@@ -2,15 +2,19 @@
 
 Tokens go through the noisy channel of `deobfuscate`; the restored words and
 their beginnings are the features of a logistic regression. The character
-model, the choice of features and the regression are fitted on at most
-`sample` labelled rows, those with the least hashes among rows that are not
-held out; every document is scored, whole. Labels, language, source and id are
-never inputs of a score.
-
-Null and empty texts have no words and get the share of toxic rows as score.
-Rows are scored one by one, so repeated rows get equal scores; rows without an
-id are scored and never learned from, and count as not held out. Without
-labelled rows every score is one third. An empty table gives an empty result.
+model is counted on the words of all documents; of its n-grams the `grams`
+most frequent are kept, and rarer ones are smoothed from shorter ones like
+those never seen. The choice of features and the regression are fitted on at
+most `sample` labelled rows, those with the least hashes among rows that are
+not held out; every document is scored, whole. Labels, language, source and id
+are never inputs of a score.
+
+A text without tokens (null, empty, blank) gets the share of toxic rows among
+those learned from, (toxic + 1) / (rows + 3), as score; so does every text if
+there are none. Of several texts under one labelled id the one with the least
+hash is learned from. Rows are scored one by one, so repeated rows get equal
+scores; rows without an id are scored and never learned from, and count as not
+held out. Other columns play no part. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, table
-from .deobfuscate import LETTERS, SPACED, SUSPECT, CharacterModel, character_counts, restore
+from .deobfuscate import LETTERS, SPACED, CharacterModel, character_counts, restore, suspect
 
 PREFIXES = range(3, 9)
 
@@ -50,7 +54,7 @@ class Reader:
 
     def token(self, token: str) -> tuple:
         plain = token.lower()
-        words = restore(token, self.model).split() if SUSPECT.search(plain) else (plain,)
+        words = restore(token, self.model).split() if suspect(plain) else (plain,)
         if self.chosen is None:
             found = [f for w in words for f in features_of(w)]
         else:
@@ -86,28 +90,46 @@ def learning_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     # At most `sample` ids.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).dropDuplicates(["_id"]).select("text", F.col("_toxic").cast("int").alias("toxic"))
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    return met.groupBy("_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("_toxic").cast("int").alias("toxic")).select("text", "toxic")
 
 
-def fit_characters(rows: DataFrame, order: int = 4) -> CharacterModel:
+def fit_characters(docs: DataFrame, order: int = 4, grams: int = 200_000) -> dict[str, int]:
+    """Counts of the most frequent character n-grams of the words of all texts, at most `grams`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            counts = character_counts(((w, n) for w, n in words.items() if LETTERS.match(w)), order)
+            words.clear()
+            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["gram", "n"])
+
         for b in batches:
             for text in b.column(0).to_pylist():
-                words.update(w for w in (text or "").lower().split() if LETTERS.match(w))
-        counts = character_counts(words.items(), order)
-        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["gram", "n"])
+                words.update((text or "").lower().split())
+                if len(words) >= 200_000:
+                    yield flush()
+        yield flush()
+
+    counted = docs.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return {r["gram"]: r["n"] for r in counted.orderBy(F.desc("n"), "gram").limit(grams).collect()}
+
 
-    counted = rows.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return CharacterModel({r["gram"]: r["n"] for r in counted.collect()}, order)
+def reader_of(shared: dict) -> Reader:
+    """The reader for broadcast counts and features, kept with them, so that a worker's tasks share what it has read."""
+    if "reader" not in shared:
+        shared["reader"] = Reader(CharacterModel(shared["counts"]), shared.get("chosen"))
+    return shared["reader"]
 
 
-def choose_features(rows: DataFrame, model: CharacterModel, most: int, least_rows: int) -> list[str]:
+def choose_features(rows: DataFrame, counts: dict[str, int], most: int, least_rows: int) -> list[str]:
     """The features whose presence tells most about the label, by the signed likelihood-ratio weight."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    # Plain values only: workers build the model from them and need no package of ours.
+    shared = rows.sparkSession.sparkContext.broadcast({"counts": counts})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, bad, all_ = Reader(shared.value), Counter(), Counter()
+        reader, bad, all_ = reader_of(shared.value), Counter(), Counter()
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 found = reader.text(text)[0].keys()
@@ -159,16 +181,16 @@ def logistic(rows: list[tuple[list[int], list[float]]], y: np.ndarray, n_columns
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, most: int = 4096, least_rows: int = 4) -> tuple[CharacterModel, dict[str, int], np.ndarray]:
-    """The character model, the features' numbers and the weights: of each feature, of the text's size, and the intercept."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, most: int = 4096, least_rows: int = 4) -> dict:
+    """Plain values: n-gram `counts`, features `chosen` and their numbers, `weights` (features, text's size, intercept) and the score of an `empty` text."""
     rows = materialize(learning_rows(docs, labels, sample), "toxic-sample")
-    model = fit_characters(rows)
-    names = choose_features(rows, model, most, least_rows)
-    chosen = {f: i for i, f in enumerate(names)}
-    shared = rows.sparkSession.sparkContext.broadcast((model, chosen))
+    counts = fit_characters(docs)
+    names = choose_features(rows, counts, most, least_rows)
+    model = {"counts": counts, "chosen": {f: i for i, f in enumerate(names)}}
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(*shared.value)
+        reader = reader_of(shared.value)
         for b in batches:
             found = [strengths(*reader.text(t), len(reader.chosen)) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -178,9 +200,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, most: int = 40
     # At most `sample` short lists of feature numbers, in an order of their own so that sums do not depend on partitions.
     read = rows.select("text", "toxic").mapInArrow(run, "columns array<int>, values array<double>, toxic int").collect()
     read = sorted((r["toxic"], r["columns"], r["values"]) for r in read)
+    y = np.array([float(t == 1) for t, *_ in read])
+    empty = float((y.sum() + 1) / (len(y) + 3))
     if not read:
-        return model, {}, np.array([0.0, np.log(0.5)])
-    return model, chosen, logistic([(c, v) for _, c, v in read], np.array([float(t == 1) for t, *_ in read]), len(names) + 1)
+        return model | {"weights": [0.0, math.log(0.5)], "empty": empty}
+    return model | {"weights": logistic([(c, v) for _, c, v in read], y, len(names) + 1).tolist(), "empty": empty}
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = 10_000) -> DataFrame:
@@ -188,12 +212,17 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 10_000) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, chosen, weights = shared.value
-        reader = Reader(model, chosen)
-        values = weights.tolist()
+        reader, weights, empty = reader_of(shared.value), shared.value["weights"], shared.value["empty"]
+
+        def of(text: str | None) -> float:
+            found, tokens = reader.text(text)
+            if not tokens or len(weights) < 3:
+                return empty
+            z = weights[-1] + sum(weights[c] * v for c, v in zip(*strengths(found, tokens, len(weights) - 2)))
+            return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+
         for b in batches:
-            z = np.array([values[-1] + sum(values[c] * v for c, v in zip(*strengths(*reader.text(t), len(chosen)))) for t in b.column(2).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], ["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([of(t) for t in b.column(2).to_pylist()], pa.float64())], ["doc_id", "held_out", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double")
 
