@@ -22,9 +22,11 @@ masses are quantised to 8 bits.
 Words that alone make up more than twice a shard's share are split: half of a
 token's terms goes to the shard of (token before, token), half to that of
 (token, token after), and pairs of such words by all three; their totals come
-from an exact count that is made before and broadcast (at most half as many
-words as there are shards). Records of a document that are equal travel as one
-with a count.
+from an exact count that is made before and broadcast. There are at most half
+as many such words as shards, and a shard has some `shard_tokens` tokens, so
+this table (24 bytes a word) grows with the input, by some 12 bytes for each
+million tokens. Records of a document that are equal travel as one with a
+count. A partition holds one shard, so a task's memory is that of one shard.
 
 Words and tokens are told apart by 64-bit hashes, neighbours within a word's
 lists by 32 bits. Null and empty texts are one end token. Rows without an id
@@ -44,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, materialize, table
 from .eliasfano import EliasFano, Store
 from .importance import text_bytes
 
@@ -151,8 +153,14 @@ def member(table_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # -- words that are too frequent for one shard -------------------------------------------------------------------
 
 
-def frequent(docs: DataFrame, shards_at_least: int, shard_tokens: int) -> tuple[int, SimpleNamespace]:
-    """The number of shards and the exact totals of words, and pairs of words, with over twice a shard's share."""
+def shards_for(docs: DataFrame, shard_tokens: int, least: int) -> int:
+    """How many shards the texts are dealt to: by their bytes, six to a token, and two tokens more for each text."""
+    size, n = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    return max(least, -(-(size // 6 + 2 * n) // shard_tokens))
+
+
+def frequent(docs: DataFrame, shards: int) -> SimpleNamespace:
+    """The exact totals of words, and pairs of words, with over twice a shard's share."""
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, counts = 0, defaultdict(int)
@@ -160,7 +168,7 @@ def frequent(docs: DataFrame, shards_at_least: int, shard_tokens: int) -> tuple[
             total += len(hashes) + 2 * len(training)
             keys, n = np.unique(hashes, return_counts=True)
             # What has a share of 1 / shards overall has it in some task; a task's list of those is short.
-            often = n * shards_at_least >= len(hashes)
+            often = n * shards >= len(hashes)
             for k, c in zip(keys[often].tolist(), n[often].tolist()):
                 counts[k] += c
             for k in (BEGIN, END):
@@ -168,14 +176,14 @@ def frequent(docs: DataFrame, shards_at_least: int, shard_tokens: int) -> tuple[
         keys = [0, *counts]
         yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, U64).view(np.int64)), pa.array([total, *counts.values()], pa.int64())], ["word", "n"])
 
-    found = docs.mapInArrow(candidates, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = materialize(docs.mapInArrow(candidates, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequent")
     total = found.where("word = 0").agg(F.sum("n")).first()[0] or 0
-    shards = max(shards_at_least, -(-total // shard_tokens))
     limit = 2 * total / shards
     hot = np.sort(np.array([r["word"] for r in found.where((F.col("word") != 0) & (F.col("n") > limit)).select("word").collect()], np.int64).view(U64))
+    discard(found)
     none = SimpleNamespace(words=hot, count=np.zeros(len(hot)), kinds=np.zeros(len(hot)), pairs=np.zeros(0, U64), pair_count=np.zeros(0), pair_kinds=np.zeros(0))
     if not len(hot):
-        return shards, none
+        return none
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +214,7 @@ def frequent(docs: DataFrame, shards_at_least: int, shard_tokens: int) -> tuple[
     keys = of_pairs["key"].to_numpy(np.int64).view(U64)
     order = np.argsort(keys)
     none.pairs, none.pair_count, none.pair_kinds = keys[order], of_pairs["learned"].to_numpy(float)[order], of_pairs["kinds"].to_numpy(float)[order]
-    return shards, none
+    return none
 
 
 # -- records on their way to the shards --------------------------------------------------------------------------
@@ -409,7 +417,7 @@ def answers(blobs: list[tuple[int, int, bytes]], kind: int, hot: SimpleNamespace
     """Sums by document row of the records of one shard, and the shard's training tokens and kinds of words."""
     parts = [unpack(x) for _, _, x in blobs]
     batch = np.repeat(np.array([k for k, _, _ in blobs], np.int64), [len(p[0]) for p in parts])
-    blobs.clear()
+    blobs.clear()  # each document group's records are views of its blob until the next line
     w, a, b, row, n = (np.concatenate([p[i] for p in parts]) for i in range(5))
     del parts
     order = np.argsort(w)
@@ -501,12 +509,13 @@ def whole(table_: pa.Table, parts: int, held: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in SCHEMA], schema=SCHEMA)
 
 
-def score(docs: DataFrame, shard_tokens: int = 1_000_000, discount: float = DISCOUNT, parts: int = 7, held: int = 2) -> DataFrame:
+def score(docs: DataFrame, shard_tokens: int = 1_000_000, group_tokens: int = 500_000, discount: float = DISCOUNT, parts: int = 7, held: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     spark = docs.sparkSession
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder != held, F.lit(False)).alias("training"), "text")
-    shards, hot = frequent(rows, int(spark.conf.get("spark.sql.shuffle.partitions")), shard_tokens)
+    shards = shards_for(rows, shard_tokens, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    hot = frequent(rows, shards)
     shared = spark.sparkContext.broadcast(hot)
     schema = "shard int, kind int, first long, records binary"
 
@@ -516,7 +525,7 @@ def score(docs: DataFrame, shard_tokens: int = 1_000_000, discount: float = DISC
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
-        for ids, training, hashes, rows in batches_of(batches, shard_tokens):
+        for ids, training, hashes, rows in batches_of(batches, group_tokens):
             first = (task << 36) | number
             number += len(ids)
             w, before, after, row = sequences(hashes, rows, len(ids))
@@ -549,8 +558,9 @@ def score(docs: DataFrame, shard_tokens: int = 1_000_000, discount: float = DISC
                 else:
                     kept[shard, kind].append((first, shard, blob))
         for shard, kind in sorted(kept):
-            groups = np.unique([first for first, _, _ in kept[shard, kind]])
-            sums, tokens, kinds = answers(kept[shard, kind], kind, shared.value, discount)
+            blobs = kept.pop((shard, kind))
+            groups = np.unique([first for first, _, _ in blobs])
+            sums, tokens, kinds = answers(blobs, kind, shared.value, discount)
             ends = np.searchsorted(sums[0], np.append(groups[1:], np.iinfo(np.int64).max))
             out = [(shard, -2, -1, np.array([tokens, kinds], np.int64).tobytes())]
             begin = 0
@@ -561,7 +571,8 @@ def score(docs: DataFrame, shard_tokens: int = 1_000_000, discount: float = DISC
                 yield batch_of(out[i : i + 64])
 
     sent = rows.mapInArrow(send, schema)
-    back = sent.repartition(shards, "shard").mapInArrow(gather, schema)
+    # Partition k holds shard k and nothing else.
+    back = sent.repartitionById(shards, F.col("shard")).mapInArrow(gather, schema)
     summed = materialize(back.groupBy("first").applyInArrow(lambda t: whole(t, parts, held), SCORED), "scores")
     # Frequent words are not counted in any one shard: they come from their exact counts.
     n, v = summed.where("doc_id IS NULL AND train_tokens IS NOT NULL").agg(F.coalesce(F.sum("train_tokens"), F.lit(0)), F.coalesce(F.sum("train_kinds"), F.lit(0))).first()
