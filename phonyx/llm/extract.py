@@ -6,26 +6,27 @@ words, and a few counts. A bidirectional LSTM in numpy reads the sequence, so
 every block is judged with all blocks before and after it in view, and the
 blocks judged to be of the article are joined in page order.
 
-The labeller is trained here, on synthetic pages with known labels whose number
-is the parameter `pages`; no page of the corpus is used, so its size does not
-depend on the input. The trained weights have a fixed size and are broadcast.
-
-Null or empty html gives an empty text. Pages are judged one by one, so
-repeated pages give equal results; pages of any length are read whole. An
-empty table gives an empty result.
+The labeller is trained in a task of its own, once a session, on synthetic
+pages with known labels whose number is the parameter `synthetic_pages`; no
+page of the corpus is used, so its size does not depend on the input. The
+trained weights have a fixed size and are broadcast.
+
+Null or empty html gives an empty text, and so does a page without a block.
+Pages are judged one by one, so repeated pages give equal results; pages of
+any length are read whole, and other columns play no part. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .htmlblocks import N_NUMBERS, PATH_SLOTS, WORD_SLOTS, Pages, blocks_of, numbers_of, path_slots, slot
+from .htmlblocks import N_NUMBERS, PATH_SLOTS, WORD_SLOTS, Memory, Pages, blocks_of, numbers_of
 
 PATH_DIM, WORD_DIM, HIDDEN = 16, 8, 16
 INPUT = PATH_DIM + WORD_DIM + N_NUMBERS
@@ -58,15 +59,10 @@ def means(embedding: np.ndarray, bag: tuple[np.ndarray, np.ndarray, np.ndarray],
     return out
 
 
-@lru_cache(1 << 16)
-def word_slot(word: str) -> int:
-    return slot(word.lower(), WORD_SLOTS)
-
-
-def features(blocks: list) -> tuple:
+def features(blocks: list, memory: Memory) -> tuple:
     """Path bags, word bags and numbers of blocks."""
-    paths = bags([path_slots(p) for p, *_ in blocks])
-    words = bags([tuple(map(word_slot, text.split())) for _, text, *_ in blocks])
+    paths = bags([memory.path_slots(p) for p, *_ in blocks])
+    words = bags([tuple(map(memory.word_slot, text.split())) for _, text, *_ in blocks])
     return paths, words, np.array([numbers_of(t, l, tag) for _, t, l, tag in blocks], np.float32).reshape(len(blocks), N_NUMBERS)
 
 
@@ -131,12 +127,12 @@ def layout(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, step, sizes[row] - 1 - step
 
 
-def scores(weights: dict, blocks: list, sizes: np.ndarray, most: int = 1 << 18) -> np.ndarray:
+def scores(weights: dict, blocks: list, sizes: np.ndarray, memory: Memory, most: int = 1 << 18) -> np.ndarray:
     """Log odds of every block to be article text; pages of like length go through the steps together."""
     out = np.zeros(len(blocks), np.float32)
     if not blocks:
         return out
-    x = vectors(weights, features(blocks))
+    x = vectors(weights, features(blocks, memory))
     first = np.cumsum(sizes) - sizes
     order = np.argsort(sizes, kind="stable")
     a = 0
@@ -159,21 +155,23 @@ def scores(weights: dict, blocks: list, sizes: np.ndarray, most: int = 1 << 18)
     return out + weights["out_bias"][0]
 
 
-@lru_cache(4)
 def train(pages: int = 3600, epochs: int = 5, rows: int = 16, rate: float = 0.01, seed: int = 20) -> dict[str, np.ndarray]:
     """Weights of the labeller, by Adam on `pages` synthetic pages."""
-    maker, examples = Pages(seed), []
+    maker, examples, memory_ = Pages(seed), [], Memory()
     while len(examples) < pages:
         html, truth = maker.page()
-        blocks = blocks_of(html)
-        if blocks and [b[1] for b in blocks] == [t for t, _ in truth]:
+        blocks = blocks_of(html, memory_)
+        # The reader must find the blocks that were written, or there are no labels; a page may have none at all.
+        if [b[1] for b in blocks] != [t for t, _ in truth]:
+            raise AssertionError("the block reader disagrees with a generated page")
+        if blocks:
             examples.append((blocks, np.array([main for _, main in truth], np.float32)))
     examples.sort(key=lambda e: len(e[0]))
     batches = []
     for a in range(0, pages, rows):
         part = examples[a : a + rows]
         sizes = np.array([len(b) for b, _ in part])
-        batches.append((features([b for bs, _ in part for b in bs]), layout(sizes), np.concatenate([y for _, y in part]), sizes))
+        batches.append((features([b for bs, _ in part for b in bs], memory_), layout(sizes), np.concatenate([y for _, y in part]), sizes))
     weights = fresh(seed)
     moment, square = {k: np.zeros_like(v) for k, v in weights.items()}, {k: np.zeros_like(v) for k, v in weights.items()}
     r, step_no = np.random.default_rng(seed), 0
@@ -211,18 +209,38 @@ def train(pages: int = 3600, epochs: int = 5, rows: int = 16, rate: float = 0.01
     return {k: v.astype(np.float32) for k, v in weights.items()}
 
 
-def main_texts(weights: dict, htmls: list[str | None], slab: int = 1 << 22) -> list[str]:
+#: Weights that a session has trained, by the session's application and the number of pages.
+_trained: dict[tuple[str, int], dict[str, np.ndarray]] = {}
+
+
+def trained(spark: SparkSession, pages: int) -> dict[str, np.ndarray]:
+    """The weights of `train`, fitted in one task; what comes back has a fixed size."""
+    key = (spark.sparkContext.applicationId, pages)
+    if key not in _trained:
+
+        def run(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = train(pages)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(found)), pa.array([list(x.shape) for x in found.values()], pa.list_(pa.int64())), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["name", "shape", "data"]
+            )
+
+        rows = spark.range(0, 1, 1, 1).mapInArrow(run, "name string, shape array<long>, data binary").collect()
+        _trained[key] = {r["name"]: np.frombuffer(bytes(r["data"]), np.float32).reshape(r["shape"]) for r in rows}
+    return _trained[key]
+
+
+def main_texts(weights: dict, htmls: list[str | None], memory: Memory, slab: int = 1 << 22) -> list[str]:
     out, i = [], 0
     while i < len(htmls):
         found, sizes, size = [], [], 0
         while i < len(htmls) and size < slab:
             page = htmls[i] or ""
-            blocks = blocks_of(page)
+            blocks = blocks_of(page, memory)
             found += blocks
             sizes.append(len(blocks))
             size += len(page)
             i += 1
-        main = scores(weights, found, np.array(sizes, np.int64)) > 0
+        main = scores(weights, found, np.array(sizes, np.int64), memory) > 0
         at = 0
         for n in sizes:
             out.append("\n".join(found[k][1] for k in range(at, at + n) if main[k]))
@@ -232,11 +250,13 @@ def main_texts(weights: dict, htmls: list[str | None], slab: int = 1 << 22) -> l
 
 def extract(pages: DataFrame, synthetic_pages: int = 3600) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    weights = pages.sparkSession.sparkContext.broadcast(train(synthetic_pages))
+    spark = pages.sparkSession
+    weights = spark.sparkContext.broadcast(trained(spark, synthetic_pages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Memory()
         for b in batches:
-            texts = main_texts(weights.value, b.column(2).to_pylist())
+            texts = main_texts(weights.value, b.column(2).to_pylist(), memory)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]
             )

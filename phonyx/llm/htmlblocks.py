@@ -11,8 +11,9 @@ of scripts, styles, templates and the head are not blocks.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from collections.abc import Callable
 from html import escape, unescape
+from string import punctuation
 from zlib import crc32
 
 import numpy as np
@@ -46,7 +47,21 @@ def slot(token: str, slots: int) -> int:
     return crc32(token.encode("utf-8", "surrogatepass")) % slots
 
 
-@lru_cache(1 << 14)
+def remembering(f: Callable, most: int) -> Callable:
+    """f with a bounded memory of its answers, which lives as long as the returned function."""
+    seen: dict = {}
+
+    def known(*args):
+        out = seen.get(args)
+        if out is None:
+            if len(seen) >= most:
+                seen.clear()
+            seen[args] = out = f(*args)
+        return out
+
+    return known
+
+
 def hints(tag: str, attributes: str) -> tuple[str, ...]:
     """The tag and the words of an element's class, id and role; attributes of any length count in full."""
     found = [tag]
@@ -55,7 +70,6 @@ def hints(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(found))
 
 
-@lru_cache(1 << 14)
 def path_slots(path: tuple[tuple[str, ...], ...]) -> tuple[int, ...]:
     """Hashed path: the words of the nearest element, and of the ones around it, apart."""
     own = [f"own {h}" for h in path[-1]] if path else []
@@ -63,7 +77,15 @@ def path_slots(path: tuple[tuple[str, ...], ...]) -> tuple[int, ...]:
     return tuple(slot(t, PATH_SLOTS) for t in dict.fromkeys(own + around))
 
 
-def blocks_of(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, float, str]]:
+class Memory:
+    """What a task remembers between pages."""
+
+    def __init__(self):
+        self.hints, self.path_slots = remembering(hints, 1 << 14), remembering(path_slots, 1 << 14)
+        self.word_slot = remembering(lambda word: slot(word.lower(), WORD_SLOTS), 1 << 16)
+
+
+def blocks_of(page: str, memory: Memory) -> list[tuple[tuple[tuple[str, ...], ...], str, float, str]]:
     """(path, text, link share, tag) of every block with text, in page order."""
     out = []
     stack: list[tuple[str, tuple[str, ...]]] = []
@@ -128,7 +150,7 @@ def blocks_of(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, float,
                 cut = next((k for k, (t, _) in enumerate(stack) if t == "head"), cut)
             del stack[cut:]
             if tag not in EMPTY and not (m[3].endswith("/") and tag in ("div", "p")):
-                stack.append((tag, hints(tag, m[3])))
+                stack.append((tag, memory.hints(tag, m[3])))
         elif tag == "a":
             in_link = True
         elif tag in ("br", "img", "input", "wbr"):
@@ -162,6 +184,8 @@ FURNITURE = {
     "comments": "comments comment comment-list commentlist discussion replies responses disqus reader-comments reactions".split(),
     "share": "share social sharing tags follow buttons toolbar".split(),
 }
+CLAIMS = ("©", "©", "Copyright", "Copyright ©", "(c)")
+RESERVED = ("All rights reserved.", "Alle Rechte vorbehalten.", "Tous droits réservés.", "Todos los derechos reservados.", "Imprint and privacy")
 TAGS = {"nav": "nav", "header": "header", "footer": "footer", "side": "aside", "form": "form"}
 SAID = (
     "Home About Contact Login Search Subscribe Newsletter Privacy Terms Cookies Accept Reject Sponsored Advertisement Related More Read next "
@@ -190,7 +214,8 @@ class Pages:
         for i in range(n):
             if self.chance(0.1):
                 words[i] += self.any(list(".,;"))
-        marks = self.any(["", "", "", "", "", "!!", "***", " &", " |", "###", " ©"] if n > 4 else ["", "", "", "***"])
+        # Junk after words: some run of a punctuation mark or symbol.
+        marks = self.any(["", " "]) + self.any(punctuation + "©®§•") * int(self.r.integers(1, 4)) if self.chance(0.5 if n > 4 else 0.25) else ""
         text = " ".join(w + (marks if self.chance(0.5) else "") for w in words)
         return text[0].upper() + text[1:] + ("." if self.chance(0.9) else "")
 
@@ -236,8 +261,11 @@ class Pages:
         elif kind not in ("nav", "share", "form") or self.chance(0.2):
             for _ in range(int(self.r.integers(1, 3))):
                 self.say(self.any(["", "p", "p", "div"]), self.prose(40) if self.chance(0.7) else self.label(), False)
-        if kind == "footer" and self.chance(0.6):
-            self.say("p" if self.chance(0.5) else "", "© " + self.prose(15), False)
+        if kind == "footer" and self.chance(0.7):
+            name = self.any(self.lexicon).capitalize() + " " + self.any(self.lexicon).capitalize()
+            year = f" {int(self.r.integers(1996, 2030))}" if self.chance(0.6) else ""
+            tail = self.any(RESERVED) if self.chance(0.6) else self.prose(12)
+            self.say("p" if self.chance(0.5) else "", f"{self.any(CLAIMS)}{year} {name}. {tail}", False)
         self.html.append(f"</{tag}>")
 
     def text(self, text: str, main: bool) -> None:
@@ -246,7 +274,9 @@ class Pages:
 
     def say(self, tag: str, text: str, main: bool) -> None:
         inline = self.any(["", "", "", "b", "em"])
-        self.html.append((f"<{tag}>" if tag else "") + (f"<{inline}>" if inline else ""))
+        # Bare text after an unclosed paragraph would go on with it.
+        self.html.append((f"<{tag}>" if tag else "</p>" if self.unclosed else "") + (f"<{inline}>" if inline else ""))
+        self.unclosed = False
         self.text(text, main)
         if inline and self.chance(0.8):
             self.html.append(f"</{inline}>")
@@ -254,6 +284,8 @@ class Pages:
             self.html.append(f"</{tag}>")
         elif not tag:
             self.html.append("<hr>")
+        else:
+            self.unclosed = True
 
     def article(self, known: float) -> None:
         depth = int(self.r.integers(1, 4))
@@ -295,7 +327,7 @@ class Pages:
         self.html.append("".join(f"</{t}>" for t in reversed(tags)))
 
     def page(self) -> tuple[str, list[tuple[str, bool]]]:
-        self.html, self.truth = ["<html><head><title>x</title></head><body>"], []
+        self.html, self.truth, self.unclosed = ["<html><head><title>x</title></head><body>"], [], False
         known = float(self.any([0.0, 0.7, 1.0, 1.0]))
         before = [k for k in ("notice", "header", "nav", "ad", "side", "form") if self.chance(0.45)]
         after = [k for k in ("comments", "side", "ad", "share", "form", "footer", "notice") if self.chance(0.45)]
@@ -304,11 +336,15 @@ class Pages:
             after = [k for k in after if k in ("footer", "share", "form")]
         self.r.shuffle(before)
         wrapped = self.chance(0.4)
+        tabled = self.chance(0.12)  # columns laid out as table cells
         self.html.append('<div class="wrapper">' if wrapped else "")
+        self.html.append("<table><tr><td>" if tabled else "")
         for k in before:
             self.furniture(k, known)
+        self.html.append("</td><td>" if tabled else "")
         if not self.chance(0.03):
             self.article(known)
+        self.html.append("</td></tr></table>" if tabled else "")
         for k in after:
             self.furniture(k, known)
         self.html.append("</div>" if wrapped else "")

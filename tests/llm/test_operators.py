@@ -286,13 +286,13 @@ def test_block_labeller(spark):
     got = {r["page_id"]: r for r in extract.extract(pages).collect()}
     assert got[1]["text"] == "Head\nFirst & more text of the article.\nSecond one." and got[1]["n_chars"] == len(got[1]["text"])
     assert got[2]["text"] == got[3]["text"] == ""
-    maker, right, all_ = htmlblocks.Pages(77), 0, 0
-    weights = extract.train(3600)
+    maker, right, all_, memory = htmlblocks.Pages(77), 0, 0, htmlblocks.Memory()
+    weights = extract.trained(spark, 3600)
     for _ in range(150):
         html, truth = maker.page()
-        blocks = htmlblocks.blocks_of(html)
+        blocks = htmlblocks.blocks_of(html, memory)
         if [b[1] for b in blocks] == [t for t, _ in truth]:
-            main = extract.scores(weights, blocks, np.array([len(blocks)])) > 0
+            main = extract.scores(weights, blocks, np.array([len(blocks)]), memory) > 0
             right += sum(bool(m) == y for m, (_, y) in zip(main, truth))
             all_ += len(truth)
     assert right >= 0.95 * all_
