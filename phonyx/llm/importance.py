@@ -181,8 +181,8 @@ def kth_largest(values: DataFrame, column: str, k: int, enough: int = 5000) -> f
 
 
 def level(labelled: list[tuple[float, int]]) -> float:
-    """The least log weight at which (log weight, quality) rows are told apart with the fewest errors; -inf without bad ones."""
-    if not labelled:
+    """The least log weight at which (log weight, quality) rows are told apart with the fewest errors; -inf without good or bad ones."""
+    if not any(q == 1 for _, q in labelled):
         return -np.inf
     weights, good = np.array([w for w, _ in labelled]), np.array([q == 1 for _, q in labelled])
     order = np.argsort(weights, kind="stable")
