@@ -29,7 +29,7 @@ WITH s AS (SELECT source, sum(len(list_filter(string_split_regex(coalesce(text,
 w AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
 o AS (SELECT *, coalesce(sum(2 * size) OVER before, 0) AS capped, sum(weight) OVER after_ AS free, 1.5 * sum(size) OVER () AS total FROM w
   WINDOW before AS (ORDER BY 2.0 * size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), after_ AS (ORDER BY 2.0 * size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-v AS (SELECT min((total - capped) / free) FILTER ((total - capped) / free <= 2.0 * size / weight) AS level FROM o)
+v AS (SELECT arg_min((total - capped) / free, 2.0 * size / weight) FILTER ((total - capped) / free <= 2.0 * size / weight) AS level FROM o)
 SELECT source, size AS source_size, round(least(2.0 * size, weight * level), 6) AS target FROM w, v"""
 
 CHAT_SQL = """
