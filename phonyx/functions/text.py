@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType
+
+from .numbers import digits_to_words, words_to_digits
 
 # Accents that fold to plain letters (umlauts stay), quotes, fillers, and patterns of the lenses.
 ACCENTED = "àáâãåçèéêëìíîïñòóôõøùúûýÿÀÁÂÃÅÇÈÉÊËÌÍÎÏÑÒÓÔÕØÙÚÛÝ"
@@ -27,14 +29,14 @@ def squeeze(text: Column) -> Column:
 
 
 def before_punctuation(text: Column) -> Column:
-    """The canonical lens up to its punctuation strip, where numbers still have their shape."""
+    """The canonical lens up to its punctuation strip, where numbers still have their shape; number words are digits."""
     plain = F.replace(F.replace(F.replace(text, F.lit("ß"), F.lit("ss")), F.lit(",,"), F.lit("")), F.lit('"'), F.lit(""))
-    folded = F.translate(F.translate(plain, QUOTES, PLAIN_QUOTES), ACCENTED, FOLDED)
+    folded = words_to_digits(F.translate(F.translate(plain, QUOTES, PLAIN_QUOTES), ACCENTED, FOLDED))
     return F.regexp_replace(F.regexp_replace(folded, r"\[.*?\]", ""), "['\"]", "")
 
 
 def canonical(text: Column) -> Column:
-    """Accents folded but for umlauts, brackets, quotes and punctuation gone, blanks squeezed; case stays."""
+    """Accents folded but for umlauts, number words read, brackets, quotes and punctuation gone, blanks squeezed; case stays."""
     return squeeze(F.regexp_replace(before_punctuation(text), r"(?U)[^\w\s]", ""))
 
 
@@ -48,11 +50,10 @@ def permissive(text: Column, labels: Sequence[str] = ()) -> Column:
     return squeeze(F.regexp_replace(F.lower(speaker_tags_out(text, labels)), r"(?U)[^\w\s]", " "))
 
 
-def strict(text: Column, labels: Sequence[str] = (), spell_numbers=None) -> Column:
-    """Ranking-grade lens; spell_numbers, a column function, turns digits to words where they stand."""
+def strict(text: Column, labels: Sequence[str] = ()) -> Column:
+    """Ranking-grade lens: tags, fillers and punctuation gone, digits spelled out."""
     low = F.replace(F.lower(speaker_tags_out(text, labels)), F.lit("ß"), F.lit("ss"))
-    spelled = low if spell_numbers is None else spell_numbers(low)
-    return squeeze(F.regexp_replace(F.regexp_replace(spelled, FILLERS, " "), r"(?U)[^\w\s]", " "))
+    return squeeze(F.regexp_replace(F.regexp_replace(digits_to_words(low), FILLERS, " "), r"(?U)[^\w\s]", " "))
 
 
 def verbatim(text: Column, labels: Sequence[str] = ()) -> Column:
@@ -76,41 +77,48 @@ def fillers_out(tokens_: Column, stoplist: Sequence[str] = FILLER_STOPLIST) -> C
     return F.filter(tokens_, lambda w: ~F.lower(w).isin(*stoplist))
 
 
-#: Different words that `coded` has characters for: from U+4E00 up to the surrogates.
-CODES = 0xD800 - 0x4E00
-
-
-def coded(tokens_: Column, vocabulary: Column) -> Column:
-    """Tokens as one character each: the place in the vocabulary from U+4E00 on (up to CODES words)."""
-    return F.array_join(F.transform(tokens_, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + 19967), 4, "0")), "UTF-16BE")), "")
+def edit_distance(a: Sequence, b: Sequence) -> int:
+    """Least insertions, deletions and substitutions between two sequences, a column of the table at a time as bits of whole numbers."""
+    if not len(a) or not len(b):
+        return len(a) + len(b)
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    every, last, cost = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    up, down = every, 0  # where the column rises, and falls, from one row to the next
+    for x in b:
+        equal = places.get(x, 0)
+        diagonal = (((equal & up) + up) ^ up) | equal | down
+        right, left = down | (every & ~(diagonal | up)), up & diagonal
+        cost += 1 if right & last else -1 if left & last else 0
+        right, left = right << 1 | 1, left << 1
+        up, down = (left | ~(diagonal | right)) & every, right & diagonal & every
+    return cost
 
 
 @pandas_udf(LongType())
-def long_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
-    """Edit distance of two token arrays of any vocabulary, row by row in numpy; null for null."""
-    import numpy as np
+def word_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+    """Word edit distance of two token arrays of any length and vocabulary; null for null."""
+    return pd.Series([None if r is None or h is None else edit_distance(r, h) for r, h in zip(reference, hypothesis)], dtype="Int64")
 
-    def distance(ref, hyp):
-        if ref is None or hyp is None:
-            return None
-        numbers: dict = {}
-        r, h = (np.array([numbers.setdefault(w, len(numbers)) for w in x], np.int64) for x in (ref, hyp))
-        offset = np.arange(len(h) + 1)
-        row = offset
-        for i, word in enumerate(r, 1):
-            best = np.concatenate(([i], np.minimum(row[:-1] + (h != word), row[1:] + 1)))
-            row = np.minimum.accumulate(best - offset) + offset
-        return int(row[-1])
 
-    return pd.Series([distance(r, h) for r, h in zip(reference, hypothesis)], dtype="Int64")
+@pandas_udf(ArrayType(LongType()))
+def ngram_matches(hypothesis: pd.Series, references: pd.Series, order: pd.Series) -> pd.Series:
+    """For n = 1 to `order`, how many n-grams of a token array its references have, each as often as the one that has most of it."""
+    from collections import Counter
 
+    def matches(h, refs, n: int) -> list[int]:
+        h, refs = tuple(h) if h is not None else (), [tuple(r) for r in refs if r is not None] if refs is not None else []
+        count = lambda x, k: Counter(x if k == 1 else zip(*(x[i:] for i in range(k))))
+        out = []
+        for k in range(1, n + 1):
+            most: Counter = Counter()
+            for r in refs:
+                most |= count(r, k)
+            out.append((count(h, k) & most).total())
+        return out
 
-def word_edits(reference: Column, hypothesis: Column) -> Column:
-    """Word edit distance of two token arrays: the character distance of their codes, or by `long_edits` where the codes do not suffice."""
-    vocabulary = F.array_distinct(F.concat(reference, hypothesis))
-    fits = F.size(vocabulary) <= CODES
-    short = F.when(fits, F.levenshtein(coded(reference, vocabulary), coded(hypothesis, vocabulary)).cast("long"))
-    return F.coalesce(short, long_edits(F.when(~fits, reference), F.when(~fits, hypothesis)))
+    return pd.Series([matches(h, r, n) for h, r, n in zip(hypothesis, references, order)])
 
 
 def ngrams(tokens_: Column, n: int) -> Column:
@@ -127,6 +135,13 @@ def entities(text: Column) -> Column:
 
 
 def bag_overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
+    """Size of the multiset intersection of two short arrays, such as the numbers of a text."""
     count = lambda xs, v: F.size(F.filter(xs, lambda x: x == v))
     return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, v: acc + F.least(count(a, v), count(b, v))).cast("long")
+
+
+def ngram_hashes(tokens_: Column, n: int) -> Column:
+    """A hash for each n-gram of a token array, in order."""
+    last = F.size(tokens_) - n
+    hashes = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(tokens_, i + k) for k in range(n)]))
+    return F.when(last >= 0, hashes).otherwise(F.array().cast("array<bigint>"))

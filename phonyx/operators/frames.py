@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import buckets_by_value, running
+
 #: Seconds a frame.
 HOP = 0.01
 
@@ -85,14 +87,37 @@ def own_speech_level(levels: DataFrame, track: str) -> DataFrame:
 
 def frame_counts(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Seconds and rates from frames (keys, sent, target, crosstalk)."""
-    seconds = lambda c: F.count_if(c) * HOP
+    return with_rates(frames.groupBy(*keys).agg(*second_columns(lambda c: F.count_if(c) * HOP)))
+
+
+def interval_counts(intervals: DataFrame, tracks: DataFrame, track: str = "track") -> DataFrame:
+    """The columns of `frame_counts` from intervals (track, kind: sent, target or crosstalk, start, end) and tracks (track, n: frames), without a row for each frame.
+
+    A frame belongs to an interval if its centre lies in it. The ends of the
+    intervals on the frame grid are swept; each stretch counts its frames.
+    """
+    first = F.greatest(F.lit(0), F.ceil(F.col("start") / HOP - 0.5)).cast("long")
+    last = F.least("n", F.ceil(F.col("end") / HOP - 0.5).cast("long"))
+    kinds = ("sent", "target", "crosstalk")
+    on_grid = intervals.where(F.col("kind").isin(*kinds)).join(tracks, track).select(track, "kind", first.alias("f"), last.alias("l")).where("l > f")
+    ends = on_grid.select(track, "kind", F.explode(F.array(F.struct(F.col("f").alias("t"), F.lit(1).alias("d")), F.struct(F.col("l").alias("t"), F.lit(-1).alias("d")))).alias("e"))
+    whole = tracks.select(track, F.lit(None).cast("string").alias("kind"), F.explode(F.array(F.lit(0).cast("long"), F.col("n"))).alias("t"), F.lit(0).alias("d"))
+    marks = ends.select(track, "kind", "e.t", "e.d").unionByName(whole).groupBy(track, "t").agg(*[F.sum(F.when(F.col("kind") == k, F.col("d")).otherwise(0)).alias(f"d_{k}") for k in kinds])
+    along = Window.partitionBy(track).orderBy("t")
+    swept = marks.select(track, "t", F.lead("t").over(along).alias("until"), *[(F.sum(f"d_{k}").over(along.rowsBetween(Window.unboundedPreceding, 0)) > 0).alias(k) for k in kinds])
+    length = F.coalesce(F.col("until") - F.col("t"), F.lit(0))
+    seconds = lambda c: F.sum(F.when(c, length).otherwise(0)) * HOP
+    return with_rates(swept.groupBy(track).agg(*second_columns(seconds)))
+
+
+def second_columns(seconds: Callable[[Column], Column]) -> list[Column]:
+    """Seconds by what is sent, spoken and cross-talk, given how seconds of a condition are summed."""
     sent, target = F.col("sent"), F.col("target")
     xt = F.col("crosstalk") & ~target
-    out = frames.groupBy(*keys).agg(
-        (F.count("*") * HOP).alias("duration_s"), seconds(target).alias("speech_s"), seconds(target & ~sent).alias("missed_s"), seconds(~target).alias("nonspeech_s"),
+    return [
+        seconds(F.lit(True)).alias("duration_s"), seconds(target).alias("speech_s"), seconds(target & ~sent).alias("missed_s"), seconds(~target).alias("nonspeech_s"),
         seconds(~target & sent).alias("false_alarm_s"), seconds(sent).alias("sent_s"), seconds(xt).alias("crosstalk_s"), seconds(xt & sent).alias("crosstalk_sent_s"),
-    )
-    return with_rates(out)
+    ]
 
 
 def with_rates(totals: DataFrame) -> DataFrame:
@@ -107,12 +132,12 @@ def with_rates(totals: DataFrame) -> DataFrame:
 def roc_auc(scores: DataFrame, score: str, label: str) -> DataFrame:
     """(auc,): the Mann-Whitney statistic with average ranks, from counts of the different scores.
 
-    Scores are first counted by value; ranks are prefix sums over the values
-    in a window by score, so equal scores need no rows of their own.
+    Scores are first counted by value; ranks are running sums over ranges of
+    values, so equal scores need no rows of their own and no task has them all.
     """
-    counted = scores.groupBy(score).agg(F.count("*").alias("n"), F.count_if(label).alias("p"))
-    before = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counted.withColumn("rank", F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2)
+    counted = scores.where(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("n"), F.count_if(label).alias("p"))
+    summed = running(counted, [], buckets_by_value(counted, score), [score], {"before": (F.sum, "n")}, before=True)
+    ranked = summed.withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
     p, n = F.sum("p"), F.sum(F.col("n") - F.col("p"))
     return ranked.agg(F.when((p > 0) & (n > 0), (F.sum(F.col("rank") * F.col("p")) - p * (p + 1) / 2) / (p * n)).alias("auc"))
 
@@ -138,10 +163,10 @@ def best_at_false_alarm(curve: DataFrame, keys: Sequence[str], most_pct: float)
 def miss_at_frame_fpr(scores: DataFrame, score: str, label: str, fpr_pct: float) -> DataFrame:
     """(miss_pct,): positives not above the (1 - fpr) order statistic of the negatives, taken upwards."""
     negatives = scores.where(~F.col(label)).groupBy(score).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, 0))
+    summed = running(negatives, [], buckets_by_value(negatives, score), [score], {"_upto": (F.sum, "n")})
     total = negatives.agg(F.sum("n").alias("all"))
     at = F.ceil((1 - fpr_pct / 100.0) * (F.col("all") - 1) - 1e-9) + 1
-    cut = negatives.withColumn("_upto", upto).join(F.broadcast(total)).where(F.col("_upto") >= at).agg(F.min(score).alias("cut"))  # one row each
+    cut = summed.join(F.broadcast(total)).where(F.col("_upto") >= at).agg(F.min(score).alias("cut"))  # one row each
     return scores.where(F.col(label)).join(F.broadcast(cut)).agg(F.round(100.0 * F.count_if(F.col(score) <= F.col("cut")) / F.nullif(F.count("*"), F.lit(0)), 3).alias("miss_pct"))
 
 

@@ -9,34 +9,52 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runs import exact_percentiles
+from .scan import held, running
+
 #: Gap that two spans of a speaker may have and still be one turn, in seconds.
 GAP_S = 0.5
 
 
-def fold_turns(spans: DataFrame, keys: Sequence[str], gap: float = GAP_S) -> DataFrame:
+def fold_turns(spans: DataFrame, keys: Sequence[str], gap: float = GAP_S, bucket_s: float | None = None) -> DataFrame:
     """Turns (keys, start, end): spans of the same keys that overlap or are at most `gap` apart become one.
 
-    One shuffle by the keys; spans without length are left out; out-of-order input is fine.
+    Spans without length are left out; out-of-order input is fine. One shuffle
+    by the keys; where a key may hold a large share of all spans, `bucket_s`
+    deals its spans by their starts, so many seconds to a task.
     """
-    order = Window.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = (reach.isNull() | (F.col("start") - reach > gap)).cast("int")
-    numbered = spans.where(F.col("end") > F.col("start")).withColumn("_opens", opens)
-    island = F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return numbered.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
-
-
-def overlap_stats(turns: DataFrame, keys: Sequence[str]) -> DataFrame:
+    rows = spans.where(F.col("end") > F.col("start"))
+    order = ["start", "end"]
+    if bucket_s is None:
+        along = Window.partitionBy(*keys).orderBy(*order)
+        reached = rows.withColumn("_reach", F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)))
+    else:
+        bucket = F.floor(F.col("start") / bucket_s)
+        reached = running(rows, keys, bucket, order, {"_reach": (F.max, "end")}, before=True)
+    opened = reached.withColumn("_opens", (F.col("_reach").isNull() | (F.col("start") - F.col("_reach") > gap)).cast("int"))
+    if bucket_s is None:
+        islands = opened.withColumn("_island", F.sum("_opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        islands = running(opened, keys, bucket, order, {"_island": (F.sum, "_opens")})
+    return islands.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+
+
+def edges_of(spans: DataFrame, *columns: str) -> DataFrame:
+    """(columns, t, d): +1 at each start, -1 at each end."""
+    both = F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end").alias("t"), F.lit(-1).alias("d")))
+    return spans.select(*columns, F.explode(both).alias("_e")).select(*columns, "_e.t", "_e.d")
+
+
+def overlap_stats(turns: DataFrame, keys: Sequence[str], bucket_s: float = 86_400.0) -> DataFrame:
     """Per key: seconds with a speaker, with two or more, of all speakers together, and from first to last.
 
-    Sweep line: +1 at starts, -1 at ends, summed along time; every stretch counts with its height.
+    Sweep line: +1 at starts, -1 at ends, summed along time; every stretch
+    counts with its height. A key's edges are dealt by time, `bucket_s`
+    seconds to a task.
     """
-    edges = turns.where(F.col("end") > F.col("start")).select(*keys, F.explode(F.array(
-        F.struct(F.col("start").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end").alias("t"), F.lit(-1).alias("d"))
-    )).alias("e")).groupBy(*keys, F.col("e.t").alias("t")).agg(F.sum("e.d").alias("d"))
-    along = Window.partitionBy(*keys).orderBy("t")
-    height = F.sum("d").over(along.rowsBetween(Window.unboundedPreceding, 0))
-    stretches = edges.withColumn("n", height).withColumn("len", F.lead("t").over(along) - F.col("t"))
+    edges = edges_of(turns.where(F.col("end") > F.col("start")), *keys).groupBy(*keys, "t").agg(F.sum("d").alias("d"))
+    swept = running(edges, keys, F.floor(F.col("t") / bucket_s), ["t"], {"n": (F.sum, "d")}, following={"until": "t"})
+    stretches = swept.withColumn("len", F.col("until") - F.col("t"))
     return stretches.groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(F.col("n") >= 1, F.col("len"))), F.lit(0.0)).alias("speech_s"),
         F.coalesce(F.sum(F.when(F.col("n") >= 2, F.col("len"))), F.lit(0.0)).alias("overlap_s"),
@@ -85,26 +103,6 @@ def clean_segments(segments: DataFrame) -> DataFrame:
     return segments.where(F.col("end") > F.col("start")).groupBy("file", "side", "start", "end").agg(F.max_by("speaker", "ord").alias("speaker"))
 
 
-def elementary(segments: DataFrame, collar: float) -> DataFrame:
-    """(file, side, speaker, i, len): the elementary intervals each segment is made of; side 'zone' marks collars.
-
-    The edges of a file, in order, number its intervals; a segment learns the
-    numbers of its edges by an equi-join on time and covers the range between.
-    """
-    spans = segments.select("file", "side", "speaker", "start", "end")
-    if collar > 0:
-        half = collar / 2
-        ref_edges = segments.where("side = 'ref'").select("file", F.explode(F.array("start", "end")).alias("t")).distinct()
-        spans = spans.unionByName(ref_edges.select("file", F.lit("zone").alias("side"), F.lit(None).cast("string").alias("speaker"), (F.col("t") - half).alias("start"), (F.col("t") + half).alias("end")))
-    edges = spans.select("file", F.explode(F.array("start", "end")).alias("t")).distinct()
-    along = Window.partitionBy("file").orderBy("t")
-    numbered = edges.select("file", "t", F.row_number().over(along).alias("i"), (F.lead("t").over(along) - F.col("t")).alias("len"))
-    begin, stop = numbered.select(F.col("file"), F.col("t").alias("start"), F.col("i").alias("a")), numbered.select(F.col("file"), F.col("t").alias("end"), F.col("i").alias("b"))
-    placed = spans.join(begin, ["file", "start"]).join(stop, ["file", "end"])
-    covered = placed.select("file", "side", "speaker", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("i"))
-    return covered.join(numbered.select("file", "i", "len"), ["file", "i"])
-
-
 def best_assignment(weight: np.ndarray) -> list[tuple[int, int]]:
     """Pairs (row, column) of a maximum-weight one-to-one assignment, by shortest augmenting paths."""
     n = max(weight.shape)
@@ -148,32 +146,66 @@ def speaker_mapping(shared: DataFrame) -> DataFrame:
     return shared.groupBy("file").applyInPandas(solve, "file string, ref_speaker string, hyp_speaker string")
 
 
-def diarization_seconds(segments: DataFrame, collar: float = 0.0, skip_overlap: bool = False) -> DataFrame:
+def timeline(segments: DataFrame, collar: float, skip_overlap: bool, bucket_s: float) -> DataFrame:
+    """(file, t, nr, nh, len): at every edge of a file how many turns of each side are open from there on, and for how many scored seconds."""
+    side = lambda s: F.when(F.col("side") == s, F.col("d")).otherwise(0)
+    marks = edges_of(segments, "file", "side").select("file", "t", side("ref").alias("r"), side("hyp").alias("h"), F.lit(0).alias("z"))
+    if collar > 0:
+        around = edges_of(segments.where("side = 'ref'"), "file").select("file", (F.col("t") - collar / 2).alias("start"), (F.col("t") + collar / 2).alias("end"))
+        marks = marks.unionByName(edges_of(around, "file").select("file", "t", F.lit(0).alias("r"), F.lit(0).alias("h"), F.col("d").alias("z")))
+    edges = marks.groupBy("file", "t").agg(*[F.sum(c).alias(c) for c in "rhz"])
+    swept = running(edges, ["file"], F.floor(F.col("t") / bucket_s), ["t"], {"nr": (F.sum, "r"), "nh": (F.sum, "h"), "nz": (F.sum, "z")}, following={"until": "t"})
+    scored = (F.col("nz") == 0) & (F.col("nr") <= 1 if skip_overlap else F.lit(True))
+    return swept.select("file", "t", "nr", "nh", F.when(scored, F.coalesce(F.col("until") - F.col("t"), F.lit(0.0))).otherwise(0.0).alias("len"))
+
+
+def seconds_together(segments: DataFrame, bucket_s: float) -> DataFrame:
+    """(file, ref_speaker, hyp_speaker, s): seconds that a speaker of each side talk at once, overlapping turns of one speaker counted as often.
+
+    A sweep for each pair of speakers, over the edges of both: as many rows as
+    edges, times the other side's speakers in the file.
+    """
+    edges = edges_of(segments, "file", "side", "speaker").groupBy("file", "side", "speaker", "t").agg(F.sum("d").alias("d"))
+    names = segments.groupBy("file").agg(*[F.collect_set(F.when(F.col("side") == s, F.col("speaker"))).alias(s) for s in ("ref", "hyp")])
+    ref = F.col("side") == "ref"
+    met = edges.join(names, "file").select("file", "side", "speaker", "t", "d", F.explode(F.when(ref, F.col("hyp")).otherwise(F.col("ref"))).alias("other"))
+    pairs = met.groupBy("file", F.when(ref, F.col("speaker")).otherwise(F.col("other")).alias("ref_speaker"), F.when(ref, F.col("other")).otherwise(F.col("speaker")).alias("hyp_speaker"), "t").agg(
+        F.sum(F.when(ref, F.col("d")).otherwise(0)).alias("r"), F.sum(F.when(ref, 0).otherwise(F.col("d"))).alias("h")
+    )
+    keys = ["file", "ref_speaker", "hyp_speaker"]
+    swept = running(pairs, keys, F.floor(F.col("t") / bucket_s), ["t"], {"nr": (F.sum, "r"), "nh": (F.sum, "h")}, following={"until": "t"})
+    return swept.groupBy(*keys).agg(F.coalesce(F.sum((F.col("until") - F.col("t")) * F.least("nr", "nh")), F.lit(0.0)).alias("s")).where("s > 0")
+
+
+def diarization_seconds(segments: DataFrame, collar: float = 0.0, skip_overlap: bool = False, bucket_s: float = 3600.0) -> DataFrame:
     """Per file the seconds of reference speech, miss, false alarm and confusion.
 
     segments: (file, side 'ref' or 'hyp', ord, start, end, speaker). A collar
     leaves out `collar` seconds around every edge of the reference, half on
     each side; skip_overlap leaves out stretches with several reference speakers.
+
+    Sweep lines over edges: one of each file's heights, and one for each pair
+    of speakers on a clock that stands still where nothing is scored. What the
+    best mapping joins is not confused. `bucket_s` seconds go to a task.
     """
-    parts = elementary(clean_segments(segments), collar)
-    heights = parts.groupBy("file", "i").agg(
-        F.first("len").alias("len"), F.count_if(F.col("side") == "ref").alias("nr"), F.count_if(F.col("side") == "hyp").alias("nh"), F.count_if(F.col("side") == "zone").alias("zones")
-    ).where("zones = 0").drop("zones")
-    if skip_overlap:
-        heights = heights.where("nr <= 1")
-    scored = parts.join(heights.select("file", "i"), ["file", "i"], "left_semi")
-    side = lambda s, c: scored.where(F.col("side") == s).groupBy("file", "i", F.col("speaker").alias(c)).agg(F.count("*").alias(f"n_{s}"), F.first("len").alias(f"len_{s}"))
-    together = side("ref", "ref_speaker").join(side("hyp", "hyp_speaker"), ["file", "i"])
-    shared = together.groupBy("file", "ref_speaker", "hyp_speaker").agg(F.sum(F.col("len_ref") * F.least("n_ref", "n_hyp")).alias("s"))
-    mapped = speaker_mapping(shared)
-    right = together.join(mapped, ["file", "ref_speaker", "hyp_speaker"]).groupBy("file", "i").agg(F.sum(F.least("n_ref", "n_hyp")).alias("c"))
-    rows = heights.join(right, ["file", "i"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    return rows.groupBy("file").agg(
+    clean = held(clean_segments(segments), "segments")
+    line = timeline(clean, collar, skip_overlap, bucket_s)
+    heights = line.groupBy("file").agg(
         F.sum(F.col("len") * F.col("nr")).alias("total_s"),
         F.sum(F.col("len") * F.greatest(F.col("nr") - F.col("nh"), F.lit(0))).alias("miss_s"),
         F.sum(F.col("len") * F.greatest(F.col("nh") - F.col("nr"), F.lit(0))).alias("false_alarm_s"),
-        F.sum(F.col("len") * (F.least("nr", "nh") - F.col("c"))).alias("confusion_s"),
+        F.sum(F.col("len") * F.least("nr", "nh")).alias("both_s"),
     )
+    timed = clean
+    if collar > 0 or skip_overlap:
+        clock = running(line, ["file"], F.floor(F.col("t") / bucket_s), ["t"], {"at": (F.sum, "len")}, before=True).select("file", "t", "at")
+        for end in ("start", "end"):
+            timed = timed.join(clock.withColumnRenamed("t", end), ["file", end]).drop(end).withColumnRenamed("at", f"_{end}")
+        timed = timed.withColumnsRenamed({"_start": "start", "_end": "end"}).where(F.col("end") > F.col("start"))
+    shared = held(seconds_together(timed, bucket_s), "together")
+    right = shared.join(speaker_mapping(shared), ["file", "ref_speaker", "hyp_speaker"]).groupBy("file").agg(F.sum("s").alias("right_s"))
+    confused = F.greatest(F.col("both_s") - F.coalesce("right_s", F.lit(0.0)), F.lit(0.0))
+    return heights.join(right, "file", "left").select("file", "total_s", "miss_s", "false_alarm_s", confused.alias("confusion_s"))
 
 
 def file_der(seconds: DataFrame) -> DataFrame:
@@ -207,3 +239,71 @@ def paired_segments(gold: DataFrame, hyp: DataFrame) -> DataFrame:
     columns = ["file", "ord", "start", "end", "speaker"]
     both = gold.select(*columns, F.lit("ref").alias("side")).unionByName(hyp.select(*columns, F.lit("hyp").alias("side")))
     return both.join(checked, "file").where("_there").drop("_there")
+
+
+def der_by_speakers(segments: DataFrame, collar: float = 0.0, skip_overlap: bool = False) -> DataFrame:
+    """corpus_der of the files with as many reference speakers, by speaker_bucket; buckets without files are left out."""
+    seconds = diarization_seconds(segments, collar, skip_overlap)
+    speakers = clean_segments(segments).groupBy("file").agg(F.count_distinct(F.when(F.col("side") == "ref", F.col("speaker"))).alias("n"))
+    return corpus_der(seconds.join(speakers, "file").withColumn("bucket", speaker_bucket(F.col("n"))), ["bucket"])
+
+
+# -- boundaries and missed speech of the mapped speakers ------------------------------------------------------------
+
+
+def mapped_reference(clean: DataFrame, bucket_s: float = 3600.0) -> DataFrame:
+    """Reference segments with `mapped`, the hypothesis speaker that the best mapping gives theirs; null without one."""
+    mapping = speaker_mapping(seconds_together(clean, bucket_s)).select(F.col("file").alias("_file"), "ref_speaker", F.col("hyp_speaker").alias("mapped"))
+    ref = clean.where("side = 'ref'")
+    return ref.join(mapping, (F.col("file") == F.col("_file")) & (F.col("speaker") == F.col("ref_speaker")), "left").select("file", "speaker", "start", "end", "mapped")
+
+
+def boundary_offsets(segments: DataFrame) -> DataFrame:
+    """(file, speaker, kind, t, offset_s): each reference boundary with the distance to the nearest one of its kind (start, end) of the mapped speaker; null without one."""
+    clean = held(clean_segments(segments), "segments")
+    both = F.array(F.struct(F.lit("start").alias("kind"), F.col("start").alias("t")), F.struct(F.lit("end").alias("kind"), F.col("end").alias("t")))
+    ref = mapped_reference(clean).select("file", "speaker", "mapped", F.explode(both).alias("b")).select("file", "speaker", "mapped", "b.kind", "b.t", F.lit(True).alias("is_ref"))
+    hyp = clean.where("side = 'hyp'").select("file", F.lit(None).cast("string").alias("speaker"), F.col("speaker").alias("mapped"), F.explode(both).alias("b"))
+    line = ref.unionByName(hyp.select("file", "speaker", "mapped", "b.kind", "b.t", F.lit(False).alias("is_ref")))
+    other = F.when(~F.col("is_ref"), F.col("t"))
+    keys = ["file", "mapped", "kind"]
+    down = F.last(other, True).over(Window.partitionBy(*keys).orderBy(F.col("t").asc(), F.col("is_ref").asc()))
+    up = F.last(other, True).over(Window.partitionBy(*keys).orderBy(F.col("t").desc(), F.col("is_ref").asc()))
+    near = line.withColumn("_below", down).withColumn("_above", up).where("is_ref")
+    offset = F.when(F.col("mapped").isNotNull(), F.least(F.col("t") - F.col("_below"), F.col("_above") - F.col("t")))
+    return near.select("file", "speaker", "kind", "t", offset.alias("offset_s"))
+
+
+def missed_speech(segments: DataFrame, short_s: float = 1.0, bin_s: float = 60.0) -> DataFrame:
+    """(file, short_s, long_s): seconds of reference segments that their mapped speaker does not cover, of segments up to `short_s` and of longer ones.
+
+    Segments and turns meet in bins of time, where each counts with its part of the bin, so no file is joined all with all.
+    """
+    clean = clean_segments(segments)
+    ref = mapped_reference(clean).withColumn("_long", F.col("end") - F.col("start") > short_s)
+
+    def binned(df: DataFrame) -> DataFrame:
+        at = df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / bin_s), F.floor(F.col("end") / bin_s))))
+        return at.withColumn("start", F.greatest("start", F.col("_bin") * bin_s)).withColumn("end", F.least("end", (F.col("_bin") + 1) * bin_s))
+
+    hyp = binned(fold_turns(clean.where("side = 'hyp'"), ["file", "speaker"], 0.0)).select(F.col("file").alias("_file"), F.col("speaker").alias("_speaker"), F.col("_bin").alias("_at"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    same_place = (F.col("file") == F.col("_file")) & (F.col("mapped") == F.col("_speaker")) & (F.col("_bin") == F.col("_at")) & (F.col("start") < F.col("_e")) & (F.col("end") > F.col("_s"))
+    covered = binned(ref).join(hyp, same_place).groupBy("file", "_long").agg(F.sum(F.least("end", "_e") - F.greatest("start", "_s")).alias("covered"))
+    whole = ref.groupBy("file", "_long").agg(F.sum(F.col("end") - F.col("start")).alias("all"))
+    left = whole.join(covered, ["file", "_long"], "left").withColumn("missed", F.greatest(F.col("all") - F.coalesce("covered", F.lit(0.0)), F.lit(0.0)))
+    part = lambda x: F.coalesce(F.sum(F.when(x, F.col("missed"))), F.lit(0.0))
+    return left.groupBy("file").agg(part(~F.col("_long")).alias("short_s"), part(F.col("_long")).alias("long_s"))
+
+
+def boundary_report(segments: DataFrame, within_s: float = 0.25, short_s: float = 1.0) -> DataFrame:
+    """One row: median offset in ms, share within `within_s`, boundaries without a counterpart, and missed seconds by length of segment."""
+    offsets = boundary_offsets(segments)
+    met = offsets.where("offset_s IS NOT NULL").withColumn("every", F.lit(1))
+    median = exact_percentiles(met, ["every"], "offset_s", {"m": 0.5}, places=9).select((F.col("m") * 1000).alias("offset_median_ms"))
+    n = F.count("offset_s")
+    shares = offsets.agg(
+        (100.0 * F.count_if(F.col("offset_s") <= within_s) / F.nullif(n, F.lit(0))).alias("within_pct"), n.alias("matched_boundaries"), (F.count("*") - n).alias("unmatched_boundaries")
+    )
+    missed = missed_speech(segments, short_s).agg(F.coalesce(F.sum("short_s"), F.lit(0.0)).alias("missed_short_s"), F.coalesce(F.sum("long_s"), F.lit(0.0)).alias("missed_long_s"))
+    every = F.nullif(F.col("missed_short_s") + F.col("missed_long_s"), F.lit(0.0))
+    return shares.join(F.broadcast(missed)).join(F.broadcast(median), how="left").withColumn("missed_short_share", F.col("missed_short_s") / every)  # one row each

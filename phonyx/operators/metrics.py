@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.ratio import nullable_pct, ratio_pct
+from .runs import align
 
 RUNAWAY_RATIO = 3.0
 LEAK_NGRAM, LEAK_MAX_SHARE_PCT, LEAK_MIN_FLAGGED = 6, 2.0, 5
@@ -29,7 +30,15 @@ def word_units(rows: DataFrame, reference: Column | None = None, hypothesis: Col
 
 
 def corpus_wer(units: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    return units.groupBy(*keys).agg(ratio_pct("edits", "ref_words").alias("wer_pct"), F.sum("edits").alias("edits"), F.sum("ref_words").alias("ref_words"), F.count("*").alias("utterances"))
+    """Word error rate of all utterances, and the length-weighted mean of their own rates (`strict_wer_pct`).
+
+    In the mean, utterances without words on one side count as wholly wrong, and empty references not at all.
+    """
+    own = F.when((F.col("hyp_words") == 0) & (F.col("ref_words") > 0), 1.0).when(F.col("ref_words") > 0, F.col("edits") / F.col("ref_words"))
+    return units.groupBy(*keys).agg(
+        ratio_pct("edits", "ref_words").alias("wer_pct"), F.sum("edits").alias("edits"), F.sum("ref_words").alias("ref_words"), F.count("*").alias("utterances"),
+        (100.0 * F.sum(own * F.col("ref_words")) / F.nullif(F.sum("ref_words").cast("double"), F.lit(0.0))).alias("strict_wer_pct"),
+    )
 
 
 def corpus_cer(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -38,12 +47,6 @@ def corpus_cer(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return rows.groupBy(*keys).agg(ratio_pct(distance, F.length("reference")).alias("cer_pct"))
 
 
-def strict_wer(units: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Length-weighted mean of the utterances' own rates; utterances without words on one side count as wholly wrong, empty references not at all."""
-    own = F.when((F.col("hyp_words") == 0) & (F.col("ref_words") > 0), 1.0).when(F.col("ref_words") > 0, F.col("edits") / F.col("ref_words"))
-    return units.groupBy(*keys).agg((100.0 * F.sum(own * F.col("ref_words")) / F.sum("ref_words")).alias("wer_pct"))
-
-
 def runaways(units: DataFrame, keys: Sequence[str] = (), ratio: float = RUNAWAY_RATIO) -> DataFrame:
     """Utterances whose hypothesis is over `ratio` times the reference, their share, and their share of all edits (null without edits)."""
     away = F.col("hyp_words") > ratio * F.col("ref_words")
@@ -54,25 +57,80 @@ def runaways(units: DataFrame, keys: Sequence[str] = (), ratio: float = RUNAWAY_
     )
 
 
-def bleu_counts(rows: DataFrame, reference: Column, hypothesis: Column, order: int = 4) -> DataFrame:
-    """rows with lengths and, for each n, the clipped matches and the number of hypothesis n-grams."""
-    out = rows.withColumn("_ref", reference).withColumn("_hyp", hypothesis).withColumn("ref_len", F.size("_ref").cast("long")).withColumn("hyp_len", F.size("_hyp").cast("long"))
+def filler_tolerant_units(rows: DataFrame, stoplist: Sequence[str] = T.FILLER_STOPLIST) -> DataFrame:
+    """word_units under the canonical lens without fillers on either side."""
+    return word_units(rows, T.fillers_out(T.tokens(F.col("reference")), stoplist), T.fillers_out(T.tokens(F.col("prediction")), stoplist))
+
+
+def pair_stack(rows: DataFrame, labels: Sequence[str] = ()) -> DataFrame:
+    """rows with the error rates of each pair: words under the strict, permissive and verbatim lens, characters under the strict one,
+    the operations of the strict alignment (`sub`, `ins`, `del`), and the insertion rate `ier`.
+
+    A pair with one empty side is wholly wrong and has no operations; two empty sides agree.
+    """
+    lenses = {"strict": T.strict, "permissive": T.permissive, "verbatim": T.verbatim}
+    out = rows
+    for name, lens in lenses.items():
+        out = out.withColumn(f"_r_{name}", lens(F.coalesce("reference", F.lit("")), labels)).withColumn(f"_h_{name}", lens(F.coalesce("prediction", F.lit("")), labels))
+    one_empty = lambda name: (F.col(f"_r_{name}") == "") != (F.col(f"_h_{name}") == "")
+
+    def rate(name: str, edits: Column, length: Column) -> Column:
+        return F.when(one_empty(name), 1.0).when(F.col(f"_r_{name}") == "", 0.0).otherwise(edits / length)
+
+    for name in lenses:
+        r, h = T.words(F.col(f"_r_{name}")), T.words(F.col(f"_h_{name}"))
+        out = out.withColumn(f"wer_{name}", rate(name, T.word_edits(r, h), F.size(r)))
+    out = out.withColumn("cer", rate("strict", F.levenshtein("_r_strict", "_h_strict"), F.length("_r_strict")))
+    both = (F.col("_r_strict") != "") & (F.col("_h_strict") != "")
+    out = out.withColumn("_ops", align(F.when(both, T.words(F.col("_r_strict"))).otherwise(F.array().cast("array<string>")), F.when(both, T.words(F.col("_h_strict"))).otherwise(F.array().cast("array<string>"))))
+    count = lambda kind: F.size(F.filter("_ops", lambda o: o["kind"] == kind)).cast("long")
+    out = out.withColumns({"sub": count("substitute"), "ins": count("insert"), "del": count("delete"), "ref_words": F.size(T.words(F.col("_r_strict"))).cast("long")})
+    out = out.withColumn("ier", F.when(F.col("ref_words") > 0, F.col("ins") / F.col("ref_words")).otherwise(0.0))
+    return out.drop("_ops", *[f"_{side}_{name}" for side in "rh" for name in lenses])
+
+
+def bleu_counts(rows: DataFrame, reference: Column | Sequence[Column], hypothesis: Column, order: int = 4) -> DataFrame:
+    """rows with lengths and, for each n, the clipped matches and the number of hypothesis n-grams.
+
+    With several references a match is clipped by the one that has most of it, and `ref_len` is
+    the length nearest to the hypothesis, the shorter of two.
+    """
+    refs = [reference] if isinstance(reference, Column) else list(reference)
+    out = rows.withColumn("_refs", F.array(*refs)).withColumn("_hyp", hypothesis).withColumn("hyp_len", F.size("_hyp").cast("long"))
+    nearest = F.array_min(F.transform("_refs", lambda r: F.struct(F.abs(F.size(r) - F.col("hyp_len")).alias("far"), F.size(r).cast("long").alias("len"))))
+    out = out.withColumn("ref_len", nearest["len"]).withColumn("_met", T.ngram_matches("_hyp", "_refs", F.lit(order)))
     for n in range(1, order + 1):
-        out = out.withColumn(f"match_{n}", T.bag_overlap(T.ngrams(F.col("_hyp"), n), T.ngrams(F.col("_ref"), n))).withColumn(f"total_{n}", F.greatest(F.size("_hyp") - (n - 1), F.lit(0)).cast("long"))
-    return out.drop("_ref", "_hyp")
+        out = out.withColumn(f"match_{n}", F.col("_met")[n - 1]).withColumn(f"total_{n}", F.greatest(F.size("_hyp") - (n - 1), F.lit(0)).cast("long"))
+    return out.drop("_refs", "_hyp", "_met")
 
 
-def corpus_bleu(counts: DataFrame, keys: Sequence[str] = (), order: int = 4) -> DataFrame:
-    """BLEU with exponential smoothing of the orders without a match; 0 where a whole order has no n-grams."""
-    sums = counts.groupBy(*keys).agg(*[F.sum(f"{k}_{n}").alias(f"{k}_{n}") for n in range(1, order + 1) for k in ("match", "total")], F.sum("ref_len").alias("ref_len"), F.sum("hyp_len").alias("hyp_len"))
-    smooth, logs, possible = F.lit(1.0), F.lit(0.0), F.lit(True)
+def bleu_of(order: int, effective: bool) -> Column:
+    """BLEU of summed counts, with exponential smoothing of the orders without a match.
+
+    `effective` (for single sentences): only orders that have n-grams count. Otherwise 0 where one has none.
+    """
+    smooth, logs, orders, possible = F.lit(1.0), F.lit(0.0), F.lit(0), F.lit(True)
     for n in range(1, order + 1):
         match, total = F.col(f"match_{n}"), F.col(f"total_{n}")
-        smooth = F.when(match == 0, smooth * 2).otherwise(smooth)
+        smooth = F.when((match == 0) & (total > 0), smooth * 2).otherwise(smooth)
         logs = logs + F.when(total > 0, F.log(F.when(match == 0, 100.0 / (smooth * total)).otherwise(100.0 * match / total))).otherwise(0.0)
+        orders = orders + (total > 0).cast("int")
         possible = possible & (total > 0)
     brevity = F.when(F.col("hyp_len") < F.col("ref_len"), F.exp(1 - F.col("ref_len") / F.col("hyp_len"))).otherwise(1.0)
-    return sums.withColumn("bleu", F.when(possible & (F.col("match_1") > 0), brevity * F.exp(logs / order)).otherwise(0.0))
+    # Without a single match of any order the score is zero.
+    any_match = sum((F.col(f"match_{n}") for n in range(1, order + 1)), F.lit(0)) > 0
+    return F.when(any_match & (F.lit(effective) | possible), brevity * F.exp(logs / (orders if effective else F.lit(order)))).otherwise(0.0)
+
+
+def sentence_bleu(counts: DataFrame, order: int = 4) -> DataFrame:
+    """counts with `sentence_bleu`, a diagnostic of single rows; never an average of them."""
+    return counts.withColumn("sentence_bleu", bleu_of(order, True))
+
+
+def corpus_bleu(counts: DataFrame, keys: Sequence[str] = (), order: int = 4) -> DataFrame:
+    """Summed counts of each key with `bleu`; 0 where a whole order has no n-grams."""
+    sums = counts.groupBy(*keys).agg(*[F.sum(f"{k}_{n}").alias(f"{k}_{n}") for n in range(1, order + 1) for k in ("match", "total")], F.sum("ref_len").alias("ref_len"), F.sum("hyp_len").alias("hyp_len"))
+    return sums.withColumn("bleu", bleu_of(order, False))
 
 
 def tokens_13a(text: Column) -> Column:
@@ -83,11 +141,20 @@ def tokens_13a(text: Column) -> Column:
     return T.words(F.regexp_replace(spaced, r"([0-9])(-)", "$1 $2 "))
 
 
+def numbers(text: Column) -> Column:
+    """The numeric entities of a text under the canonical lens; null for null."""
+    return F.when(text.isNotNull(), T.entities(T.before_punctuation(text)))
+
+
 def entity_units(rows: DataFrame) -> DataFrame:
     """rows whose reference has numbers, with how many (`den`) and how many of them the prediction has, with multiplicity (`num`)."""
-    lens = lambda c: T.entities(T.before_punctuation(F.coalesce(F.col(c), F.lit(""))))
-    found = rows.withColumn("_r", lens("reference")).withColumn("_h", lens("prediction"))
-    return found.withColumn("den", F.size("_r").cast("long")).where("den > 0").withColumn("num", T.bag_overlap(F.col("_r"), F.col("_h"))).drop("_r", "_h")
+    found = rows.withColumn("_r", numbers(F.coalesce("reference", F.lit("")))).withColumn("_h", numbers(F.coalesce("prediction", F.lit(""))))
+    return numbers_met(found, "_r", "_h").drop("_r", "_h")
+
+
+def numbers_met(rows: DataFrame, reference: str, prediction: str) -> DataFrame:
+    """entity_units of rows whose numbers are found already."""
+    return rows.withColumn("den", F.size(reference).cast("long")).where("den > 0").withColumn("num", T.bag_overlap(F.col(reference), F.col(prediction)))
 
 
 def entity_rate(units: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -112,6 +179,21 @@ def cross_leaks(rows: DataFrame, n: int = LEAK_NGRAM) -> DataFrame:
     return met.groupBy("id").agg(F.min_by("source", "pos").alias("source"))
 
 
+def contained_ngrams(docs: DataFrame, items: DataFrame, n: int = LEAK_NGRAM) -> DataFrame:
+    """(id, source, sources): documents that hold an n-gram of an item, the item of the first such n-gram, and how many items there are.
+
+    docs: (id, t), items: (source, t), t: tokens. N-grams meet as hashes of
+    eight bytes, and what meets is checked on the words themselves.
+    """
+    grams = items.select("source", F.explode(F.array_distinct(F.arrays_zip(T.ngram_hashes(F.col("t"), n).alias("hash"), T.ngrams(F.col("t"), n).alias("gram")))).alias("g")).select("source", "g.hash", "g.gram")
+    places = docs.select("id", F.posexplode(T.ngram_hashes(F.col("t"), n)).alias("pos", "hash"))
+    # No hint: Spark broadcasts the items' n-grams while they are small, and else deals both sides by hash.
+    met = places.join(grams, "hash")
+    texts = docs.withColumnRenamed("id", "_id")
+    checked = met.join(texts, F.col("id") == F.col("_id")).where(F.array_join(F.slice("t", F.col("pos") + 1, n), " ") == F.col("gram"))
+    return checked.groupBy("id").agg(F.min_by("source", F.struct("pos", "source")).alias("source"), F.count_distinct("source").alias("sources"))
+
+
 def leak_gate(flagged: Column, utterances: Column) -> Column:
     return (flagged > LEAK_MIN_FLAGGED) & (100.0 * flagged / utterances > LEAK_MAX_SHARE_PCT)
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from .scan import buckets_by_value, running, same
+
 WINDOW_WORDS, LOOP_MAX_N, LOOP_MIN_REPS, LOOP_MIN_WORDS = 600, 10, 3, 12
 PASS_FIELDS = ("started_at", "finished_at", "wall_s", "n_requests", "n_ok", "audio_s", "concurrency", "adapter", "hardware", "interrupted")
 
@@ -32,9 +34,21 @@ def latencies(utterances: DataFrame) -> DataFrame:
     })
 
 
-def percentile_columns(value: str, prefix: str) -> list[Column]:
-    """p50, p95 and p99 with linear interpolation, to a tenth of a millisecond."""
-    return [F.round(F.percentile(value, q / 100), 4).alias(f"{prefix}p{q}") for q in (50, 95, 99)]
+def exact_percentiles(rows: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float], places: int = 4) -> DataFrame:
+    """(keys, names of `wanted`): percentiles of each key with linear interpolation, rounded.
+
+    Values are counted first; the ones at the two ranks around each percentile
+    are found in running counts over ranges of values, so no task holds a key.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    upto = running(counted, keys, buckets_by_value(counted, value), [value], {"_upto": (F.sum, "_n")})
+    met = upto.join(totals.withColumnsRenamed({k: f"_{k}" for k in keys}), same(keys, [f"_{k}" for k in keys]))
+    at = lambda q: F.lit(q) * (F.col("_all") - 1)
+    reach = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col(value)))
+    ends = met.groupBy(*keys).agg(*[x for name, q in wanted.items() for x in (reach(F.floor(at(q))).alias(f"_lo_{name}"), reach(F.ceil(at(q))).alias(f"_hi_{name}"), F.first(at(q) - F.floor(at(q))).alias(f"_at_{name}"))])
+    between = lambda name: F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * F.col(f"_at_{name}")
+    return ends.select(*keys, *[F.round(between(name), places).alias(name) for name in wanted])
 
 
 def capacity(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -91,13 +105,25 @@ def backfill(committed: DataFrame, recomputed: DataFrame, keys: Sequence[str], t
     return marked.join(F.broadcast(any_conflict))
 
 
-def micro_batches(items: DataFrame, keys: Sequence[str], at: str, order: Sequence[str], max_size: int, max_wait_s: float) -> DataFrame:
-    """items with `batch`: a new one after a pause of over `max_wait_s`, and after every `max_size` items."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    opens = F.coalesce((F.col(at) - F.lag(at).over(w) > max_wait_s).cast("int"), F.lit(1))
-    bursts = items.withColumn("_burst", F.sum(opens).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy(*keys, "_burst").orderBy(*order)
-    return bursts.withColumn("batch", F.concat_ws("/", "_burst", F.floor((F.row_number().over(inside) - 1) / max_size).cast("long"))).drop("_burst")
+def micro_batches(items: DataFrame, keys: Sequence[str], at: str, order: Sequence[str], max_size: int, max_wait_s: float, bucket_s: float | None = None) -> DataFrame:
+    """items with `batch`: a new one after a pause of over `max_wait_s`, and after every `max_size` items.
+
+    With `bucket_s` a key's items are dealt by time, so many seconds to a task.
+    """
+    if bucket_s is None:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        opened = items.withColumn("_opens", F.coalesce((F.col(at) - F.lag(at).over(w) > max_wait_s).cast("int"), F.lit(1)))
+        bursts = opened.withColumn("_burst", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_place", F.row_number().over(w) - 1)
+    else:
+        bucket = F.floor(F.col(at) / bucket_s)
+        # The item before is the latest one: times do not fall along the order.
+        last = running(items.withColumn("_one", F.lit(1)), keys, bucket, order, {"_last": (F.max, at), "_place": (F.sum, "_one")}, before=True)
+        opened = last.withColumn("_opens", F.coalesce((F.col(at) - F.col("_last") > max_wait_s).cast("int"), F.lit(1)))
+        bursts = running(opened, keys, bucket, order, {"_burst": (F.sum, "_opens")})
+    # Places in a burst: from the place of its first item, a row for each burst.
+    first = bursts.groupBy(*keys, "_burst").agg(F.min("_place").alias("_first")).withColumnsRenamed({k: f"_b_{k}" for k in (*keys, "_burst")})
+    placed = bursts.join(first, same([*keys, "_burst"], [f"_b_{k}" for k in (*keys, "_burst")]))
+    return placed.select(*[F.col(f"`{c}`") for c in items.columns], F.concat_ws("/", "_burst", F.floor((F.col("_place") - F.col("_first")) / max_size).cast("long")).alias("batch"))
 
 
 def fit_through_origin(points: DataFrame, keys: Sequence[str], power: int = 1) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import numbers as N
 from ..functions import ratio
 from ..functions import text as T
 from ..operators import frames, intervals, metrics, resampling, runs
-from ..sources import files
+from ..sources import corpora, files
 from . import tables as src
 from .tables import seconds, table
 
@@ -54,7 +55,7 @@ WITH sp AS ({SPANS}), m AS (SELECT *, max(e) OVER (PARTITION BY event_type ORDER
 i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s - reach > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m)
 SELECT event_type, count(*) AS islands, round(sum(len), 3) AS covered_s FROM (SELECT event_type, max(e) - min(s) AS len FROM i GROUP BY event_type, island) GROUP BY event_type""")
 def interval_union(spark: SparkSession, d: str) -> DataFrame:
-    merged = intervals.fold_turns(src.spans(spark, d), ["event_type"], 0.0)
+    merged = intervals.fold_turns(src.spans(spark, d), ["event_type"], 0.0, bucket_s=86_400.0)
     return merged.groupBy("event_type").agg(F.count("*").alias("islands"), F.round(F.sum(F.col("end") - F.col("start")), 3).alias("covered_s"))
 
 
@@ -68,14 +69,25 @@ def overlap_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(intervals.overlap_stats(src.spans(spark, d), ["event_type"]), "speech_s", "overlap_s", "speaker_time_s", "span_s", places=3)
 
 
-DER_SQL = """
+def der_sql(collar: float = 0.0, skip_overlap: bool = False, folded: bool = False) -> str:
+    """Common tables up to `sec`, the seconds of each file; speakers are three on each side, so all mappings are tried."""
+    zones = f"SELECT DISTINCT file, unnest([a, b]) - {collar / 2} AS za, unnest([a, b]) + {collar / 2} AS zb FROM seg WHERE side = 'ref'"
+    hyp = "SELECT * FROM clean WHERE side = 'hyp'"
+    if folded:
+        hyp = """SELECT file, side, min(a) AS a, max(b) AS b, sp FROM (SELECT *, sum(CASE WHEN reach IS NULL OR a - reach > 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY file, sp ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island
+    FROM (SELECT *, max(b) OVER (PARTITION BY file, sp ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM raw WHERE side = 'hyp' AND b > a)) GROUP BY file, side, sp, island"""
+    return f"""
 WITH ev AS (SELECT strftime(ts, '%Y-%m-%d') AS file, event_id AS ord, epoch_us(ts) / 1e6 AS t, value, user_id % 3 AS s FROM events),
 raw AS (SELECT file, ord, 'ref' AS side, t AS a, t + 60 * value AS b, CAST(s AS VARCHAR) AS sp FROM ev
   UNION ALL SELECT file, ord, 'hyp', t + 1, t + 60 * value + CASE WHEN ord % 5 = 0 THEN 900 ELSE 0 END, CAST((s + CASE WHEN ord % 11 = 0 THEN 2 ELSE 1 END) % 3 AS VARCHAR) FROM ev WHERE ord % 7 <> 0),
-seg AS (SELECT file, side, a, b, arg_max(sp, ord) AS sp FROM raw WHERE b > a GROUP BY file, side, a, b),
-edges AS (SELECT DISTINCT file, t FROM (SELECT file, a AS t FROM seg UNION ALL SELECT file, b FROM seg)),
-cut AS (SELECT file, t AS a, lead(t) OVER (PARTITION BY file ORDER BY t) AS b FROM edges),
-act AS (SELECT cut.file, cut.a, cut.b - cut.a AS len, side, sp, count(*) AS n FROM cut JOIN seg ON seg.file = cut.file AND seg.a <= cut.a AND seg.b >= cut.b GROUP BY ALL),
+clean AS (SELECT file, side, a, b, arg_max(sp, ord) AS sp FROM raw WHERE b > a GROUP BY file, side, a, b),
+seg AS (SELECT * FROM clean WHERE side = 'ref' UNION ALL {hyp}),
+zone AS ({zones}),
+edges AS (SELECT DISTINCT file, t FROM (SELECT file, unnest([a, b]) AS t FROM seg{" UNION ALL SELECT file, unnest([za, zb]) FROM zone" if collar else ""})),
+line AS (SELECT file, t AS a, lead(t) OVER (PARTITION BY file ORDER BY t) AS b FROM edges),
+cut AS (SELECT * FROM line{" WHERE NOT EXISTS (SELECT 1 FROM zone z WHERE z.file = line.file AND z.za <= line.a AND z.zb >= line.b)" if collar else ""}),
+act0 AS (SELECT cut.file, cut.a, cut.b - cut.a AS len, side, sp, count(*) AS n FROM cut JOIN seg ON seg.file = cut.file AND seg.a <= cut.a AND seg.b >= cut.b GROUP BY ALL),
+act AS (SELECT * FROM act0{" WHERE (file, a) NOT IN (SELECT (file, a) FROM act0 WHERE side = 'ref' GROUP BY file, a HAVING sum(n) > 1)" if skip_overlap else ""}),
 hts AS (SELECT file, a, any_value(len) AS len, sum(CASE WHEN side = 'ref' THEN n ELSE 0 END) AS nr, sum(CASE WHEN side = 'hyp' THEN n ELSE 0 END) AS nh FROM act GROUP BY file, a),
 tog AS (SELECT r.file, r.a, r.len, r.sp AS rs, h.sp AS hs, least(r.n, h.n) AS n FROM act r JOIN act h ON r.file = h.file AND r.a = h.a AND r.side = 'ref' AND h.side = 'hyp'),
 co AS (SELECT file, rs, hs, sum(len * n) AS w FROM tog GROUP BY file, rs, hs),
@@ -88,6 +100,9 @@ sec AS (SELECT h.file, sum(len * nr) AS total_s, sum(len * greatest(nr - nh, 0))
 """
 
 
+DER_SQL = der_sql()
+
+
 @query("der_events", DER_SQL + """SELECT file, round(total_s, 3) AS total_s, round(miss_s, 3) AS miss_s, round(false_alarm_s, 3) AS false_alarm_s, round(confusion_s, 3) AS confusion_s,
   round((miss_s + false_alarm_s + confusion_s) / total_s, 6) AS der FROM sec""")
 def der_events(spark: SparkSession, d: str) -> DataFrame:
@@ -105,22 +120,48 @@ def der_corpus(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(out, "der", "miss", "false_alarm", "confusion", "file_mean_der"), "total_s", places=3)
 
 
-@query("der_collar")
+def _collar_sql(collar: float, skip: bool) -> str:
+    return f"""SELECT {collar} AS collar, {str(skip).lower()} AS skip_overlap, round(sum(miss_s + false_alarm_s + confusion_s) / sum(total_s), 6) AS der, round(sum(miss_s) / sum(total_s), 6) AS miss,
+  round(sum(false_alarm_s) / sum(total_s), 6) AS false_alarm, round(sum(confusion_s) / sum(total_s), 6) AS confusion, round(sum(total_s), 3) AS total_s FROM ({der_sql(collar, skip)} SELECT * FROM sec)"""
+
+
+COLLARS = ((0.0, False), (0.25, False), (0.0, True))
+
+
+@query("der_collar", " UNION ALL ".join(_collar_sql(*x) for x in COLLARS))
 def der_collar(spark: SparkSession, d: str) -> DataFrame:
     """Both collars and the overlap-free variant side by side."""
     segments = src.turns_of_days(spark, d)
-    parts = [intervals.corpus_der(intervals.diarization_seconds(segments, c, s)).withColumn("collar", F.lit(c)).withColumn("skip_overlap", F.lit(s)) for c, s in ((0.0, False), (0.25, False), (0.0, True))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [intervals.corpus_der(intervals.diarization_seconds(segments, c, s)).withColumn("collar", F.lit(c)).withColumn("skip_overlap", F.lit(s)) for c, s in COLLARS]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).select("collar", "skip_overlap", "der", "miss", "false_alarm", "confusion", "total_s")
+    return rounded(rounded(out, "der", "miss", "false_alarm", "confusion"), "total_s", places=3)
 
 
-@query("folding_sensitivity")
+@query("folding_sensitivity", f"""
+SELECT round(r.der, 6) AS raw_der, round(f.der, 6) AS folded_der, round(100 * (f.der - r.der), 4) AS delta_pp FROM
+  (SELECT sum(miss_s + false_alarm_s + confusion_s) / sum(total_s) AS der FROM ({der_sql()} SELECT * FROM sec)) r,
+  (SELECT sum(miss_s + false_alarm_s + confusion_s) / sum(total_s) AS der FROM ({der_sql(folded=True)} SELECT * FROM sec)) f""")
 def folding_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     """Error with folded hypothesis turns minus error with raw ones."""
     s = src.turns_of_days(spark, d)
-    folded = intervals.fold_turns(s.where("side = 'hyp'"), ["file", "speaker"], intervals.GAP_S).select("file", F.lit("hyp").alias("side"), F.monotonically_increasing_id().alias("ord"), "start", "end", "speaker")
+    folded = intervals.fold_turns(s.where("side = 'hyp'"), ["file", "speaker"], intervals.GAP_S).select("file", F.lit("hyp").alias("side"), F.lit(0).cast("long").alias("ord"), "start", "end", "speaker")
     raw = intervals.corpus_der(intervals.diarization_seconds(s)).select(F.col("der").alias("raw_der"))
     new = intervals.corpus_der(intervals.diarization_seconds(s.where("side = 'ref'").select("file", "side", "ord", "start", "end", "speaker").unionByName(folded))).select(F.col("der").alias("folded_der"))
-    return raw.join(F.broadcast(new)).withColumn("delta_pp", 100 * (F.col("folded_der") - F.col("raw_der")))  # one row each
+    out = raw.join(F.broadcast(new)).withColumn("delta_pp", 100 * (F.col("folded_der") - F.col("raw_der")))  # one row each
+    return rounded(rounded(out, "raw_der", "folded_der"), "delta_pp", places=4)
+
+
+@query("der_by_speakers", der_sql() + """, sp AS (SELECT file, count(DISTINCT sp) AS n FROM seg WHERE side = 'ref' GROUP BY file)
+SELECT CASE WHEN n BETWEEN 1 AND 4 THEN CAST(n AS VARCHAR) ELSE '5+' END AS bucket, count(*) AS files, round(sum(miss_s + false_alarm_s + confusion_s) / sum(total_s), 6) AS der, round(sum(total_s), 3) AS total_s FROM sec JOIN sp USING (file) GROUP BY 1""")
+def der_by_speakers(spark: SparkSession, d: str) -> DataFrame:
+    out = intervals.der_by_speakers(src.turns_of_days(spark, d)).select("bucket", "files", "der", "total_s")
+    return rounded(rounded(out, "der"), "total_s", places=3)
+
+
+@query("boundary_report")
+def boundary_report(spark: SparkSession, d: str) -> DataFrame:
+    """Boundary offsets and missed speech of the days' turns."""
+    return intervals.boundary_report(src.turns_of_days(spark, d))
 
 
 @query("speaker_bucket", """
@@ -165,10 +206,10 @@ def ratio_by_group(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(ratio.ratio_pct(F.col("l_discount") * F.col("l_extendedprice"), "l_extendedprice"), 6).alias("pct"), F.count("*").alias("n"))
 
 
-def _supplier_units(spark: SparkSession, d: str, flag: str | None = None) -> DataFrame:
-    rows = table(spark, d, "lineitem")
-    rows = rows if flag is None else rows.where(F.col("l_linestatus") == flag)
-    return rows.groupBy("l_suppkey").agg(F.sum(F.col("l_discount") * F.col("l_extendedprice")).alias("num"), F.sum("l_extendedprice").alias("den"))
+def _supplier_units(spark: SparkSession, d: str, flag: str) -> DataFrame:
+    """Sums of every supplier's rows with the flag: both runs have the same units."""
+    own = F.when(F.col("l_linestatus") == flag, F.col("l_extendedprice")).otherwise(0.0)
+    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum(F.col("l_discount") * own).alias("num"), F.sum(own).alias("den"))
 
 
 @query("bootstrap_ci")
@@ -179,20 +220,16 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("paired_delta_point", """
-WITH a AS (SELECT l_suppkey, sum(l_discount * l_extendedprice) AS num, sum(l_extendedprice) AS den FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1),
-b AS (SELECT l_suppkey, sum(l_discount * l_extendedprice) AS num, sum(l_extendedprice) AS den FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1)
-SELECT round(100 * sum(a.num) / sum(a.den) - 100 * sum(b.num) / sum(b.den), 6) AS point, count(*) AS n FROM a JOIN b USING (l_suppkey)""")
+SELECT round(100 * sum(CASE WHEN l_linestatus = 'O' THEN l_discount * l_extendedprice ELSE 0 END) / sum(CASE WHEN l_linestatus = 'O' THEN l_extendedprice ELSE 0 END)
+  - 100 * sum(CASE WHEN l_linestatus = 'F' THEN l_discount * l_extendedprice ELSE 0 END) / sum(CASE WHEN l_linestatus = 'F' THEN l_extendedprice ELSE 0 END), 6) AS point, count(DISTINCT l_suppkey) AS n FROM lineitem""")
 def paired_delta_point(spark: SparkSession, d: str) -> DataFrame:
-    a, b = _supplier_units(spark, d, "O"), _supplier_units(spark, d, "F")
-    shared = a.join(b, "l_suppkey", "left_semi"), b.join(a, "l_suppkey", "left_semi")
-    pairs = resampling.pair_units(*shared, "l_suppkey")
+    pairs = resampling.pair_units(_supplier_units(spark, d, "O"), _supplier_units(spark, d, "F"), "l_suppkey")
     return pairs.agg(F.round(ratio.ratio_pct("num_a", "den_a") - ratio.ratio_pct("num_b", "den_b"), 6).alias("point"), F.count("*").alias("n"))
 
 
 @query("paired_interval")
 def paired_interval(spark: SparkSession, d: str) -> DataFrame:
-    a, b = _supplier_units(spark, d, "O"), _supplier_units(spark, d, "F")
-    pairs = resampling.pair_units(a.join(b, "l_suppkey", "left_semi"), b.join(a, "l_suppkey", "left_semi"), "l_suppkey")
+    pairs = resampling.pair_units(_supplier_units(spark, d, "O"), _supplier_units(spark, d, "F"), "l_suppkey")
     return resampling.paired_interval(pairs, "l_suppkey").withColumn("verdict", ratio.verdict("lo", "hi"))
 
 
@@ -229,21 +266,54 @@ def strip_fillers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(kept, " ").alias("kept"))
 
 
-@query("wer_pairs", f"""
-WITH p AS ({PAIRS}), t AS (SELECT id, conv_id, {LENS.format("reference")} AS r, {LENS.format("prediction")} AS h FROM p),
-v AS (SELECT *, list_distinct(list_concat(r, h)) AS voc FROM t),
-c AS (SELECT *, array_to_string(list_transform(r, lambda w: chr(33 + list_position(voc, w)::INT)), '') AS rc, array_to_string(list_transform(h, lambda w: chr(33 + list_position(voc, w)::INT)), '') AS hc FROM v WHERE len(voc) <= 90)
-SELECT id, levenshtein(rc, hc) AS edits, len(r) AS ref_words, len(h) AS hyp_words FROM c""")
+def wer_sql(lens: str = LENS) -> str:
+    """Common tables up to `edits`: word edits of all pairs by the edit table, a row of it at a time for all pairs together; a prefix minimum along the row stands for the insertions."""
+    return f"""
+WITH RECURSIVE p AS ({PAIRS}), t AS MATERIALIZED (SELECT id, {lens.format("reference")} AS r, {lens.format("prediction")} AS h FROM p),
+dp AS (SELECT id, 0 AS i, r, h, range(0, len(h) + 1) AS cost FROM t
+  UNION ALL SELECT id, i + 1, r, h, list_transform(list_zip(mins, range(0, len(h) + 1)), lambda z: z[1] + z[2]) FROM (
+    SELECT id, i, r, h, list_reduce(list_transform(best, lambda b: [b]), lambda acc, b: list_append(acc, least(acc[-1], b[1]))) AS mins FROM (
+      SELECT id, i, r, h, list_transform(range(1, len(h) + 2), lambda j: CASE WHEN j = 1 THEN cost[1] + 1 ELSE least(cost[j] + 1, cost[j - 1] + CASE WHEN h[j - 1] = r[i + 1] THEN 0 ELSE 1 END) - (j - 1) END) AS best
+      FROM dp WHERE i < len(r)))),
+edits AS (SELECT id, cost[-1]::BIGINT AS edits, len(r)::BIGINT AS ref_words, len(h)::BIGINT AS hyp_words FROM dp WHERE i = len(r))
+"""
+
+
+WER_SQL = wer_sql()
+
+
+@query("wer_pairs", f"{WER_SQL} SELECT id, edits, ref_words, hyp_words FROM edits")
 def wer_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Word edits of all neighbouring turns; the SQL has only those with up to 90 different words, the most it can code."""
+    """Word edits of all neighbouring turns."""
     return metrics.word_units(src.turn_pairs(spark, d)).select("id", "edits", "ref_words", "hyp_words")
 
 
-@query("corpus_wer")
+@query("corpus_wer", f"""{WER_SQL}
+SELECT round(100.0 * sum(edits) / sum(ref_words), 6) AS wer_pct, sum(edits)::BIGINT AS edits, sum(ref_words)::BIGINT AS ref_words, count(*) AS utterances,
+  round(100.0 * sum(CASE WHEN ref_words = 0 THEN NULL WHEN hyp_words = 0 THEN 1.0 ELSE edits / ref_words END * ref_words) / sum(ref_words), 6) AS strict_wer_pct FROM edits""")
 def corpus_wer(spark: SparkSession, d: str) -> DataFrame:
     """Word error rate of all neighbouring turns, canonical and length-weighted."""
-    units = metrics.word_units(src.turn_pairs(spark, d))
-    return metrics.corpus_wer(units).join(F.broadcast(metrics.strict_wer(units).withColumnRenamed("wer_pct", "strict_wer_pct")))  # one row each
+    return rounded(metrics.corpus_wer(metrics.word_units(src.turn_pairs(spark, d))), "wer_pct", "strict_wer_pct")
+
+
+@query("filler_tolerant_wer", f"""{wer_sql("list_filter(" + LENS + f", lambda x: x NOT IN {T.FILLER_STOPLIST})")}
+SELECT round(100.0 * sum(edits) / sum(ref_words), 6) AS wer_pct, sum(edits)::BIGINT AS edits, sum(ref_words)::BIGINT AS ref_words FROM edits""")
+def filler_tolerant_wer(spark: SparkSession, d: str) -> DataFrame:
+    """Word error rate of all neighbouring turns without fillers."""
+    return rounded(metrics.corpus_wer(metrics.filler_tolerant_units(src.turn_pairs(spark, d))).select("wer_pct", "edits", "ref_words"), "wer_pct")
+
+
+@query("pair_stack")
+def pair_stack(spark: SparkSession, d: str) -> DataFrame:
+    """All error rates of neighbouring turns, pair by pair."""
+    return metrics.pair_stack(src.turn_pairs(spark, d)).drop("reference", "prediction")
+
+
+@query("number_words", "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS back FROM orders WHERE o_orderkey > 2")
+def number_words(spark: SparkSession, d: str) -> DataFrame:
+    """Order numbers spelled out and read again; up to two, words stay words."""
+    keys = table(spark, d, "orders").where("o_orderkey > 2").select("o_orderkey")
+    return keys.withColumn("back", N.words_to_digits(N.digits_to_words(F.col("o_orderkey").cast("string"))))
 
 
 @query("runaway", f"""
@@ -255,10 +325,12 @@ def runaway(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("cer_pairs", f"""
-SELECT conv_id, round(100.0 * sum(levenshtein(reference, prediction)) / nullif(sum(length(reference)), 0), 6) AS cer_pct FROM ({PAIRS})
-WHERE regexp_full_match(reference || prediction, '[\\x00-\\x7F]*') GROUP BY conv_id""")
+WITH p AS ({PAIRS}), c AS (SELECT *, string_split(reference, '') AS r, string_split(prediction, '') AS h, list_distinct(list_concat(string_split(reference, ''), string_split(prediction, ''))) AS v FROM p),
+e AS (SELECT conv_id, len(reference) AS n, CASE WHEN len(v) > 126 THEN error('more kinds of characters than codes') ELSE
+  levenshtein(array_to_string(list_transform(r, lambda x: chr(list_position(v, x)::INT)), ''), array_to_string(list_transform(h, lambda x: chr(list_position(v, x)::INT)), '')) END AS edits FROM c)
+SELECT conv_id, round(coalesce(100.0 * sum(edits) / nullif(sum(n), 0), 0), 6) AS cer_pct FROM e GROUP BY conv_id""")
 def cer_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Character error rates of all neighbouring turns; the SQL has only the ASCII ones, where its bytes are characters."""
+    """Character error rates of all neighbouring turns; the SQL turns characters into codes of one byte, which is what its distance counts."""
     return rounded(metrics.corpus_cer(src.turn_pairs(spark, d), ["conv_id"]), "cer_pct")
 
 
@@ -276,11 +348,43 @@ def bleu_pairs(spark: SparkSession, d: str) -> DataFrame:
     return counts.drop("conv_id", "turn", "reference", "prediction")
 
 
-@query("corpus_bleu")
+#: SQL of the 13a tokens of a text.
+TOKENS_13A = r"""list_filter(string_split_regex(regexp_replace(regexp_replace(regexp_replace(regexp_replace(' ' || replace(replace(replace(replace(replace({0}, '&quot;', '"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), chr(10), ' ') || ' ',
+  '([\{-\~\[-\` -\&\(-\+\:-\@\/])', ' \1 ', 'g'), '([^0-9])([\.,])', '\1 \2 ', 'g'), '([\.,])([^0-9])', ' \1 \2', 'g'), '([0-9])(-)', '\1 \2 ', 'g'), '\s+'), lambda x: x <> '')"""
+
+
+def _bleu_total_sql(reference: str, second: str | None = None) -> str:
+    """BLEU of all pairs against one column of tokens, or two."""
+    grams = lambda x, n: f"SELECT id, array_to_string({x}[i:i+{n - 1}], ' ') AS g, count(*) AS c FROM (SELECT id, {x}, unnest(range(1, len({x}) - {n - 2})) AS i FROM t) GROUP BY ALL"
+    refs = lambda n: grams("r", n) if second is None else f"SELECT id, g, max(c) AS c FROM ({grams('r', n)} UNION ALL {grams('r2', n)}) GROUP BY ALL"
+    match = lambda n: f"coalesce((SELECT sum(least(a.c, b.c)) FROM ({grams('h', n)}) a JOIN ({refs(n)}) b USING (id, g)), 0)::BIGINT AS match_{n}, (SELECT sum(greatest(len(h) - {n - 1}, 0)) FROM t)::BIGINT AS total_{n}"
+    length = "len(r)" if second is None else "CASE WHEN abs(len(r) - len(h)) < abs(len(r2) - len(h)) OR (abs(len(r) - len(h)) = abs(len(r2) - len(h)) AND len(r) <= len(r2)) THEN len(r) ELSE len(r2) END"
+    smooth = "CASE WHEN match_{0} = 0 THEN 100.0 / (pow(2, " + " + ".join("(match_%d = 0 AND {0} >= %d)::INT" % (k, k) for k in range(1, 5)) + ") * total_{0}) ELSE 100.0 * match_{0} / total_{0} END"
+    logs = " + ".join(f"ln({smooth.format(n)})" for n in range(1, 5))
+    return f"""WITH t AS MATERIALIZED (SELECT id, {TOKENS_13A.replace('{0}', reference)} AS r, {TOKENS_13A.replace('{0}', second or reference)} AS r2, {TOKENS_13A.replace('{0}', 'prediction')} AS h FROM ({PAIRS})),
+s AS (SELECT {", ".join(match(n) for n in range(1, 5))}, (SELECT sum({length}) FROM t)::BIGINT AS ref_len, (SELECT sum(len(h)) FROM t)::BIGINT AS hyp_len)
+SELECT match_1, total_1, match_2, total_2, match_3, total_3, match_4, total_4, ref_len, hyp_len, round(CASE WHEN hyp_len < ref_len THEN exp(1 - ref_len / hyp_len) ELSE 1 END * exp(({logs}) / 4), 6) AS bleu FROM s"""
+
+
+@query("corpus_bleu", _bleu_total_sql("reference"))
 def corpus_bleu(spark: SparkSession, d: str) -> DataFrame:
     """BLEU over 13a tokens of neighbouring turns."""
     counts = metrics.bleu_counts(src.turn_pairs(spark, d), metrics.tokens_13a(F.col("reference")), metrics.tokens_13a(F.col("prediction")))
-    return metrics.corpus_bleu(counts)
+    return rounded(metrics.corpus_bleu(counts), "bleu")
+
+
+@query("two_reference_bleu", _bleu_total_sql("reference", "reverse(reference)"))
+def two_reference_bleu(spark: SparkSession, d: str) -> DataFrame:
+    """BLEU against the turn before and, as a second reference, that turn backwards."""
+    refs = [metrics.tokens_13a(F.col("reference")), metrics.tokens_13a(F.reverse("reference"))]
+    return rounded(metrics.corpus_bleu(metrics.bleu_counts(src.turn_pairs(spark, d), refs, metrics.tokens_13a(F.col("prediction")))), "bleu")
+
+
+@query("sentence_bleu")
+def sentence_bleu(spark: SparkSession, d: str) -> DataFrame:
+    """The diagnostic score of each pair of neighbouring turns."""
+    counts = metrics.bleu_counts(src.turn_pairs(spark, d), metrics.tokens_13a(F.col("reference")), metrics.tokens_13a(F.col("prediction")))
+    return metrics.sentence_bleu(counts).select("id", F.round("sentence_bleu", 6).alias("sentence_bleu"))
 
 
 @query("entity_hits", f"""
@@ -290,7 +394,7 @@ e AS (SELECT id, list_transform(regexp_extract_all(reference, '{T.NUMBER}'), lam
   FROM (SELECT id, regexp_replace(reference, '\\[.*?\\]', '', 'g') AS reference, regexp_replace(prediction, '\\[.*?\\]', '', 'g') AS prediction FROM p WHERE reference IS NOT NULL AND prediction IS NOT NULL))
 SELECT id, len(r)::BIGINT AS den, coalesce((SELECT sum(least(a.c, b.c)) FROM (SELECT g, count(*) AS c FROM unnest(r) u(g) GROUP BY g) a JOIN (SELECT g, count(*) AS c FROM unnest(h) u(g) GROUP BY g) b USING (g)), 0)::BIGINT AS num FROM e WHERE len(r) > 0""")
 def entity_hits(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.entity_units(src.copies(spark, d)).select("id", "den", "num")
+    return metrics.numbers_met(src.copied_numbers(spark, d), "r", "h").select("id", "den", "num")
 
 
 @query("leak_ngrams", f"""
@@ -299,12 +403,9 @@ bg AS (SELECT DISTINCT id, array_to_string(r[i:i+5], ' ') AS g FROM (SELECT id,
 dg AS (SELECT doc_id, i AS pos, array_to_string(h[i:i+5], ' ') AS g FROM (SELECT doc_id, h, unnest(range(1, len(h) - 4)) AS i FROM d))
 SELECT doc_id AS id, arg_min(bg.id, (pos, bg.id)) AS source, count(DISTINCT bg.id) AS sources FROM dg JOIN bg USING (g) GROUP BY doc_id""")
 def leak_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    tokened = table(spark, d, "benchmark").select(F.col("item_id").alias("source"), T.tokens(F.col("text")).alias("t"))
-    items = tokened.select("source", F.explode(F.array_distinct(T.ngrams(F.col("t"), 6))).alias("gram"))
-    # Tokens are a column of their own, so that they are made once and not for each n-gram.
-    tokened = table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("t"))
-    docs = tokened.select("id", F.posexplode(T.ngrams(F.col("t"), 6)).alias("pos", "gram"))
-    return docs.join(items, "gram").groupBy("id").agg(F.min_by("source", F.struct("pos", "source")).alias("source"), F.count_distinct("source").alias("sources"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("source"), T.tokens(F.col("text")).alias("t"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("t"))
+    return metrics.contained_ngrams(docs, items, 6)
 
 
 @query("cross_leaks", f"""
@@ -323,6 +424,23 @@ def drop_tally(spark: SparkSession, d: str) -> DataFrame:
     return runs.drop_tally(table(spark, d, "documents"), [("empty_reference", F.col("text").isNull() | (F.trim("text") == "")), ("too_long", F.col("n_chars") > 5000), ("other_language", F.col("lang") != "en")])
 
 
+CORPUS = corpora.Corpus("documents", ("missing_column", "text"), source_column="source", aliases={"first": "src0"})
+
+
+@query("corpus_samples", """
+WITH n AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents)
+SELECT source || '-' || place AS sample_id, source AS subset, length(coalesce(text, '')) AS n, CASE WHEN coalesce(text, '') = '' THEN 'empty_reference' END AS reason FROM n WHERE source = 'src0'""")
+def corpus_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of one source of the documents, whose files hold them by id; ids count all rows."""
+    found = corpora.samples(corpora.numbered_rows(spark, f"{d}/documents.parquet"), CORPUS, "first")
+    return found.select("sample_id", "subset", F.length("reference").cast("long").alias("n"), "reason")
+
+
+@query("corpus_tally", "SELECT CASE WHEN coalesce(text, '') = '' THEN 'empty_reference' ELSE 'yielded' END AS reason, count(*) AS n FROM documents GROUP BY 1")
+def corpus_tally(spark: SparkSession, d: str) -> DataFrame:
+    return corpora.tally(corpora.samples(corpora.numbered_rows(spark, f"{d}/documents.parquet"), CORPUS))
+
+
 @query("json_spans", """
 SELECT event_id, CAST(json_extract_string(props, '$.' || k) AS VARCHAR) AS value, k AS key FROM events, (SELECT unnest(json_keys(ANY_VALUE(props))) AS k FROM events) ks WHERE json_extract_string(props, '$.' || k) IS NOT NULL""")
 def json_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -400,11 +518,12 @@ x AS (SELECT a.user_id, s.frame IS NOT NULL AS sent, t.frame IS NOT NULL AS targ
 SELECT user_id, round(100.0 * count(*) FILTER (target AND NOT sent) / nullif(count(*) FILTER (target), 0), 3) AS missed_pct, round(100.0 * count(*) FILTER (NOT target AND sent) / nullif(count(*) FILTER (NOT target), 0), 3) AS false_alarm_rate_pct,
   round(100.0 * count(*) FILTER (sent) / count(*), 3) AS sent_share_pct, count(*) FILTER (xt AND NOT target) AS crosstalk_frames FROM x GROUP BY user_id""")
 def frame_counts(spark: SparkSession, d: str) -> DataFrame:
-    all_ = table(spark, d, "events").select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2999).cast("long"))).alias("frame"))
-    mask = all_
-    for kind, name in (("click", "sent"), ("view", "target"), ("purchase", "crosstalk")):
-        mask = mask.join(_grid(spark, d, kind).withColumn(name, F.lit(True)), ["user_id", "frame"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
-    out = frames.frame_counts(mask, ["user_id"])
+    names = {"click": "sent", "view": "target", "purchase": "crosstalk"}
+    events, start = table(spark, d, "events"), (F.col("event_id") % 29) * 1.0
+    kind = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("event_type")]
+    iv = events.select("user_id", kind.alias("kind"), start.alias("start"), (start + F.col("value") / 100.0).alias("end"))
+    tracks = events.select("user_id", F.lit(3000).cast("long").alias("n")).distinct()
+    out = frames.interval_counts(iv, tracks, "user_id")
     return out.select("user_id", "missed_pct", "false_alarm_rate_pct", "sent_share_pct", F.round(F.col("crosstalk_s") / frames.HOP).cast("long").alias("crosstalk_frames"))
 
 
@@ -465,7 +584,7 @@ def pipeline_auc(spark: SparkSession, d: str) -> DataFrame:
 @query("percentiles", """
 SELECT event_type, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99 FROM events GROUP BY event_type""")
 def percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(*runs.percentile_columns("value", ""))
+    return runs.exact_percentiles(table(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 STEP_SQL = "SELECT event_type, CAST(floor(log2(1 + event_id % 128)) AS BIGINT) AS ord, quantile_cont(value, 0.9) <= 150 AS within FROM events GROUP BY 1, 2"
@@ -476,7 +595,8 @@ WITH s AS ({STEP_SQL}), f AS (SELECT event_type, min(ord) FILTER (NOT within) AS
 SELECT f.event_type, (SELECT max(CAST(pow(2, ord) AS BIGINT)) FROM s WHERE s.event_type = f.event_type AND (bad IS NULL OR ord < bad)) AS max_n, CASE WHEN bad IS NULL THEN 'continue' WHEN bad = last THEN 'one_more' ELSE 'stop' END AS next_action FROM f""")
 def capacity_curve(spark: SparkSession, d: str) -> DataFrame:
     step = F.floor(F.log2(1 + F.col("event_id") % 128)).cast("long")
-    steps = table(spark, d, "events").groupBy("event_type", step.alias("ord")).agg((F.percentile("value", 0.9) <= 150).alias("within")).withColumn("n", F.pow(F.lit(2), "ord").cast("long"))
+    latency = runs.exact_percentiles(table(spark, d, "events").withColumn("ord", step), ["event_type", "ord"], "value", {"p90": 0.9}, places=9)
+    steps = latency.select("event_type", "ord", (F.col("p90") <= 150).alias("within"), F.pow(F.lit(2), "ord").cast("long").alias("n"))
     return runs.capacity(steps, ["event_type"])
 
 
@@ -526,7 +646,7 @@ b AS (SELECT *, sum(opens) OVER (PARTITION BY event_type ORDER BY t, event_id RO
 SELECT event_id, CAST(burst AS BIGINT)::VARCHAR || '/' || CAST((row_number() OVER (PARTITION BY event_type, burst ORDER BY t, event_id) - 1) // 4 AS VARCHAR) AS batch FROM b""")
 def micro_batches(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "events").select("event_id", "event_type", seconds().alias("t"))
-    return runs.micro_batches(items, ["event_type"], "t", ["t", "event_id"], 4, 600.0).select("event_id", "batch")
+    return runs.micro_batches(items, ["event_type"], "t", ["t", "event_id"], 4, 600.0, bucket_s=86_400.0).select("event_id", "batch")
 
 
 @query("set_contract", """

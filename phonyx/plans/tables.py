@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import metrics
+from ..operators.scan import running
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,8 +45,15 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with their predecessor in language and source as the reference: (id, reference, prediction)."""
+def copied_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, r, h): the numbers of documents and of their predecessor in language and source, where both have text.
+
+    Texts are reduced to their numbers where they stand; the predecessor is
+    found on ids alone, in ranges of ids, so that no source is one task's.
+    """
     d = table(spark, sf_dir, "documents")
-    before = F.expr("lag(text) OVER (PARTITION BY lang, source ORDER BY doc_id)")
-    return d.select(F.col("doc_id").alias("id"), "lang", before.alias("reference"), F.col("text").alias("prediction")).where("reference IS NOT NULL AND prediction IS NOT NULL")
+    ids = d.select("doc_id", "lang", "source")
+    before = running(ids, ["lang", "source"], F.floor(F.col("doc_id") / 100_000), ["doc_id"], {"prev": (F.max, "doc_id")}, before=True)
+    found = d.select("doc_id", metrics.numbers(F.col("text")).alias("n")).where("n IS NOT NULL")
+    own = before.select(F.col("doc_id").alias("id"), "prev").join(found.select(F.col("doc_id").alias("id"), F.col("n").alias("h")), "id")
+    return own.join(found.select(F.col("doc_id").alias("prev"), F.col("n").alias("r")), "prev").select("id", "r", "h")

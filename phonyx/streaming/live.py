@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,55 +10,89 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def cut_frames(chunks: DataFrame, frame: int) -> DataFrame:
-    """Frames of exactly `frame` samples from chunks (stream, seq, samples, last), in the order of seq.
+def with_idle_state(rows: DataFrame, key: str, fold: Callable, out: str, kept: str, mode: str, idle_ms: int) -> DataFrame:
+    """applyInPandasWithState whose state goes once its key has had no row for `idle_ms`, by the time at which rows arrive."""
+    timed = rows.withColumn("_at", F.current_timestamp()).withWatermark("_at", f"{idle_ms} milliseconds")
 
-    What does not fill a frame waits as state for the next chunk; the last
-    chunk is filled up with zeros and ends the stream's state. A chunk of a
-    stream that has ended is an error of the sender and is dropped.
+    def run(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        own = pd.concat(list(parts))
+        yield from fold(name, own, state)
+        state.setTimeoutTimestamp(int(own["_at"].max().timestamp() * 1000) + idle_ms)
+
+    return timed.groupBy(key).applyInPandasWithState(run, out, kept, mode, GroupStateTimeout.EventTimeTimeout)
+
+
+def cut_frames(chunks: DataFrame, frame: int, idle_ms: int = 600_000) -> DataFrame:
+    """Frames of exactly `frame` samples from chunks (stream, seq, samples, last), in the order of seq, which counts from 0.
+
+    What does not fill a frame waits as state, and so do chunks after a gap in
+    seq until the gap is filled; a chunk that came before is dropped. The last
+    chunk is filled up with zeros and ends the stream; chunks after it are an
+    error of the sender and are dropped. State goes `idle_ms` after a stream's
+    last chunk; a stream that stops without a last chunk, or in a gap, has
+    failed by then, and what waited of it is dropped with its state.
     """
 
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rest, number, over = state.get if state.exists else ([], 0, False)
+    def fold(key: tuple, own: pd.DataFrame, state: GroupState) -> Iterator[pd.DataFrame]:
+        rest, number, following, over, seqs, waiting, lasts = state.get if state.exists else ([], 0, 0, False, [], [], [])
+        # State takes plain numbers only, not numpy's.
         rest = [int(x) for x in rest]
+        held = {int(s): (list(w), bool(x)) for s, w, x in zip(seqs, waiting, lasts)}
+        for seq, samples, last in zip(own["seq"], own["samples"], own["last"]):
+            if not over and seq >= following:
+                held.setdefault(int(seq), ([] if samples is None else samples, bool(last)))
         rows = []
-        for _, chunk in pd.concat(list(parts)).sort_values("seq").iterrows():
-            if over:
-                break
-            # State takes plain numbers only, not numpy's.
-            rest += [int(x) for x in chunk["samples"]] if chunk["samples"] is not None else []
+        while not over and following in held:
+            samples, last = held.pop(following)
+            following += 1
+            rest += [int(x) for x in samples]
             while len(rest) >= frame:
                 rows.append((key[0], number, rest[:frame], number == 0, False, frame))
                 rest, number = rest[frame:], number + 1
-            if chunk["last"]:
+            if last:
                 rows.append((key[0], number, rest + [0] * (frame - len(rest)), number == 0, True, len(rest)))
-                rest, number, over = [], number + 1, True
-        state.update((rest, number, over))
+                rest, held, over = [], {}, True
+        order = sorted(held)
+        state.update((rest, number + over, following, over, order, [[int(x) for x in held[s][0]] for s in order], [held[s][1] for s in order]))
         yield pd.DataFrame(rows, columns=["stream", "frame", "samples", "is_first", "is_last", "length"])
 
-    return chunks.groupBy("stream").applyInPandasWithState(
-        fold, "stream string, frame long, samples array<int>, is_first boolean, is_last boolean, length int", "rest array<int>, number long, over boolean", "append", GroupStateTimeout.NoTimeout
+    return with_idle_state(
+        chunks, "stream", fold, "stream string, frame long, samples array<int>, is_first boolean, is_last boolean, length int",
+        "rest array<int>, number long, following long, over boolean, seqs array<long>, waiting array<array<int>>, lasts array<boolean>", "append", idle_ms,
     )
 
 
-def fold_utterances(events: DataFrame) -> DataFrame:
-    """One row for each utterance as events (utterance, kind, t, text) come: first send, first text, end of audio, done, error."""
+def fold_utterances(events: DataFrame, idle_ms: int = 600_000) -> DataFrame:
+    """One row for each utterance as events (utterance, kind, t, text) come: first send, first text, end of audio, done, error.
+
+    Done or error ends an utterance; what comes later is dropped. State goes
+    `idle_ms` after an utterance's last event.
+    """
+    place = {"send": 0, "text": 1, "audio_end": 2, "done": 3}
 
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def fold(key: tuple, own: pd.DataFrame, state: GroupState) -> Iterator[pd.DataFrame]:
         now = list(state.get) if state.exists else [None, None, None, None, "", None]
-        for _, e in pd.concat(list(parts)).sort_values("t").iterrows():
-            at = {"send": 0, "text": 1, "audio_end": 2, "done": 3}.get(e["kind"])
+        ended = now[3] is not None or now[5] is not None
+        own = own.sort_values("t", kind="stable")
+        for kind, t, text in zip(own["kind"], own["t"], own["text"]):
+            if ended:
+                break
+            at = place.get(kind)
             if at in (0, 1) and now[at] is None or at in (2, 3):
-                now[at] = float(e["t"])
-            if e["kind"] in ("text", "done") and e["text"]:
-                now[4] = e["text"] if e["kind"] == "done" else now[4] + e["text"]
-            if e["kind"] == "error":
-                now[5] = e["text"]
+                now[at] = float(t)
+            if kind in ("text", "done") and text:
+                now[4] = text if kind == "done" else now[4] + text
+            if kind == "error":
+                now[5] = text or "error"
+            ended = kind in ("done", "error")
         state.update(tuple(now))
         yield pd.DataFrame([(key[0], *now)], columns=["utterance", "t_first_send", "t_first_text", "t_audio_end", "t_done", "text", "error"])
 
     kinds = "t_first_send double, t_first_text double, t_audio_end double, t_done double, text string, error string"
-    return events.groupBy("utterance").applyInPandasWithState(fold, f"utterance string, {kinds}", kinds, "update", GroupStateTimeout.NoTimeout)
+    return with_idle_state(events, "utterance", fold, f"utterance string, {kinds}", kinds, "update", idle_ms)
 
 
 def turn_sessions(spans: DataFrame, gap: str = "500 milliseconds", late: str = "10 minutes") -> DataFrame:
