@@ -43,7 +43,7 @@ def exact_percentiles(rows: DataFrame, keys: Sequence[str], value: str, wanted:
     counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_all"))
     upto = running(counted, keys, buckets_by_value(counted, value), [value], {"_upto": (F.sum, "_n")})
-    met = upto.join(totals.withColumnsRenamed({k: f"_{k}" for k in keys}), same(keys, [f"_{k}" for k in keys]))
+    met = upto.join(totals.withColumnsRenamed({k: f"_of_{k}" for k in keys}), same(keys, [f"_of_{k}" for k in keys]))
     at = lambda q: F.lit(q) * (F.col("_all") - 1)
     reach = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col(value)))
     ends = met.groupBy(*keys).agg(*[x for name, q in wanted.items() for x in (reach(F.floor(at(q))).alias(f"_lo_{name}"), reach(F.ceil(at(q))).alias(f"_hi_{name}"), F.first(at(q) - F.floor(at(q))).alias(f"_at_{name}"))])

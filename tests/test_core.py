@@ -186,8 +186,8 @@ def test_wer_pairs_scores_pairs_of_many_words(spark, tmp_path):
     assert got == {c * 1000 + t: (edit_distance(a, b), len(a), len(b)) for c, own in enumerate(words) for t, (a, b) in enumerate(zip(own, own[1:]))}
 
 
-def test_word_edits_beyond_the_codes(spark):
-    many = [f"w{i}" for i in range(T.CODES + 40)]
+def test_word_edits_of_very_many_words(spark):
+    many = [f"w{i}" for i in range(35_368)]
     cases = [(many, many[-3:]), (["a", "b"], ["b"]), ([], [])]
     rows = spark.createDataFrame([(i, r, h) for i, (r, h) in enumerate(cases)], "i int, r array<string>, h array<string>")
     got = {x["i"]: x["e"] for x in rows.select("i", T.word_edits(F.col("r"), F.col("h")).alias("e")).collect()}
