@@ -368,6 +368,8 @@ def apart(key: np.ndarray, band: np.ndarray, f: np.ndarray, root: np.ndarray, wi
     for a, b in close_slabs(f, sizes, STAGE_RADIUS, 1 << 15, root) if len(f) else ():
         keep = root[a] != root[b]
         a, b = a[keep], b[keep]
+        if not len(a):
+            continue
         differ = f[a] ^ f[b]
         bits = np.unpackbits(differ.view(np.uint8).reshape(len(a), -1), axis=1, bitorder="little")
         shown = bits.shape[1] // width
