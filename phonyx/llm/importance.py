@@ -9,10 +9,10 @@ plain sum over a long text would be ruled by the chance differences between a
 small target sample and the raw text. Sampling without replacement in proportion to the weights is
 the Gumbel top-k rule: add a Gumbel variate, fixed by a hash of the row, to
 each log weight and take the k largest keys. k is the number of texts whose
-log weight reaches the level that tells the labelled good texts from the
-others with the fewest errors (the lowest such level), whatever their share.
+log weight is above the least cut that tells the labelled good texts from the
+others with the fewest errors, whatever their share.
 
-Models of target text and the level come from at most `sample` labelled rows,
+Models of target text and the cut come from at most `sample` labelled rows,
 those with the least hashes; the raw model and k cover every row. An id that
 is labelled twice counts as good if one label says so. Null text is empty;
 a text without n-grams has weight one (log weight 0). Rows equal in id and
@@ -181,7 +181,12 @@ def kth_largest(values: DataFrame, column: str, k: int, enough: int = 5000) -> f
 
 
 def level(labelled: list[tuple[float, int]]) -> float:
-    """The least log weight at which (log weight, quality) rows are told apart with the fewest errors; -inf without good or bad ones."""
+    """The least cut above which (log weight, quality) rows are told apart with the fewest errors; -inf without good or bad ones.
+
+    Between the last row that is cut off and the first one that stays any cut
+    would do; the least one keeps the most, and labelled good rows, which the
+    model knows, weigh more than others of their kind.
+    """
     if not any(q == 1 for _, q in labelled):
         return -np.inf
     weights, good = np.array([w for w, _ in labelled]), np.array([q == 1 for _, q in labelled])
@@ -191,7 +196,7 @@ def level(labelled: list[tuple[float, int]]) -> float:
     errors = np.concatenate(([0], np.cumsum(good))) + (~good).sum() - np.concatenate(([0], np.cumsum(~good)))
     possible = np.concatenate(([True], weights[1:] != weights[:-1], [True]))
     best = int(np.flatnonzero(possible & (errors == errors[possible].min()))[0])
-    return -np.inf if not best else np.inf if best == len(weights) else float(weights[best])
+    return float(weights[best - 1]) if best else -np.inf
 
 
 def select(docs: DataFrame, labels: DataFrame, sample: int, seed: int) -> tuple[DataFrame, Callable[..., Column], float | None]:
@@ -205,7 +210,7 @@ def select(docs: DataFrame, labels: DataFrame, sample: int, seed: int) -> tuple[
     discard(known)
     labelled = keys.where("_quality IS NOT NULL").groupBy("doc_id").agg(F.min("_log_weight"), F.max("_quality")).collect()
     least = level([(w, q) for _, w, q in labelled])
-    k = keys.where(F.col("_log_weight") >= F.lit(least)).count()
+    k = keys.where(F.col("_log_weight") > F.lit(least)).count()
     return keys, weight, kth_largest(keys, "_key", k)
 
 

@@ -129,9 +129,9 @@ def test_importance_weights_and_top_k_against_brute_force(spark, every):
         assert got[i]["log_weight"] == pytest.approx(plain_weight(ratios, t), abs=1e-5)
     # The level with the fewest errors among labelled rows; k rows reach it; the k largest keys are taken.
     sample = [(got[i]["log_weight"], i % every == 0) for i in range(0, 120, 3)]
-    errors = {c: sum((w >= c) != good for w, good in sample) for c in [-math.inf, *(w for w, _ in sample)]}
+    errors = {c: sum((w > c) != good for w, good in sample) for c in [-math.inf, *(w for w, _ in sample)]}
     least = min(c for c in errors if errors[c] == min(errors.values()))
-    k = sum(x["log_weight"] >= least for x in got.values())
+    k = sum(x["log_weight"] > least for x in got.values())
     cut = sorted((x["key"] for x in got.values()), reverse=True)[k - 1]
     assert {i for i, x in got.items() if x["selected"]} == {i for i, x in got.items() if x["key"] >= cut}
     good = {i for i in range(0, 120, every)}
@@ -470,3 +470,68 @@ def test_extract_of_odd_pages(spark, weights):
     got = extract.extract(pages).collect()
     assert len(got) == 5 and all(r["n_chars"] == len(r["text"]) for r in got) and extract.extract(pages.limit(0)).count() == 0
     assert {r["text"] for r in got if r["page_id"] in (1, 2, 5)} == {""}
+
+
+# -- the pipeline -----------------------------------------------------------------------------------------------------
+
+
+def plain_groups(texts):
+    """The least index that each text reaches over pairs of five-word Jaccard similarity 0.8 or more."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").split() for t in texts)]
+    label = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for i, j in itertools.combinations(range(len(texts)), 2):
+            if label[i] != label[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                label[i] = label[j] = min(label[i], label[j])
+                changed = True
+    return label
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    r = np.random.default_rng(31)
+    lexicon = [f"word{i}" for i in range(400)]
+    texts = [" ".join(r.choice(lexicon, int(r.integers(60, 160)))) for _ in range(60)]
+    texts += [" ".join(r.choice(["###", "$$$", "%%", "&&"], 80)) for _ in range(15)]
+    for i in range(0, 20, 2):  # near copies
+        words = texts[i].split()
+        words[7] = "changed"
+        texts.append(" ".join(words))
+    texts += [texts[3], texts[3], None, ""]
+    items = [(k, " ".join(r.choice(lexicon, 30))) for k in range(4)]
+    texts[40] = f"{texts[40]} {items[0][1]} and on"
+    texts[41] = f"before {items[1][1]} {texts[41]}"
+    rows = frame(spark, texts)
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, int(i < 60), 0) for i in range(0, 75, 2)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    # Quality: the k largest of the keys, k being the rows that reach the level of the fewest errors.
+    scored = {x["doc_id"]: x for x in importance.resample(rows, labels).collect()}
+    sample = [(scored[i]["log_weight"], i < 60) for i in range(0, 75, 2)]
+    errors = {c: sum((w > c) != good for w, good in sample) for c in [-math.inf, *(w for w, _ in sample)]}
+    least = min(c for c in errors if errors[c] == min(errors.values()))
+    k = sum(x["log_weight"] > least for x in scored.values())
+    cut = sorted((x["key"] for x in scored.values()), reverse=True)[k - 1]
+    good = sorted(i for i, x in scored.items() if x["key"] >= cut)
+    # Near copies, benchmark items, and the mix of what is left.
+    lone = [good[i] for i in sorted(set(plain_groups([texts[i] for i in good])))]
+    leaked = {lone[t] for t, _ in plain_leaks([texts[i] for i in lone], items, 0.6, 0.8)}
+    clean = [i for i in lone if i not in leaked]
+    left = rows.where(F.col("doc_id").isin(clean))
+    mixed = mixing.mix(left).collect()
+    by_source = defaultdict(list)
+    for x in mixed:
+        by_source[x["source"]].append(x)
+    for own in by_source.values():
+        assert abs(sum(x["copies"] * x["size"] for x in own) - own[0]["target"]) <= max(x["size"] for x in own)
+    want = Counter({x["doc_id"]: x["copies"] for x in mixed if x["copies"] and x["size"]})
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter(x["doc_id"] for x in got) == want and leaked == {40, 41} and len(lone) < len(good) < len(texts)
+    assert all(x["text"] == texts[x["doc_id"]] for x in got)
+    sizes = Counter(x["shard"] for x in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and all(sorted(x["slot"] for x in got if x["shard"] == s) == list(range(n)) for s, n in sizes.items())
