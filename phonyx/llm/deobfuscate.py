@@ -17,6 +17,8 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable
 
+import numpy as np
+
 #: Look-alikes, a fixed table: what a character may stand for.
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -88,8 +90,8 @@ class CharacterModel:
         return found
 
 
-def character_counts(words: Iterable[tuple[str, int]], order: int = 4) -> Counter:
-    """Counts of all n-grams up to `order` of words, each given with its count."""
+def plain_character_counts(words: Iterable[tuple[str, int]], order: int = 4) -> Counter:
+    """character_counts one n-gram at a time."""
     counts: Counter = Counter()
     for word, n in words:
         text = f" {word} "
@@ -100,6 +102,38 @@ def character_counts(words: Iterable[tuple[str, int]], order: int = 4) -> Counte
     return counts
 
 
+def character_counts(words: Iterable[tuple[str, int]], order: int = 4) -> Counter:
+    """Counts of all n-grams up to `order` of words, each given with its count, in numpy over all words at once.
+
+    A word begins and ends with a space, which neighbours share. N-grams are
+    numbers made of their characters' places in the alphabet at hand; with an
+    alphabet too large for that they are counted one at a time.
+    """
+    pairs = list(words)
+    counts: Counter = Counter()
+    if not pairs:
+        return counts
+    text = " " + " ".join(w for w, _ in pairs) + " "
+    alphabet, ids = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    bits = len(alphabet).bit_length()
+    if bits * order > 62:
+        return plain_character_counts(pairs, order)
+    ids, sizes = ids.astype(np.int64), np.array([len(w) + 1 for w, _ in pairs], np.int64)
+    # Every character of a word and the space after it, with the distance from the space before the word.
+    n = np.repeat(np.array([c for _, c in pairs], np.int64), sizes)
+    far = np.arange(1, len(n) + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    key = np.zeros(len(n), np.int64)
+    for k in range(1, order + 1):
+        key[k - 2 if k > 1 else 0 :] |= ids[: len(ids) - k + 1][(0 if k > 1 else 1) :] << (bits * (k - 1))
+        inside = far >= k - 1
+        kinds, which = np.unique(key[inside], return_inverse=True)
+        total = np.bincount(which, n[inside])
+        letters = [[chr(x) for x in alphabet[(kinds >> (bits * j)) & ((1 << bits) - 1)].tolist()] for j in range(k - 1, -1, -1)]
+        for gram, c in zip(map("".join, zip(*letters)), total.tolist()):
+            counts[gram] += int(c)
+    return counts
+
+
 def columns(token: str) -> list[list[tuple[str, float]]]:
     """The lattice of a lower-cased token: alternatives (letters, cost) for each run of equal characters."""
     out: list[list[tuple[str, float]]] = []

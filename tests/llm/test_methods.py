@@ -85,6 +85,14 @@ def test_viterbi_finds_the_cheapest_path():
         assert min(map(price, ways)) == pytest.approx(price(cheapest))
 
 
+def test_character_counts_agree_with_a_plain_count():
+    r = np.random.default_rng(12)
+    words = [("".join(r.choice(list("abäßж𝄞"), int(r.integers(1, 9)))), int(r.integers(1, 5))) for _ in range(300)]
+    for order in (1, 2, 4):
+        assert deobfuscate.character_counts(words, order) == deobfuscate.plain_character_counts(words, order)
+    assert deobfuscate.character_counts([]) == {} and deobfuscate.character_counts([("x", 2)], 4) == deobfuscate.plain_character_counts([("x", 2)], 4)
+
+
 def test_letters_of_other_scripts_and_accents_are_restored():
     model = deobfuscate.CharacterModel(deobfuscate.character_counts([("idiot", 50), ("scum", 40), ("the", 90)]))
     assert deobfuscate.restore("іdіоt", model) == "idiot" and deobfuscate.restore("ïdïöt", model) == "idiot"
