@@ -39,10 +39,13 @@ LETTER = re.compile(r"[^\W\d_]")
 PLAIN, OTHER_SCRIPT = re.compile(r"[a-z]"), re.compile(f"[{''.join(FOREIGN)}]")
 
 
+#: Letters with accents and their plain letters, by their Unicode decomposition.
+ACCENTS = {c: base for c in map(chr, range(0xC0, 0x1F00)) if (base := unicodedata.normalize("NFD", c)[0]) != c and base.isascii() and base.isalpha()}
+
+
 def lookalike_of(letter: str) -> str:
     """The plain letter that a letter of another script, or with an accent, may stand for; else nothing."""
-    base = FOREIGN.get(letter) or unicodedata.normalize("NFD", letter)[0]
-    return base if base != letter and base.isascii() else ""
+    return FOREIGN.get(letter) or ACCENTS.get(letter, "")
 
 
 def suspect(token: str) -> bool:
@@ -51,7 +54,7 @@ def suspect(token: str) -> bool:
         return True
     if token.isascii():
         return False
-    return bool(OTHER_SCRIPT.search(token) and PLAIN.search(token)) or sum(lookalike_of(c) != "" and c not in FOREIGN for c in token) > 1
+    return bool(OTHER_SCRIPT.search(token) and PLAIN.search(token)) or sum(c in ACCENTS for c in token) > 1
 
 
 class CharacterModel:
