@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, extract, importance, mixing, ngramlm, repetition, sharding, simhash, toxicity
+from . import alignment, chat, decontaminate, extract, importance, mixing, negatives, ngramlm, repetition, sharding, simhash, tokenfiles, toxicity
 from .common import table
 
 #: One space or control character that parts words, and what is left of a text without them, in DuckDB's patterns.
@@ -43,6 +43,15 @@ WITH n AS (SELECT count(*) AS n FROM documents), r AS (SELECT (i * 8) // n AS sh
 SELECT shard::INT AS shard, count(*) AS n_rows, 0::BIGINT AS first_slot, count(*) - 1 AS last_slot, count(*) AS slots FROM r GROUP BY shard"""
 
 
+NEGATIVES_SQL = """
+WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, a.label AS own, c.id AS other, c.label, list_inner_product(a.v, c.v)::BIGINT AS score FROM e a JOIN e c ON a.id <> c.id WHERE a.id % 100 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE own = label QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other))::INT AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE own <> label AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10"""
+
+
 def repetition_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op6 that do not depend on its method."""
     return repetition.op6(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -76,10 +85,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hilbert_sharding": sharding.op8,
     "op9_elias_fano_lm": ngramlm.op9,
     "op10_block_labeller": extract.op10,
+    "op11_alignment": alignment.op11,
+    "op12_hard_negatives": negatives.op12,
+    "op13_wavelet_shards": tokenfiles.op13,
     "repetition_base": repetition_base,
     "mixing_targets": mixing_targets,
     "chat_digests": chat_digests,
     "shard_law": shard_law,
 }
 
-ORACLE_SQL: dict[str, str] = {"repetition_base": REPETITION_SQL, "mixing_targets": MIXING_SQL, "chat_digests": CHAT_SQL, "shard_law": SHARD_SQL}
+ORACLE_SQL: dict[str, str] = {"op12_hard_negatives": NEGATIVES_SQL, "repetition_base": REPETITION_SQL, "mixing_targets": MIXING_SQL, "chat_digests": CHAT_SQL, "shard_law": SHARD_SQL}
