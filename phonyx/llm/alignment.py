@@ -120,15 +120,18 @@ class Block:
 
     def encode(self, parts: list[str]) -> tuple:
         """Ids of both sides, their numbers for each part, and whether each part is given back."""
-        ids_a, ids_b = self.a.encode([" " + p for p in parts]), self.b.encode(parts)
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ids_a, ids_b))
-        flat_a, flat_b = (np.fromiter((i for x in ids for i in x), np.int64, int(n.sum())) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
+        (flat_a, n_a), (flat_b, n_b) = self.a.flat(parts), self.b.flat(parts)
         want = [b" " + p.encode() for p in parts]
         good = np.ones(len(parts), bool)
-        for ids, of in ((ids_a, self.bytes_a), (ids_b, self.bytes_b)):
-            for k, (x, w) in enumerate(zip(ids, want)):
-                if b"".join([of[i] for i in x]) != w:
+        for flat, n, of, size in ((flat_a, n_a, self.bytes_a, self.length_a), (flat_b, n_b, self.bytes_b, self.length_b)):
+            ids = flat.tolist()
+            if b"".join(map(of.__getitem__, ids)) == b"".join(want) and np.array_equal(np.add.reduceat(size[flat], np.cumsum(n) - n), [len(w) for w in want]):
+                continue
+            at = 0
+            for k, (m, w) in enumerate(zip(n.tolist(), want)):
+                if b"".join([of[i] for i in ids[at : at + m]]) != w:
                     good[k] = False
+                at += m
         return flat_a, flat_b, n_a, n_b, good
 
     def finish(self, slab: int = 20_000) -> dict:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, shared_dir, table, unused
-from .tokens import Encoder, byte_tokens
+from .tokens import encoder
 from .wavelet import Shard, pack
 
 #: The id after each document.
@@ -84,7 +84,7 @@ def write(docs: DataFrame, tokenizer: str, end: int = END, shard_tokens: int = 1
     tie, place = unused(docs.columns, 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = Encoder(byte_tokens(tokenizer, plain=False)), TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer), TaskContext.get().partitionId()
         tail = np.array([end], "<u4").tobytes()
         held, names, sizes, total, before, seq = [], [], [], 0, 0, 0
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
+
+import numpy as np
 
 #: White space of any kind, controls, invisible spaces, and the mark that stands for a space in pieces: first and last code points.
 OPEN = [(0, 0x20), (0x7F, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x2064), (0x2581, 0x2581), (0x3000, 0x3000), (0xFEFF, 0xFEFF)]
@@ -13,6 +14,9 @@ SOLID = "[^" + "".join(f"{chr(a)}-{chr(z)}" for a, z in OPEN) + "]"
 CUT = re.compile(f"(?<={SOLID}) (?={SOLID})")
 NOT_A_CUT = re.compile(f" (?!{SOLID})|(?<!{SOLID}) ")
 
+#: Parts that can stand side by side with a space between them, and be cut again there.
+JOINABLE = re.compile(f"{SOLID}(?:.*{SOLID})?", re.DOTALL)
+
 #: How a piece writes a space.
 MARK = "\u2581"
 
@@ -25,14 +29,68 @@ def parts_of(text: str) -> list[str]:
     A byte-level vocabulary with the usual word pattern starts a token at each such space, and so does a piece vocabulary
     without pieces that hold a space after another character. So each part, with its space, has the same tokens alone.
     """
-    return text.split(" ") if NOT_A_CUT.search(text) is None else CUT.split(text)
-
-
-class ByteTokens:
+    lines = text.replace("\n", "") if "\n" in text else text
+    # All of it printable but line feeds, and single spaces between other characters: no need to look at each space.
+    plain = lines.isprintable() and not any(x in text for x in (MARK, "  ", " \n", "\n ")) and text[:1] != " " and text[-1:] != " "
+    return text.split(" ") if plain or NOT_A_CUT.search(text) is None else CUT.split(text)
+
+
+def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for counts[0] places, then the same of the next."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class Tokens:
+    """What both libraries' vocabularies share: `encode` of texts, `token_bytes`, and what a part has before it when it is encoded."""
+
+    before, cuts = "", False
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts one after another, and how many each has."""
+        found = self.encode(texts)
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for ids in found for i in ids), np.int64, int(counts.sum())), counts
+
+    def _together(self, groups: list[list[str]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Each group as one text, cut again where its parts end; part by part where a token does not end there."""
+        flats, counts = [], []
+        for group, ids in zip(groups, self.encode([self.before + " ".join(g) for g in groups])):
+            flat = np.array(ids, np.int64)
+            ends = np.cumsum(self.lengths[flat])
+            want = np.cumsum(np.fromiter((len(p.encode()) for p in group), np.int64, len(group)) + 1)
+            at = np.searchsorted(ends, want)
+            if len(ends) and ends[-1] == want[-1] and (ends[at] == want).all():
+                counts.append(np.diff(at + 1, prepend=0))
+            else:
+                flat, n = self.whole([self.before + p for p in group])
+                counts.append(n)
+            flats.append(flat)
+        return flats, counts
+
+    def flat(self, parts: list[str], group: int = 500) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts one after another, and how many each has; what can stand side by side is encoded many at a time."""
+        self.lengths = np.array([len(x) for x in self.token_bytes()]) if not hasattr(self, "lengths") else self.lengths
+        fits = np.fromiter((self.cuts and JOINABLE.fullmatch(p) is not None for p in parts), bool, len(parts))
+        order = np.concatenate([np.flatnonzero(fits), np.flatnonzero(~fits)])
+        plain = [parts[i] for i in order[: int(fits.sum())]]
+        flats, counts = self._together([plain[i : i + group] for i in range(0, len(plain), group)])
+        rest, n = self.whole([self.before + parts[i] for i in order[len(plain) :]])
+        every, many = np.concatenate([*flats, rest]), np.concatenate([*counts, n])
+        if not len(rest):
+            return every, many
+        place = np.empty(len(parts), np.int64)
+        place[order] = np.arange(len(parts))
+        starts = (np.cumsum(many) - many)[place]
+        return every[ragged(starts, many[place])], many[place]
+
+
+class ByteTokens(Tokens):
     """A byte-level vocabulary of the tokenizers library, without special tokens around a text."""
 
     def __init__(self, path: str, plain: bool) -> None:
         """With `plain`, the strings of special tokens inside texts are ordinary text."""
+        self.before = " "
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -59,7 +117,7 @@ class ByteTokens:
         return out
 
 
-class PieceTokens:
+class PieceTokens(Tokens):
     """A piece vocabulary of the sentencepiece library, which puts a space before a text."""
 
     def __init__(self, path: str) -> None:
@@ -93,27 +151,48 @@ def piece_tokens(path: str) -> PieceTokens:
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit integers; parts met before are remembered, up to `memo` of them."""
+    """Ids of whole texts as little-endian unsigned 32-bit integers; parts met before are remembered.
 
-    def __init__(self, tokens: ByteTokens, memo: int = 150_000) -> None:
-        self.tokens, self.memo = tokens, memo
-        self.inner: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+    Two generations of about `memo` parts are held: what is asked for again moves to the young one, and when that is full the old one goes.
+    """
 
-    def _learn(self, known: dict[str, bytes], wanted: set[str], before: str) -> None:
-        if len(known) > self.memo:
-            known.clear()
-        new = [p for p in wanted if p not in known]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            known.update(zip(some, (array("I", ids).tobytes() for ids in self.tokens.encode([before + p for p in some]))))
+    def __init__(self, tokens: ByteTokens, memo: int = 400_000) -> None:
+        self.tokens, self.memo = tokens, memo
+        #: By the text before a part: the young and the old generation.
+        self.known: dict[str, list[dict[str, bytes]]] = {"": [{}, {}], " ": [{}, {}]}
+
+    def _learn(self, before: str, wanted: set[str]) -> dict[str, bytes]:
+        generations = self.known[before]
+        if len(generations[0]) > self.memo:
+            generations[:] = [{}, generations[0]]
+        young, old = generations
+        new = []
+        for p in wanted.difference(young):
+            if p in old:
+                young[p] = old[p]
+            else:
+                new.append(p)
+        for at in range(0, len(new), 50_000):
+            some = new[at : at + 50_000]
+            flat, counts = self.tokens.flat(some) if before else self.tokens.whole(some)
+            raw, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+            young.update(zip(some, (raw[a:z] for a, z in zip([0, *ends], ends))))
+        return young
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """`texts` should be a slab of bounded size: its distinct parts are held."""
         cut = [parts_of(t) if self.tokens.cuts else [t] for t in texts]
-        self._learn(self.first, {c[0] for c in cut}, "")
+        first = self._learn("", {c[0] for c in cut})
         rest: set[str] = set()
         for c in cut:
             rest.update(c[1:])
-        self._learn(self.inner, rest, " ")
-        return [self.first[c[0]] + b"".join(map(self.inner.__getitem__, c[1:])) for c in cut]
+        inner = self._learn(" ", rest)
+        return [first[c[0]] + b"".join(map(inner.__getitem__, c[1:])) for c in cut]
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder of a byte-level vocabulary, whose memory serves all tasks of the worker."""
+    key = ("encoder", path)
+    if key not in _loaded:
+        _loaded[key] = Encoder(byte_tokens(path, plain=False))
+    return _loaded[key]

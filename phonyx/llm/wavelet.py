@@ -33,9 +33,9 @@ BLOCK = 4096
 
 def planes_of(ids: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, int]]:
     """Each plane's bits and the number of zeros among them, from the highest bit down."""
-    at = ids
+    at = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     for k in range(bits - 1, -1, -1):
-        one = (at >> k) & 1 == 1
+        one = (at & at.dtype.type(1 << k)).astype(bool)
         zeros, ones = at[~one], at[one]
         yield one, len(zeros)
         at = np.concatenate([zeros, ones])
@@ -158,15 +158,15 @@ class Shard:
 
     def ids(self) -> np.ndarray:
         """All tokens, plane by plane from the lowest."""
-        at = np.zeros(self.tokens, np.uint32)
+        at = np.zeros(self.tokens, np.uint16 if self.bits <= 16 else np.uint32)
         for k in range(self.bits - 1, -1, -1):
             data = b"".join(self._bytes(k, b) for b in range(len(self.ends[k]) - 1))
             one = np.unpackbits(np.frombuffer(data, np.uint8), count=self.tokens).view(bool)
             out = np.empty_like(at)
             out[~one] = at[: self.zeros[k]]
-            out[one] = at[self.zeros[k] :] | np.uint32(1 << (self.bits - 1 - k))
+            out[one] = at[self.zeros[k] :] | at.dtype.type(1 << (self.bits - 1 - k))
             at = out
-        return at
+        return at.astype(np.uint32)
 
     def document(self, k: int) -> np.ndarray:
         """The tokens of the k-th document, one by one."""
