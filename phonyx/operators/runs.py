@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from ..functions.alignment import steps
 from .scan import buckets_by_value, running, same
 
 WINDOW_WORDS, LOOP_MAX_N, LOOP_MIN_REPS, LOOP_MIN_WORDS = 600, 10, 3, 12
@@ -176,45 +177,23 @@ def loop_spans(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda w: spans(list(w)) if w is not None else [])
 
 
-@pandas_udf(structs(kind="string", ref="int", hyp="int"))
+@pandas_udf(structs(kind="string", ref="int", hyp="int", anchor="int"))
 def align(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     """Operations of a least-cost word alignment; on ties equal or substitute first, then delete, then insert.
 
-    The cost table of a pair is kept as steps of one byte, row by row in numpy.
+    `anchor` is the reference word an operation belongs to: an insertion's is the next one, at the end the last.
     """
-    import numpy as np
-
-    def one(ref, hyp) -> list[tuple[str, int | None, int | None]]:
-        n, m = len(ref), len(hyp)
-        codes: dict[str, int] = {}
-        r = np.array([codes.setdefault(w, len(codes)) for w in ref], np.int64)
-        h = np.array([codes.setdefault(w, len(codes)) for w in hyp], np.int64)
-        steps = np.empty((n + 1, m + 1), np.uint8)
-        steps[0], row = 2, np.arange(m + 1)
-        offset = np.arange(m + 1)
-        for i in range(1, n + 1):
-            diagonal = row[:-1] + (h != r[i - 1])
-            best = np.concatenate(([i], np.minimum(diagonal, row[1:] + 1)))
-            # Insertions run along the row: a prefix minimum of cost minus place.
-            new = np.minimum.accumulate(best - offset) + offset
-            steps[i, 0] = 1
-            steps[i, 1:] = np.where(new[1:] == diagonal, 0, np.where(new[1:] == row[1:] + 1, 1, 2))
-            row = new
-        out, i, j = [], n, m
-        while i or j:
-            step = steps[i, j]
-            if step == 0:
-                i, j = i - 1, j - 1
-                out.append(("equal" if ref[i] == hyp[j] else "substitute", i, j))
-            elif step == 1:
-                i -= 1
-                out.append(("delete", i, None))
-            else:
-                j -= 1
-                out.append(("insert", None, j))
-        return out[::-1]
-
-    return pd.Series([one(list(a), list(b)) for a, b in zip(reference, hypothesis)])
+    return pd.Series([operations(list(a), list(b)) for a, b in zip(reference, hypothesis)])
+
+
+def operations(ref: list, hyp: list) -> list[tuple[str, int | None, int | None, int]]:
+    """What `align` returns for one pair."""
+    out, last, at = [], max(len(ref) - 1, 0), 0
+    for i, j in zip(*(x.tolist() for x in steps(ref, hyp))):
+        kind = "insert" if i < 0 else "delete" if j < 0 else "equal" if ref[i] == hyp[j] else "substitute"
+        out.append((kind, None if i < 0 else i, None if j < 0 else j, min(at, last)))
+        at += i >= 0
+    return out
 
 
 def reference_windows(recordings: DataFrame, window_words: int = WINDOW_WORDS) -> DataFrame:
@@ -223,11 +202,9 @@ def reference_windows(recordings: DataFrame, window_words: int = WINDOW_WORDS) -
     An insertion belongs to the next reference word, at the end to the last one.
     """
     n_ref = F.size("reference")
-    ops = recordings.select("rid", n_ref.alias("n_ref"), F.posexplode(align("reference", "hypothesis")).alias("k", "op"))
-    ahead = Window.partitionBy("rid").orderBy("k").rowsBetween(0, Window.unboundedFollowing)
-    anchor = F.coalesce(F.first("op.ref", True).over(ahead), F.greatest(F.col("n_ref") - 1, F.lit(0)))
+    ops = recordings.select("rid", n_ref.alias("n_ref"), F.explode(align("reference", "hypothesis")).alias("op"))
     last_window = F.greatest(F.ceil(F.col("n_ref") / window_words).cast("long"), F.lit(1)) - 1
-    placed = ops.withColumn("window", F.least(F.floor(anchor / window_words), last_window))
+    placed = ops.withColumn("window", F.least(F.floor(F.col("op.anchor") / window_words), last_window))
     kind = lambda k: F.count_if(F.col("op.kind") == k)
     sums = placed.groupBy("rid", "window").agg(
         F.count("op.ref").alias("ref_words"), F.count("op.hyp").alias("hyp_words"), kind("substitute").alias("substitutions"), kind("delete").alias("deletions"), kind("insert").alias("insertions")

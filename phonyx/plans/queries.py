@@ -266,10 +266,10 @@ def strip_fillers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(kept, " ").alias("kept"))
 
 
-def wer_sql(lens: str = LENS) -> str:
-    """Common tables up to `edits`: word edits of all pairs by the edit table, a row of it at a time for all pairs together; a prefix minimum along the row stands for the insertions."""
+def edits_sql(tokens: str) -> str:
+    """Common tables up to `edits` after `tokens`, which makes t (id, r, h): word edits of all pairs by the edit table, a row of it at a time for all pairs together; a prefix minimum along the row stands for the insertions."""
     return f"""
-WITH RECURSIVE p AS ({PAIRS}), t AS MATERIALIZED (SELECT id, {lens.format("reference")} AS r, {lens.format("prediction")} AS h FROM p),
+WITH RECURSIVE {tokens},
 dp AS (SELECT id, 0 AS i, r, h, range(0, len(h) + 1) AS cost FROM t
   UNION ALL SELECT id, i + 1, r, h, list_transform(list_zip(mins, range(0, len(h) + 1)), lambda z: z[1] + z[2]) FROM (
     SELECT id, i, r, h, list_reduce(list_transform(best, lambda b: [b]), lambda acc, b: list_append(acc, least(acc[-1], b[1]))) AS mins FROM (
@@ -279,6 +279,10 @@ edits AS (SELECT id, cost[-1]::BIGINT AS edits, len(r)::BIGINT AS ref_words, len
 """
 
 
+def wer_sql(lens: str = LENS) -> str:
+    return edits_sql(f"p AS ({PAIRS}), t AS MATERIALIZED (SELECT id, {lens.format('reference')} AS r, {lens.format('prediction')} AS h FROM p)")
+
+
 WER_SQL = wer_sql()
 
 
@@ -692,3 +696,6 @@ def rttm_round_trip(spark: SparkSession, d: str) -> DataFrame:
     raw = src.turns_of_days(spark, d).where("side = 'ref'").select("file", "ord", F.lit(0.0).alias("start"), F.round(F.col("end") - F.col("start"), 3).alias("end"), "speaker")
     lines = files.rttm_text(raw).select("file", F.posexplode(F.split("value", "\n")).alias("ord", "line"))
     return files.rttm_lines(lines).where("end > start").groupBy("file").agg(F.count("*").alias("turns"), F.round(F.sum(F.col("end") - F.col("start")), 3).alias("speech_s"))
+
+
+from . import recorded  # noqa: E402, F401 - registers its queries

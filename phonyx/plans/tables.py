@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import metrics
@@ -57,3 +57,68 @@ def copied_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = d.select("doc_id", metrics.numbers(F.col("text")).alias("n")).where("n IS NOT NULL")
     own = before.select(F.col("doc_id").alias("id"), "prev").join(found.select(F.col("doc_id").alias("id"), F.col("n").alias("h")), "id")
     return own.join(found.select(F.col("doc_id").alias("prev"), F.col("n").alias("r")), "prev").select("id", "r", "h")
+
+
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as recordings of ten seconds a turn: (rid, reference, duration_s); the reference is all turns' text."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
+    n = F.size("t") - F.when(F.col("conv_id") % 4 == 1, 2).otherwise(0)
+    return c.select(F.col("conv_id").alias("rid"), F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("reference"), (10.0 * n).alias("duration_s"))
+
+
+def recorded_answers(spark: SparkSession, sf_dir: str, variant: int = 0) -> DataFrame:
+    """Answers of a model that fails on some turns, repeats some and hears others wrong; of every fourth recording the audio ends two turns early."""
+    c = table(spark, sf_dir, "conversations")
+    last = c.groupBy("conv_id").agg(F.max("turn").alias("_last"))
+    k = F.col("conv_id") + F.col("turn") + variant
+    text = F.coalesce("text", F.lit(""))
+    heard = F.when(k % 6 == 0, F.lit(None)).when(k % 25 == 0, F.concat_ws(" ", text, text, text, text)).when(k % 5 == 0, F.concat_ws(" ", text, text)).when(k % 3 == 1, F.replace(text, F.lit("e"), F.lit("a"))).otherwise(text)
+    met = c.join(last, "conv_id").where((F.col("conv_id") % 4 != 1) | (F.col("turn") <= F.col("_last") - 2))
+    return met.select(F.col("conv_id").alias("rid"), F.col("turn").cast("long").alias("index"), (10.0 * F.col("turn")).alias("source_start"), (10.0 * F.col("turn") + 9.5).alias("source_end"), heard.alias("text"))
+
+
+def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as outputs of three kinds of models: (conv_id, form, raw).
+
+    By the remainder of the id by three: records, the last one broken off nine characters before its text ends where those are
+    plain; marks of time and speaker; sentences with locale tags.
+    """
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
+    record = lambda x: F.to_json(F.struct((x["turn"] * 10).alias("Start"), (x["turn"] * 10 + 9.5).alias("End"), (x["turn"] % 2).alias("Speaker"), x["text"].alias("Content")))
+    whole = F.concat(F.lit("["), F.array_join(F.transform("t", record), ","), F.lit("]"))
+    tail = F.right(F.element_at("t", -1)["text"], F.lit(12))
+    records = F.when(tail.rlike("^[A-Za-z .]{12}$"), F.substring(whole, F.lit(1), F.length(whole) - 12)).otherwise(whole)
+    time = lambda x, add: F.concat(F.lit("["), (x["turn"] * 10 + add).cast("string"), F.lit(".25]"))
+    marks = F.array_join(F.transform("t", lambda x: F.concat(time(x, 0), F.lit("[S0"), (x["turn"] % 2).cast("string"), F.lit("] "), x["text"], F.lit(" "), time(x, 9))), "")
+    tags = F.array_join(F.transform("t", lambda x: x["text"]), " <de-DE> ")
+    k = F.col("conv_id") % 3
+    return c.select(
+        "conv_id", F.when(k == 0, "vibevoice-json").when(k == 1, "moss-timed-speakers").otherwise("nemotron-locale-tags").alias("form"), F.when(k == 0, records).when(k == 1, marks).otherwise(tags).alias("raw")
+    )
+
+
+def coupled_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events as live answers and as batch answers to most of them."""
+    e = table(spark, sf_dir, "events").select("event_type", "event_id", "user_id", "ts", "value", seconds().alias("s"))
+    k, said = F.col("event_id"), F.concat_ws(" ", F.col("event_type"), F.lit("said"), (F.col("user_id") % 7).cast("string"))
+    live = e.select(
+        F.col("event_type").alias("session"), k.alias("idx"), F.col("ts").cast("timestamp").alias("at"), F.col("s").alias("t_speech_end"), (F.col("s") + F.col("value") / 100).alias("t_done"),
+        F.when(k % 41 == 0, "").when(k % 7 == 0, F.concat(said, F.lit(" more"))).otherwise(said).alias("text"), F.when(k % 53 == 0, "closed").alias("error"),
+    )
+    finals = e.where(k % 5 != 0).select(
+        F.col("event_type").alias("session"), k.alias("idx"), (F.col("ts") + F.expr("INTERVAL 3 SECONDS")).cast("timestamp").alias("final_at"), (F.col("s") + k % 17 / 10).alias("t_final_done"),
+        F.when(k % 13 == 0, "empty").otherwise("ok").alias("status"), F.when(k % 13 == 0, "").otherwise(said).alias("final_text"),
+    )
+    return live, finals
+
+
+def detector_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Events as two detectors' scores on sixteen tracks: (scores, thresholds, tracks, labels)."""
+    w = Window.partitionBy("track").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").withColumn("track", F.col("user_id") % 16).withColumn("frame", (F.row_number().over(w) - 1).cast("long"))
+    scores = e.select(F.explode(F.array(F.struct(F.lit("values").alias("arm"), (F.col("value") / 100).alias("score")), F.struct(F.lit("places").alias("arm"), (F.col("event_id") * 37 % 100 / 100).alias("score")))).alias("x"), "track", "frame")
+    tracks = e.groupBy("track").agg(F.count("*").alias("n"))
+    kind = F.when(F.col("event_type").isin("purchase", "click"), "target").when(F.col("event_type") == "view", "crosstalk")
+    labels = e.select("track", kind.alias("kind"), (F.col("frame") * 0.01).alias("start"), ((F.col("frame") + 1) * 0.01).alias("end")).where("kind IS NOT NULL")
+    sweep = [(a, t / 10, round(t / 10 - 0.15, 2)) for a in ("values", "places") for t in range(1, 10)]
+    return scores.select("x.arm", "track", "frame", "x.score"), spark.createDataFrame(sweep, "arm string, threshold double, off double"), tracks, labels
