@@ -3,10 +3,12 @@ r"""Chat formatting in budgeted windows.
 A conversation's turns are numbered in order and get the prefix sums of their
 tokens. A window takes turns as long as their sum stays within what the budget
 leaves beside the turns that the window repeats, so windows are aligned with
-turns; a turn that is longer by itself stands in a window of its own, whole,
-and `over_budget` marks windows that are too long. Every window but the first
-repeats the conversation's first system turn, if that came before, and the
-last turns before the window, up to `history` tokens. The loss mask covers
+turns. Every window but the first repeats the conversation's first system
+turn, if that came before, and the last turns before the window, up to
+`history` tokens. New turns are laid out with room for the history, but for
+half of what the system turn leaves at most, and the history is what still
+fits beside them; so a window is longer than the budget, which `over_budget`
+marks, only where the system turn and one new turn are. The loss mask covers
 assistant texts where they are new, never where they are repeated, so every
 target counts once.
 
@@ -90,12 +92,14 @@ def numbered(classes: DataFrame) -> DataFrame:
 def spans(turns: DataFrame, leads: DataFrame, budget: int, history: int, block: int) -> DataFrame:
     """(c, b, starts): number and start of each window's first turn, for every block b of a conversation."""
     ordered = F.array_sort(F.collect_list(F.struct("number", "start", "tokens")))
-    blocks = turns.groupBy("c", F.floor(F.col("number") / block).alias("b")).agg(ordered.alias("turns")).join(leads.select("c", "sys_tokens"), "c", "left")
-    room = F.lit(budget - history) - F.coalesce("sys_tokens", F.lit(0))
+    blocks = turns.groupBy("c", F.floor(F.col("number") / block).alias("b")).agg(ordered.alias("turns")).join(leads.select("c", "sys_tokens", "sys_number"), "c", "left")
+    after = lambda n: F.lit(budget) - F.when(n > F.col("sys_number"), F.col("sys_tokens")).otherwise(0)
 
     def step(acc: Column, turn: Column) -> Column:
         opens = (F.size(acc["starts"]) == 0) | (turn["start"] + turn["tokens"] > acc["limit"])
-        limit = turn["start"] + F.when(turn["number"] == 0, F.lit(budget).cast("long")).otherwise(room.cast("long"))
+        left = after(turn["number"])
+        room = F.when(turn["number"] == 0, F.lit(budget)).otherwise(F.greatest(left - history, F.floor(left / 2)))
+        limit = turn["start"] + room.cast("long")
         first = F.array(F.struct(turn["number"].alias("number"), turn["start"].alias("start")))
         return F.struct(F.when(opens, limit).otherwise(acc["limit"]).alias("limit"), F.when(opens, F.concat(acc["starts"], first)).otherwise(acc["starts"]).alias("starts"))
 
@@ -115,8 +119,11 @@ def members(turns: DataFrame, leads: DataFrame, budget: int, history: int, block
         # A turn has a token at least, so a bucket of the prefix sums holds at most `history` turns.
         reach = windows.withColumn("bucket", F.explode(F.array(F.floor(F.col("first") / history) - 1, F.floor(F.col("first") / history))))
         met = turns.withColumn("bucket", F.floor(F.col("start") / history)).join(reach, ["c", "bucket"]).where((F.col("start") >= F.col("first") - history) & (F.col("start") < F.col("first")))
-        again = met.select("window", F.col("number").alias("place"), F.lit(True).alias("again"), F.col("first"), F.col("start"), *kinds)
-        out = out.unionByName(again.drop("first", "start"))
+        # What a window's new turns and the system turn leave is all that may be repeated.
+        fresh = own.groupBy("c", "window").agg(F.sum("tokens").alias("new")).join(leads.select("c", "sys_number", "sys_tokens"), "c", "left")
+        spare = fresh.select("c", "window", (F.lit(budget) - F.col("new") - F.when(F.col("window") > F.col("sys_number"), F.col("sys_tokens")).otherwise(0)).alias("spare"))
+        again = met.join(spare, ["c", "window"]).where(F.col("start") >= F.col("first") - F.col("spare")).select("window", F.col("number").alias("place"), F.lit(True).alias("again"), *kinds)
+        out = out.unionByName(again)
         reached = again.groupBy("c", "window").agg(F.min("place").alias("oldest"))
         windows = windows.join(reached, ["c", "window"], "left")
     else:

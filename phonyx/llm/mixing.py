@@ -28,6 +28,7 @@ whole. Extra columns may have any names. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -92,8 +93,12 @@ def solved(matrix: list[list[float]], right: list[float]) -> list[float]:
     return out
 
 
-def balance(patterns: DataFrame, shared: list[float], steps: int = 200, tolerance: float = 1e-11) -> DataFrame:
-    """patterns with `rate`, the exponential tilt that meets all targets.
+#: Steps without progress after which targets count as not to be met.
+PATIENCE = 10
+
+
+def balance(patterns: DataFrame, shared: list[float], cap: float = math.inf, steps: int = 200, tolerance: float = 1e-11) -> DataFrame:
+    """patterns with `rate`, the exponential tilt that meets all targets, no rate above `cap`.
 
     patterns: (cell, mass, target, under), a row for each constraint pattern.
     `mass` counts its words, `target` is that of all patterns of its cell (the
@@ -102,8 +107,10 @@ def balance(patterns: DataFrame, shared: list[float], steps: int = 200, toleranc
     H x = g with g = words under the tilt - targets. With D the diagonal
     of the cells, the step of the shared constraints is that of the Schur
     complement S = H22 - H21 D^-1 H12, and each cell's step follows from it.
-    Steps are shortened to one unit of any multiplier. Targets that no rates
-    meet together are met as far as `steps` go.
+    Steps are shortened to one unit of any multiplier. The cap is part of the
+    problem: a rate is the lesser of its tilt and the cap, and a pattern at the
+    cap counts a thousandth in H, which keeps H regular. Targets that no rates
+    meet together are met until the worst miss has not shrunk for some steps.
     """
     zero = [j for j, t in enumerate(shared) if not t > 0]
     none = F.exists("under", lambda j: j.isin(zero)) if zero else F.lit(False)
@@ -111,39 +118,52 @@ def balance(patterns: DataFrame, shared: list[float], steps: int = 200, toleranc
     state = patterns.withColumn("mass", F.when(possible, F.col("mass")).otherwise(0).cast("double")).withColumn("own", F.lit(0.0)).withColumn("all", F.lit(0.0))
     live = [j for j in range(len(shared)) if j not in zero]
     multipliers = {j: 0.0 for j in live}
-    cell, kept = Window.partitionBy("cell"), None
-    tilted = F.col("mass") * F.exp("all")
+    cell, kept, lowest, stale = Window.partitionBy("cell"), None, math.inf, 0
+    tilted = F.col("mass") * F.least(F.exp("all"), F.lit(cap))
     in_cell = F.sum(tilted).over(cell)
+    in_h = F.sum("_h").over(cell)
     for _ in range(steps):
         move = {j: 0.0 for j in live}
+        weighed = state.withColumn("_w", tilted).withColumn("_in_cell", in_cell)
+        weighed = weighed.withColumn("_h", F.when(F.col("all") < math.log(cap), F.col("_w")).otherwise(1e-3 * F.col("_w")))
         if live:
-            g0 = F.sum("w").over(cell) - F.col("target")
-            seen = materialize(state.where("mass > 0").withColumn("w", tilted).withColumn("d", F.sum("w").over(cell)).withColumn("g0", g0).select("cell", "w", "d", "g0", "under"), "newton")
-            by = seen.select("cell", "d", "g0", "w", F.explode("under").alias("j")).groupBy("cell", "j").agg(F.sum("w").alias("h"), F.first("d").alias("d"), F.first("g0").alias("g0"))
-            right = {r["j"]: r["g"] - shared[r["j"]] - r["less"] for r in by.groupBy("j").agg(F.sum("h").alias("g"), F.sum(F.col("h") * F.col("g0") / F.col("d")).alias("less")).collect()}
+            seen = materialize(weighed.where("mass > 0").select("cell", F.col("_w").alias("w"), F.col("_h").alias("h"), in_h.alias("d"), (F.col("_in_cell") - F.col("target")).alias("g0"), "under"), "newton")
+            by = seen.select("cell", "d", "g0", "w", "h", F.explode("under").alias("j")).groupBy("cell", "j").agg(F.sum("w").alias("w"), F.sum("h").alias("h"), F.nullif(F.first("d"), F.lit(0.0)).alias("d"), F.first("g0").alias("g0"))
+            right = {r["j"]: r["g"] - shared[r["j"]] - r["less"] for r in by.groupBy("j").agg(F.sum("w").alias("g"), F.coalesce(F.sum(F.col("h") * F.col("g0") / F.col("d")), F.lit(0.0)).alias("less")).collect()}
             other = by.select("cell", F.col("j").alias("k"), F.col("h").alias("h2"))
-            minus = by.join(other, "cell").groupBy("j", "k").agg(F.sum(-F.col("h") * F.col("h2") / F.col("d")).alias("x"))
-            plus = seen.select("w", "under", F.explode("under").alias("j")).select("w", "j", F.explode("under").alias("k")).groupBy("j", "k").agg(F.sum("w").alias("x"))
+            minus = by.join(other, "cell").groupBy("j", "k").agg(F.coalesce(F.sum(-F.col("h") * F.col("h2") / F.col("d")), F.lit(0.0)).alias("x"))
+            plus = seen.select("h", "under", F.explode("under").alias("j")).select("h", "j", F.explode("under").alias("k")).groupBy("j", "k").agg(F.sum("h").alias("x"))
             system = {(r["j"], r["k"]): r["x"] for r in plus.unionByName(minus).groupBy("j", "k").agg(F.sum("x").alias("x")).collect()}
             use = sorted(right)
             move.update(zip(use, solved([[system.get((j, k), 0.0) for k in use] for j in use], [right[j] for j in use])))
             discard(seen)
         # What the shared multipliers' step does to a pattern, and the cell's own step beside it.
         lean = F.aggregate("under", F.lit(0.0), lambda acc, j: acc + F.coalesce(F.element_at(F.create_map(*[F.lit(x) for j_ in live for x in (j_, move[j_])]), j), F.lit(0.0))) if live else F.lit(0.0)
-        step = F.coalesce((in_cell - F.col("target") - F.sum(tilted * lean).over(cell)) / F.nullif(in_cell, F.lit(0.0)), F.lit(0.0))
-        moved = materialize(state.withColumn("lean", lean).withColumn("step", step).withColumn("off", F.when(in_cell > 0, F.abs(in_cell - F.col("target")) / F.col("target"))), "dual")
+        step = F.coalesce((F.col("_in_cell") - F.col("target") - F.sum(F.col("_h") * lean).over(cell)) / F.nullif(in_h, F.lit(0.0)), F.lit(0.0))
+        off = F.when(F.col("_in_cell") > 0, F.abs(F.col("_in_cell") - F.col("target")) / F.col("target"))
+        moved = materialize(weighed.withColumn("lean", lean).withColumn("step", step).withColumn("off", off).drop("_w", "_h", "_in_cell"), "dual")
         longest, off = moved.agg(F.max(F.abs("step")), F.max("off")).first()
         longest = max([longest or 0.0, *map(abs, move.values())])
         off = max([off or 0.0, *(abs(right.get(j, 0.0)) / shared[j] for j in live)])
         short = min(1.0, 1.0 / longest) if longest else 1.0
         multipliers = {j: multipliers[j] - short * move[j] for j in live}
+        lowest, stale = (off, 0) if off < 0.999 * lowest else (lowest, stale + 1)
         old, kept = kept, moved
         state = moved.withColumn("own", F.col("own") - short * F.col("step")).withColumn("all", F.col("all") - short * (F.col("step") + F.col("lean"))).drop("lean", "step", "off")
         if old is not None:
             discard(old)
-        if off < tolerance or short * longest < tolerance:
+        if off < tolerance or short * longest < tolerance or stale >= PATIENCE:
             break
-    return state.withColumn("rate", F.when(F.col("mass") > 0, F.exp("all")).otherwise(0.0)).drop("own", "all")
+    return state.withColumn("rate", F.when(F.col("mass") > 0, F.least(F.exp("all"), F.lit(cap))).otherwise(0.0)).drop("own", "all")
+
+
+def unmet(tilted: DataFrame, shared: list[float]) -> DataFrame:
+    """tilted (cell, mass, target, under, rate) with `unmet`: by how many words the targets that a pattern counts for are missed at most; 0 for less than a millionth."""
+    words = F.col("mass") * F.col("rate")
+    met = {r["j"]: r["w"] for r in tilted.select(words.alias("w"), F.explode("under").alias("j")).groupBy("j").agg(F.sum("w").alias("w")).collect()} if shared else {}
+    off = lambda t, w: F.when(F.abs(t - w) > 1e-6 * t, F.abs(t - w)).otherwise(0.0)
+    own = off(F.col("target"), F.sum(words).over(Window.partitionBy("cell")))
+    return tilted.withColumn("unmet", F.greatest(own, *[F.when(F.array_contains("under", j), off(F.lit(float(t)), F.lit(float(met.get(j, 0.0))))).otherwise(0.0) for j, t in enumerate(shared)]) if shared else own)
 
 
 def running(df: DataFrame, group: list[str], amount: str, order: list[str], bucket: str, out: str) -> DataFrame:
@@ -206,8 +226,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     """Sizes, source targets, tilted rates and copies of every document (without its text).
 
     `also` gives constraints beside the sources': for a column, which share of
-    the mix documents with a value shall have; values not named are free. A
-    rate above `cap` is cut to it.
+    the mix documents with a value shall have; values not named are free. No
+    rate is above `cap`; `unmet` tells by how many words the targets that a
+    document counts for are missed at most, where no rates meet them all.
     """
     also = also or {}
     others = [c for c in also if c != "source"]
@@ -241,9 +262,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
         raise ValueError(f"at most {MOST_SHARED} constraints beside those of the sources")
     placed = per_pattern.join(targets, same(["source"])).drop("_source").withColumn("mass", F.col("pattern_size"))
     placed = placed.withColumn("under", F.filter(F.array(*under), lambda j: j.isNotNull()) if under else F.array().cast("array<int>"))
-    tilted = balance(placed.withColumn("pattern", F.xxhash64(*keys)), shared)
+    tilted = balance(placed.withColumn("pattern", F.xxhash64(*keys)), shared, cap)
+    tilted = unmet(tilted, shared)
     rates = tilted.select(
-        *[F.col(k).alias(f"_{k}") for k in keys], "pattern", "pattern_size", "pattern_rows", "source_size", "target", F.least("rate", F.lit(cap)).alias("rate"),
+        *[F.col(k).alias(f"_{k}") for k in keys], "pattern", "pattern_size", "pattern_rows", "source_size", "target", "rate", "unmet",
     )
     # Multipliers are found to about 1e-11; a rate that close to a whole number is that number.
     rates = materialize(rates.withColumn("rate", F.when(F.abs(F.col("rate") - F.round("rate")) < 1e-9, F.round("rate")).otherwise(F.col("rate"))), "rates")

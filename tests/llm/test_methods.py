@@ -163,15 +163,16 @@ def plain_windows(turns, budget, history, block):
     """Windows of one conversation, as lists of (turn, again), from turns (role, text, tokens) in order."""
     start = [0, *itertools.accumulate(t[2] for t in turns)]
     system = next((i for i, t in enumerate(turns) if t[0] == "system"), None)
-    room = budget - history - (turns[system][2] if system is not None else 0)
+    left = lambda i: budget - (turns[system][2] if system is not None and i > system else 0)
     firsts, limit = [], 0
     for i in range(len(turns)):
         if i % block == 0 or start[i + 1] > limit:
             firsts.append(i)
-            limit = start[i] + (budget if i == 0 else room)
+            limit = start[i] + (budget if i == 0 else max(left(i) - history, left(i) // 2))
     out = []
     for a, b in zip(firsts, [*firsts[1:], len(turns)]):
-        again = [i for i in range(a) if start[i] >= start[a] - history] if a else []
+        spare = min(history, left(a) - (start[b] - start[a]))
+        again = [i for i in range(a) if start[i] >= start[a] - spare] if a else []
         lead = [system] if a and system is not None and system < min([a, *again]) else []
         out.append([(i, True) for i in lead + again] + [(i, False) for i in range(a, b)])
     return out
@@ -200,12 +201,15 @@ def test_chat_windows_against_brute_force(spark, kind):
                 assert [(t["role"], t["text"]) for t in x["turns"]] == [own[i][:2] for i in new]
                 assert x["loss"] == "".join(own[i][1] for i in new if own[i][0] == "assistant")
                 assert x["n_tokens"] == sum(own[i][2] for i, _ in members) and x["over_budget"] == (x["n_tokens"] > 400)
-                assert x["n_tokens"] <= 400 or len(new) == 1
+                lead = next((t[2] for t in own if t[0] == "system"), 0)
+                assert x["n_tokens"] <= 400 or len(new) == 1 and lead + own[new[0]][2] > 400
             assert [i for w in want for i, again in w if not again] == list(range(len(own)))
     else:
         # Order among equal turns is by role, length and hash; budget, history and mask hold all the same.
         found = sorted(got[1], key=lambda x: x["window"])
-        assert len(found) > 5 and all(x["n_tokens"] <= 400 for x in found) and all(x["repeated"] >= 1 for x in found[1:])
+        lead = max(len(text) + 1 for c, _, role, text in rows if c == 1 and role == "system")
+        assert len(found) > 5 and all(x["n_tokens"] <= 400 or len(x["turns"]) == 1 and lead + len(x["turns"][0]["text"]) + 1 > 400 for x in found)
+        assert any(x["repeated"] >= 1 for x in found[1:])
         assert Counter((t["role"], t["text"]) for x in found for t in x["turns"]) == Counter((role, text) for c, _, role, text in rows if c == 1)
         assert Counter("".join(x["loss"] for x in found)) == Counter("".join(text for c, _, role, text in rows if c == 1 and role == "assistant"))
     full = [x["n_tokens"] for x in sorted(got[1], key=lambda x: x["window"])[:-1]]
@@ -258,7 +262,7 @@ def test_decontamination_against_brute_force_in_any_number_of_parts(spark, part_
     texts = [" ".join(r.choice(lexicon, int(n))) for n in r.integers(1, 300, 40)] + [None, "", "nothing of this is known", "  "]
     for i in range(20):  # items, whole or with some words changed, at random places
         words, own = texts[i].split(), items[i][1].split()
-        for at in r.choice(len(own), len(own) // 12, replace=False):
+        for at in r.choice(len(own), len(own) // 40, replace=False):
             own[at] = "changed"
         at = int(r.integers(0, len(words) + 1))
         texts[i] = " ".join(words[:at] + own + words[at:])
@@ -268,7 +272,7 @@ def test_decontamination_against_brute_force_in_any_number_of_parts(spark, part_
     rows = frame(spark, texts, odd=ODD)
     found = decontaminate.leaks(rows, bench, part_words=part_words).collect()
     want = plain_leaks(texts, items, 0.6, 0.8)
-    assert {(x["doc_id"], x["item_id"]) for x in found} == want and len(want) > 15
+    assert {(x["doc_id"], x["item_id"]) for x in found} == want and len(want) > 10
     kept = decontaminate.drop_leaks(rows, bench, part_words=part_words)
     assert {x["doc_id"] for x in kept.collect()} == set(range(len(texts))) - {d for d, _ in want} and kept.columns == rows.columns
 
@@ -340,11 +344,15 @@ def test_entropy_balancing_against_a_plain_solver(spark):
 def test_mix_with_overlapping_targets_and_odd_columns(spark):
     texts = ["w " * int(n) for n in np.random.default_rng(6).integers(1, 60, 600)] + [None, "", "w " * 20_000]
     rows = frame(spark, texts, sources=("a", "b"))
+    # So little English takes the other documents of the first source to the cap, which must be part of the problem.
     mixed = mixing.mix(rows, also={"lang": {"en": 0.6}}, cap=4.0).join(rows.select("doc_id", "lang"), "doc_id").collect()
     total = sum({x["source"]: x["target"] for x in mixed}.values())
-    assert sum(x["rate"] * x["size"] for x in mixed if x["lang"] == "en") == pytest.approx(0.6 * total, rel=1e-6)
+    words = lambda k, v: sum(x["rate"] * x["size"] for x in mixed if x[k] == v)
+    assert words("lang", "en") == pytest.approx(0.6 * total, rel=1e-6) and max(x["rate"] for x in mixed) == pytest.approx(4.0) and max(x["unmet"] for x in mixed) == 0.0
     for s in ("a", "b"):
-        assert sum(x["rate"] * x["size"] for x in mixed if x["source"] == s) == pytest.approx(next(x["target"] for x in mixed if x["source"] == s), rel=1e-6)
+        assert words("source", s) == pytest.approx(next(x["target"] for x in mixed if x["source"] == s), rel=1e-6)
+    missed = spark.createDataFrame([(0, 10.0, 40.0, [0], 4.0), (0, 10.0, 40.0, [], 0.0), (1, 5.0, 5.0, [], 1.0)], "cell int, mass double, target double, under array<int>, rate double")
+    assert [x["unmet"] for x in mixing.unmet(missed, [50.0]).orderBy("cell", F.size("under")).collect()] == [0.0, 10.0, 0.0]
     odd = frame(spark, texts, odd=ODD)
     out = mixing.repeat_documents(odd)
     assert out.columns == odd.columns and out.count() > 600
@@ -369,10 +377,12 @@ def test_sharded_rows_are_whole_and_gapless(spark):
     assert sharding.shard_rows(rows.limit(0)).count() == 0
 
 
-def test_curve_prunes_better_than_hash_or_one_key(spark):
+@pytest.mark.parametrize("copies", [0.0, 0.05])
+def test_curve_prunes_better_than_hash_or_one_key(spark, copies):
+    """With few copies: a group of equal texts takes the place of its least document, whatever the others' columns are."""
     r = np.random.default_rng(4)
     n = 4000
-    table = spark.createDataFrame([(int(r.integers(0, 10**6)) if i else 10**15, f"l{r.integers(0, 6)}", f"s{r.integers(0, 16)}", "x" * int(2 ** r.uniform(0, 10))) for i in range(n)], "doc_id long, lang string, source string, text string")
+    table = spark.createDataFrame([(int(r.integers(0, 10**6)) if i else 10**15, f"l{r.integers(0, 6)}", f"s{r.integers(0, 16)}", ("copy " if r.random() < copies else f"{i} ") + "x" * int(2 ** r.uniform(0, 10))) for i in range(n)], "doc_id long, lang string, source string, text string")
     shards = 32
     placed = sharding.shard_documents(table, shards).collect()
     rows = [(x["doc_id"], x["lang"], x["source"], x["size"]) for x in placed]
@@ -394,7 +404,7 @@ def test_curve_prunes_better_than_hash_or_one_key(spark):
     hashed = touched([int(hashlib.md5(str(x).encode()).hexdigest(), 16) % shards for x in rows])
     order = {row: k * shards // n for k, row in enumerate(sorted(rows))}
     one_key = touched([order[x] for x in rows])
-    assert curve < 0.75 * one_key and curve < 0.6 * hashed
+    assert curve < (0.75 if not copies else 0.9) * one_key and curve < (0.6 if not copies else 0.7) * hashed
 
 
 def test_one_far_value_does_not_fill_a_cell(spark):
@@ -420,9 +430,12 @@ def test_documents_that_occur_twice_score_higher(spark):
     texts += texts[:40]
     rows = {x["doc_id"]: x for x in ngramlm.score(frame(spark, texts, odd=ODD)).collect()}
     per = {i: x["score"] / x["n_tokens"] for i, x in rows.items()}
-    twice, once = [per[i] for i in [*range(40), *range(300, 340)]], [per[i] for i in range(40, 300) if not rows[i]["held_out"]]
+    # Held-out texts are not learned, so a text occurs twice only where neither of its rows is held out.
+    learned = lambda i: not rows[i]["held_out"]
+    twice = [per[j] for i in range(40) if learned(i) and learned(300 + i) for j in (i, 300 + i)]
+    once = [per[i] for i in range(40, 300) if learned(i)]
     cut = np.quantile(once, 0.95)
-    assert np.mean(np.array(twice) > cut) > 0.8
+    assert len(twice) > 40 and np.mean(np.array(twice) > cut) > 0.95
     assert all(x["score"] > x["base_score"] for i, x in rows.items() if not x["held_out"])
 
 
