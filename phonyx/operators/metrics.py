@@ -30,15 +30,21 @@ def word_units(rows: DataFrame, reference: Column | None = None, hypothesis: Col
 
 
 def corpus_wer(units: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Word error rate of all utterances, and the length-weighted mean of their own rates (`strict_wer_pct`).
+    """Word error rate of all utterances."""
+    return units.groupBy(*keys).agg(ratio_pct("edits", "ref_words").alias("wer_pct"), F.sum("edits").alias("edits"), F.sum("ref_words").alias("ref_words"), F.count("*").alias("utterances"))
 
-    In the mean, utterances without words on one side count as wholly wrong, and empty references not at all.
-    """
-    own = F.when((F.col("hyp_words") == 0) & (F.col("ref_words") > 0), 1.0).when(F.col("ref_words") > 0, F.col("edits") / F.col("ref_words"))
-    return units.groupBy(*keys).agg(
-        ratio_pct("edits", "ref_words").alias("wer_pct"), F.sum("edits").alias("edits"), F.sum("ref_words").alias("ref_words"), F.count("*").alias("utterances"),
-        (100.0 * F.sum(own * F.col("ref_words")) / F.nullif(F.sum("ref_words").cast("double"), F.lit(0.0))).alias("strict_wer_pct"),
-    )
+
+def strict_units(rows: DataFrame, labels: Sequence[str] = ()) -> DataFrame:
+    """word_units under the strict lens, with `num`, the utterance's rate times its length, and `den`: an utterance without words in its hypothesis is wholly wrong, one without a reference has no weight."""
+    words = lambda c: T.words(T.strict(F.coalesce(c, F.lit("")), labels))
+    units = word_units(rows, words("reference"), words("prediction"))
+    num = F.when(F.col("ref_words") == 0, 0).when(F.col("hyp_words") == 0, F.col("ref_words")).otherwise(F.col("edits"))
+    return units.withColumn("num", num.cast("long")).withColumn("den", F.col("ref_words"))
+
+
+def corpus_strict_wer(units: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The length-weighted mean of the utterances' rates under the strict lens; null where no utterance has a reference."""
+    return units.groupBy(*keys).agg(nullable_pct("num", "den").alias("strict_wer_pct"), F.sum("den").alias("ref_words"), F.count_if(F.col("den") > 0).alias("utterances"))
 
 
 def corpus_cer(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -157,6 +157,15 @@ def test_lenses_read_and_spell_numbers(spark):
     assert row["c"] == "Es kamen 23 Leute ähm 23" and row["s"] == "es kamen dreiundzwanzig leute dreiundzwanzig"
 
 
+def test_strict_corpus_rate(spark):
+    rows = [(1, "Ich habe 21 Äpfel.", "ich habe einundzwanzig äpfel"), (2, "ja nein", ""), (3, "", "zu viel"), (4, "äh, das ist gut", "das war gut"), (5, "Straße 35 km", "strasse sechsunddreißig km")]
+    units = metrics.strict_units(spark.createDataFrame(rows, "id long, reference string, prediction string"))
+    got = {x["id"]: (x["num"], x["den"]) for x in units.collect()}
+    assert got == {1: (0, 4), 2: (2, 2), 3: (0, 0), 4: (1, 3), 5: (1, 3)}
+    total = metrics.corpus_strict_wer(units).first()
+    assert (total["strict_wer_pct"], total["ref_words"], total["utterances"]) == (pytest.approx(100 * 4 / 12), 12, 4)
+
+
 def test_pair_stack(spark):
     rows = spark.createDataFrame([("a", "Das ist ein Test.", "das ist kein Test heute"), ("b", "Wort", ""), ("c", "", ""), ("d", "", "x")], "id string, reference string, prediction string")
     got = {r["id"]: r for r in metrics.pair_stack(rows).collect()}
