@@ -85,20 +85,27 @@ def write(docs: DataFrame, tokenizer: str, end: int = END, shard_tokens: int = 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(tokenizer), TaskContext.get().partitionId()
-        tail = np.array([end], "<u4").tobytes()
         held, names, sizes, total, before, seq = [], [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
             name = f"part-{part:06d}-{seq:06d}.tokens"
-            put(folder, name, pack(np.frombuffer(b"".join(held), "<u4"), np.array(sizes), names, {"part": part, "seq": seq, "before": before}))
+            put(folder, name, pack(np.concatenate(held), np.concatenate(sizes), names, {"part": part, "seq": seq, "before": before}))
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "name": [name], "documents": [len(names)], "tokens": [total], "before": [before]})
 
         for ids, texts in slabs(batches):
-            for d, found in zip(ids, encode(texts)):
-                held.append(found + tail)
-                names.append(d)
-                sizes.append(len(found) // 4 + 1)
-                total += sizes[-1]
+            found, counts = encode.slab(texts)
+            # The end id after each document.
+            found, ends = np.insert(found, np.cumsum(counts), np.uint32(end)), np.cumsum(counts + 1)
+            first = 0
+            while first < len(ids):
+                # As many documents as fill the file, at least one.
+                room = shard_tokens - total + (ends[first - 1] if first else 0)
+                last = min(len(ids), int(np.searchsorted(ends, room, "left")) + 1)
+                a, z = (ends[first - 1] if first else 0), ends[last - 1]
+                held.append(found[a:z])
+                sizes.append(counts[first:last] + 1)
+                names += ids[first:last]
+                total, first = total + int(z - a), last
                 if total >= shard_tokens:
                     yield flush()
                     held, names, sizes, before, total, seq = [], [], [], before + total, 0, seq + 1

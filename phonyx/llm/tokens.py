@@ -14,6 +14,8 @@ SOLID = "[^" + "".join(f"{chr(a)}-{chr(z)}" for a, z in OPEN) + "]"
 CUT = re.compile(f"(?<={SOLID}) (?={SOLID})")
 NOT_A_CUT = re.compile(f" (?!{SOLID})|(?<!{SOLID}) ")
 
+#: Line feeds that are tokens of their own.
+FEEDS = re.compile(f"(?<={SOLID})\n(?={SOLID})")
 #: Parts that can stand side by side with a space between them, and be cut again there.
 JOINABLE = re.compile(f"{SOLID}(?:.*{SOLID})?", re.DOTALL)
 
@@ -150,44 +152,104 @@ def piece_tokens(path: str) -> PieceTokens:
     return _loaded[key]
 
 
+class Numbers(dict):
+    """Numbers its keys as they are first asked for, and lists what is new."""
+
+    def __init__(self, take) -> None:
+        super().__init__()
+        self.take, self.new = take, []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = self.take()
+        self.new.append(key)
+        return n
+
+
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit integers; parts met before are remembered.
+    """Ids of whole texts; parts met before are remembered by number, about `memo` of them, those that came more than once first.
 
-    Two generations of about `memo` parts are held: what is asked for again moves to the young one, and when that is full the old one goes.
+    Lines are texts of their own: a line feed between solid characters is a token, and what follows begins without a space.
     """
 
-    def __init__(self, tokens: ByteTokens, memo: int = 400_000) -> None:
+    def __init__(self, tokens: ByteTokens, memo: int = 1_000_000) -> None:
         self.tokens, self.memo = tokens, memo
-        #: By the text before a part: the young and the old generation.
-        self.known: dict[str, list[dict[str, bytes]]] = {"": [{}, {}], " ": [{}, {}]}
-
-    def _learn(self, before: str, wanted: set[str]) -> dict[str, bytes]:
-        generations = self.known[before]
-        if len(generations[0]) > self.memo:
-            generations[:] = [{}, generations[0]]
-        young, old = generations
-        new = []
-        for p in wanted.difference(young):
-            if p in old:
-                young[p] = old[p]
-            else:
-                new.append(p)
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            flat, counts = self.tokens.flat(some) if before else self.tokens.whole(some)
-            raw, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
-            young.update(zip(some, (raw[a:z] for a, z in zip([0, *ends], ends))))
-        return young
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """`texts` should be a slab of bounded size: its distinct parts are held."""
-        cut = [parts_of(t) if self.tokens.cuts else [t] for t in texts]
-        first = self._learn("", {c[0] for c in cut})
-        rest: set[str] = set()
-        for c in cut:
-            rest.update(c[1:])
-        inner = self._learn(" ", rest)
-        return [first[c[0]] + b"".join(map(inner.__getitem__, c[1:])) for c in cut]
+        self.feed = self.tokens.encode(["\n"])[0]
+        self._reset()
+
+    def _reset(self) -> None:
+        self.size = 1
+        self.inner, self.first = Numbers(self._take), Numbers(self._take)
+        #: Number 0 is the line feed. Ids of all numbers one after another, where each one's begin, how many they are, how often it came.
+        self.pool = np.array(self.feed, np.uint32)
+        self.starts, self.counts, self.uses = np.zeros(1, np.int64), np.array([len(self.feed)], np.int64), np.zeros(1, np.int64)
+
+    def _take(self) -> int:
+        self.size += 1
+        return self.size - 1
+
+    def _shrink(self) -> None:
+        """Only what came more than once stays."""
+        kept = [(known, key) for known in (self.inner, self.first) for key, n in known.items() if self.uses[n] > 1]
+        old = [known[key] for known, key in kept]
+        inner, first, pool, starts, counts = self.inner, self.first, self.pool, self.starts, self.counts
+        self._reset()
+        if len(kept) > self.memo // 2:
+            return
+        for known, key in kept:
+            (self.inner if known is inner else self.first)[key] = self._take()
+        at, many = starts[old], counts[old]
+        self._append(pool[ragged(at, many)], many)
+
+    def _append(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(counts) - counts])
+        self.counts, self.uses = np.concatenate([self.counts, counts]), np.concatenate([self.uses, np.zeros(len(counts), np.int64)])
+        self.pool = np.concatenate([self.pool, ids.astype(np.uint32)])
+
+    def _learn(self) -> None:
+        """Ids of what is new, in the order of its numbers."""
+        found = []
+        for known, encode in ((self.inner, self.tokens.flat), (self.first, self.tokens.whole)):
+            for at in range(0, len(known.new), 50_000):
+                some = known.new[at : at + 50_000]
+                found.append((np.array([known[p] for p in some], np.int64), *encode(some)))
+            known.new = []
+        if not found:
+            return
+        number, ids, counts = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(number)
+        starts = np.cumsum(counts) - counts
+        self._append(ids[ragged(starts[order], counts[order])], counts[order])
+
+    def slab(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts one after another, and how many each has. The texts should be of bounded size together."""
+        if self.size > self.memo:
+            self._shrink()
+        if not self.tokens.cuts:
+            ids, counts = self.tokens.whole(texts)
+            return ids.astype(np.uint32), counts
+        lines = [FEEDS.split(t) if "\n" in t else [t] for t in texts]
+        cut = [[parts_of(x) for x in text] for text in lines]
+        first, inner = self.first.__getitem__, self.inner.__getitem__
+        numbers: list[int] = []
+        sizes = []
+        for text in cut:
+            before = len(numbers)
+            for k, parts in enumerate(text):
+                if k:
+                    numbers.append(0)
+                numbers.append(first(parts[0]))
+                numbers.extend(map(inner, parts[1:]))
+            sizes.append(len(numbers) - before)
+        self._learn()
+        n = np.array(numbers, np.int64)
+        self.uses += np.bincount(n, minlength=self.size)
+        many = self.counts[n]
+        ends = np.concatenate([[0], np.cumsum(many)])[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])]
+        return self.pool[ragged(self.starts[n], many)], np.diff(ends)
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        ids, counts = self.slab(texts)
+        return np.split(ids, np.cumsum(counts)[:-1]) if texts else []
 
 
 def encoder(path: str) -> Encoder:
