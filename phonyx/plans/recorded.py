@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import outputs, ratio
-from ..operators import arms, recordings, resampling
+from ..operators import arms, counters, recordings, resampling, word_loss
 from ..streaming import coupled
 from . import tables as src
 from .queries import LENS, edits_sql, query, rounded
@@ -124,3 +124,34 @@ def arms_compared(spark: SparkSession, d: str) -> DataFrame:
     """Both arms at no more false alarm than the first one at its default, and than fixed rates."""
     defaults = spark.createDataFrame([("values", 0.5), ("places", 0.5)], "arm string, threshold double")
     return arms.compared(arms_curve(spark, d), defaults, "values").select("arm", "pick", "most_pct", "threshold", "missed_pct", "false_alarm_rate_pct")
+
+
+# -- word loss and counters ------------------------------------------------------------------------------------
+
+
+@query("word_loss")
+def lost_words(spark: SparkSession, d: str) -> DataFrame:
+    """Two arms on all conversations: own words lost and foreign words let in, track by track; odd turns are a partner's that leaks."""
+    c = src.table(spark, d, "conversations")
+    said = c.select(F.col("conv_id").alias("track"), F.when(F.col("turn") % 2 == 0, "own").otherwise("leak").alias("role"), (10.0 * F.col("turn")).alias("start_s"), "text")
+    sent = lambda arm, variant: src.recorded_answers(spark, d, variant).select(F.lit(arm).alias("arm"), F.col("rid").alias("track"), "index", "text", (F.col("source_end") - F.col("source_start")).alias("sent_s"))
+    return word_loss.word_loss(said, sent("plain", 0).unionByName(sent("plain+xt", 1).where("index % 2 = 0")))
+
+
+COUNTERS_SQL = """
+WITH s AS (SELECT event_type AS grp, user_id % 8 AS member, dense_rank() OVER (PARTITION BY event_type ORDER BY date_trunc('day', ts)) AS tick, epoch_us(date_trunc('day', ts)) / 1e6 AS sec, event_id FROM events),
+c AS (SELECT grp, member, tick, min(sec) AS sec, CASE WHEN member = 3 AND tick % 5 = 0 THEN 0.0 ELSE max(event_id) * 40.0 END AS cpu_s FROM s GROUP BY 1, 2, 3),
+t AS (SELECT grp, tick + 1 AS tick, min(sec) AS before FROM c GROUP BY 1, 2),
+l AS (SELECT *, lag(cpu_s) OVER w AS was, lag(tick) OVER w AS last FROM c WINDOW w AS (PARTITION BY grp, member ORDER BY tick))
+SELECT grp, tick, round(sum(100.0 * greatest(cpu_s - was, 0) / (sec - before)), 1) AS sum_pct, round(max(100.0 * greatest(cpu_s - was, 0) / (sec - before)), 1) AS max_pct FROM l JOIN t USING (grp, tick) WHERE last = tick - 1 GROUP BY 1, 2"""
+
+
+@query("group_load", COUNTERS_SQL)
+def group_load(spark: SparkSession, d: str) -> DataFrame:
+    """Events as counters of eight threads a group, sampled once a day, with resets: their load of one core."""
+    day = F.date_trunc("day", F.col("ts"))
+    e = src.table(spark, d, "events").select(F.col("event_type").alias("grp"), (F.col("user_id") % 8).alias("member"), day.alias("day"), src.seconds("date_trunc('day', ts)::timestamp_ntz").alias("at"), "event_id")
+    days = e.select("grp", "day").distinct().withColumn("tick", F.row_number().over(Window.partitionBy("grp").orderBy("day")).cast("long"))
+    rows = e.join(days, ["grp", "day"]).groupBy("grp", "member", "tick").agg(F.min("at").alias("at"), F.max("event_id").alias("_e"))
+    cpu = F.when((F.col("member") == 3) & (F.col("tick") % 5 == 0), 0.0).otherwise(F.col("_e") * 40.0)
+    return counters.group_load(rows.withColumn("cpu_s", cpu), "grp", "member", "tick", "at", "cpu_s")
