@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import outputs, ratio
 from ..operators import arms, counters, recordings, resampling, word_loss
+from ..sources import answers
 from ..streaming import coupled
 from . import tables as src
 from .queries import LENS, edits_sql, query, rounded
@@ -155,3 +156,12 @@ def group_load(spark: SparkSession, d: str) -> DataFrame:
     rows = e.join(days, ["grp", "day"]).groupBy("grp", "member", "tick").agg(F.min("at").alias("at"), F.max("event_id").alias("_e"))
     cpu = F.when((F.col("member") == 3) & (F.col("tick") % 5 == 0), 0.0).otherwise(F.col("_e") * 40.0)
     return counters.group_load(rows.withColumn("cpu_s", cpu), "grp", "member", "tick", "at", "cpu_s")
+
+
+@query("hosted_answers", """
+SELECT user_id, event_id * 250 / 1000.0 AS start, (event_id * 250 + 200) / 1000.0 AS "end", CASE WHEN user_id % 5 < 2 THEN 'speaker_' ELSE '' END || event_type AS speaker, NULL::VARCHAR AS refused FROM events WHERE event_id % 7 <> 0 AND user_id % 5 < 4
+UNION ALL SELECT DISTINCT user_id, NULL, NULL, NULL, 'no JSON' FROM events WHERE user_id % 5 = 4""")
+def hosted_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of answers of two shapes, and why others are refused."""
+    read = answers.answer_spans(src.hosted_answers(spark, d))
+    return read.select("user_id", F.explode_outer("spans").alias("s"), "refused").select("user_id", "s.start", "s.end", "s.speaker", "refused")

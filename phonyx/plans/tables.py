@@ -122,3 +122,16 @@ def detector_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     labels = e.select("track", kind.alias("kind"), (F.col("frame") * 0.01).alias("start"), ((F.col("frame") + 1) * 0.01).alias("end")).where("kind IS NOT NULL")
     sweep = [(a, t / 10, round(t / 10 - 0.15, 2)) for a in ("values", "places") for t in range(1, 10)]
     return scores.select("x.arm", "track", "frame", "x.score"), spark.createDataFrame(sweep, "arm string, threshold double, off double"), tracks, labels
+
+
+def hosted_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as a hosted service's answer: (user_id, raw), by the remainder of the id by five with channels, with utterances, or no JSON."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_id") % 7 != 0, F.col("event_type")).alias("speaker"))
+    start, end = F.col("event_id") * 250, F.col("event_id") * 250 + 200
+    word = F.struct((start / 1000).alias("start"), (end / 1000).alias("end"), "speaker")
+    own = F.when(F.col("event_id") % 3 != 0, F.array(F.struct(start.alias("start"), end.alias("end"))))
+    said = F.struct(start.alias("start"), end.alias("end"), "speaker", own.alias("words"))
+    g = e.groupBy("user_id").agg(F.collect_list(word).alias("w"), F.collect_list(said).alias("u"))
+    channels = F.to_json(F.struct(F.struct(F.array(F.struct(F.array(F.struct(F.col("w").alias("words"))).alias("alternatives"))).alias("channels")).alias("results")))
+    k = F.col("user_id") % 5
+    return g.select("user_id", F.when(k < 2, channels).when(k < 4, F.to_json(F.struct(F.col("u").alias("utterances")))).otherwise("{broken").alias("raw"))
