@@ -171,7 +171,7 @@ class Encoder:
     Lines are texts of their own: a line feed between solid characters is a token, and what follows begins without a space.
     """
 
-    def __init__(self, tokens: ByteTokens, memo: int = 1_000_000) -> None:
+    def __init__(self, tokens: ByteTokens, memo: int = 250_000) -> None:
         self.tokens, self.memo = tokens, memo
         self.feed = self.tokens.encode(["\n"])[0]
         self._reset()
