@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.ratio import nullable_pct, ratio_pct
 from .runs import align
+from .scan import held
 
 RUNAWAY_RATIO = 3.0
 LEAK_NGRAM, LEAK_MAX_SHARE_PCT, LEAK_MIN_FLAGGED = 6, 2.0, 5
+#: Hashes of items that go to the documents as a list.
+LEAK_HASHES = 50_000
 
 
 def checked(rows: DataFrame) -> DataFrame:
@@ -185,18 +188,26 @@ def cross_leaks(rows: DataFrame, n: int = LEAK_NGRAM) -> DataFrame:
     return met.groupBy("id").agg(F.min_by("source", "pos").alias("source"))
 
 
-def contained_ngrams(docs: DataFrame, items: DataFrame, n: int = LEAK_NGRAM) -> DataFrame:
+def contained_ngrams(docs: DataFrame, items: DataFrame, n: int = LEAK_NGRAM, most: int = LEAK_HASHES) -> DataFrame:
     """(id, source, sources): documents that hold an n-gram of an item, the item of the first such n-gram, and how many items there are.
 
-    docs: (id, t), items: (source, t), t: tokens. N-grams meet as hashes of
-    eight bytes, and what meets is checked on the words themselves.
+    docs: (id, t), items: (source, t), t: tokens. N-grams meet as hashes of eight bytes, and what meets is checked on the words themselves.
+    While the items have at most `most` different hashes, they go to the documents as one sorted list, and only the places that meet are
+    looked at further, where the words are; else all places are dealt by hash and the words are joined again.
     """
-    grams = items.select("source", F.explode(F.array_distinct(F.arrays_zip(T.ngram_hashes(F.col("t"), n).alias("hash"), T.ngrams(F.col("t"), n).alias("gram")))).alias("g")).select("source", "g.hash", "g.gram")
-    places = docs.select("id", F.posexplode(T.ngram_hashes(F.col("t"), n)).alias("pos", "hash"))
-    # No hint: Spark broadcasts the items' n-grams while they are small, and else deals both sides by hash.
-    met = places.join(grams, "hash")
-    texts = docs.withColumnRenamed("id", "_id")
-    checked = met.join(texts, F.col("id") == F.col("_id")).where(F.array_join(F.slice("t", F.col("pos") + 1, n), " ") == F.col("gram"))
+    grams = held(items.select("source", F.explode(F.array_distinct(F.arrays_zip(T.ngram_hashes(F.col("t"), n).alias("hash"), T.ngrams(F.col("t"), n).alias("gram")))).alias("g")).select("source", "g.hash", "g.gram"), "itemgrams")
+    known = grams.select("hash").distinct().limit(most + 1)
+    words = lambda t, pos: F.array_join(F.slice(t, pos + 1, n), " ")
+    if known.count() <= most:
+        wanted = known.agg(F.array_sort(F.collect_list("hash")).alias("_wanted"))  # one row, of at most that many hashes
+        hashed = docs.withColumn("_h", T.ngram_hashes(F.col("t"), n)).join(F.broadcast(wanted)).withColumn("_met", F.array_intersect("_h", "_wanted")).where(F.size("_met") > 0)
+        places = F.filter(F.transform("_h", lambda h, i: F.struct(i.alias("pos"), h.alias("hash"))), lambda x: F.array_contains("_met", x["hash"]))
+        said = hashed.select("id", F.explode(F.transform(places, lambda x: F.struct(x["pos"].alias("pos"), x["hash"].alias("hash"), words(F.col("t"), x["pos"]).alias("said")))).alias("p"))
+        checked = said.select("id", "p.pos", "p.hash", "p.said").join(grams, "hash").where(F.col("said") == F.col("gram"))
+    else:
+        dealt = docs.select("id", F.posexplode(T.ngram_hashes(F.col("t"), n)).alias("pos", "hash"))
+        texts = docs.withColumnRenamed("id", "_id")
+        checked = dealt.join(grams, "hash").join(texts, F.col("id") == F.col("_id")).where(words(F.col("t"), F.col("pos")) == F.col("gram"))
     return checked.groupBy("id").agg(F.min_by("source", F.struct("pos", "source")).alias("source"), F.count_distinct("source").alias("sources"))
 
 

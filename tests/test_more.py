@@ -229,7 +229,8 @@ def test_contained_ngrams(spark):
         hits = [(pos, 100 + k) for pos, g in enumerate(grams(t)) for k, s in enumerate(texts[:5]) if g in grams(s[:9])]
         if hits:
             want[i] = (min(hits)[1], len({k for _, k in hits}))
-    assert {x["id"]: (x["source"], x["sources"]) for x in metrics.contained_ngrams(docs, items, 4).collect()} == want
+    for most in (0, 50_000):
+        assert {x["id"]: (x["source"], x["sources"]) for x in metrics.contained_ngrams(docs, items, 4, most).collect()} == want
 
 
 def test_loop_spans_and_windows_against_plain_scans(spark):
