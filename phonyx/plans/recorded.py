@@ -85,12 +85,12 @@ WITH l AS (SELECT event_type AS session, event_id AS idx, value / 100 AS stream_
 p AS (SELECT l.*, (event_id % 17) / 10 AS final_after_s, event_id % 13 <> 0 AS final_ok FROM l JOIN events ON event_id = idx WHERE event_id % 5 <> 0)
 SELECT session, count(*) AS utterances, count(*) FILTER (NOT stream_ok) AS stream_empty, count(*) FILTER (NOT final_ok) AS final_errors,
   round(100.0 * sum(edits) FILTER (stream_ok AND final_ok) / (3 * count(*) FILTER (stream_ok AND final_ok)), 3) AS stream_vs_final_wer_pct,
-  round(quantile_cont(stream_after_s, 0.5) FILTER (stream_ok), 3) AS stream_p50, round(quantile_cont(stream_after_s, 0.95) FILTER (stream_ok), 3) AS stream_p95,
-  round(quantile_cont(final_after_s, 0.5) FILTER (final_ok), 3) AS final_p50, round(quantile_cont(final_after_s, 0.95) FILTER (final_ok), 3) AS final_p95, false AS within_threshold FROM p GROUP BY session""")
+  round(quantile_cont(stream_after_s, 0.5) FILTER (stream_ok), 5) AS stream_p50, round(quantile_cont(stream_after_s, 0.95) FILTER (stream_ok), 5) AS stream_p95,
+  round(quantile_cont(final_after_s, 0.5) FILTER (final_ok), 5) AS final_p50, round(quantile_cont(final_after_s, 0.95) FILTER (final_ok), 5) AS final_p95, false AS within_threshold FROM p GROUP BY session""")
 def coupled_latency(spark: SparkSession, d: str) -> DataFrame:
     """Live and batch answers of all events by session: latencies after speech, failures, and how far the texts differ."""
     out = coupled.coupled_summary(coupled.couple(*src.coupled_pairs(spark, d)), ["session"])
-    return rounded(out, "stream_p50", "stream_p95", "final_p50", "final_p95", places=3).drop("stream_p99", "final_p99")
+    return rounded(out, "stream_p50", "stream_p95", "final_p50", "final_p95", places=5).drop("stream_p99", "final_p99")
 
 
 # -- detector arms ---------------------------------------------------------------------------------------------

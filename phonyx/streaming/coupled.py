@@ -66,7 +66,7 @@ def coupled_summary(pairs: DataFrame, keys: Sequence[str], threshold_s: float =
     )
     out = sums
     for side in ("stream", "final"):
-        at = exact_percentiles(pairs.where(F.col(f"{side}_ok")), keys, f"{side}_after_s", {f"{side}_p{q}": q / 100 for q in (50, 95, 99)}).withColumnsRenamed({k: f"_{side}_{k}" for k in keys})
+        at = exact_percentiles(pairs.where(F.col(f"{side}_ok")), keys, f"{side}_after_s", {f"{side}_p{q}": q / 100 for q in (50, 95, 99)}, places=6).withColumnsRenamed({k: f"_{side}_{k}" for k in keys})
         out = out.join(at, same(keys, [f"_{side}_{k}" for k in keys]), "left").drop(*[f"_{side}_{k}" for k in keys])
     rule = F.coalesce(F.col("final_p95") <= threshold_s, F.lit(False)) & (F.col("final_errors") == 0) & (F.col("stream_empty") == 0)
     return out.withColumn("within_threshold", rule)
