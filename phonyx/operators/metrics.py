@@ -32,17 +32,22 @@ def word_units(rows: DataFrame, reference: Column | None = None, hypothesis: Col
     return tokened.withColumn("edits", T.word_edits(F.col("_ref"), F.col("_hyp"))).withColumn("ref_words", F.size("_ref").cast("long")).withColumn("hyp_words", F.size("_hyp").cast("long")).drop("_ref", "_hyp")
 
 
-def corpus_wer(units: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Word error rate of all utterances."""
-    return units.groupBy(*keys).agg(ratio_pct("edits", "ref_words").alias("wer_pct"), F.sum("edits").alias("edits"), F.sum("ref_words").alias("ref_words"), F.count("*").alias("utterances"))
+def weighed(edits: str = "edits", ref_words: str = "ref_words", hyp_words: str = "hyp_words") -> Column:
+    """An utterance's own rate times its length: without words in its hypothesis it is wholly wrong, without a reference it has no weight."""
+    return F.when(F.col(ref_words) == 0, 0).when(F.col(hyp_words) == 0, F.col(ref_words)).otherwise(F.col(edits)).cast("long")
+
+
+def corpus_wer(units: DataFrame, keys: Sequence[str] = (), weighted: bool = False) -> DataFrame:
+    """Word error rate of all utterances; `weighted` adds the length-weighted mean of their own rates (`strict_wer_pct`)."""
+    more = [nullable_pct(weighed(), "ref_words").alias("strict_wer_pct")] if weighted else []
+    return units.groupBy(*keys).agg(ratio_pct("edits", "ref_words").alias("wer_pct"), F.sum("edits").alias("edits"), F.sum("ref_words").alias("ref_words"), F.count("*").alias("utterances"), *more)
 
 
 def strict_units(rows: DataFrame, labels: Sequence[str] = ()) -> DataFrame:
     """word_units under the strict lens, with `num`, the utterance's rate times its length, and `den`: an utterance without words in its hypothesis is wholly wrong, one without a reference has no weight."""
     words = lambda c: T.words(T.strict(F.coalesce(c, F.lit("")), labels))
     units = word_units(rows, words("reference"), words("prediction"))
-    num = F.when(F.col("ref_words") == 0, 0).when(F.col("hyp_words") == 0, F.col("ref_words")).otherwise(F.col("edits"))
-    return units.withColumn("num", num.cast("long")).withColumn("den", F.col("ref_words"))
+    return units.withColumn("num", weighed()).withColumn("den", F.col("ref_words"))
 
 
 def corpus_strict_wer(units: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

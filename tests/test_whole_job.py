@@ -1,7 +1,8 @@
 """Queries on inputs beyond the small tables: zero-length spans, large numbers, whole columns, long rows."""
 
+import pytest
 
-from phonyx.operators import intervals
+from phonyx.operators import intervals, metrics
 from phonyx.plans import queries
 
 
@@ -18,3 +19,10 @@ def test_events_of_no_value_are_folded_as_the_sql_does(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/events.parquet")
     assert queries.QUERIES["turn_fold"](spark, str(tmp_path)).count() == 3
     assert queries.QUERIES["interval_union"](spark, str(tmp_path)).first()["islands"] == 3
+
+
+def test_corpus_wer_has_the_weighted_rate(spark):
+    rows = [(1, "eins zwei drei vier", "eins zwei drei"), (2, "ja nein", ""), (3, "", "zu viel"), (4, "a", "b c d e")]
+    total = metrics.corpus_wer(metrics.word_units(spark.createDataFrame(rows, "id long, reference string, prediction string")), weighted=True).first()
+    assert (total["wer_pct"], total["strict_wer_pct"]) == (pytest.approx(100 * 9 / 7), pytest.approx(100 * 7 / 7))
+    assert "strict_wer_pct" in queries.ORACLE_SQL["corpus_wer"]
