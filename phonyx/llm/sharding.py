@@ -4,8 +4,8 @@ Every dimension is quantised to `bits` bits, the cells are visited in the
 order of the Hilbert curve, and the visit is cut into runs of equally many
 rows. A run is compact in all dimensions at once, so the minima and maxima of
 its file prune filters on any of them. Cells of a number hold equally many
-rows of a bounded sample (`SAMPLE` rows, those with the least hashes), so one
-far value does not put all others in one cell.
+rows, by exact quantiles of all of them, so one far value does not put all
+others in one cell.
 
 Equal texts form a group: the whole group takes the place on the curve of its
 least document, so its rows stand together, and are apart only where a cut
@@ -31,9 +31,6 @@ from pyspark.sql.functions import pandas_udf
 
 from .common import global_rank, materialize, table, unused
 
-#: Rows that the cells of numbers are fitted on.
-SAMPLE = 20_000
-
 
 def hilbert_of(cells: np.ndarray, bits: int) -> np.ndarray:
     """Curve index of integer points (rows) with `bits` bits a dimension, all at once.
@@ -78,15 +75,20 @@ def hilbert_index(dimensions: list[Column], bits: int) -> Column:
     return index(*dimensions)
 
 
-def quantise_numbers(df: DataFrame, columns: list[str], outs: list[str], bits: int, sample: int = SAMPLE) -> DataFrame:
-    """Cells between the quantiles of a bounded sample of rows, so that each has about as many rows; null is cell 0."""
-    kinds = [F.col(c).cast("double").alias(c) for c in columns]
-    rows = df.select(*kinds).orderBy(F.xxhash64(*columns), *columns).limit(sample).collect()
+def quantiles(df: DataFrame, column: str, n: int) -> list[float]:
+    """The different values at n - 1 evenly spaced ranks of all of a column's numbers, found by one range sort; nulls have no rank."""
+    ranked = global_rank(df.select(F.col(column).cast("double").alias("_value")).where("_value IS NOT NULL"), ["_value"], "_rank", "numbers")
+    rows = ranked.count()
+    wanted = sorted({k * rows // n for k in range(1, n)})
+    # At most n - 1 rows.
+    return sorted({r["_value"] for r in ranked.where(F.col("_rank").isin(wanted)).collect()}) if rows else []
+
+
+def quantise_numbers(df: DataFrame, columns: list[str], outs: list[str], bits: int) -> DataFrame:
+    """Cells between the quantiles of all rows, so that each has about as many rows; null is cell 0."""
     for c, out in zip(columns, outs):
-        values = np.sort(np.array([r[c] for r in rows if r[c] is not None], np.float64))
-        cuts = np.unique(values[np.arange(1, 1 << bits) * len(values) >> bits]).tolist() if len(values) else []
         # The number of cuts that are not above the value.
-        below = sum(((F.col(c) >= x).cast("int") for x in cuts), F.lit(0))
+        below = sum(((F.col(c) >= x).cast("int") for x in quantiles(df, c, 1 << bits)), F.lit(0))
         df = df.withColumn(out, F.when(F.col(c).isNull(), 0).otherwise(below).cast("int"))
     return df
 
@@ -139,7 +141,7 @@ def placed(meta: DataFrame, bits: int) -> DataFrame:
     """meta with `curve`: that of the least document (id, lang, source) of its equal texts."""
     group = ["size", "text_crc32", "text_hash"]
     heads = meta.groupBy(*group).agg(F.min(F.struct("doc_id", "lang", "source")).alias("h"), F.count("*").alias("n"))
-    lone = heads.select(*group, "h.*", "n").withColumn("log_size", F.log2(F.col("size").cast("double")))
+    lone = materialize(heads.select(*group, "h.*", "n").withColumn("log_size", F.log2(F.col("size").cast("double"))), "heads")
     curved = curve_of(lone, ["lang", "source"], ["log_size", "doc_id"], bits, "curve").select(*group, "curve")
     # A very frequent text is skew on the documents' side alone, which adaptive execution splits.
     return meta.join(curved, group)

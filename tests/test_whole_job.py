@@ -1,7 +1,12 @@
 """Queries on inputs beyond the small tables: zero-length spans, large numbers, whole columns, long rows."""
 
+from collections import Counter
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from phonyx.llm import sharding
 from phonyx.operators import intervals, metrics
 from phonyx.plans import queries
 
@@ -26,3 +31,14 @@ def test_corpus_wer_has_the_weighted_rate(spark):
     total = metrics.corpus_wer(metrics.word_units(spark.createDataFrame(rows, "id long, reference string, prediction string")), weighted=True).first()
     assert (total["wer_pct"], total["strict_wer_pct"]) == (pytest.approx(100 * 9 / 7), pytest.approx(100 * 7 / 7))
     assert "strict_wer_pct" in queries.ORACLE_SQL["corpus_wer"]
+
+
+
+def test_cells_hold_equally_many_of_all_rows(spark):
+    # More rows than any sample had: cells of all rows are equal to the row.
+    rows = spark.range(0, 40_960, 1, 4).select((F.xxhash64("id") % 1_000_003).cast("double").alias("x"), F.lit(None).cast("double").alias("none"))
+    cells = Counter(r["cell"] for r in sharding.quantise_numbers(rows, ["x"], ["cell"], 6).collect())
+    values = np.sort([r["x"] for r in rows.collect()])
+    want = Counter(np.searchsorted(np.unique(values[np.arange(1, 64) * len(values) >> 6]), values, "right").tolist())
+    assert cells == want and len(cells) == 64 and max(cells.values()) - min(cells.values()) < 10
+    assert sharding.quantise_numbers(rows.limit(5), ["none"], ["cell"], 4).select("cell").distinct().collect()[0][0] == 0
