@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from phonyx.functions import numbers as N
 from phonyx.llm import sharding
 from phonyx.operators import intervals, metrics
 from phonyx.plans import queries
@@ -33,6 +34,11 @@ def test_corpus_wer_has_the_weighted_rate(spark):
     assert "strict_wer_pct" in queries.ORACLE_SQL["corpus_wer"]
 
 
+def test_numbers_from_a_million_on_are_read_back(spark):
+    n = [999_999, 1_000_000, 1_000_001, 1_234_567, 2_000_000, 8_999_999, 21_000_021]
+    got = spark.createDataFrame([(str(x),) for x in n], "n string").withColumn("w", N.digits_to_words(F.col("n"))).withColumn("b", N.words_to_digits(F.col("w"))).collect()
+    assert [r["b"] for r in got] == [r["n"] for r in got] and got[1]["w"] == "eine Million" and got[4]["w"] == "zwei Millionen"
+
 
 def test_cells_hold_equally_many_of_all_rows(spark):
     # More rows than any sample had: cells of all rows are equal to the row.
