@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import ArrayType, LongType
 
 from .numbers import digits_to_words, words_to_digits
+from .rows import lists
 
 # Accents that fold to plain letters (umlauts stay), quotes, fillers, and patterns of the lenses.
 ACCENTED = "àáâãåçèéêëìíîïñòóôõøùúûýÿÀÁÂÃÅÇÈÉÊËÌÍÎÏÑÒÓÔÕØÙÚÛÝ"
@@ -96,10 +98,10 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
     return cost
 
 
-@pandas_udf(LongType())
-def word_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+@arrow_udf(LongType())
+def word_edits(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
     """Word edit distance of two token arrays of any length and vocabulary; null for null."""
-    return pd.Series([None if r is None or h is None else edit_distance(r, h) for r, h in zip(reference, hypothesis)], dtype="Int64")
+    return pa.array([None if r is None or h is None else edit_distance(r, h) for r, h in zip(lists(reference), lists(hypothesis))], pa.int64())
 
 
 @pandas_udf(ArrayType(LongType()))

@@ -8,45 +8,58 @@ bits; everything after is grouped by recording and window or answer.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from ..functions import text as T
-from ..functions.alignment import steps
-from .runs import WINDOW_WORDS, loop_spans, structs
+from ..functions.rows import lists
+from .runs import KINDS, WINDOW_WORDS, coded_steps, loop_spans, places
 from .scan import held
 
 # How near the end a recording's last answer must come, and the word ratios beyond which a window or an answer is flagged.
 END_SLACK_S, WINDOW_RUNAWAY, WINDOW_DROPOUT, ANSWER_RUNAWAY = 120.0, 1.5, 0.5, 3.0
 
 
-@pandas_udf(structs(kind="string", anchor="int", ref="int", owner="int", span="int", word="string"))
-def owned_steps(reference: pd.Series, hypothesis: pd.Series, owners: pd.Series) -> pd.Series:
-    """Operations of an alignment with the answer that each hypothesis word is from (`owner`).
+#: Recordings whose operations leave a task together.
+TOGETHER = 64
 
-    `span` is given to reference words from the first to the last one aligned to words of one answer: that answer, with the word.
-    """
 
-    def one(ref: list, hyp: list, owner: np.ndarray) -> list[tuple]:
-        r, h = steps(ref, hyp)
-        n, both = len(r), (r >= 0) & (h >= 0)
-        own = np.where(h >= 0, owner[np.maximum(h, 0)] if len(owner) else -1, -1)
-        anchor = np.clip(np.cumsum(r >= 0) - (r >= 0), 0, max(len(ref) - 1, 0))
-        place = np.arange(n)
-        before = np.maximum.accumulate(np.where(both, place, -1))
-        after = np.minimum.accumulate(np.where(both, place, n)[::-1])[::-1]
-        inside = (r >= 0) & (before >= 0) & (after < n)
-        span = np.where(inside & (own[np.clip(before, 0, None)] == own[np.clip(after, None, n - 1)]), own[np.clip(before, 0, None)], -1) if n else own
-        out = []
-        for i, j, a, o, s in zip(r.tolist(), h.tolist(), anchor.tolist(), own.tolist(), span.tolist()):
-            kind = "insert" if i < 0 else "delete" if j < 0 else "equal" if ref[i] == hyp[j] else "substitute"
-            out.append((kind, a, None if i < 0 else i, None if o < 0 else o, None if s < 0 else s, ref[i] if s >= 0 else None))
-        return out
-
-    return pd.Series([one(list(a), list(b), np.asarray(c, np.int64)) for a, b, c in zip(reference, hypothesis, owners)])
+def owned_steps(ref: list, hyp: list, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Operations of an alignment (code of the kind, anchor, place in ref) with the answer that each hypothesis word is from (`owner`).
+
+    `span` is given to reference words from the first to the last one aligned to words of one answer: that answer. None is -1.
+    """
+    codes, r, h, anchor = coded_steps(ref, hyp)
+    n, both = len(r), (r >= 0) & (h >= 0)
+    own = np.where(h >= 0, owner[np.maximum(h, 0)] if len(owner) else -1, -1)
+    place = np.arange(n)
+    before = np.maximum.accumulate(np.where(both, place, -1))
+    after = np.minimum.accumulate(np.where(both, place, n)[::-1])[::-1]
+    inside = (r >= 0) & (before >= 0) & (after < n)
+    span = np.where(inside & (own[np.clip(before, 0, None)] == own[np.clip(after, None, n - 1)]), own[np.clip(before, 0, None)], -1) if n else own
+    return codes, anchor, r, own, span
+
+
+def each_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (rid, reference, hypothesis, owners) as rows of owned_steps, those of some recordings at a time; `word` is the reference word of a span."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TOGETHER):
+            part = batch.slice(at, TOGETHER)
+            found, words = [], []
+            for ref, hyp, owner in zip(*(lists(part.column(c)) for c in ("reference", "hypothesis", "owners"))):
+                found.append([x.astype(np.int32) for x in owned_steps(ref, hyp, np.asarray(owner, np.int64))])
+                words += [ref[i] if s >= 0 else None for i, s in zip(found[-1][2].tolist(), found[-1][4].tolist())]
+            codes, anchor, r, own, span = (np.concatenate([x[k] for x in found]) for k in range(5))
+            of = pa.array(np.repeat(np.arange(part.num_rows), [len(x[0]) for x in found]))
+            n_ref = part.column("reference").value_lengths().take(of)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("rid").take(of), n_ref, pa.array(KINDS).take(pa.array(codes)), pa.array(anchor), places(r), places(own), places(span), pa.array(words, pa.string())],
+                ["rid", "n_ref", "kind", "anchor", "ref", "owner", "span", "word"],
+            )
 
 
 class Scored:
@@ -65,9 +78,10 @@ class Scored:
             F.coalesce(F.flatten(F.transform("a", lambda x: F.array_repeat(x["owner"], F.size(x["words"])))), F.array().cast("array<int>")).alias("owners"),
         )
         self.recordings = known.select("rid", "duration_s", F.size("reference").cast("long").alias("ref_words"), "reference")
-        rows = joined.select("rid", F.size("reference").alias("n_ref"), F.explode(owned_steps("reference", "hypothesis", "owners")).alias("op"))
+        rid = joined.select("rid").schema["rid"].dataType.simpleString()
+        rows = joined.mapInArrow(each_step, f"rid {rid}, n_ref int, kind string, anchor int, ref int, owner int, span int, word string")
         last_window = F.greatest(F.ceil(F.col("n_ref") / window_words), F.lit(1)) - 1
-        self.steps = held(rows.select("rid", F.least(F.floor(F.col("op.anchor") / window_words), last_window).cast("long").alias("window"), "op.*"), "steps")
+        self.steps = held(rows.withColumn("window", F.least(F.floor(F.col("anchor") / window_words), last_window).cast("long")).drop("n_ref"), "steps")
 
     def windows(self) -> DataFrame:
         """(rid, window, ...): each window's words, edits, flags, the time span of the answers its words came from, loops in its reference, and whether the audio ended before it.

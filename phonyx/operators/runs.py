@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions.alignment import steps
+from ..functions.rows import lists
 from .scan import buckets_by_value, running, same
 
 WINDOW_WORDS, LOOP_MAX_N, LOOP_MIN_REPS, LOOP_MIN_WORDS = 600, 10, 3, 12
@@ -153,8 +155,8 @@ def structs(**fields: str) -> ArrayType:
     return ArrayType(StructType([StructField(k, kinds[v]) for k, v in fields.items()]))
 
 
-@pandas_udf(structs(start="int", n="int", reps="int"))
-def loop_spans(tokens: pd.Series) -> pd.Series:
+@arrow_udf(structs(start="int", n="int", reps="int"))
+def loop_spans(tokens: pa.Array) -> pa.Array:
     """Back-to-back repetitions in token arrays, from left to right, the shortest period first."""
 
     def spans(words) -> list[tuple[int, int, int]]:
@@ -174,26 +176,45 @@ def loop_spans(tokens: pd.Series) -> pd.Series:
             i += step
         return found
 
-    return tokens.map(lambda w: spans(list(w)) if w is not None else [])
+    # Most texts have no loops, so the structs are few.
+    kind = pa.list_(pa.struct([(k, pa.int32()) for k in ("start", "n", "reps")]))
+    return pa.array([[dict(zip(("start", "n", "reps"), x)) for x in spans(w)] if w else [] for w in lists(tokens)], kind)
 
 
-@pandas_udf(structs(kind="string", ref="int", hyp="int", anchor="int"))
-def align(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+#: Kinds of operations, by their code.
+KINDS = ("equal", "substitute", "delete", "insert")
+
+
+def coded_steps(ref: list, hyp: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A least-cost alignment as four arrays: code of the kind, place in ref and in hyp (-1 for none), and anchor."""
+    r, h = steps(ref, hyp)
+    codes = np.where(r < 0, 3, np.where(h < 0, 2, 1))
+    both = np.flatnonzero(codes == 1)
+    codes[both] = [ref[i] != hyp[j] for i, j in zip(r[both].tolist(), h[both].tolist())]
+    return codes, r, h, np.clip(np.cumsum(r >= 0) - (r >= 0), 0, max(len(ref) - 1, 0))
+
+
+def places(at: np.ndarray) -> pa.Array:
+    """Places as an Arrow column, null for -1."""
+    return pa.array(at.astype(np.int32), mask=at < 0)
+
+
+@arrow_udf(structs(kind="string", ref="int", hyp="int", anchor="int"))
+def align(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
     """Operations of a least-cost word alignment; on ties equal or substitute first, then delete, then insert.
 
     `anchor` is the reference word an operation belongs to: an insertion's is the next one, at the end the last.
     """
-    return pd.Series([operations(list(a), list(b)) for a, b in zip(reference, hypothesis)])
+    found = [[x.astype(np.int32) for x in coded_steps(a or [], b or [])] for a, b in zip(lists(reference), lists(hypothesis))]
+    ends = np.cumsum([0, *(len(x[0]) for x in found)]).astype(np.int32)
+    codes, r, h, anchor = (np.concatenate([np.zeros(0, np.int32), *(x[k] for x in found)]) for k in range(4))
+    ops = pa.StructArray.from_arrays([pa.array(KINDS).take(pa.array(codes)), places(r), places(h), pa.array(anchor)], ["kind", "ref", "hyp", "anchor"])
+    return pa.ListArray.from_arrays(pa.array(ends), ops)
 
 
 def operations(ref: list, hyp: list) -> list[tuple[str, int | None, int | None, int]]:
     """What `align` returns for one pair."""
-    out, last, at = [], max(len(ref) - 1, 0), 0
-    for i, j in zip(*(x.tolist() for x in steps(ref, hyp))):
-        kind = "insert" if i < 0 else "delete" if j < 0 else "equal" if ref[i] == hyp[j] else "substitute"
-        out.append((kind, None if i < 0 else i, None if j < 0 else j, min(at, last)))
-        at += i >= 0
-    return out
+    return [(KINDS[c], None if i < 0 else i, None if j < 0 else j, a) for c, i, j, a in zip(*(x.tolist() for x in coded_steps(ref, hyp)))]
 
 
 def reference_windows(recordings: DataFrame, window_words: int = WINDOW_WORDS) -> DataFrame:
