@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,14 +116,15 @@ def statistics(units: DataFrame, keys: Sequence[str], order: str | Sequence[str]
     # Each share of a group gets the group's units.
     dealt = rows.join(many, same(keys, [f"_of_{k}" for k in keys])).select(*rows.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_many").cast("long") - 1)).alias("_share"))
 
-    def draw(own: pd.DataFrame, share: pd.DataFrame) -> pd.DataFrame:
-        v = own.sort_values(by, kind="stable")[[f"_v{i}" for i in range(len(columns))]].to_numpy(float)
-        s = share.iloc[0]
-        place = None if s["_words"] is None else (bytes(s["_words"]), int(s["_at"]), int(s["_skip"]))
+    def draw(own: pa.Table, share: pa.Table) -> pa.Table:
+        # The units stay Arrow columns: no more than their numbers and their order are held.
+        v = np.column_stack([own.column(f"_v{i}").to_numpy() for i in range(len(columns))])[pc.sort_indices(own.select(by), [(b, "ascending") for b in by]).to_numpy()]
+        s = share.slice(0, 1).to_pylist()[0]
+        place = None if s["_words"] is None else (s["_words"], int(s["_at"]), int(s["_skip"]))
         found = statistic(resampled_sums(v, int(s["_samples"]), seed, place=place))
-        return pd.DataFrame({**{k: [s[k]] for k in keys}, "_found": [found], "_point": [float(statistic(v.sum(0)))], "n": [len(v)]})
+        return pa.table({**{k: share.column(k).slice(0, 1) for k in keys}, "_found": pa.array([found], pa.list_(pa.float64())), "_point": [float(statistic(v.sum(0)))], "n": pa.array([len(v)], pa.int64())})
 
-    drawn = dealt.groupBy(*keys, "_share").cogroup(shares.groupBy(*keys, "_share")).applyInPandas(draw, form + "_found array<double>, _point double, n long")
+    drawn = dealt.groupBy(*keys, "_share").cogroup(shares.groupBy(*keys, "_share")).applyInArrow(draw, form + "_found array<double>, _point double, n long")
     ordered = drawn.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("_found"))).alias("_all"), F.first("_point").alias("point"), F.first("n").alias("n"))
     tail = (1 - confidence) / 2
     end = lambda q: F.get("_all", F.lit(int(q * (resamples - 1))))
