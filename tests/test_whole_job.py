@@ -48,3 +48,14 @@ def test_cells_hold_equally_many_of_all_rows(spark):
     want = Counter(np.searchsorted(np.unique(values[np.arange(1, 64) * len(values) >> 6]), values, "right").tolist())
     assert cells == want and len(cells) == 64 and max(cells.values()) - min(cells.values()) < 10
     assert sharding.quantise_numbers(rows.limit(5), ["none"], ["cell"], 4).select("cell").distinct().collect()[0][0] == 0
+
+
+
+def test_lists_of_sliced_columns():
+    import pyarrow as pa
+
+    from phonyx.functions.rows import lists
+
+    every = [["a", "b"], None, [], ["c", None], ["d"]] * 9
+    column = pa.array(every, pa.list_(pa.string()))
+    assert list(lists(column)) == every and list(lists(column.slice(3, 30), 7)) == every[3:33]
