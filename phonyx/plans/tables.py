@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import metrics
-from ..operators.scan import running
+from ..operators.scan import held, running
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +54,8 @@ def copied_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     ids = d.select("doc_id", "lang", "source")
     before = running(ids, ["lang", "source"], F.floor(F.col("doc_id") / 100_000), ["doc_id"], {"prev": (F.max, "doc_id")}, before=True)
-    found = d.select("doc_id", metrics.numbers(F.col("text")).alias("n")).where("n IS NOT NULL")
+    # Both sides read them, so the texts would be looked through twice.
+    found = held(d.select("doc_id", metrics.numbers(F.col("text")).alias("n")).where("n IS NOT NULL"), "numbers")
     own = before.select(F.col("doc_id").alias("id"), "prev").join(found.select(F.col("doc_id").alias("id"), F.col("n").alias("h")), "id")
     return own.join(found.select(F.col("doc_id").alias("prev"), F.col("n").alias("r")), "prev").select("id", "r", "h")
 
