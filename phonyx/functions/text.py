@@ -33,7 +33,7 @@ def squeeze(text: Column) -> Column:
 def before_punctuation(text: Column) -> Column:
     """The canonical lens up to its punctuation strip, where numbers still have their shape; number words are digits."""
     plain = F.replace(F.replace(F.replace(text, F.lit("ß"), F.lit("ss")), F.lit(",,"), F.lit("")), F.lit('"'), F.lit(""))
-    folded = words_to_digits(F.translate(F.translate(plain, QUOTES, PLAIN_QUOTES), ACCENTED, FOLDED))
+    folded = words_to_digits(F.translate(plain, QUOTES + ACCENTED, PLAIN_QUOTES + FOLDED))
     return F.regexp_replace(F.regexp_replace(folded, r"\[.*?\]", ""), "['\"]", "")
 
 
