@@ -37,7 +37,7 @@ from .wavelet import Shard, pack
 #: The id after each document.
 END = 2
 #: Characters of text that are encoded at a time.
-SLAB = 1 << 21
+SLAB = 1 << 22
 
 
 def folder_of(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:

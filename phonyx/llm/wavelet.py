@@ -36,7 +36,8 @@ def planes_of(ids: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, int]]:
     at = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     for k in range(bits - 1, -1, -1):
         one = (at & at.dtype.type(1 << k)).astype(bool)
-        zeros, ones = at[~one], at[one]
+        # A mask as index takes several times as long where its bits are mixed.
+        zeros, ones = at.compress(~one), at.compress(one)
         yield one, len(zeros)
         at = np.concatenate([zeros, ones])
 
@@ -48,10 +49,11 @@ def pack(ids: np.ndarray, lengths: np.ndarray, doc_ids: list[int | None], extra:
     table = np.concatenate([np.asarray(lengths, "<i8"), np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], "<i8")])
     sections, zeros = {"documents": squeeze.compress(table.tobytes())}, []
     for k, (one, n) in enumerate(planes_of(ids, bits)):
-        data = np.packbits(one).tobytes()
+        packed = np.packbits(one)
+        data = packed.tobytes()
         raw = [data[a : a + block] for a in range(0, len(data), block)]
         kept = [min(r, squeeze.compress(r), key=len) for r in raw]
-        counts = np.add.reduceat(one, np.arange(0, len(one), 8 * block), dtype=np.int64) if len(one) else np.zeros(0, np.int64)
+        counts = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), block), dtype=np.int64) if len(one) else np.zeros(0, np.int64)
         sections[f"ranks-{k}"] = np.concatenate([[0], np.cumsum(counts)]).astype("<i8").tobytes()
         sections[f"ends-{k}"] = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype("<i8").tobytes()
         sections[f"blocks-{k}"] = b"".join(kept)
@@ -163,8 +165,9 @@ class Shard:
             data = b"".join(self._bytes(k, b) for b in range(len(self.ends[k]) - 1))
             one = np.unpackbits(np.frombuffer(data, np.uint8), count=self.tokens).view(bool)
             out = np.empty_like(at)
-            out[~one] = at[: self.zeros[k]]
-            out[one] = at[self.zeros[k] :] | at.dtype.type(1 << (self.bits - 1 - k))
+            # Places, not masks: those take several times as long where bits are mixed.
+            out[np.flatnonzero(~one)] = at[: self.zeros[k]]
+            out[np.flatnonzero(one)] = at[self.zeros[k] :] | at.dtype.type(1 << (self.bits - 1 - k))
             at = out
         return at.astype(np.uint32)
 
