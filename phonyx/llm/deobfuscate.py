@@ -15,7 +15,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Collection, Iterable, Iterator
 
 import numpy as np
 
@@ -36,6 +36,11 @@ SUSPECT = re.compile(r"[\W\d_]|(.)\1", re.S)
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S){2,}(?!\S)")
 LETTERS = re.compile(r"[^\W\d_]+\Z")
 LETTER = re.compile(r"[^\W\d_]")
+#: Letters without doublings and symbols after them that stand for nothing there: the lattice's one path is the letters.
+MARKED = re.compile(r"((?:([a-z])(?!\2))+)[,.;:?&%'\")-]*(?:\*+|#+|!+)?\Z")
+#: Letters that stand for themselves alone; three of them.
+ALONE = re.compile(r"(?:([a-z])(?!\1))*")
+HEAD = re.compile(r"([a-z])(?!\1)([a-z])(?!\2)([a-z])(?!\3)")
 PLAIN, OTHER_SCRIPT = re.compile(r"[a-z]"), re.compile(f"[{''.join(FOREIGN)}]")
 
 
@@ -137,10 +142,9 @@ def character_counts(words: Iterable[tuple[str, int]], order: int = 4) -> Counte
     return counts
 
 
-def columns(token: str) -> list[list[tuple[str, float]]]:
-    """The lattice of a lower-cased token: alternatives (letters, cost) for each run of equal characters."""
-    out: list[list[tuple[str, float]]] = []
-    i, n = 0, len(token)
+def each_column(token: str, start: int = 0) -> Iterator[list[tuple[str, float]]]:
+    """The lattice of a lower-cased token: alternatives (letters, cost) for each run of equal characters, from the run at `start` on."""
+    i, n = start, len(token)
     while i < n:
         c = token[i]
         j = i + 1
@@ -153,9 +157,9 @@ def columns(token: str) -> list[list[tuple[str, float]]]:
             found = [(c * k, price) for k, price in kinds]
             if other := "" if c.isascii() else lookalike_of(c):
                 found += [(other * k, price + SWAP) for k, price in kinds]
-            out.append(found)
+            yield found
         elif c.isspace():
-            out.append([("", JOIN), (" ", 0.0)])
+            yield [("", JOIN), (" ", 0.0)]
         else:
             found = [("", DROP * min(run, 4))]
             letters = LOOKALIKES.get(c)
@@ -170,9 +174,47 @@ def columns(token: str) -> list[list[tuple[str, float]]]:
                 found += [(v, MASK) for v in VOWELS]
             elif c.isdigit():
                 found = [(token[i:j], 0.0)]
-            out.append(found)
+            yield found
         i = j
-    return out
+
+
+def columns(token: str) -> list[list[tuple[str, float]]]:
+    """The whole lattice."""
+    return list(each_column(token))
+
+
+def may_have(token: str, features: Collection[str], begun: Collection[str]) -> bool:
+    """Whether any path through a lower-cased token's lattice, without blanks, begins with one of the features, or is one that ends in $.
+
+    `begun` are the features' beginnings, themselves and the empty one included.
+    A False needs no search: most tokens leave all features after a few columns.
+    """
+    # Letters that stand for themselves alone begin every path.
+    plain = ALONE.match(token).end()
+    for k in range(1, plain + 1):
+        c = token[:k]
+        if c in features:
+            return True
+        if c not in begun:
+            return False
+    at = {token[:plain]}
+    for column in each_column(token, plain):
+        after = set()
+        for before in at:
+            for letters, _ in column:
+                c = before
+                for x in letters:
+                    c += x
+                    if c in features:
+                        return True
+                    if c not in begun:
+                        break
+                else:
+                    after.add(c)
+        if not after:
+            return False
+        at = after
+    return any(c + "$" in features for c in at)
 
 
 def viterbi(lattice: list[list[tuple[str, float]]], model: CharacterModel) -> str:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, table
-from .deobfuscate import LETTERS, SPACED, CharacterModel, character_counts, restore, suspect
+from .deobfuscate import HEAD, LETTER, LETTERS, MARKED, SPACED, CharacterModel, character_counts, may_have, restore, suspect
 
 PREFIXES = range(3, 9)
 
@@ -50,20 +50,38 @@ class Reader:
     def __init__(self, model: CharacterModel, chosen: dict[str, int] | None = None, most: int = 1 << 19):
         self.model, self.chosen, self.most = model, chosen, most
         self.heads = {f[:3] for f in chosen or ()} | {f[:2] for f in chosen or () if len(f) == 3} | {f[:1] for f in chosen or () if len(f) == 2}
+        self.begun = {f[:k] for f in chosen or () for k in range(len(f) + 1)} | {""}
         self.seen: dict[str, tuple] = {}
+        self.earlier: dict[str, tuple] = {}
 
     def token(self, token: str) -> tuple:
         plain = token.lower()
-        words = restore(token, self.model).split() if suspect(plain) else (plain,)
+        # Nothing that a token without blanks may stand for has a chosen feature: no search, and most need no look at their rest.
+        alone = self.chosen is not None and len(plain.split()) == 1
+        if alone and HEAD.match(plain) and plain[:3] not in self.begun:
+            words = ()
+        elif marked := MARKED.match(plain):
+            words = (marked[1],)
+        elif not suspect(plain):
+            words = (plain,)
+        elif alone and LETTER.search(plain) and not may_have(plain, self.chosen, self.begun):
+            words = ()
+        else:
+            words = restore(token, self.model).split()
         if self.chosen is None:
             found = [f for w in words for f in features_of(w)]
         else:
             get = self.chosen.get
             found = [i for w in words if w[:3] in self.heads for f in features_of(w) if (i := get(f)) is not None]
-        if len(self.seen) >= self.most:
-            self.seen.clear()
-        self.seen[token] = out = tuple(found)
-        return out
+        return tuple(found)
+
+    def remember(self, token: str) -> tuple:
+        """A token's features; those of tokens not met since the memory was last half full go."""
+        if len(self.seen) >= self.most // 2:
+            self.earlier, self.seen = self.seen, {}
+        own = self.earlier.get(token)
+        self.seen[token] = own = self.token(token) if own is None else own
+        return own
 
     def text(self, text: str | None) -> tuple[Counter, int]:
         """How many different tokens of a text have each feature, and how many there are."""
@@ -71,11 +89,10 @@ class Reader:
             return Counter(), 0
         tokens, spaced = tokens_of(text)
         found: list = []
-        get = self.seen.get
         for t in (*tokens, *spaced):
-            own = get(t)
+            own = self.seen.get(t)
             if own is None:
-                own = self.token(t)
+                own = self.remember(t)
             if own:
                 found += own
         return Counter(found), len(tokens)
