@@ -49,7 +49,8 @@ def running(
         *[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_bucket").alias("_key_bucket"),
         *[f(F.col(f"_{out}")).over(earlier).alias(f"_{out}") for out, (f, _) in amounts.items()], *[F.lead(f"_{out}").over(along).alias(f"_{out}") for out in following],
     )
-    met = cut.join(base, same([*keys, "_bucket"], [*(f"_key_{k}" for k in keys), "_key_bucket"]))
+    # Every row meets its bucket; as an outer join, the rows themselves are never what is broadcast, however small their files look.
+    met = cut.join(base, same([*keys, "_bucket"], [*(f"_key_{k}" for k in keys), "_key_bucket"]), "left")
     local = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, -1 if before else 0)
 
